@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from chartloom.llm.chat_format import chat_examples, read_back
+from chartloom.llm.decontaminate import benchmark_hits
 from chartloom.llm.jaccard_join import jaccard_components
+from chartloom.llm.mixing import PRIME, mix_plan, seed_pair
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +19,85 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, threshold=90)
 
 
-QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    fixed = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
+    read = read_back(chat_examples(turns.union(fixed)))
+    digest = F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256)
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        digest.alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.col("formatted_chars").cast("long").alias("formatted_chars"),
+    )
 
-ORACLES: dict[str, str] = {}
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = benchmark_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    ids = F.col("item_ids")
+    return found.select("doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+_OP4_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+    length(replace(text, '\', '\\')) + len(regexp_extract_all(replace(text, '\', '\\'), '<\||</?s>|\[/?INST\]|<</?SYS>>')) + length(role) + 32 AS c FROM t),
+f AS (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM e)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+_OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS l, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, l, i, array_to_string(list_slice(w, i, i + l - 1), ' ') AS g
+  FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, (SELECT DISTINCT l FROM bw) WHERE len(w) >= l)),
+hit AS (SELECT doc_id, i, dw.l AS l, item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.l = bw.l),
+words AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+_SEEDS = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(map(seed_pair, range(32))))
+_OP9_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 7) AS BIGINT) AS own FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1.0::DOUBLE AS weight FROM d GROUP BY source),
+c AS (SELECT source, source_size, weight, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / weight AS lim FROM s),
+line AS (SELECT x.lim, ((SELECT sum(source_size) FROM s) - coalesce((SELECT sum(cap) FROM c y WHERE y.lim < x.lim), 0)) / (SELECT sum(weight) FROM c y WHERE y.lim >= x.lim) AS level FROM c x),
+lev AS (SELECT level FROM line WHERE level <= lim ORDER BY lim LIMIT 1),
+t AS (SELECT source, source_size, round(least(cap, (SELECT level FROM lev) * weight), 6) AS target FROM c),
+r AS (SELECT *, target / nullif(source_size, 0) AS rate FROM t),
+seeds(k, a, b) AS (VALUES {_SEEDS}),
+draws AS (SELECT d.source, k, abs(floor(any_value(rate)) * any_value(source_size) + sum(CASE WHEN (own * a + b) % {PRIME} < (rate - floor(rate)) * {PRIME} THEN size ELSE 0 END) - any_value(target)) AS off
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source, seeds WHERE source_size > 0 GROUP BY d.source, k),
+best AS (SELECT source, a, b FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY off, k) AS n FROM draws) JOIN seeds USING (k) WHERE n = 1)
+SELECT d.doc_id, d.size, r.source_size, r.target,
+  CAST(coalesce(d.size * (floor(rate) + CASE WHEN (own * a + b) % {PRIME} < (rate - floor(rate)) * {PRIME} THEN 1 ELSE 0 END), 0) AS BIGINT) AS taken
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN best ON d.source IS NOT DISTINCT FROM best.source
+"""
+
+QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op4_chat_formatting": op4_chat_formatting,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op9_source_mixing": op9_source_mixing,
+}
+
+ORACLES = {"op4_chat_formatting": _OP4_SQL, "op7_benchmark_decontamination": _OP7_SQL, "op9_source_mixing": _OP9_SQL}
