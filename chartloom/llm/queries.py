@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from chartloom.llm.chat_format import chat_examples, read_back
 from chartloom.llm.decontaminate import benchmark_hits
+from chartloom.llm.html_extract import extracted
 from chartloom.llm.jaccard_join import jaccard_components
 from chartloom.llm.mixing import PRIME, mix_plan, seed_pair
+from chartloom.llm.quality_pu import quality_scores
+from chartloom.llm.quality_rules import judged
+from chartloom.llm.secret_scan import secret_spans
+from chartloom.llm.toxicity import toxicity_scores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +24,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, threshold=90)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
@@ -35,16 +45,35 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = benchmark_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     ids = F.col("item_ids")
     return found.select("doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 _OP4_SQL = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
@@ -95,9 +124,14 @@ FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN best ON d.sour
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_toxicity": op3_toxicity,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_quality_rules": op8_quality_rules,
     "op9_source_mixing": op9_source_mixing,
+    "op10_secret_scans": op10_secret_scans,
 }
 
 ORACLES = {"op4_chat_formatting": _OP4_SQL, "op7_benchmark_decontamination": _OP7_SQL, "op9_source_mixing": _OP9_SQL}
