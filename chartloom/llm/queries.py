@@ -13,6 +13,7 @@ from chartloom.llm.mixing import PRIME, mix_plan, seed_pair
 from chartloom.llm.quality_pu import quality_scores
 from chartloom.llm.quality_rules import judged
 from chartloom.llm.secret_scan import secret_spans
+from chartloom.llm.suffix_dedup import deduplicated, kept_digest
 from chartloom.llm.toxicity import toxicity_scores
 
 
@@ -24,6 +25,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, threshold=90)
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_digest(deduplicated(table(spark, sf_dir, "documents")))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scores.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -124,6 +129,7 @@ FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN best ON d.sour
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_html_extraction": op5_html_extraction,
