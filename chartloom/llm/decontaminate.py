@@ -54,7 +54,9 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
-    """docs with words, n_words, n_hit, item_ids (sorted as strings) and contaminated."""
+    """(row, n_words, n_hit, item_ids, contaminated): each row of docs, with all its columns, as a struct;
+    item_ids are sorted as strings.
+    """
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), word_array(F.col("text")).alias("iw")).where("size(iw) > 0").distinct()
     low = F.lit((1 << POSITION_BITS) - 1).cast("long")
     split = lambda df, keep: df.select(*keep, F.shiftright("fp", POSITION_BITS).alias("key"), F.col("fp").bitwiseAND(low).cast("int").alias("at"))
@@ -72,8 +74,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram
         proposed = proposed.union(seen.join(_small(whole), "key").select("doc_id", "item", "iw", F.lit(None).cast("int").alias("shift")))
     found = proposed.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("item", "iw", "shift")).alias("found"))
 
-    met = docs.withColumnRenamed("doc_id", "_id").join(found, F.col("_id").eqNullSafe(F.col("doc_id")), "left").drop("doc_id").withColumnRenamed("_id", "doc_id")
-    met = met.withColumn("words", word_array(F.col("text")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    met = rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left").withColumn("words", word_array(F.col("row.text")))
     w = F.col("words")
 
     def starts(x: Column) -> Column:
@@ -105,5 +107,5 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram
         .withColumn("n_hit", F.coalesce(covered, F.lit(0)).cast("long"))
         .withColumn("item_ids", F.coalesce(F.array_sort(F.array_distinct(F.array_compact(F.col("hits.item")))), F.array().cast("array<string>")))
         .withColumn("contaminated", F.col("n_hit") > 0)
-        .drop("found", "hits", "words")
+        .select("row", "n_words", "n_hit", "item_ids", "contaminated")
     )

@@ -10,7 +10,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set, as in tests."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
+        named = sc.getConf().get("spark.checkpoint.dir", None)
         if not named:
             import tempfile
 

@@ -58,9 +58,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 
 
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seeds: int = 32) -> DataFrame:
-    """docs with size, source_size, target, copies and taken (= copies * size)."""
-    own = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), "text", F.lit(""))), 1, 7), 16, 10).cast("long")
-    sized = docs.withColumn("size", text_size(F.col("text"))).withColumn("own", own)
+    """(row, size, source_size, target, copies, taken): each row of docs, with all its columns, as a struct; taken = copies * size."""
+    own = F.conv(F.substring(F.md5(F.coalesce(F.col("row.doc_id").cast("string"), "row.text", F.lit(""))), 1, 7), 16, 10).cast("long")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    sized = rows.select("row", "row.source", text_size(F.col("row.text")).alias("size"), own.alias("own"))
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     rates = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     rates = rates.withColumn("whole", F.floor("rate")).withColumn("part", F.col("rate") - F.col("whole"))
@@ -70,8 +71,8 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     best = drawn.select("source", F.array_min(F.array(*off))["seed"].alias("seed"))
     plan = rates.withColumnRenamed("source", "_s").join(best, F.col("_s").eqNullSafe(F.col("source"))).drop("_s")
     copies = F.col("whole") + F.when(_below(F.col("seed"), F.col("part"), seeds), 1).otherwise(0)
-    out = _with_rates(sized, plan).withColumn("copies", F.when(F.col("source_size") > 0, copies).otherwise(0).cast("int")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("rate", "whole", "part", "seed", "own")
+    out = _with_rates(sized, plan).withColumn("copies", F.when(F.col("source_size") > 0, copies).otherwise(0).cast("int"))
+    return out.select("row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 #: Up to so many sources (some 60 bytes each) their table is broadcast; beyond, it is shuffled and skewed keys are split.
@@ -86,6 +87,5 @@ def _with_rates(docs: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with its number `copy` from 1."""
-    keep = docs.columns
-    return mix_plan(docs, weights, most).where("copies > 0").select(*keep, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    """The mix itself: (row, copy), each row of docs as often as it is taken, with its number from 1."""
+    return mix_plan(docs, weights, most).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))

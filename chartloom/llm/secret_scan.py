@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Kinds in the order in which ties are listed.
 KINDS = ("assign", "access", "hex", "cnn")
@@ -196,11 +197,25 @@ def training_findings(texts: list[str], each: int = 800) -> tuple[np.ndarray, np
     return np.stack(x + [encoded(*r) for r in rows]), np.array(y + labels)
 
 
-def secret_spans(docs: DataFrame, most: int = 6000, recall: float = 0.98) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base, spans) of every row; spans as kind:start:end, joined by commas."""
+def _network(docs: DataFrame, most: int, recall: float):
     rate = min(1.0, most / max(docs.select("doc_id").count(), 1))
     sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30)) < rate * (1 << 30)).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    net = docs.sparkSession.sparkContext.broadcast(train(*training_findings(sample["text"].to_pylist()), recall=recall))
+    return docs.sparkSession.sparkContext.broadcast(train(*training_findings(sample["text"].to_pylist()), recall=recall))
+
+
+def all_findings(text: str, net: Network) -> tuple[list, list]:
+    """The base findings of a text, and all findings, as (start, end, kind)."""
+    base = base_findings(text)
+    more = candidates(text, base)
+    if more:
+        p = net.probability(np.stack([encoded(text, *m) for m in more]))
+        more = [(a, e, 3) for (a, e), q in zip(more, p, strict=True) if q >= net.threshold]
+    return base, sorted([*base, *more], key=lambda f: (f[0], f[2]))
+
+
+def secret_spans(docs: DataFrame, most: int = 6000, recall: float = 0.98) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base, spans) of every row; spans as kind:start:end, joined by commas."""
+    net = _network(docs, most, recall)
 
     def run(batches):
         for b in batches:
@@ -208,16 +223,39 @@ def secret_spans(docs: DataFrame, most: int = 6000, recall: float = 0.98) -> Dat
                 part = b.slice(k, 512)
                 counts, bases, spans = [[], [], []], [], []
                 for value in part.column(1):
-                    text = value.as_py() or ""
-                    base = base_findings(text)
-                    more = candidates(text, base)
-                    if more:
-                        p = net.value.probability(np.stack([encoded(text, *m) for m in more]))
-                        more = [(a, e, 3) for (a, e), q in zip(more, p, strict=True) if q >= net.value.threshold]
+                    base, found = all_findings(value.as_py() or "", net.value)
                     for kind in range(3):
                         counts[kind].append(sum(f[2] == kind for f in base))
-                    bases.append(written(base)), spans.append(written(sorted([*base, *more], key=lambda f: (f[0], f[2]))))
+                    bases.append(written(base)), spans.append(written(found))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(bases, pa.string()), pa.array(spans, pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base string, spans string")
 
+
+def redact(text: str, findings: list, mark: str) -> str:
+    """text with each finding, overlapping ones together, replaced by mark."""
+    out, last = [], 0
+    for a, b, _ in findings:
+        if a >= last:
+            out += [text[last:a], mark]
+        last = max(last, b)
+    return "".join([*out, text[last:]]) if findings else text
+
+
+def redacted_rows(docs: DataFrame, most: int = 6000, recall: float = 0.98, mark: str = "[REDACTED]") -> DataFrame:
+    """(row, redacted): each row of docs, with all its columns, as a struct, and its text without secrets (null if it has none)."""
+    net = _network(docs, most, recall)
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
+                texts = []
+                for value in part.column(1):
+                    text = value.as_py() or ""
+                    found = all_findings(text, net.value)[1]
+                    texts.append(redact(text, found, mark) if found else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["row", "redacted"])
+
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("redacted", T.StringType())]))

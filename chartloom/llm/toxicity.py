@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chartloom.llm import words
 from chartloom.llm.labelled import held_out, training_texts
@@ -148,15 +149,22 @@ def train(table: pa.Table, epochs: int = 40, l2: float = 3e-4, least: int = 3) -
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = 8000) -> DataFrame:
     """(doc_id, held_out, score, worst_start, worst_end) of every row; the span is in bytes of the text."""
+    return scored_rows(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), labels, most).select("row.doc_id", "row.held_out", "score", "worst_start", "worst_end")
+
+
+def scored_rows(docs: DataFrame, labels: DataFrame, most: int = 8000) -> DataFrame:
+    """(row, score, worst_start, worst_end): each row of docs, with all its columns, as a struct."""
     model = docs.sparkSession.sparkContext.broadcast(train(training_texts(docs, labels, "toxic", most)))
 
     def run(batches):
         for b in batches:
             scores, spans = [np.zeros(0)], [np.zeros((0, 2), np.int64)]
-            for _, _, data, offsets in words.chunks(b.column(2)):
+            for _, _, data, offsets in words.chunks(b.column(1)):
                 s, w = model.value.score(data, offsets)
                 scores.append(s), spans.append(w)
             w = np.concatenate(spans)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(scores)), pa.array(w[:, 0]), pa.array(w[:, 1])], names=["doc_id", "held_out", "score", "worst_start", "worst_end"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(scores)), pa.array(w[:, 0]), pa.array(w[:, 1])], names=["row", "score", "worst_start", "worst_end"])
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, worst_start long, worst_end long")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
+    kind = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("worst_start", T.LongType()), T.StructField("worst_end", T.LongType())])
+    return rows.mapInArrow(run, kind)
