@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from chartloom.plans import insight_queries
+
+_MODULES = (insight_queries,)
+
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
