@@ -7,7 +7,8 @@ sentence is blamed for a toxic document by its share of the noisy-or, and for a
 
 Training takes a bounded sample of labelled documents (`most`); scoring covers every byte of every text,
 and the sentence of highest probability is returned as a span of bytes. Null, empty and wordless texts
-have no sentence and score the base rate of an empty bag. Without labels of both kinds every score is 0.
+have no sentence and score the base rate of an empty bag. Without labels of both kinds,
+or without a word that tells them apart, every score is 0.
 """
 
 from __future__ import annotations
@@ -116,6 +117,8 @@ def train(table: pa.Table, epochs: int = 40, l2: float = 3e-4, least: int = 3) -
     bias = -6.0
     word_use = use[feats].any(1)
     keep = np.flatnonzero(word_use)
+    if not len(keep):
+        return Model(weights, -50.0)
     feats, of = feats[keep], sentence[keep]
     n = len(y)
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
