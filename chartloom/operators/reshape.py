@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartloom.functions import numeric as N
@@ -11,22 +11,24 @@ from chartloom.functions import text as T
 BREAK = "<0x0A>"
 
 
-def parse_table(text: Column) -> Column:
-    """struct(headers, rows) of a linearised table: lines split at BREAK, cells at the pipe.
+def parsed(tables: DataFrame, text: str) -> DataFrame:
+    """tables with t, a struct(headers, rows), in place of a linearised table: lines split at BREAK, cells at the pipe.
 
     TITLE lines go. Header lines are those before the first line with a numeric cell, joined cell by cell;
     lines after need a pipe. Missing headers are col0, col1, ...; without a numeric line both are empty.
+    Each step is a column of its own, lest its expression be evaluated once for each use.
     """
-    lines = F.filter(F.transform(F.split(F.replace(text, F.lit(BREAK), F.lit("\n")), "\n"), T.strip), lambda x: (x != "") & ~F.upper(x).startswith("TITLE"))
-    cells = F.transform(lines, lambda x: F.transform(F.split(x, r"\|"), T.strip))
-    first = F.array_position(F.transform(cells, lambda r: F.exists(r, N.is_number)), F.lit(True))
-    n = first.cast("int")
-    rows = F.filter(F.slice(cells, n, F.size(cells)), lambda r: F.size(r) > 1)
-    width = F.aggregate(rows, F.lit(0), lambda acc, r: F.greatest(acc, F.size(r)))
-    head = F.aggregate(F.slice(cells, 1, F.greatest(n - 1, F.lit(0))), F.array().cast("array<string>"), lambda acc, r: F.zip_with(acc, r, lambda a, b: F.trim(F.concat_ws(" ", a, b))))
-    named = F.when(width > 0, F.transform(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), lambda i: F.coalesce(F.nullif(F.get(head, i), F.lit("")), F.concat(F.lit("col"), i.cast("string"))))).otherwise(F.array().cast("array<string>"))
-    none = F.struct(F.array().cast("array<string>").alias("headers"), F.array().cast("array<array<string>>").alias("rows"))
-    return F.when(n > 0, F.struct(named.alias("headers"), rows.alias("rows"))).otherwise(none)
+    keep = [c for c in tables.columns if c != text]
+    strings, table = F.array().cast("array<string>"), F.array().cast("array<array<string>>")
+    lines = F.filter(F.transform(F.split(F.replace(F.col(text), F.lit(BREAK), F.lit("\n")), "\n"), T.strip), lambda x: (x != "") & ~F.upper(x).startswith("TITLE"))
+    out = tables.select(*keep, F.transform(lines, lambda x: F.transform(F.split(x, r"\|"), T.strip)).alias("_cells"))
+    out = out.select(*keep, "_cells", F.array_position(F.transform("_cells", lambda r: F.exists(r, N.is_number)), F.lit(True)).cast("int").alias("_n"))
+    rows = F.when(F.col("_n") > 0, F.filter(F.slice("_cells", F.greatest("_n", F.lit(1)), F.size("_cells")), lambda r: F.size(r) > 1)).otherwise(table)
+    head = F.aggregate(F.slice("_cells", 1, F.greatest(F.col("_n") - 1, F.lit(0))), strings, lambda acc, r: F.zip_with(acc, r, lambda a, b: F.trim(F.concat_ws(" ", a, b))))
+    out = out.select(*keep, rows.alias("_rows"), head.alias("_head"))
+    out = out.withColumn("_width", F.aggregate("_rows", F.lit(0), lambda acc, r: F.greatest(acc, F.size(r))))
+    names = F.transform(F.sequence(F.lit(0), F.greatest(F.col("_width") - 1, F.lit(0))), lambda i: F.coalesce(F.nullif(F.get("_head", i), F.lit("")), F.concat(F.lit("col"), i.cast("string"))))
+    return out.select(*keep, F.struct(F.when(F.col("_width") > 0, names).otherwise(strings).alias("headers"), F.col("_rows").alias("rows")).alias("t"))
 
 
 def unpivot(tables: DataFrame, key: str) -> DataFrame:

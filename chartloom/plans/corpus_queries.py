@@ -20,7 +20,7 @@ def _tables(spark, sf_dir):
     row = F.format_string("item%d | %.0f | %.0f%%", "l_linenumber", "l_quantity", F.col("l_discount") * 100)
     by = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("r")))).alias("rows"))
     text = F.concat(F.lit("TITLE | Order<0x0A>Item | Quantity<0x0A> | Discount<0x0A>"), F.array_join(F.col("rows.r"), R.BREAK))
-    return by.select("l_orderkey", R.parse_table(text).alias("t"))
+    return R.parsed(by.select("l_orderkey", text.alias("text")), "text")
 
 
 def linear_table_parse(spark, sf_dir):
@@ -155,7 +155,7 @@ def circle_fit(spark, sf_dir):
 
 
 def projection_runs(spark, sf_dir):
-    p = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("chart"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_quantity").alias("v"))
+    p = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("chart"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_quantity").alias("v")).groupBy("chart", "pos").agg(F.max("v").alias("v"))
     return G.runs_above(p, "chart", 15.0, 3)
 
 
@@ -208,7 +208,7 @@ ORACLES = {
     "path_curvature": f"""WITH {_PATHS}, s AS (SELECT *, lag(x) OVER w AS xa, lag(y) OVER w AS ya, lead(x) OVER w AS xb, lead(y) OVER w AS yb FROM paths WINDOW w AS (PARTITION BY path_id ORDER BY pos)),
       k AS (SELECT *, abs((x - xa) * (yb - ya) - (xb - xa) * (y - ya)) AS a2, sqrt((x - xa) ** 2 + (y - ya) ** 2) * sqrt((x - xb) ** 2 + (y - yb) ** 2) * sqrt((xa - xb) ** 2 + (ya - yb) ** 2) AS sides FROM s WHERE xa IS NOT NULL AND xb IS NOT NULL)
       SELECT path_id, pos, round(CASE WHEN sides > 1e-10 THEN 2 * a2 / sides ELSE 0 END, 8) AS curvature FROM k""",
-    "projection_runs": """WITH p AS (SELECT l_suppkey AS chart, l_orderkey * 10 + l_linenumber AS pos, l_quantity AS v FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY chart ORDER BY pos) AS a FROM p), u AS (SELECT *, a - row_number() OVER (PARTITION BY chart ORDER BY pos) AS i FROM n WHERE v > 15)
+    "projection_runs": """WITH p AS (SELECT l_suppkey AS chart, l_orderkey * 10 + l_linenumber AS pos, max(l_quantity) AS v FROM lineitem GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY chart ORDER BY pos) AS a FROM p), u AS (SELECT *, a - row_number() OVER (PARTITION BY chart ORDER BY pos) AS i FROM n WHERE v > 15)
       SELECT chart, min(pos) AS start, max(pos) AS "end", count(*) AS n, max(v) AS peak FROM u GROUP BY chart, i HAVING count(*) >= 3""",
     "caption_types": "SELECT CASE WHEN contains(c, 'bar') OR contains(c, 'histogram') THEN 'bar' WHEN contains(c, 'line') THEN 'line' WHEN contains(c, 'pie') THEN 'pie' WHEN contains(c, 'scatter') THEN 'scatter' WHEN contains(c, 'heat') THEN 'heatmap' WHEN contains(c, 'box') THEN 'box' WHEN contains(c, 'area') THEN 'area' ELSE 'unknown' END AS chart_type, regexp_matches(c, '^\\s*(figure|fig\\.?|chart|graph|table|plot|diagram|hình|biểu đồ)\\s*\\d*') AS is_caption, count(*) AS n FROM (SELECT lower(p_name || ' ' || p_type) AS c FROM part) GROUP BY 1, 2",
 }
