@@ -251,11 +251,11 @@ def redacted_rows(docs: DataFrame, most: int = 6000, recall: float = 0.98, mark:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
                 texts = []
-                for value in part.column(1):
+                for value in part.column(0).field("text"):
                     text = value.as_py() or ""
                     found = all_findings(text, net.value)[1]
                     texts.append(redact(text, found, mark) if found else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["row", "redacted"])
 
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("redacted", T.StringType())]))

@@ -162,12 +162,12 @@ def scored_rows(docs: DataFrame, labels: DataFrame, most: int = 8000) -> DataFra
     def run(batches):
         for b in batches:
             scores, spans = [np.zeros(0)], [np.zeros((0, 2), np.int64)]
-            for _, _, data, offsets in words.chunks(b.column(1)):
+            for _, _, data, offsets in words.chunks(b.column(0).field("text")):
                 s, w = model.value.score(data, offsets)
                 scores.append(s), spans.append(w)
             w = np.concatenate(spans)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(scores)), pa.array(w[:, 0]), pa.array(w[:, 1])], names=["row", "score", "worst_start", "worst_end"])
 
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     kind = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("worst_start", T.LongType()), T.StructField("worst_end", T.LongType())])
     return rows.mapInArrow(run, kind)
