@@ -22,8 +22,8 @@ def windowed_counts(events: DataFrame, width: str = "5 minutes", late: str = "10
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def job_states(events: DataFrame, expiry: str = "1 day") -> DataFrame:
-    """(user_id, event_type, events) after each batch: the last event of each job by time, dropped when nothing comes for `expiry`."""
+def job_states(events: DataFrame, expiry: str = "1 day", late: str = "10 minutes") -> DataFrame:
+    """(user_id, event_type, events) after each batch: the last event of each job by time, dropped once the watermark is `expiry` past it."""
     ms = int(pd.Timedelta(expiry).total_seconds() * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -33,15 +33,15 @@ def job_states(events: DataFrame, expiry: str = "1 day") -> DataFrame:
         at, kind, n = state.get if state.exists else (0, "", 0)
         for b in batches:
             n += len(b)
-            micros = b.ts.astype("int64")
-            last = micros.idxmax()
-            if micros[last] >= at:
-                at, kind = int(micros[last]), b.event_type[last]
+            last = b.micros.idxmax()
+            if b.micros[last] >= at:
+                at, kind = int(b.micros[last]), b.event_type[last]
         state.update((at, kind, n))
-        state.setTimeoutDuration(ms)
+        state.setTimeoutTimestamp(max(at // 1000, state.getCurrentWatermarkMs()) + ms)
         yield pd.DataFrame({"user_id": [key[0]], "event_type": [kind], "events": [n]})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_type string, events long", "at long, kind string, n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.withWatermark("ts", late).withColumn("micros", F.unix_micros("ts"))
+    return timed.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_type string, events long", "at long, kind string, n long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def upsert_sink(path: str, key: str):
