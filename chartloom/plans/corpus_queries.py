@@ -134,7 +134,7 @@ def nfkc_normalize(spark, sf_dir):
 
 
 def _paths(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path_id"), F.col("o_orderkey").alias("pos"), (F.col("o_orderkey") % 1000).cast("double").alias("x"), F.round(F.col("o_totalprice") / 1000, 2).alias("y"))
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path_id"), F.col("o_orderkey").alias("pos"), (F.col("o_orderkey") % 1000).cast("double").alias("x"), (F.col("o_totalprice") / 1000).alias("y"))
     return o
 
 
@@ -179,7 +179,7 @@ QUERIES = {
 
 _PARAS = "paras AS (SELECT doc_id, p AS paragraph, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(p) <> '')"
 _BOXES = "boxes AS (SELECT l_orderkey AS chart, l_linenumber AS box, (l_partkey % 40)::DOUBLE AS x0, (l_suppkey % 40)::DOUBLE AS y0, l_partkey % 40 + 30 + l_quantity AS x1, l_suppkey % 40 + 60.0::DOUBLE AS y1 FROM lineitem)"
-_PATHS = "paths AS (SELECT o_custkey AS path_id, o_orderkey AS pos, (o_orderkey % 1000)::DOUBLE AS x, round(o_totalprice / 1000, 2) AS y FROM orders)"
+_PATHS = "paths AS (SELECT o_custkey AS path_id, o_orderkey AS pos, (o_orderkey % 1000)::DOUBLE AS x, o_totalprice / 1000 AS y FROM orders)"
 _RGB = lambda key, s="": ", ".join(f"({key} * {k} % 256)::DOUBLE AS {c}{s}" for c, k in (("r", 37), ("g", 59), ("b", 83)))
 ORACLES = {
     "linear_table_parse": "SELECT l_orderkey, 'Item,Quantity Discount,col2' AS headers, CAST(count(*) AS INT) AS rows FROM lineitem GROUP BY 1",

@@ -158,7 +158,9 @@ ORACLES = {
     "axis_map_clamp": """WITH a AS (SELECT p_partkey, p_size::DOUBLE AS lo, p_size * 10.0::DOUBLE AS hi, CASE WHEN p_partkey % 3 = 0 THEN 1 - (p_partkey % 160 - 30)::DOUBLE / 100 ELSE (p_partkey % 160 - 30)::DOUBLE / 100 END AS f FROM part),
       b AS (SELECT *, CASE WHEN p_partkey % 5 = 0 THEN round(pow(10.0::DOUBLE, log10(lo) + f * (log10(hi) - log10(lo))), 9) ELSE round(lo + f * (hi - lo), 9) END AS raw FROM a), c AS (SELECT *, least(greatest(raw, lo - (hi - lo) * 0.1::DOUBLE), hi + (hi - lo) * 0.1::DOUBLE) AS held FROM b)
       SELECT p_partkey, round(raw, 6) AS raw, round(held, 6) AS value, round(CASE WHEN raw >= lo AND raw <= hi THEN 0.9::DOUBLE WHEN held = raw THEN 0.9::DOUBLE * 0.7 ELSE 0.9::DOUBLE * 0.5 END, 6) AS confidence FROM c""",
-    "scale_patterns": "SELECT p_brand || '/2' AS axis_id, CAST(count(DISTINCT p_partkey % 5) AS INT) AS n, 'log2' AS pattern FROM part GROUP BY p_brand UNION ALL SELECT p_brand || '/s', CAST(count(DISTINCT p_size) AS INT), 'percentage' FROM part GROUP BY p_brand",
+    "scale_patterns": """WITH v AS (SELECT p_brand || '/2' AS axis_id, pow(2.0::DOUBLE, p_partkey % 5) AS v FROM part UNION ALL SELECT p_brand || '/s', p_size::DOUBLE FROM part), d AS (SELECT axis_id, list_sort(list(DISTINCT v)) AS l FROM v GROUP BY 1)
+      SELECT axis_id, CAST(len(l) AS INT) AS n, CASE WHEN len(l) < 2 THEN 'unknown' WHEN l[1] > 0 AND len(list_filter(range(1, len(l)), lambda i: abs(l[i + 1] / l[i] - 10) >= 0.1)) = 0 THEN 'log10'
+        WHEN l[1] > 0 AND len(list_filter(range(1, len(l)), lambda i: abs(l[i + 1] / l[i] - 2) >= 0.02)) = 0 THEN 'log2' WHEN l[1] >= 0 AND l[len(l)] <= 1 THEN 'ratio' WHEN l[1] >= 0 AND l[len(l)] <= 100 THEN 'percentage' ELSE 'linear' END AS pattern FROM d""",
     "colour_series": """SELECT l_orderkey, l_linenumber, l_returnflag, l_partkey, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY seen) - 1 AS series_idx, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_partkey, l_linenumber) - 1 AS point_idx
       FROM (SELECT *, min(l_linenumber) OVER (PARTITION BY l_orderkey, l_returnflag) AS seen FROM lineitem)""",
 }
