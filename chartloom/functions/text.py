@@ -29,30 +29,50 @@ def contains_match(p: Column, t: Column) -> Column:
     return normalize_a(p).contains(normalize_a(t))
 
 
-def anls(p: Column, t: Column, threshold: float = 0.5) -> Column:
-    """One less the edit distance over the longer length; 0 beyond the threshold."""
+def distance(p: Column, t: Column) -> Column:
+    return F.levenshtein(normalize_a(p), normalize_a(t))
+
+
+def anls(p: Column, t: Column, threshold: float = 0.5, d: Column | None = None) -> Column:
+    """One less the edit distance (d, if it is at hand) over the longer length; 0 beyond the threshold."""
+    d = distance(p, t) if d is None else d
     p, t = normalize_a(p), normalize_a(t)
-    ned = F.levenshtein(p, t) / F.greatest(F.length(p), F.length(t))
+    ned = d / F.greatest(F.length(p), F.length(t))
     return F.when(t == "", F.when(p == "", 1.0).otherwise(0.0)).when(ned > threshold, 0.0).otherwise(1.0 - ned)
 
 
-def cer(p: Column, t: Column) -> Column:
-    """Edit distance over the target's length."""
+def cer(p: Column, t: Column, d: Column | None = None) -> Column:
+    """Edit distance (d, if it is at hand) over the target's length."""
+    d = distance(p, t) if d is None else d
     p, t = normalize_a(p), normalize_a(t)
-    return F.when(t == "", F.when(p == "", 0.0).otherwise(1.0)).otherwise(F.levenshtein(p, t) / F.length(t))
+    return F.when(t == "", F.when(p == "", 0.0).otherwise(1.0)).otherwise(d / F.length(t))
 
 
 def tokens(c: Column) -> Column:
     return F.array_remove(F.split(normalize_b(c), r"\s+"), "")
 
 
+def bound(f, *cs: Column) -> Column:
+    """f(*cs) with each of cs computed once a row; an expression inside a lambda is computed anew for each element."""
+    return F.get(F.transform(F.array(F.struct(*(c.alias(f"_{k}") for k, c in enumerate(cs)))), lambda x: f(*(x[f"_{k}"] for k in range(len(cs))))), F.lit(0))
+
+
+def numbered(xs: Column) -> Column:
+    """Each token with the number of its occurrence, so that arrays as sets hold what they hold as bags."""
+    first = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    runs = lambda s, at: F.flatten(F.transform(at, lambda i, k: F.transform(F.sequence(F.lit(1), F.coalesce(F.get(at, k + 1), F.size(s)) - i), lambda j: F.concat(F.get(s, i), F.lit(" "), j.cast("string")))))
+    return F.when(F.size(xs) > 0, bound(lambda s: bound(runs, s, first(s)), F.sort_array(xs))).otherwise(F.array().cast("array<string>"))
+
+
 def bleu_1(p: Column, t: Column) -> Column:
     """Clipped unigram precision times the brevity penalty; each distinct token counts as often as both have it."""
-    a, b = tokens(p), tokens(t)
-    count = lambda xs, w: F.size(F.filter(xs, lambda x: x == w))
-    clipped = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, w: acc + F.least(count(a, w), count(b, w)))
-    penalty = F.when(F.size(a) < F.size(b), F.exp(1 - F.size(b) / F.size(a))).otherwise(1.0)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(penalty * clipped / F.size(a))
+
+    def score(a, b):
+        clipped = F.size(F.array_intersect(numbered(a), numbered(b)))
+        penalty = F.when(F.size(a) < F.size(b), F.exp(1 - F.size(b) / F.size(a))).otherwise(1.0)
+        return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(penalty * clipped / F.size(a))
+
+    return bound(score, tokens(p), tokens(t))
 
 
 def length_category(c: Column) -> Column:
@@ -62,12 +82,14 @@ def length_category(c: Column) -> Column:
 
 def fuzzy_match(gt: Column, p: Column, share: float = 0.6) -> Column:
     """Substring either way, then among letters and digits alone, then enough of the target's characters present."""
-    g, q = F.lower(strip(gt)), F.lower(strip(p))
     keep = lambda c: F.regexp_replace(c, r"[^\p{L}\p{N}]", "")
     within = lambda a, b: a.contains(b) | b.contains(a)
-    chars = F.filter(F.split(keep(g), ""), lambda c: c != "")
-    overlap = F.size(F.filter(chars, lambda c: keep(q).contains(c))) / F.size(chars)
-    return F.when((g == "") | (q == ""), False).otherwise(within(g, q) | ((keep(g) != "") & (keep(q) != "") & within(keep(g), keep(q))) | ((F.length(keep(g)) >= 3) & (overlap >= share)))
+
+    def matched(g, q, kg, kq):
+        overlap = 1 - F.length(F.call_function("translate", kg, kq, F.lit(""))) / F.length(kg)
+        return F.when((g == "") | (q == ""), False).otherwise(within(g, q) | ((kg != "") & (kq != "") & within(kg, kq)) | ((F.length(kg) >= 3) & (overlap >= share)))
+
+    return bound(lambda g, q: bound(matched, g, q, keep(g), keep(q)), F.lower(strip(gt)), F.lower(strip(p)))
 
 
 def ocr_cleanup(c: Column, confidence: Column) -> Column:

@@ -11,8 +11,8 @@ from chartloom.functions import text as T
 
 def text_metrics(pairs: DataFrame, pred: str, target: str, keys: list[str]) -> DataFrame:
     """Exact and contained matches, ANLS, CER, BLEU-1 and number recall of each pair."""
-    p, t = F.col(pred), F.col(target)
-    return pairs.select(*keys, T.exact_match(p, t).alias("exact"), T.contains_match(p, t).alias("contains"), F.round(T.anls(p, t), 6).alias("anls"), F.round(T.cer(p, t), 6).alias("cer"), F.round(N.number_recall(p, t), 6).alias("numeric"), T.length_category(t).alias("length"))
+    p, t, d = F.col(pred), F.col(target), F.col("_distance")
+    return pairs.withColumn("_distance", T.distance(p, t)).select(*keys, T.exact_match(p, t).alias("exact"), T.contains_match(p, t).alias("contains"), F.round(T.anls(p, t, d=d), 6).alias("anls"), F.round(T.cer(p, t, d), 6).alias("cer"), F.round(N.number_recall(p, t), 6).alias("numeric"), T.length_category(t).alias("length"))
 
 
 def nearest_rank(x: Column, share: float) -> Column:
