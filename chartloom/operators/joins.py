@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
+from difflib import SequenceMatcher
+from functools import lru_cache
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,21 +65,60 @@ def suppressed(boxes: DataFrame, on: str, key: str, most: float = 0.5) -> DataFr
     return by.mapInPandas(run, f"{on} long, {key} long")
 
 
+@lru_cache(1 << 18)
+def _ratio(g: str, p: str) -> float:
+    return SequenceMatcher(None, g, p).ratio()
+
+
+def _bags(texts: list[str]) -> np.ndarray:
+    """How many of each text's characters fall on each of 32 counts."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) & 31
+    at = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    return np.bincount(at * 32 + codes, minlength=32 * len(texts)).reshape(-1, 32).astype(np.int32)
+
+
+def _alike(gts: list[str], preds: list[str], least: float) -> dict[str, list[tuple[float, str]]]:
+    """Of each target the predictions with a ratio of at least `least`; characters in common, which bound it, rule most out."""
+    out = {g: [] for g in gts}
+    if not gts or not preds:
+        return out
+    a, b = _bags(gts), _bags(preds)
+    n = a.sum(1)[:, None] + b.sum(1)
+    step = max(1, 1_000_000 // len(preds))
+    for k in range(0, len(gts), step):
+        part = a[k : k + step]
+        common = sum(np.minimum(part[:, c, None], b[:, c]) for c in range(32))
+        for i, j in zip(*np.nonzero(2 * common >= least * n[k : k + step] - 1e-9), strict=True):
+            if (ratio := _ratio(gts[k + i], preds[j])) >= least:
+                out[gts[k + i]].append((ratio, preds[j]))
+    return out
+
+
 def greedy_text_overlap(pairs: DataFrame, key: str, least: float = 0.7) -> DataFrame:
-    """Precision, recall and F1 of (key, preds array, gts array): each target in order takes the unused prediction most alike, if alike enough."""
-    from difflib import SequenceMatcher
+    """Precision, recall and F1 of (key, preds array, gts array): each target in order takes the unused prediction most alike, if alike enough.
+
+    Equal predictions are told apart by place alone, so each distinct target is compared with each distinct
+    prediction once, and takes the first unused place of the one most alike.
+    """
 
     def run(it):
         for pdf in it:
             out = []
             for r in pdf.itertuples():
-                preds, used, hits = list(r.preds), set(), 0
+                places, known, hits = {}, None, 0
+                for i, p in enumerate(r.preds):
+                    places.setdefault(p, deque()).append(i)
                 for g in r.gts:
-                    best = max(((SequenceMatcher(None, g, p).ratio(), -i) for i, p in enumerate(preds) if i not in used), default=(0, 0))
-                    if best[0] >= least:
-                        used.add(-best[1])
+                    if places.get(g):  # no other has ratio 1
+                        best = g
+                    else:
+                        if known is None:
+                            known = _alike(list(dict.fromkeys(r.gts)), list(places), least)
+                        best = max(((ratio, -places[p][0], p) for ratio, p in known[g] if places[p]), default=(0, 0, None))[2]
+                    if best is not None:
+                        places[best].popleft()
                         hits += 1
-                p, q = (hits / len(x) if len(x) else 0.0 for x in (preds, r.gts))
+                p, q = (hits / len(x) if len(x) else 0.0 for x in (r.preds, r.gts))
                 out.append((getattr(r, key), hits, p, q, 2 * p * q / (p + q) if p + q else 0.0))
             yield pd.DataFrame(out, columns=[key, "hits", "precision", "recall", "f1"])
 

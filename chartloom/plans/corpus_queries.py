@@ -116,10 +116,10 @@ def box_suppression(spark, sf_dir):
 
 
 def text_overlap_greedy(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations")
-    words = F.slice(F.split("text", " "), 1, 12)
-    by = c.groupBy("conv_id").agg(F.max_by(words, F.struct(F.col("role") == "assistant", "turn")).alias("preds"), F.max_by(words, F.struct(F.col("role") == "user", "turn")).alias("gts"))
-    return J.greedy_text_overlap(by, "conv_id")
+    """All words of a conversation's assistant turns against all of its user turns, in order of turns."""
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.array_remove(F.split(F.coalesce("text", F.lit("")), r"\s+"), "").alias("words"))
+    of = lambda role: F.flatten(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "words")))).words)
+    return J.greedy_text_overlap(c.groupBy("conv_id").agg(of("assistant").alias("preds"), of("user").alias("gts")), "conv_id")
 
 
 def nfkc_normalize(spark, sf_dir):

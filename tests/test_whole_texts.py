@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
+from difflib import SequenceMatcher
 
 import pytest
 
+from chartloom.operators import joins as J
 from chartloom.plans import catalogue
 
 A_B = [
@@ -73,3 +76,32 @@ def test_fuzzy_match_sees_whole_texts(spark, folder):
 
     assert got == {k: want(q, a) for k, (_, q, _, a) in enumerate(A_B)}
     assert got[3] is False and got[2] is True
+
+
+def overlap(preds, gts, least=0.7):
+    used, hits = set(), 0
+    for g in gts:
+        best = max(((SequenceMatcher(None, g, p).ratio(), -i) for i, p in enumerate(preds) if i not in used), default=(0, 0))
+        if best[0] >= least:
+            used.add(-best[1])
+            hits += 1
+    p, r = (hits / len(x) if x else 0.0 for x in (preds, gts))
+    return hits, p, r, 2 * p * r / (p + r) if p + r else 0.0
+
+
+def test_greedy_overlap_is_brute_force(spark):
+    rng = random.Random(5)
+    bag = lambda n: ["".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) for _ in range(n)]
+    rows = [(k, bag(rng.randint(0, 40)), bag(rng.randint(0, 40))) for k in range(60)]
+    got = {r.k: tuple(r)[1:] for r in J.greedy_text_overlap(spark.createDataFrame(rows, "k long, preds array<string>, gts array<string>"), "k").collect()}
+    assert got == {k: pytest.approx(overlap(p, g)) for k, p, g in rows}
+
+
+def test_overlap_takes_all_words_of_all_turns(spark, tmp_path):
+    words = [f"word{k}{'xyz'[k % 3] * 3}" for k in range(30)]
+    rows = [(1, 0, "user", " ".join(words)), (1, 1, "assistant", "nothing\nalike"), (1, 2, "user", "last  question"), (1, 3, "assistant", " ".join(words[10:]) + " question"), (1, 4, "assistant", None), (2, 0, "user", "alone"), (3, 0, "assistant", "")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: tuple(r)[1:] for r in catalogue.QUERIES["text_overlap_greedy"](spark, str(tmp_path)).collect()}
+    turns = lambda c, role: [w for i, _, r, t in rows if i == c and r == role for w in (t or "").split()]
+    assert got == {c: pytest.approx(overlap(turns(c, "assistant"), turns(c, "user"))) for c in (1, 2, 3)}
+    assert got[1][0] >= 21
