@@ -123,14 +123,14 @@ def text_overlap_greedy(spark, sf_dir):
 
 
 def nfkc_normalize(spark, sf_dir):
-    """NFKC is no built-in function: an Arrow-batched UDF on the texts that aren't plain ASCII."""
+    """NFKC is no built-in function: an Arrow-batched UDF; texts of plain ASCII, which it leaves alone, go past it as nulls."""
 
     @F.pandas_udf("string")
     def nfkc(s):
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
-    d = _docs(spark, sf_dir).where(F.length("text") < F.octet_length("text"))
-    return d.select("doc_id", F.md5(T.normalize_a(nfkc("text"))).alias("normal_md5"))
+    other = F.when(F.length("text") < F.octet_length("text"), F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.normalize_a(F.coalesce(nfkc(other), "text"))).alias("normal_md5"))
 
 
 def _paths(spark, sf_dir):

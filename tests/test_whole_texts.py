@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
+import unicodedata
 from collections import Counter
 from difflib import SequenceMatcher
 
@@ -105,3 +107,10 @@ def test_overlap_takes_all_words_of_all_turns(spark, tmp_path):
     turns = lambda c, role: [w for i, _, r, t in rows if i == c and r == role for w in (t or "").split()]
     assert got == {c: pytest.approx(overlap(turns(c, "assistant"), turns(c, "user"))) for c in (1, 2, 3)}
     assert got[1][0] >= 21
+
+
+def test_nfkc_gives_every_document_a_row(spark, tmp_path):
+    texts = ["Plain  ASCII\n text ", "\ufb01ne \u2460 Ｗｉｄｅ", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.normal_md5 for r in catalogue.QUERIES["nfkc_normalize"](spark, str(tmp_path)).collect()}
+    assert got == {k: None if t is None else hashlib.md5(normal(unicodedata.normalize("NFKC", t)).encode()).hexdigest() for k, t in enumerate(texts)}
