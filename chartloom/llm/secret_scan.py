@@ -3,7 +3,8 @@
 The base patterns find assignments, access keys and hexadecimal strings; their spans always stay. Every
 other token that could be a secret (CANDIDATE: long, with digits or mixed case) goes through a small
 network in numpy, together with the text around it; what scores above the threshold and overlaps no base
-span is added as a span of kind `cnn`.
+span is added as a span of kind `cnn`. A candidate longer than the network's window is scored in overlapping parts
+(`windows`), and its score is the highest of them; the span is the whole candidate.
 
 The network learns from findings: base findings and other candidates of a bounded sample of documents
 (`most`, by hash of doc_id), labelled by the patterns, and made-up findings of further formats and
@@ -35,6 +36,8 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*(?:[0-9]|[a-z][
 
 BEFORE, INSIDE, AFTER = 24, 48, 8
 WINDOW = BEFORE + INSIDE + AFTER
+#: From one part of a long candidate to the next: any 40 characters in a row lie in one part.
+STEP = 8
 
 
 def base_findings(text: str) -> list[tuple[int, int, int]]:
@@ -59,6 +62,11 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
+def windows(a: int, b: int) -> list[tuple[int, int]]:
+    """What the network sees of a candidate: all of it, or overlapping parts of INSIDE characters to its end."""
+    return [(k, k + INSIDE) for k in range(a, b - INSIDE, STEP)] + [(max(a, b - INSIDE), b)]
+
+
 def written(findings) -> str:
     return ",".join(f"{KINDS[kind]}:{a}:{b}" for a, b, kind in findings)
 
@@ -208,8 +216,10 @@ def all_findings(text: str, net: Network) -> tuple[list, list]:
     base = base_findings(text)
     more = candidates(text, base)
     if more:
-        p = net.probability(np.stack([encoded(text, *m) for m in more]))
-        more = [(a, e, 3) for (a, e), q in zip(more, p, strict=True) if q >= net.threshold]
+        parts = [windows(*m) for m in more]
+        p = net.probability(np.stack([encoded(text, *w) for ws in parts for w in ws]))
+        best = np.maximum.reduceat(p, np.cumsum([0, *map(len, parts[:-1])]))
+        more = [(a, e, 3) for (a, e), q in zip(more, best, strict=True) if q >= net.threshold]
     return base, sorted([*base, *more], key=lambda f: (f[0], f[2]))
 
 

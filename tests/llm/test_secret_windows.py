@@ -1,0 +1,34 @@
+"""Secrets in long and in partly covered tokens, and the threshold's recall."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+from chartloom.llm import secret_scan
+
+KEY = "ghp_9aZ3kQ7xT2mW8vB5nC1rL6yD4pF0hJ9sG2eU"
+
+
+@pytest.fixture(scope="module")
+def net():
+    return secret_scan.train(*secret_scan.training_findings(["the plain words of a text " * 3], each=800))
+
+
+def test_windows_cover_every_key():
+    for n in range(12, 300):
+        ws = secret_scan.windows(7, 7 + n)
+        assert ws[0][0] == 7 and ws[-1][1] == 7 + n and all(b - a == min(n, secret_scan.INSIDE) for a, b in ws)
+        assert all(any(a <= k and k + 40 <= b for a, b in ws) for k in range(7, 7 + n - 39))
+
+
+def test_keys_behind_long_paths_are_found(net):
+    path = "deploy/some/harmless/folder/of/settings/for/the/app/NAME2="
+    text = f"see {path}{KEY} there"
+    assert len(path) > secret_scan.INSIDE
+    assert secret_scan.all_findings(text, net)[1] == [(4, 4 + len(path) + len(KEY), 3)]
+
+
+def test_long_tokens_without_a_key_are_left(net):
+    text = "see alpha/beta/gamma/alpha/beta/gamma/alpha/beta/gamma/2019/page12 there"
+    assert secret_scan.all_findings(text, net)[1] == []
