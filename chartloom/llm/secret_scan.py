@@ -9,7 +9,8 @@ span is added as a span of kind `cnn`. A candidate longer than the network's win
 The network learns from findings: base findings and other candidates of a bounded sample of documents
 (`most`, by hash of doc_id), labelled by the patterns, and made-up findings of further formats and
 look-alikes that are no secrets, labelled by how they were made. Half calibrates: scores become probabilities
-by a logistic fit, and the threshold is the highest that still recalls `recall` of the calibration's secrets.
+by a logistic fit, and the threshold is the highest that still recalls `recall` of those of the calibration's secrets that
+are no base findings, scored as in use; without any it is 0.5.
 
 Whole texts are scanned; a null text is empty and has no spans. Offsets count code points.
 """
@@ -106,11 +107,14 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -40, 40)))
 
 
-def train(x: np.ndarray, y: np.ndarray, recall: float = 0.98, filters: int = 12, width: int = 5, epochs: int = 8, batch: int = 128, rate: float = 0.01, seed: int = 11) -> Network:
-    """Fit on one half, calibrate on the other."""
+def train(x: np.ndarray, y: np.ndarray, recall: float = 0.98, filters: int = 12, width: int = 5, epochs: int = 8, batch: int = 128, rate: float = 0.01, seed: int = 11, of: np.ndarray | None = None, base: np.ndarray | None = None) -> Network:
+    """Fit on one half, calibrate on the other. of: the finding of each row, its own if none is given; base: whether it is a base finding."""
+    of = np.arange(len(x)) if of is None else of
+    base = np.zeros(len(x), bool) if base is None else base
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(x))
-    fit, rest = order[::2], order[1::2]
+    place = np.argsort(rng.permutation(int(of.max()) + 1))[of]  # all rows of a finding in one half
+    order = np.argsort(place, kind="stable")
+    fit, rest = order[place[order] % 2 == 0], order[place[order] % 2 == 1]
     net = Network(rng.normal(0, 0.05, (width, 387, filters)), np.zeros(filters), rng.normal(0, 0.3, filters), 0.0)
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
     square = np.full_like(net.filters, 1e-6)
@@ -139,8 +143,11 @@ def train(x: np.ndarray, y: np.ndarray, recall: float = 0.98, filters: int = 12,
         e = q - y[rest]
         a, b = a - 0.05 * (e * z).mean(), b - 0.2 * e.mean()
     net.slope, net.shift = max(a, 1e-3), b
-    found = np.sort(net.probability(x[rest[y[rest] == 1]]))
-    net.threshold = float(max(found[int((1 - recall) * len(found))] if len(found) else 0.5, 0.5))
+    judged = rest[(y[rest] == 1) & ~base[rest]]
+    best = np.full(int(of.max()) + 1, -1.0)
+    np.maximum.at(best, of[judged], net.probability(x[judged]))
+    found = np.sort(best[np.unique(of[judged])])
+    net.threshold = float(found[int((1 - recall) * len(found))]) if len(found) else 0.5
     return net
 
 
@@ -189,26 +196,46 @@ def made_up(n: int, words: list[str], seed: int = 17) -> tuple[list[tuple[str, i
     return rows, y
 
 
-def training_findings(texts: list[str], each: int = 800) -> tuple[np.ndarray, np.ndarray]:
-    """Encoded findings and labels from sampled texts and from made_up."""
-    x, y, words = [], [], []
+def labelled_findings(texts: list[str], each: int = 800) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of sampled texts and of made_up: encoded windows, their labels, the number of their finding, and whether it is a base finding."""
+    x, y, of, base_rows, words, n = [], [], [], [], [], 0
+
+    def add(text, a, b, label, is_base):
+        nonlocal n
+        for w in windows(a, b):
+            x.append(encoded(text, *w)), y.append(label), of.append(n), base_rows.append(is_base)
+        n += 1
+
     for t in texts:
         base = base_findings(t)
         for a, b, kind in base:
             m = ASSIGN.match(t, a) if kind == 0 else None
-            x.append(encoded(t, *(m.span(2) if m else (a, b)))), y.append(1)
+            a, b = m.span(2) if m else (a, b)
+            x.append(encoded(t, a, b)), y.append(1), of.append(n), base_rows.append(True)
+            n += 1
         for a, b in candidates(t, base)[:20]:  # of one text no more, lest one text be the whole sample
-            x.append(encoded(t, a, b)), y.append(0)
+            add(t, a, b, 0, False)
         if len(words) < 4000:
             words += [w for w in t[:400].split() if w.isascii() and w.isalpha()]
-    rows, labels = made_up(each, sorted(set(words)))
-    return np.stack(x + [encoded(*r) for r in rows]), np.array(y + labels)
+    for row, label in zip(*made_up(each, sorted(set(words))), strict=True):
+        add(*row, label, any(a < row[2] and b > row[1] for a, b, _ in base_findings(row[0])))
+    return np.stack(x), np.array(y), np.array(of), np.array(base_rows)
+
+
+def training_findings(texts: list[str], each: int = 800) -> tuple[np.ndarray, np.ndarray]:
+    """Encoded findings and labels from sampled texts and from made_up."""
+    return labelled_findings(texts, each)[:2]
+
+
+def fitted(texts: list[str], recall: float = 0.98, each: int = 800) -> Network:
+    x, y, of, base = labelled_findings(texts, each)
+    return train(x, y, recall, of=of, base=base)
 
 
 def _network(docs: DataFrame, most: int, recall: float):
     rate = min(1.0, most / max(docs.select("doc_id").count(), 1))
     sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30)) < rate * (1 << 30)).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return docs.sparkSession.sparkContext.broadcast(train(*training_findings(sample["text"].to_pylist()), recall=recall))
+    return docs.sparkSession.sparkContext.broadcast(fitted(sample["text"].to_pylist(), recall))
 
 
 def all_findings(text: str, net: Network) -> tuple[list, list]:

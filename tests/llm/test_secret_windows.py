@@ -12,7 +12,7 @@ KEY = "ghp_9aZ3kQ7xT2mW8vB5nC1rL6yD4pF0hJ9sG2eU"
 
 @pytest.fixture(scope="module")
 def net():
-    return secret_scan.train(*secret_scan.training_findings(["the plain words of a text " * 3], each=800))
+    return secret_scan.fitted(["the plain words of a text " * 3])
 
 
 def test_windows_cover_every_key():
@@ -32,3 +32,20 @@ def test_keys_behind_long_paths_are_found(net):
 def test_long_tokens_without_a_key_are_left(net):
     text = "see alpha/beta/gamma/alpha/beta/gamma/alpha/beta/gamma/2019/page12 there"
     assert secret_scan.all_findings(text, net)[1] == []
+
+
+@pytest.mark.parametrize("recall", [0.8, 0.98, 1.0])
+def test_threshold_keeps_the_recall_of_judged_secrets(recall):
+    """Half of the secrets look like no secret, half of the base findings are certain: neither a floor nor base findings may lift the threshold."""
+    rng = np.random.default_rng(3)
+    n = 1200
+    kind = rng.integers(0, 4, n)  # plain, plain-like secret, clear secret, base finding
+    x = np.full((n, secret_scan.WINDOW), 128, np.int16)
+    x[:, :] = np.where((kind >= 2)[:, None], 65, 97) + rng.integers(0, 3, (n, secret_scan.WINDOW))
+    y, base = (kind > 0).astype(int), kind == 3
+    net = secret_scan.train(x, y, recall, base=base)
+    rest = np.random.default_rng(11).permutation(n)[1::2]
+    judged = rest[(y[rest] == 1) & ~base[rest]]
+    p = net.probability(x[judged])
+    assert (p >= net.threshold).mean() >= recall
+    assert net.threshold == np.sort(p)[int((1 - recall) * len(p))]
