@@ -1,0 +1,53 @@
+"""The pipeline's near duplicates against brute force, with repeated and null ids."""
+
+from __future__ import annotations
+
+from collections import Counter
+
+import corpus_pipeline
+
+
+def shingles(text, n=5):
+    w = (text or "").lower().split()
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
+def groups(rows):
+    sets = [shingles(r[1]) for r in rows]
+    part = list(range(len(rows)))
+
+    def root(k):
+        while part[k] != k:
+            k = part[k]
+        return k
+
+    for i, s in enumerate(sets):
+        for j, q in enumerate(sets[:i]):
+            if s and q and 100 * len(s & q) >= 80 * len(s | q):
+                part[root(i)] = root(j)
+    out = {}
+    for k in range(len(rows)):
+        out.setdefault(root(k), []).append(rows[k])
+    return list(out.values())
+
+
+def test_near_duplicates_keep_one_row_of_each_group(spark):
+    text = lambda c, n=60: " ".join(f"{c}{k}" for k in range(n))
+    rows = [
+        (5, text("a"), "s1"), (5, text("a"), "s0"), (5, text("a"), "s0"), (7, text("a") + " end", "s"),  # repeated rows of a kept id
+        (None, text("b"), "s"), (None, text("b"), "s"), (None, text("c"), "s"), (2, text("c"), "s"), (None, text("d"), "s"),  # null ids of several groups
+        (9, text("e"), "s"), (9, text("f"), "s"), (3, text("f"), "s"), (3, text("g"), "s"), (8, text("g"), "s"),  # second texts under one id
+        (11, "", "s"), (11, "", "s"), (12, None, "s"), (None, None, "s"), (13, " \t\n", "s"), (14, "one", "s"), (15, "one", "s"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id", "text", "source").collect()]
+    key = lambda r: (r[0] is not None, r[0] or 0)
+    want = groups(rows)
+    assert len(got) == len(want)
+    for group in want:
+        first = min(map(key, group))
+        here = [r for r in got if r in group]
+        if shingles(group[0][1]):
+            assert len(here) == 1 and key(here[0]) == first
+    assert (5, text("a"), "s0") in got
+    assert Counter(r for r in got if not shingles(r[1])) == Counter(r for r in rows if not shingles(r[1]))
