@@ -2,8 +2,8 @@
 
 The base patterns find assignments, access keys and hexadecimal strings; their spans always stay. Every
 other token that could be a secret (CANDIDATE: long, with digits or mixed case) goes through a small
-network in numpy, together with the text around it; what scores above the threshold and overlaps no base
-span is added as a span of kind `cnn`. A candidate longer than the network's window is scored in overlapping parts
+network in numpy, together with the text around it; what scores above the threshold is added as a span of
+kind `cnn`. Base spans are cut out of a token first, and what is left on either side is scored if it is a candidate. A candidate longer than the network's window is scored in overlapping parts
 (`windows`), and its score is the highest of them; the span is the whole candidate.
 
 The network learns from findings: base findings and other candidates of a bounded sample of documents
@@ -34,6 +34,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Tokens that could be secrets.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9+/_.=-]{12,}")
+#: What is left of one beside base findings.
+PART = re.compile(r"(?=[A-Za-z+/_.=-]*(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9+/_.=-]{12,}")
 
 BEFORE, INSIDE, AFTER = 24, 48, 8
 WINDOW = BEFORE + INSIDE + AFTER
@@ -52,14 +54,23 @@ def base_findings(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda x: (x[0], x[2]))
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Spans of candidate tokens that overlap no base finding."""
+def candidates(text: str, base: list[tuple[int, int, int]], whole: bool = False) -> list[tuple[int, int]]:
+    """Spans of candidate tokens without what base findings cover: each part left that is a candidate itself, or only whole tokens."""
     out, k = [], 0
     for m in CANDIDATE.finditer(text):
         while k < len(base) and base[k][1] <= m.start():
             k += 1
-        if not any(a < m.end() and b > m.start() for a, b, _ in base[k : k + 8]):
+        at, left, j = m.start(), [], k
+        while j < len(base) and base[j][0] < m.end():
+            if base[j][1] > at:
+                left.append((at, base[j][0]))
+                at = base[j][1]
+            j += 1
+        left.append((at, m.end()))
+        if len(left) == 1 and at == m.start():
             out.append(m.span())
+        elif not whole:
+            out += [(a, b) for a, b in left if b > a and PART.fullmatch(text, a, b)]
     return out
 
 
@@ -213,7 +224,7 @@ def labelled_findings(texts: list[str], each: int = 800) -> tuple[np.ndarray, np
             a, b = m.span(2) if m else (a, b)
             x.append(encoded(t, a, b)), y.append(1), of.append(n), base_rows.append(True)
             n += 1
-        for a, b in candidates(t, base)[:20]:  # of one text no more, lest one text be the whole sample
+        for a, b in candidates(t, base, whole=True)[:20]:  # of one text no more, lest one text be the whole sample; a part beside a secret may be one
             add(t, a, b, 0, False)
         if len(words) < 4000:
             words += [w for w in t[:400].split() if w.isascii() and w.isalpha()]
