@@ -2,27 +2,84 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+from contextlib import contextmanager
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set, as in tests."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; on one machine, as in tests, one of our own where none is set."""
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        if not named:
-            import tempfile
+    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        named = sc.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def erase(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cut(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """df, written as a table to the shared folder and read again: a lost executor loses none of it. Its shuffles' files are freed."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid4().hex}"
+    with shuffles_freed(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if scratch is not None:
+        scratch.paths[id(out)] = (out, path)
+    return out
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Queries that run inside free their shuffle files when they end; what they give must be written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class Scratch:
+    """Tables of cut() that a later one supersedes."""
+
+    def __init__(self):
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Erase tables that no plan reads any more."""
+        for t in tables:
+            df, path = self.paths.pop(id(t))
+            erase(df.sparkSession, path)
+
+    def clear(self) -> None:
+        self.drop(*(df for df, _ in self.paths.values()))
+
 
-            named = tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
+#: log2 of the bits of a map that keeps rows of other keys from being shuffled: 2**18 rows of 64 bits, whatever the input.
+MAP_BITS = 24
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder: a lost executor loses none of it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def likely(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Of rows those whose `on` may be in keys; the rest go before any shuffle. A full map only lets more pass."""
+    bit = F.pmod(F.xxhash64(*on), F.lit(1 << MAP_BITS))
+    of = keys.select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("_word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask"))
+    bits = of.groupBy("_word").agg(F.bit_or("mask").alias("_bits"))
+    marked = rows.withColumn("_bit", bit).withColumn("_word", F.shiftright("_bit", 6)).join(F.broadcast(bits), "_word")
+    return marked.where(F.expr("shiftright(_bits, cast(_bit & 63 as int)) & 1 = 1")).select(*rows.columns)
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -32,7 +89,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     pre-aggregated groupBy and joined back, so a vertex with very many edges never sits in one group.
     Nulls and loops are ignored; an empty input gives an empty result.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    scratch = Scratch()
+    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), scratch)
     state = None
     for _ in range(rounds):
         # large star: each u gives the neighbours above it its smallest neighbour
@@ -41,7 +99,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: each u joins the neighbours below it to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = cut(large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct())
+        pairs = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
+        last, e = e, cut(pairs.where("u <> v").distinct(), scratch)
+        scratch.drop(last)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"), (F.count("*") - F.countDistinct("u")).alias("more")).head()
         if now == state and not now["more"]:
             break

@@ -2,23 +2,29 @@
 
 A byte goes if a string of `length` bytes that covers it also starts earlier: in a smaller doc_id, or before
 in the same document. Equal strings must meet in one shard of the suffix array, so each window of
-`length` bytes belongs to an anchor, the gram of least hash within it: equal windows have equal anchors.
-Consecutive windows of one anchor are a piece of text.
-
-1. Every text gives its pieces: anchor, a hash of the piece, its place. Sorted by anchor they stream by: of
-   equal pieces all but the first are covered whole, and an anchor with one piece needs nothing more.
-2. Different pieces on one anchor are fetched and joined into shards of about SHARD_BYTES. A shard's suffix
+`length` bytes belongs to an anchor, the gram of least hash within it: equal windows have equal anchors at
+equal places. The shard's key is the hash of a longer context that the window must hold too: the anchor with
+what stands before it where the window has enough of that, else with what stands behind.
+Consecutive windows of one anchor and side are a piece of text.
+
+1. Every text gives its pieces: key, a hash of the piece (two of 61 bits over different bases), its place. Equal
+   pieces of one Arrow batch are combined before the shuffle: all but the first are covered whole, and go to no
+   shard. Sorted by key the others stream by: again all but the first are covered, and a key with one piece
+   needs nothing more.
+2. Different pieces on one key are fetched and joined into shards of about SHARD_BYTES. A shard's suffix
    array is built by induced sorting: suffixes are classified, the substrings between leftmost smaller
-   ones are sorted and named, the string of names is sorted in turn (by doubling, until names differ or
-   exceed `length`), and from them all suffixes are induced, bucket by bucket. Permuted common prefixes
-   follow from the irreducible ones. Suffixes that share `length` bytes are one string; its first
-   occurrence stays.
-3. An anchor with more than HOT different pieces would outgrow a shard. Its windows are dealt out one by one by
-   a 128-bit hash of their bytes instead, with the same outcome.
+   ones are sorted and named, the string of names is sorted by the same procedure (each name as two digits, so
+   that buckets stay few) as long as names repeat and strings get shorter, and then by doubling, until names differ
+   or exceed `length`; from them all suffixes are induced, bucket by bucket. Permuted common prefixes follow from the irreducible ones. Suffixes that share `length`
+   bytes are one string; its first occurrence stays.
+3. A key with more than SHARD_PIECES different pieces has several shards, each with a suffix array of its own. What
+   each of them leaves, the first occurrences of its strings, is merged by two hashes of the strings, of 61 bits
+   over different bases, in sorted streams: no task holds more than one shard.
 
 Order is by doc_id, then, for rows that repeat a doc_id with another text, by a hash of the text, then by
 start. Rows equal in doc_id and text are one document. A null doc_id is the smallest id, a null text is
-empty. No text is cut, no group is sampled. Other columns are ignored.
+empty. An empty table gives an empty result. No text is cut, no group is sampled. Other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,13 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import words
-from chartloom.llm.graph import cut
+from chartloom.llm.graph import cut, likely
 from chartloom.llm.jaccard_join import NULL_ID
 
 #: Bytes of a gram that may be an anchor.
 GRAM = 24
-#: Different pieces on one anchor that still share a shard.
-HOT = 8192
+#: Different pieces on one key that share a shard.
+SHARD_PIECES = 8192
 #: Bytes of pieces that make a shard.
 SHARD_BYTES = 1_000_000
 
@@ -126,25 +132,36 @@ def suffix_array(t: np.ndarray, size: int, depth: int | None = None) -> np.ndarr
         by = by[is_lms[by]]
         # names: equal substrings up to and with the next LMS place
         ends = np.append(lms[1:] + 1, n)
-        p, inv = words.powers(n + 1)
-        with np.errstate(over="ignore"):
-            c = np.concatenate((np.zeros(1, np.uint64), np.cumsum((t.astype(np.uint64) + np.uint64(1)) * p[:n])))
-            h = words.mix((c[ends] - c[lms]) * inv[lms] + (ends - lms).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        sums = words.prefix_hash(t)
+        h = words.span_hash(sums, lms, ends)
         where = np.zeros(n, np.int64)
         where[lms] = np.arange(len(lms))
         order = where[by]
         name = np.zeros(len(lms), np.int64)
         name[order] = np.cumsum(np.append(True, h[order][1:] != h[order][:-1])) - 1
-        lms = lms[_sorted_names(name, depth)]
+        if name.max() < len(name) - 1 and (depth is None or depth > 2):
+            # an LMS substring moves on two places at least, so so many names in order settle the depth
+            enough = None if depth is None else depth // 2 + 1
+            order = _recursed(name, enough) if 8 * len(name) <= 3 * n and 2 * name.max() < len(name) else _doubled(name, enough)
+        lms = lms[order]
     return _induce(t, s, lms, size)
 
 
-def _sorted_names(name: np.ndarray, depth: int | None) -> np.ndarray:
-    """The suffix array of the string of names, by doubling; an LMS substring moves on two places at least."""
+def _recursed(name: np.ndarray, depth: int | None) -> np.ndarray:
+    """The suffix array of the string of names by induced sorting again: each name becomes two digits of a base near the root of their number, and suffixes at first digits are theirs."""
+    base = int(np.ceil(np.sqrt(name.max() + 1)))
+    digits = np.empty(2 * len(name) + 1, np.int32)
+    digits[0:-1:2], digits[1:-1:2], digits[-1] = name // base + 1, name % base + 1, 0
+    sa = suffix_array(digits, base + 2, None if depth is None else 2 * depth)
+    return sa[(sa % 2 == 0) & (sa < len(digits) - 1)] // 2
+
+
+def _doubled(name: np.ndarray, depth: int | None) -> np.ndarray:
+    """The same by doubling, where most names differ already, or two digits a name would make no shorter string."""
     n, step = len(name), 1
     order = np.argsort(name, kind="stable")
     rank = name
-    while rank.max() < n - 1 and (depth is None or 2 * step <= depth + 2):
+    while rank.max() < n - 1 and (depth is None or step < depth):
         after = np.zeros(n, np.int64)
         after[:-step] = rank[step:] + 1
         key = rank * (n + 1) + after
@@ -215,17 +232,26 @@ def repeats(pieces: list[bytes], length: int) -> list[np.ndarray]:
 # --- pieces ----------------------------------------------------------------------------------
 
 
+def grams_at(data: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes at each place, from eight of them at a time."""
+    n = len(data) - GRAM + 1
+    load = lambda o: np.ndarray((n,), "<u8", np.ascontiguousarray(data), o, (1,))
+    out = np.zeros(n, np.uint64)
+    for o in range(0, GRAM, 8):
+        out = words.mix(out ^ load(o)) + np.uint64(0x9E3779B97F4A7C15)
+    return out
+
+
 def pieces(data: np.ndarray, offsets: np.ndarray, length: int):
-    """(anchor, hash of the piece, text, start in the chunk, windows) of every piece of a chunk of texts."""
+    """(key, two hashes of the piece, text, start in the chunk, windows) of every piece of a chunk of texts."""
     n = len(data)
     empty = np.zeros(0, np.int64)
+    nothing = empty.astype(np.uint64), empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
     if n < length:
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
-    c = words.prefix_hash(data)
+        return nothing
     i = np.arange(n - GRAM + 1)
-    grams = words.span_hash(c, i, i + GRAM)
     low = np.uint64(0xFFFFFFFF)
-    least = (grams & ~low) | i.astype(np.uint64)
+    least = (grams_at(data) & ~low) | i.astype(np.uint64)
     reach, most = 1, length - GRAM + 1
     while 2 * reach <= most:
         least = np.minimum(least[:-reach], least[reach:])
@@ -236,205 +262,238 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int):
     ok = np.arange(n - length + 1) + length <= offsets[text + 1]
     s = np.flatnonzero(ok)
     if not len(s):
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
+        return nothing
     p = anchor[s]
-    new = np.append(True, (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1))
+    half = (length - GRAM) // 2
+    early = p - s >= half  # the context before the anchor lies in the window; else the one behind does
+    new = np.append(True, (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1) | (early[1:] != early[:-1]))
     a = np.flatnonzero(new)
     start, end = s[a], s[np.append(a[1:], len(s)) - 1]
-    p = p[a]
-    whole = words.mix(words.span_hash(c, start, end + length) + (p - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return grams[p], whole, text[start], start, end - start + 1
+    p, early = p[a], early[a]
+    one, two = words.prefix_hash(data), words.prefix_hash(data, 1)
+    key = words.mix(words.span_hash(one, np.where(early, p - half, p), np.where(early, p + GRAM, p + length - half + 1)) + early)
+    place = (p - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    whole = words.mix(words.span_hash(one, start, end + length) + place)
+    return key, whole, words.span_hash(two, start, end + length), text[start], start, end - start + 1
 
 
-_PIECE = "anchor long, piece long, doc long, at long, n int"
+_PIECE = "part long, anchor long, piece long, second long, doc long, at long, n int"
 _FOUND = "doc long, at long, n int, kind int, anchor long"
 
 
 def _give_pieces(length: int):
+    """Pieces for _sift; those that a batch shows to be covered have n < 0 and a part of their own."""
+
     def run(batches):
         for b in batches:
             ids, tags = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            cols = [[np.zeros(0, np.int64)] for _ in range(6)]
             for first, _, data, offsets in words.chunks(b.column(2)):
-                anchor, piece, text, start, n = pieces(data, offsets, length)
+                key, piece, second, text, start, n = pieces(data, offsets, length)
                 at = (tags[first + text].astype(np.int64) << 32) | (start - offsets[text])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(piece.view(np.int64)), pa.array(ids[first + text]), pa.array(at), pa.array(n.astype(np.int32))], names=["anchor", "piece", "doc", "at", "n"])
+                for c, x in zip(cols, (key.view(np.int64), piece.view(np.int64), second.view(np.int64), ids[first + text], at, n), strict=True):
+                    c.append(x)
+            key, piece, second, doc, at, n = (np.concatenate(c) for c in cols)
+            order = np.lexsort((at, doc, second, piece, key))
+            key, piece, second, doc, at, n = (x[order] for x in (key, piece, second, doc, at, n))
+            same = np.zeros(len(key), bool)
+            same[1:] = (key[1:] == key[:-1]) & (piece[1:] == piece[:-1]) & (second[1:] == second[:-1])
+            own = np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))
+            n = np.where(same, -n, n).astype(np.int32)
+            part = np.where(same, (doc ^ at) * np.int64(0x1E3779B97F4A7C15), key)
+            keep = ~same | (doc != doc[own]) | (at != at[own])  # a repeated row is the same occurrence
+            out = [x[keep] for x in (part, key, piece, second, doc, at, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["part", "anchor", "piece", "second", "doc", "at", "n"])
 
     return run
 
 
-def _sift(batches):
-    """Over pieces sorted by anchor, piece, doc, at: covered pieces (kind 0), and the first of each piece where an anchor has several, to be compared (kind 1) or dealt out (kind 2)."""
-    anchor = piece = None
-    owner = None
-    waiting: list[tuple] = []  # owners of the anchor's pieces so far, until they are too many
-    hot = False
-
-    def rows(owners, kind):
-        return [(d, a, n, kind, anchor) for d, a, n in owners]
-
-    def table(found, covered=None):
-        cols = [np.array([x[k] for x in found], np.int64) for k in range(5)]
-        if covered is not None:
-            d, a, n, g = covered
-            cols = [np.concatenate((x, y)) for x, y in zip(cols, (d, a, n, np.zeros(len(d), np.int64), g), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32)), pa.array(cols[4])], names=["doc", "at", "n", "kind", "anchor"])
+def _sift(most: int):
+    """For mapInArrow over pieces sorted by part, anchor, piece, second, doc, at: covered pieces (kind 0), and the first of each piece where a key has several, to be compared in the key's only shard (kind 1) or in one of several of `most` pieces (kind 2 and more)."""
 
-    def ended():
-        return rows(waiting, 1) if len(waiting) > 1 else []
+    def run(batches):
+        anchor = piece = second = None
+        owner = None
+        waiting: list[tuple] = []  # owners of the key's pieces so far, until they fill a shard
+        shard = 0
+
+        def table(found, covered=None):
+            cols = [np.array([x[k] for x in found], np.int64) for k in range(5)]
+            if covered is not None:
+                d, a, n, g = covered
+                cols = [np.concatenate((x, y)) for x, y in zip(cols, (d, a, n, np.zeros(len(d), np.int64), g), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32)), pa.array(cols[4])], names=["doc", "at", "n", "kind", "anchor"])
+
+        def ended():
+            if shard:
+                return [(d, a, n, 2 + shard, anchor) for d, a, n in waiting]
+            return [(d, a, n, 1, anchor) for d, a, n in waiting] if len(waiting) > 1 else []
 
-    for b in batches:
-        g, p, d, a, n = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-        if not len(g):
-            continue
-        head = np.append(True, (g[1:] != g[:-1]) | (p[1:] != p[:-1]))
-        head[0] = not (g[0] == anchor and p[0] == piece)
-        turn = np.append(True, g[1:] != g[:-1])
-        turn[0] = g[0] != anchor
-        same = ~head
-        # a piece equal to its owner in place (a repeated row) is the same occurrence
-        covered = np.flatnonzero(same)
-        own = np.maximum.accumulate(np.where(head, np.arange(len(g)), -1))
-        od = np.where(own >= 0, d[own], owner[0] if owner else 0)
-        oa = np.where(own >= 0, a[own], owner[1] if owner else 0)
-        covered = covered[(d[covered] != od[covered]) | (a[covered] != oa[covered])]
-        found = []
-        heads = np.flatnonzero(head)
-        turns = turn[heads]
-        # anchors of one piece, begun and ended within the batch, need no loop
-        alone = turns & np.append(turns[1:], False)
-        for h in heads[~alone]:
-            if g[h] != anchor:
-                found += ended()
-                waiting, hot, anchor = [], False, g[h]
-            one = (d[h], a[h], n[h])
-            if hot:
-                found += rows([one], 2)
-            else:
-                waiting.append(one)
-                if len(waiting) > HOT:
-                    found += rows(waiting, 2)
-                    waiting, hot = [], True
-        if len(heads):
-            last = heads[-1]
-            anchor, piece, owner = g[-1], p[-1], (d[last], a[last])
-        yield table(found, (d[covered], a[covered], n[covered], g[covered]))
-    if waiting:
+        for b in batches:
+            g, p, q, d, a, n = (c.to_numpy(zero_copy_only=False) for c in b.columns[1:])
+            sure = n < 0
+            early = (d[sure], a[sure], -n[sure], g[sure])
+            g, p, q, d, a, n = (x[~sure] for x in (g, p, q, d, a, n))
+            if not len(g):
+                yield table([], early)
+                continue
+            head = np.append(True, (g[1:] != g[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]))
+            head[0] = not (g[0] == anchor and p[0] == piece and q[0] == second)
+            turn = np.append(True, g[1:] != g[:-1])
+            turn[0] = g[0] != anchor
+            # a piece equal to its owner in place (a repeated row) is the same occurrence
+            covered = np.flatnonzero(~head)
+            own = np.maximum.accumulate(np.where(head, np.arange(len(g)), -1))
+            od = np.where(own >= 0, d[own], owner[0] if owner else 0)
+            oa = np.where(own >= 0, a[own], owner[1] if owner else 0)
+            covered = covered[(d[covered] != od[covered]) | (a[covered] != oa[covered])]
+            found = []
+            heads = np.flatnonzero(head)
+            turns = turn[heads]
+            # keys of one piece, begun and ended within the batch, need no loop
+            alone = turns & np.append(turns[1:], False)
+            for h in heads[~alone]:
+                if g[h] != anchor:
+                    found += ended()
+                    waiting, shard, anchor = [], 0, g[h]
+                waiting.append((d[h], a[h], n[h]))
+                if len(waiting) > most:
+                    found += [(*x, 2 + shard, anchor) for x in waiting]
+                    waiting, shard = [], shard + 1
+            if len(heads):
+                last = heads[-1]
+                anchor, piece, second, owner = g[-1], p[-1], q[-1], (d[last], a[last])
+            yield table(found, tuple(np.concatenate(x) for x in zip((d[covered], a[covered], n[covered], g[covered]), early, strict=True)))
         yield table(ended())
 
+    return run
+
 
 def _fetch(length: int):
-    """From texts with their candidates: pieces by anchor, or single windows by their hash."""
+    """From texts with their candidates: the bytes of each piece, by its shard."""
 
     def run(batches):
         for b in batches:
             docs, tags, texts, cands = (b.column(k) for k in range(4))
             for r in range(b.num_rows):
-                data = np.frombuffer((texts[r].as_py() or "").encode(), np.uint8)
+                raw = (texts[r].as_py() or "").encode()
                 doc, tag = docs[r].as_py(), tags[r].as_py() << 32
-                raw, c = data.tobytes(), None
                 items = cands[r].values
                 kind, anchor, s0, n = (items.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
-                x = np.flatnonzero(kind == 1)
-                if len(x):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor[x]), pa.array(np.zeros(len(x), np.int64)), pa.array(np.full(len(x), doc)), pa.array(s0[x] + tag), pa.array([raw[s : s + m + length - 1] for s, m in zip(s0[x], n[x], strict=True)], pa.binary())],
-                        names=["one", "two", "doc", "at", "bytes"],
-                    )
-                x = np.flatnonzero(kind == 2)
-                if len(x):
-                    c = words.prefix_hash(data)
-                    s = np.concatenate([np.arange(s0[k], s0[k] + n[k]) for k in x])
-                    one = words.span_hash(c, s, s + length)
-                    two = words.span_hash(words.prefix_hash(data ^ np.uint8(0x5A)), s, s + length)
-                    yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(len(s), doc)), pa.array(s + tag), pa.nulls(len(s), pa.binary())], names=["one", "two", "doc", "at", "bytes"])
+                shard = words.mix(anchor.view(np.uint64) + kind.astype(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard), pa.array(kind > 1), pa.array(np.full(len(s0), doc)), pa.array(s0 + tag), pa.array([raw[s : s + m + length - 1] for s, m in zip(s0, n, strict=True)], pa.binary())],
+                    names=["shard", "several", "doc", "at", "bytes"],
+                )
 
     return run
 
 
 def _compare(length: int):
-    """Over fetched rows sorted by one, two, doc, at: what is covered, as (doc, at, windows)."""
+    """For mapInArrow over pieces sorted by shard, doc, at: what is covered, as (doc, at, windows); and of keys with several shards the windows that are not, with their hashes."""
 
     def runs(dup: np.ndarray):
         edge = np.flatnonzero(np.diff(np.concatenate(([0], dup.view(np.int8), [0]))))
         return edge[::2], edge[1::2] - edge[::2]
 
     def run(batches):
-        shard, weight, anchor, seen = [], 0, None, None
+        shard, weight, key = [], 0, None
 
         def flush():
-            out = []
-            if shard:
-                for (doc, at, _), dup in zip(shard, repeats([x[2] for x in shard], length), strict=True):
-                    out += [(doc, at + s, m) for s, m in zip(*runs(dup), strict=True)]
-            return out
+            out = [[np.zeros(0, np.int64)] for _ in range(5)]
 
-        def table(out):
-            return pa.RecordBatch.from_arrays([pa.array(np.array([x[k] for x in out], np.int64)) for k in range(3)], names=["doc", "at", "n"])
+            def give(doc, at, n, one, two):
+                for c, x in zip(out, (np.full(len(at), doc), at, n, one, two), strict=True):
+                    c.append(x)
+
+            if shard:
+                shard.sort(key=lambda x: x[1:3])  # shards of one key may have met
+                for (several, doc, at, raw), dup in zip(shard, repeats([x[3] for x in shard], length), strict=True):
+                    s, m = runs(dup)
+                    give(doc, at + s, m, (doc ^ (at + s)) * np.int64(0x1E3779B97F4A7C15), np.zeros(len(s), np.int64))
+                    if several:
+                        data, s = np.frombuffer(raw, np.uint8), np.flatnonzero(~dup)
+                        one, two = (words.span_hash(words.prefix_hash(data, k), s, s + length).view(np.int64) for k in (0, 1))
+                        give(doc, at + s, np.zeros(len(s), np.int64), one, two)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["doc", "at", "n", "one", "two"])
 
         for b in batches:
-            out = []
-            one, two, doc, at = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            pieces_ = b.column(4)
-            single = np.asarray(pieces_.is_null())
-            for k in np.flatnonzero(~single):
-                if one[k] != anchor and weight > SHARD_BYTES:
-                    out += flush()
+            keys, doc, at = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
+            for k, (several, raw) in enumerate(zip(b.column(1).to_pylist(), b.column(4), strict=True)):
+                if keys[k] != key and weight > SHARD_BYTES:
+                    yield flush()
                     shard, weight = [], 0
-                anchor = one[k]
-                if shard and shard[-1][:2] == (doc[k], at[k]):
+                if shard and keys[k] == key and shard[-1][1:3] == (doc[k], at[k]):
                     continue  # a repeated row
-                shard.append((doc[k], at[k], pieces_[k].as_py()))
-                weight += len(shard[-1][2])
-            k = np.flatnonzero(single)
-            if len(k):
-                rows = np.stack([one[k], two[k], doc[k], at[k]], 1)
-                if seen is not None:
-                    rows = np.concatenate((seen[None], rows))
-                head = np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))
-                own = rows[np.maximum.accumulate(np.where(head, np.arange(len(rows)), 0))]
-                again = (own[:, 2:] != rows[:, 2:]).any(1)
-                out += [(d, a, 1) for d, a in rows[again][:, 2:].tolist()]
-                seen = own[-1]
-            yield table(out)
-        yield table(flush())
+                key = keys[k]
+                shard.append((several, doc[k], at[k], raw.as_py()))
+                weight += len(shard[-1][3])
+        yield flush()
 
     return run
 
 
-def deduplicated(docs: DataFrame, length: int = 100) -> DataFrame:
+def _merge(batches):
+    """Over rows of _compare sorted by one, two, doc, at: what is covered; of windows that shards left (n = 0) all but the first of their hashes."""
+    seen = None
+    for b in batches:
+        doc, at, n, one, two = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        done, left = n > 0, np.flatnonzero(n == 0)
+        out = [doc[done], at[done], n[done]]
+        if len(left):
+            rows = np.stack([one[left], two[left], doc[left], at[left]], 1)
+            if seen is not None:
+                rows = np.concatenate((seen[None], rows))
+            head = np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))
+            own = rows[np.maximum.accumulate(np.where(head, np.arange(len(rows)), 0))]
+            again = rows[(own[:, 2:] != rows[:, 2:]).any(1)]
+            out = [np.concatenate(x) for x in zip(out, (again[:, 2], again[:, 3], np.ones(len(again), np.int64)), strict=True)]
+            seen = own[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["doc", "at", "n"])
+
+
+def _joined_spans(batches):
+    """(doc, tag, spans) with a document's sorted spans, those that touch or overlap made one."""
+    for b in batches:
+        lists = b.column(2)
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        x = lists.values.slice(0)
+        a, e = (x.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+        a, e = a[offsets[0] : offsets[-1]], e[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        of = np.repeat(np.arange(b.num_rows), np.diff(offsets))
+        order = np.lexsort((a, of))
+        a, e = a[order] + (of << 32), e[order] + (of << 32)  # of is sorted already
+        far = np.maximum.accumulate(e) if len(e) else e
+        new = np.append(True, a[1:] > far[:-1])[: len(a)]
+        k = np.flatnonzero(new)
+        last = far[np.append(k[1:], len(a)) - 1] if len(k) else far
+        counts = np.bincount(of[k], minlength=b.num_rows)
+        low = np.int64(0xFFFFFFFF)
+        spans = pa.StructArray.from_arrays([pa.array((a[k] & low).astype(np.int32)), pa.array((last & low).astype(np.int32))], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), spans)], names=["doc", "tag", "spans"])
+
+
+def deduplicated(docs: DataFrame, length: int = 100, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """(doc_id, text, spans) of every row; spans are the maximal removed runs of bytes, [(a, b), ...] in order."""
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.shiftrightunsigned(F.xxhash64(text), 33).alias("tag"), text.alias("text"))
-    found = keyed.mapInArrow(_give_pieces(length), _PIECE).repartition("anchor").sortWithinPartitions("anchor", "piece", "doc", "at").mapInArrow(_sift, _FOUND)
+    found = keyed.mapInArrow(_give_pieces(length), _PIECE).repartition("part").sortWithinPartitions("part", "anchor", "piece", "second", "doc", "at").mapInArrow(_sift(shard_pieces), _FOUND)
     place = (F.col("at").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).cast("int")
     tag = F.shiftright("at", 32)
     span = F.struct(place.alias("a"), (place + F.col("n") + (length - 1)).cast("int").alias("b"))
     cand = F.struct("kind", "anchor", place.alias("s0"), "n")
-    by_doc = cut(
-        found.withColumn("tag", tag)
-        .groupBy("doc", "tag")
-        .agg(F.collect_list(F.when(F.col("kind") == 0, span)).alias("sure"), F.collect_list(F.when(F.col("kind") > 0, cand)).alias("cands"))
-        .withColumn("sure", _merged(F.col("sure")))
-    )
+    by_doc = cut(found.withColumn("tag", tag).groupBy("doc", "tag").agg(F.collect_list(F.when(F.col("kind") == 0, span)).alias("sure"), F.collect_list(F.when(F.col("kind") > 0, cand)).alias("cands")))
     open_ = by_doc.where(F.size("cands") > 0).select("doc", "tag", "cands")
-    fetched = keyed.join(open_, ["doc", "tag"]).select("doc", "tag", "text", "cands").mapInArrow(_fetch(length), "one long, two long, doc long, at long, bytes binary")
-    more = fetched.repartition("one").sortWithinPartitions("one", "two", "doc", "at").mapInArrow(_compare(length), "doc long, at long, n long")
+    fetched = likely(keyed, open_, ["doc", "tag"]).join(open_, ["doc", "tag"]).select("doc", "tag", "text", "cands").mapInArrow(_fetch(length), "shard long, several boolean, doc long, at long, bytes binary")
+    compared = fetched.repartition("shard").sortWithinPartitions("shard", "doc", "at").mapInArrow(_compare(length), "doc long, at long, n long, one long, two long")
+    more = compared.repartition("one").sortWithinPartitions("one", "two", "doc", "at").mapInArrow(_merge, "doc long, at long, n long")
     more = more.groupBy("doc", tag.alias("tag")).agg(F.collect_list(span).alias("found"))
-    spans = by_doc.select("doc", "tag", "sure").join(more, ["doc", "tag"], "left")
-    spans = spans.select("doc", "tag", _merged(F.concat("sure", F.coalesce("found", F.array().cast("array<struct<a:int,b:int>>")))).alias("spans"))
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    spans = by_doc.select("doc", "tag", "sure").join(more, ["doc", "tag"], "left").select("doc", "tag", F.concat("sure", F.coalesce("found", none)).alias("spans"))
+    spans = spans.where(F.size("spans") > 0).mapInArrow(_joined_spans, "doc long, tag long, spans array<struct<a:int,b:int>>")
     out = keyed.join(spans, ["doc", "tag"], "left")
-    return out.select(F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), "text", F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>")).alias("spans"))
-
-
-def _merged(spans):
-    """Sorted spans with those that touch or overlap made one."""
-    kind = "array<struct<a:int,b:int>>"
-    step = lambda acc, x: F.when(
-        (F.size(acc["done"]) >= 0) & acc["b"].isNotNull() & (x["a"] <= acc["b"]),
-        F.struct(acc["done"].alias("done"), acc["a"].alias("a"), F.greatest(acc["b"], x["b"]).alias("b")),
-    ).otherwise(F.struct(F.when(acc["b"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], F.struct(acc["a"].alias("a"), acc["b"].alias("b")))).alias("done"), x["a"].alias("a"), x["b"].alias("b")))
-    zero = F.struct(F.array().cast(kind).alias("done"), F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"))
-    return F.aggregate(F.array_sort(spans), zero, step, lambda acc: F.when(acc["b"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], F.struct(acc["a"].alias("a"), acc["b"].alias("b")))))
+    return out.select(F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), "text", F.coalesce("spans", none).alias("spans"))
 
 
 def kept_digest(deduped: DataFrame) -> DataFrame:

@@ -14,11 +14,15 @@ import pyarrow as pa
 #: Bytes of text that are tokenised at once (a longer text is a chunk of its own).
 CHUNK_BYTES = 1_000_000
 
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: The hashes' modulus, a Mersenne prime: sums and products fold by shifts, and no text is a collision by its structure alone.
+PRIME = (1 << 61) - 1
+#: Two bases, each that of a hash of its own.
+BASES = (0x0B7E151628AED2A6 % PRIME, 0x1F3A5C8842D79E61 % PRIME)
+#: Bytes that sums of 40 bits can't overflow.
+BLOCK = 1 << 23
+_P61, _M31, _M30 = np.uint64(PRIME), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_30, _31, _61 = np.uint64(30), np.uint64(31), np.uint64(61)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -26,15 +30,36 @@ SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        m = max(n, CHUNK_BYTES + 1024)
-        for k, base in enumerate((_P, _P_INV)):
-            x = np.full(m, base, np.uint64)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0][:n], _powers[1][:n]
+def fold(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, below 2**61 + 8 (PRIME itself may stand for 0)."""
+    return (x & _P61) + (x >> _61)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, below PRIME."""
+    x = fold(fold(x))
+    return np.where(x == _P61, np.uint64(0), x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of numbers below 2**61."""
+    a1, a0, b1, b0 = a >> _31, a & _M31, b >> _31, b & _M31
+    middle, low = a1 * b0 + a0 * b1, a0 * b0
+    return reduced((a1 * b1 << np.uint64(1)) + (middle >> _30) + ((middle & _M30) << _31) + fold(low))
+
+
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a hash's base and of its inverse, modulo PRIME."""
+    if which not in _powers or len(_powers[which][0]) < n:
+        m, out = max(n, CHUNK_BYTES + 1024), []
+        for base in (BASES[which], pow(BASES[which], -1, PRIME)):
+            x, k = np.ones(1, np.uint64), 1
+            while k < m:
+                x = np.concatenate((x, times(x, np.uint64(pow(base, k, PRIME)))))
+                k *= 2
+            out.append(x[:m])
+        _powers[which] = (out[0], out[1])
+    return _powers[which][0][:n], _powers[which][1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,18 +71,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """c with c[j] - c[i] == the polynomial hash of data[i:j], times base**i."""
-    p, _ = powers(len(data) + 1)
-    c = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * p[:-1], out=c[1:])
-    return c
-
-
-def span_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Position-independent hashes of the byte spans [start, end)."""
-    _, inv = powers(len(c))
-    return mix((c[end] - c[start]) * inv[start] + (end - start).astype(np.uint64))
+def prefix_hash(data: np.ndarray, which: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sums of the high and low halves of (byte + 1) * base**i, for span_hash; data may be bytes or small whole numbers."""
+    n = len(data)
+    p, _ = powers(n + 1, which)
+    value = data.astype(np.uint64) + np.uint64(1)
+    sums = []
+    for part in (p[:n] >> _31, p[:n] & _M31):
+        c = np.zeros(n + 1, np.uint64)
+        for k in range(0, n, BLOCK):
+            np.cumsum(part[k : k + BLOCK] * value[k : k + BLOCK], out=c[k + 1 : min(k + BLOCK, n) + 1])
+            if k:
+                c[k + 1 : k + BLOCK + 1] += reduced(c[k])
+        sums.append(c)
+    return sums[0], sums[1], which
+
+
+def span_hash(c: tuple[np.ndarray, np.ndarray, int], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Position-independent hashes of the spans [start, end): polynomials modulo PRIME, mixed."""
+    high, low, which = c
+    _, inv = powers(len(high), which)
+    if len(high) <= BLOCK:
+        h, lo = high[end] - high[start], low[end] - low[start]
+    else:  # sums begin anew, reduced, at each block
+        h, lo = (fold(fold(x[end])) + _P61 - reduced(x[start]) for x in (high, low))
+    h = fold(fold(h))
+    total = reduced((h >> _30) + ((h & _M30) << _31) + fold(lo))
+    return mix(times(total, inv[start]) + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
