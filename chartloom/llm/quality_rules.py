@@ -5,9 +5,13 @@ information gain; on the rest it is pruned from its end while that helps; the do
 set aside and the next rule is learnt, until a rule no longer pays. Rules name statistics of the text and
 thresholds, and become one ordered Spark conditional expression; what no rule rejects is kept.
 
-Training takes a bounded sample of labelled documents (`most`), never held-out ones; statistics cover every
-text. A null text has no words, and fails the base rules like any text under 50 words. Without labels of
-both kinds the list is empty.
+Training takes a bounded sample of labelled documents (`most`), never held-out ones, whose counts executors make;
+statistics cover every text, very long ones whole. A null text has no words, and fails the base rules like any text under 50 words.
+Rows that repeat an id are judged each by its text; rows of the same id and text are learnt from once. Without labels of
+both kinds the list is empty; an empty table gives an empty result. Other columns, whatever their names, are ignored.
+
+Words, lines and windows are told apart by hashes of 61 bits within one chunk of texts, some 1e5 words: the chance that two differ
+and share one is below 1e-7 a chunk.
 """
 
 from __future__ import annotations
@@ -18,7 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.labelled import training_texts
+from chartloom.llm.graph import Scratch
+from chartloom.llm.labelled import gathered, lists, training_rows, vectors
 from chartloom.llm.text_stats import NAMES, column_counts, with_counts
 
 #: The rates that rules may name: (name, counted, for each).
@@ -132,10 +137,16 @@ def list_column(rules: list[list[Condition]]) -> Column:
     return F.lit(None).cast("int") if out is None else out
 
 
+def learned_rules(docs: DataFrame, labels: DataFrame, most: int = 12000) -> list[list[Condition]]:
+    scratch = Scratch()
+    table = gathered(training_rows(docs, labels, "quality", most, scratch), [("counts", "array<long>")], lambda texts: {"counts": lists(column_counts(texts))})
+    scratch.clear()
+    bad = table["y"].to_numpy() == 0
+    return learn_list(features(vectors(table["counts"], len(NAMES))), bad) if bad.any() and not bad.all() else []
+
+
 def judged(docs: DataFrame, labels: DataFrame, most: int = 12000) -> DataFrame:
     """(doc_id, counts, base_failed, rule, kept) of every row; rule is the first learned one that rejects."""
-    table = training_texts(docs, labels, "quality", most)
-    x, bad = features(column_counts(table["text"])), np.asarray(table["y"]) == 0
-    rules = learn_list(x, bad) if bad.any() and not bad.all() else []
+    rules = learned_rules(docs, labels, most)
     out = with_counts(docs).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return out.withColumn("rule", list_column(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())

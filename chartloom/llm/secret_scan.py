@@ -6,13 +6,17 @@ network in numpy, together with the text around it; what scores above the thresh
 kind `cnn`. Base spans are cut out of a token first, and what is left on either side is scored if it is a candidate. A candidate longer than the network's window is scored in overlapping parts
 (`windows`), and its score is the highest of them; the span is the whole candidate.
 
-The network learns from findings: base findings and other candidates of a bounded sample of documents
-(`most`, by hash of doc_id), labelled by the patterns, and made-up findings of further formats and
-look-alikes that are no secrets, labelled by how they were made. Half calibrates: scores become probabilities
-by a logistic fit, and the threshold is the highest that still recalls `recall` of those of the calibration's secrets that
-are no base findings, scored as in use; without any it is 0.5.
-
-Whole texts are scanned; a null text is empty and has no spans. Offsets count code points.
+The network learns from labelled findings: base findings of a bounded sample of documents (`most`, by hash of id and text;
+at most `most_findings` findings of them, by hash), labelled as secrets by their patterns; candidates of that sample that are
+plainly something else (PLAIN: addresses of hosts, numbers, dates, words joined by signs), labelled as none; other candidates of
+the sample are not learnt from, since nothing says what they are; and `each` made-up findings of further formats and as many
+look-alikes, built from up to `vocabulary` words of the sample, labelled by how they were made. Half calibrates: scores become
+probabilities by a logistic fit, and the threshold is the highest that still recalls `recall` of those of the calibration's
+secrets that are no base findings, scored as in use; without any it is 0.5.
+
+Whole texts are scanned, however long; a null text is empty and has no spans. Offsets count code points. Rows that repeat an id
+are scanned each by its text; rows of the same id and text are learnt from once. An empty table gives an empty result. Other
+columns, whatever their names, are ignored by secret_spans and carried in the struct `row` by redacted_rows.
 """
 
 from __future__ import annotations
@@ -27,6 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chartloom.llm.graph import Scratch, cut
+from chartloom.llm.labelled import as_rows, bounded, with_fields
+
 #: Kinds in the order in which ties are listed.
 KINDS = ("assign", "access", "hex", "cnn")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -37,6 +44,9 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*(?:[0-9]|[a-z][
 #: What is left of one beside base findings.
 PART = re.compile(r"(?=[A-Za-z+/_.=-]*(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9+/_.=-]{12,}")
 
+#: Candidates that are plainly no secrets: hosts and addresses, numbers, dates, and words joined by signs.
+PLAIN = re.compile(r"(?:[a-z]+[0-9]{0,3}\.)+[a-z]{2,6}|[0-9]+(?:[.:/_+-][0-9]+)*|(?:[A-Za-z]{2,12}[0-9]{0,4}[._/=+-]+)+(?:[A-Za-z]{2,12})?[0-9]{0,4}")
+
 BEFORE, INSIDE, AFTER = 24, 48, 8
 WINDOW = BEFORE + INSIDE + AFTER
 #: From one part of a long candidate to the next: any 40 characters in a row lie in one part.
@@ -207,46 +217,59 @@ def made_up(n: int, words: list[str], seed: int = 17) -> tuple[list[tuple[str, i
     return rows, y
 
 
-def labelled_findings(texts: list[str], each: int = 800) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of sampled texts and of made_up: encoded windows, their labels, the number of their finding, and whether it is a base finding."""
-    x, y, of, base_rows, words, n = [], [], [], [], [], 0
+def text_findings(text: str) -> list[tuple[int, int, bool, list[np.ndarray]]]:
+    """(start, label, whether it is a base finding, encoded windows) of what a text teaches."""
+    base, out = base_findings(text), []
+    for a, b, kind in base:
+        m = ASSIGN.match(text, a) if kind == 0 else None
+        a, b = m.span(2) if m else (a, b)
+        out.append((a, 1, True, [encoded(text, *w) for w in windows(a, b)]))
+    for a, b in candidates(text, base, whole=True):  # a part beside a secret may be one
+        if PLAIN.fullmatch(text, a, b):
+            out.append((a, 0, False, [encoded(text, *w) for w in windows(a, b)]))
+    return out
 
-    def add(text, a, b, label, is_base):
-        nonlocal n
-        for w in windows(a, b):
-            x.append(encoded(text, *w)), y.append(label), of.append(n), base_rows.append(is_base)
-        n += 1
 
-    for t in texts:
-        base = base_findings(t)
-        for a, b, kind in base:
-            m = ASSIGN.match(t, a) if kind == 0 else None
-            a, b = m.span(2) if m else (a, b)
-            x.append(encoded(t, a, b)), y.append(1), of.append(n), base_rows.append(True)
-            n += 1
-        for a, b in candidates(t, base, whole=True)[:20]:  # of one text no more, lest one text be the whole sample; a part beside a secret may be one
-            add(t, a, b, 0, False)
-        if len(words) < 4000:
-            words += [w for w in t[:400].split() if w.isascii() and w.isalpha()]
-    for row, label in zip(*made_up(each, sorted(set(words))), strict=True):
-        add(*row, label, any(a < row[2] and b > row[1] for a, b, _ in base_findings(row[0])))
-    return np.stack(x), np.array(y), np.array(of), np.array(base_rows)
+def plain_words(text: str) -> set[str]:
+    """Words for look-alikes."""
+    return {w for w in text.split() if w.isascii() and w.isalpha()}
 
 
-def training_findings(texts: list[str], each: int = 800) -> tuple[np.ndarray, np.ndarray]:
-    """Encoded findings and labels from sampled texts and from made_up."""
-    return labelled_findings(texts, each)[:2]
+def labelled_findings(found: list[tuple[int, bool, np.ndarray]], words: list[str], each: int = 800, seed: int = 17) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the sample's findings (label, base, windows) and of made-up ones: encoded windows, their labels, the number of their finding, and whether it is a base finding."""
+    rows = list(found)
+    for (text, a, b), label in zip(*made_up(each, words, seed), strict=True):
+        rows.append((label, any(x < b and y > a for x, y, _ in base_findings(text)), np.stack([encoded(text, *w) for w in windows(a, b)])))
+    sizes = [len(x) for _, _, x in rows]
+    spread = lambda xs: np.repeat(np.array(xs), sizes)
+    return np.concatenate([x for _, _, x in rows]), spread([y for y, _, _ in rows]), spread(np.arange(len(rows))), spread([bool(k) for _, k, _ in rows])
 
 
 def fitted(texts: list[str], recall: float = 0.98, each: int = 800) -> Network:
-    x, y, of, base = labelled_findings(texts, each)
+    """A network from texts that are at hand."""
+    found = [(y, base, np.stack(x)) for t in texts for _, y, base, x in text_findings(t)]
+    x, y, of, base = labelled_findings(found, sorted(set().union(*map(plain_words, texts))), each)
     return train(x, y, recall, of=of, base=base)
 
 
-def _network(docs: DataFrame, most: int, recall: float):
-    rate = min(1.0, most / max(docs.select("doc_id").count(), 1))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30)) < rate * (1 << 30)).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return docs.sparkSession.sparkContext.broadcast(fitted(sample["text"].to_pylist(), recall))
+def _network(docs: DataFrame, most: int, recall: float, each: int = 800, most_findings: int = 6000, vocabulary: int = 4000):
+    """A network from a bounded sample, whose findings executors encode."""
+    scratch = Scratch()
+    sample = cut(bounded(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), most, 13), scratch)
+
+    def teach(batches):
+        for b in batches:
+            rows = [(d, *f) for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for f in text_findings(t.as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.bool_()))] + [pa.array([np.concatenate(r[4]) for r in rows], pa.list_(pa.int16()))], names=["draw", "at", "y", "base", "codes"])
+
+    found = sample.select("draw", "text").mapInArrow(teach, "draw long, at long, y int, base boolean, codes array<short>")
+    found = found.orderBy(F.xxhash64("draw", "at"), "draw", "at", "y").limit(most_findings).toArrow()
+    rows = [(y, base, np.array(codes, np.int16).reshape(-1, WINDOW)) for y, base, codes in zip(found["y"].to_pylist(), found["base"].to_pylist(), found["codes"].to_pylist(), strict=True)]
+    word = F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word")
+    some = sample.select(word).where("word RLIKE '^[A-Za-z]+$'").distinct().orderBy(F.xxhash64("word"), "word").limit(vocabulary)
+    x, y, of, base = labelled_findings(rows, sorted(r["word"] for r in some.collect()), each)
+    scratch.clear()
+    return docs.sparkSession.sparkContext.broadcast(train(x, y, recall, of=of, base=base))
 
 
 def all_findings(text: str, net: Network) -> tuple[list, list]:
@@ -305,5 +328,5 @@ def redacted_rows(docs: DataFrame, most: int = 6000, recall: float = 0.98, mark:
                     texts.append(redact(text, found, mark) if found else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["row", "redacted"])
 
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("redacted", T.StringType())]))
+    rows = as_rows(docs)
+    return rows.mapInArrow(run, with_fields(rows, ("redacted", T.StringType())))

@@ -5,10 +5,13 @@ weight being the sum over its own hash and its prefixes' (invented or inflected
 document's is the noisy-or of its sentences'. Weights are learnt from document labels alone: each
 sentence is blamed for a toxic document by its share of the noisy-or, and for a clean one in full.
 
-Training takes a bounded sample of labelled documents (`most`); scoring covers every byte of every text,
-and the sentence of highest probability is returned as a span of bytes. Null, empty and wordless texts
-have no sentence and score the base rate of an empty bag. Without labels of both kinds,
-or without a word that tells them apart, every score is 0.
+Training takes a bounded sample of labelled documents (`most`), never held-out ones, from which executors count how
+often each feature stands in toxic and in other documents; of the sample's words only those with a telling feature,
+as numbers, reach the driver. Scoring covers every byte of every text, however long, and the sentence of highest
+probability is returned as a span of bytes. Null, empty and wordless texts have no sentence: the noisy-or of none is 0.
+Rows that repeat an id are scored each by its text; rows of the same id and text are learnt from once. Without labels
+of both kinds, or without a word that tells them apart, every score is 0; an empty table gives an empty result. Other
+columns, whatever their names, are carried in the struct `row`.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chartloom.llm import words
-from chartloom.llm.labelled import held_out, training_texts
+from chartloom.llm.graph import Scratch, cut
+from chartloom.llm.labelled import as_rows, gathered, held_out, training_rows, with_fields
 
 #: log2 of the number of hashed features.
 BITS = 20
@@ -88,57 +92,91 @@ class Model:
         return score, worst
 
 
-def train(table: pa.Table, epochs: int = 40, l2: float = 3e-4, least: int = 3) -> Model:
-    """Weights from (text, y); features seen in fewer than `least` texts are left at 0."""
-    y = np.asarray(table["y"], np.float64)
-    weights = np.zeros(1 << BITS, np.float32)
-    if not len(y) or y.min() == y.max():
-        return Model(weights, -50.0)
-    feats, sentence, text, n_sentences, row = [], [], [], 0, 0
-    seen, toxic = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
-    for a, b, data, offsets in words.chunks(table["text"]):
+def feature_sets(column: pa.Array) -> list[np.ndarray]:
+    """The distinct features of each text."""
+    out = []
+    for a, b, data, offsets in words.chunks(column):
         f, s, t, _ = bag(data, offsets)
-        feats.append(f.astype(np.int32)), sentence.append(s + n_sentences), text.append(t + a)
-        n_sentences += len(t)
         doc = t[s]
+        cuts = np.searchsorted(doc, np.arange(b - a + 1))
+        out += [np.unique(f[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    return out
+
+
+def feature_counts(column: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, texts that have it, toxic ones of them)."""
+    sets = feature_sets(column)
+    flat = np.concatenate([np.zeros(0, np.int64), *sets])
+    toxic = np.repeat(y, [len(s) for s in sets])
+    features, at = np.unique(flat, return_inverse=True)
+    return features, np.bincount(at, minlength=len(features)), np.bincount(at, toxic, len(features)).astype(np.int64)
+
+
+def telling_words(column: pa.Array, use: np.ndarray) -> dict:
+    """Of each text its sentences' number, and of each word with a feature in use its sentence and features."""
+    totals, sentences, features = [], [], []
+    for a, b, data, offsets in words.chunks(column):
+        f, s, t, _ = bag(data, offsets)
+        first = np.searchsorted(t, np.arange(b - a + 1))
+        keep = np.flatnonzero(use[f].any(1))
+        doc = t[s[keep]]
+        cuts = np.searchsorted(doc, np.arange(b - a + 1))
         for d in range(b - a):
-            u = np.unique(f[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")])
-            seen[u] += 1
-            toxic[u] += int(y[a + d])
-        row = b
-    assert row == len(y)
-    feats, sentence, text = np.concatenate(feats), np.concatenate(sentence), np.concatenate(text)
-    # features that say something: smoothed log odds of toxic documents
-    prior = y.mean()
-    odds = np.log((toxic + 2 * prior) / (seen - toxic + 2 * (1 - prior))) - np.log(prior / (1 - prior))
-    use = (seen >= least) & (odds > 1.0)
-    # start from the odds, then descend on the noisy-or likelihood; a word counts by its best-informed features
-    w = np.where(use, 0.5 * odds, 0.0)
-    bias = -6.0
-    word_use = use[feats].any(1)
-    keep = np.flatnonzero(word_use)
-    if not len(keep):
+            k = keep[cuts[d] : cuts[d + 1]]
+            totals.append(int(first[d + 1] - first[d])), sentences.append((s[k] - first[d]).astype(np.int32)), features.append(f[k].astype(np.int32).ravel())
+    return {"n": pa.array(totals, pa.int32()), "sentence": pa.array(sentences, pa.list_(pa.int32())), "feature": pa.array(features, pa.list_(pa.int32()))}
+
+
+def odds_of(seen, toxic, prior: float):
+    """Smoothed log odds of toxic documents among those with a feature, against all."""
+    return np.log((toxic + 2 * prior) / (seen - toxic + 2 * (1 - prior))) - np.log(prior / (1 - prior))
+
+
+def train(table: pa.Table, least: int = 3) -> Model:
+    """Weights from (text, y); features seen in fewer than `least` texts are left at 0."""
+    y = np.asarray(table["y"], np.int64)
+    if not len(y) or y.min() == y.max():
+        return Model(np.zeros(1 << BITS, np.float32), -50.0)
+    features, seen, toxic = feature_counts(table["text"], y)
+    odds = np.zeros(1 << BITS)
+    odds[features] = np.where(seen >= least, odds_of(seen, toxic, y.mean()), 0)
+    return descended(odds, y, telling_words(table["text"], odds > TELLING))
+
+
+#: Log odds above which a feature tells.
+TELLING = 1.0
+
+
+def descended(odds: np.ndarray, y: np.ndarray, found: dict | pa.Table, epochs: int = 40, l2: float = 3e-4) -> Model:
+    """From the odds of telling features, descent on the noisy-or likelihood; a sentence counts by its strongest word."""
+    weights, use = np.zeros(1 << BITS, np.float32), odds > TELLING
+    column = lambda k: x.combine_chunks() if isinstance(x := found[k], pa.ChunkedArray) else x
+    total, each_list, feats = column("n").to_numpy(zero_copy_only=False), column("sentence"), column("feature").flatten().to_numpy(zero_copy_only=False).reshape(-1, 1 + len(PREFIXES)).astype(np.int64)
+    if not len(feats):
         return Model(weights, -50.0)
-    feats, of = feats[keep], sentence[keep]
     n = len(y)
+    word_text = np.repeat(np.arange(n), each_list.value_lengths().to_numpy(zero_copy_only=False))
+    sentence = each_list.flatten().to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(np.append(True, (word_text[1:] != word_text[:-1]) | (sentence[1:] != sentence[:-1])))
+    text = word_text[starts]  # of each sentence with telling words
+    w = np.where(use, 0.5 * odds, 0.0)
+    bias = -6.0
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    starts = np.flatnonzero(np.diff(of, prepend=-1))
-    sent = of[starts]
-    plain = np.bincount(text, minlength=n) - np.bincount(text[sent], minlength=n)  # sentences without such words
+    plain = total - np.bincount(text, minlength=n)  # sentences without such words
     for step in range(1, epochs + 1):
         each = w[feats].sum(1)
         top = np.maximum.reduceat(each, starts)
-        best = starts[0] + np.zeros(len(starts), np.int64)
+        best = starts.copy()
         hit = np.flatnonzero(each == np.repeat(top, np.diff(np.append(starts, len(each)))))
         group = np.searchsorted(starts, hit, "right") - 1
         best[group[::-1]] = hit[::-1]
         z = bias + top
         p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-bias))
-        clean = np.bincount(text[sent], np.logaddexp(0, z), n) + plain * np.logaddexp(0, bias)
+        clean = np.bincount(text, np.logaddexp(0, z), n) + plain * np.logaddexp(0, bias)
         whole = np.clip(1 - np.exp(-clean), 1e-9, 1)
         blame = balance * np.where(y == 1, -(1 - whole) / whole, 1.0) / n  # d loss / d (sum of softplus)
-        g = blame[text[sent]] * p
+        g = blame[text] * p
         grad = np.bincount(feats[best].ravel(), np.repeat(g, feats.shape[1]), len(w)) + l2 * w / 10
         gb = float((blame * plain).sum() * p0 + g.sum())
         grad[~use] = 0
@@ -150,6 +188,30 @@ def train(table: pa.Table, epochs: int = 40, l2: float = 3e-4, least: int = 3) -
     return Model(w.astype(np.float32), float(bias))
 
 
+def learned(docs: DataFrame, labels: DataFrame, most: int = 8000, least: int = 3) -> Model:
+    """A model from a bounded sample of labelled documents, counted by executors."""
+    scratch = Scratch()
+    rows = cut(training_rows(docs, labels, "toxic", most, scratch), scratch)
+    n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).head()
+    if not 0 < positive < n:
+        return Model(np.zeros(1 << BITS, np.float32), -50.0)
+
+    def count(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in feature_counts(b.column(0), b.column(1).to_numpy(zero_copy_only=False))], names=["feature", "seen", "toxic"])
+
+    prior = positive / n
+    by = rows.select("text", "y").mapInArrow(count, "feature long, seen long, toxic long").groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
+    score = F.log((F.col("toxic") + 2 * prior) / (F.col("seen") - F.col("toxic") + 2 * (1 - prior))) - float(np.log(prior / (1 - prior)))
+    telling = by.where((F.col("seen") >= least) & (score > TELLING)).toPandas()  # 2**BITS rows at most
+    odds = np.zeros(1 << BITS)
+    odds[telling["feature"].to_numpy(np.int64)] = odds_of(telling["seen"].to_numpy(), telling["toxic"].to_numpy(), prior)
+    use = docs.sparkSession.sparkContext.broadcast(odds > TELLING)
+    found = gathered(rows, [("n", "int"), ("sentence", "array<int>"), ("feature", "array<int>")], lambda texts: telling_words(texts, use.value))
+    scratch.clear()
+    return descended(odds, found["y"].to_numpy().astype(np.int64), found)
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = 8000) -> DataFrame:
     """(doc_id, held_out, score, worst_start, worst_end) of every row; the span is in bytes of the text."""
     return scored_rows(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), labels, most).select("row.doc_id", "row.held_out", "score", "worst_start", "worst_end")
@@ -157,7 +219,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = 8000) -> Dat
 
 def scored_rows(docs: DataFrame, labels: DataFrame, most: int = 8000) -> DataFrame:
     """(row, score, worst_start, worst_end): each row of docs, with all its columns, as a struct."""
-    model = docs.sparkSession.sparkContext.broadcast(train(training_texts(docs, labels, "toxic", most)))
+    model = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, most))
 
     def run(batches):
         for b in batches:
@@ -168,6 +230,5 @@ def scored_rows(docs: DataFrame, labels: DataFrame, most: int = 8000) -> DataFra
             w = np.concatenate(spans)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(scores)), pa.array(w[:, 0]), pa.array(w[:, 1])], names=["row", "score", "worst_start", "worst_end"])
 
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    kind = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("worst_start", T.LongType()), T.StructField("worst_end", T.LongType())])
-    return rows.mapInArrow(run, kind)
+    rows = as_rows(docs)
+    return rows.mapInArrow(run, with_fields(rows, ("score", T.DoubleType()), ("worst_start", T.LongType()), ("worst_end", T.LongType())))
