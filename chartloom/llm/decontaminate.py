@@ -6,9 +6,12 @@ fingerprints of documents meet those of the benchmark; a meeting fixes how item
 along that alignment all windows that are equal word for word are the hits. Items of fewer words than a
 window are one window of their own length and are proposed by the hash of that whole sequence.
 
-Nothing is sampled or capped: fingerprints only propose alignments, words decide. A null text has no
-words. Rows that repeat a doc_id, or have none, are judged one by one on their own text. Items without
-words never occur; an item without item_id marks words but isn't listed. Other columns are ignored.
+Nothing is sampled or capped: fingerprints only propose alignments, words decide. Proposals of few documents are broadcast
+by the words they carry, so that texts are not shuffled; beyond that bound they are joined by a shuffle.
+
+A null text has no words. Rows that repeat a doc_id, or have none, are judged one by one on their own text; very long
+texts whole. Items without words never occur; an item without item_id marks words but isn't listed. An empty table of
+documents gives an empty result, an empty benchmark no hits. Other columns, whatever their names, are carried in `row`.
 """
 
 from __future__ import annotations
@@ -16,6 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chartloom.llm.graph import cut
+from chartloom.llm.labelled import as_rows
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words once A-Z are lower case; A-Z themselves are split off before they are lowered.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -23,6 +29,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 POSITION_BITS = 28
 #: Benchmarks of up to so many fingerprints (16 bytes each) are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Proposals are broadcast if they carry up to so many words of items (some 20 bytes each) in all.
+BROADCAST_WORDS = 2_000_000
 
 
 def word_array(text: Column) -> Column:
@@ -67,15 +75,19 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram
     ours = split(worded.select("doc_id", F.explode(fingerprints("w", gram, window)).alias("fp")), ["doc_id"])
     proposed = ours.join(_small(theirs), "key").select("doc_id", "item", "iw", (F.col("at") - F.col("iat")).alias("shift"))
     lengths = sorted(r[0] for r in items.where(F.size("iw") < window).select(F.size("iw")).distinct().collect())  # fewer than window
-    for n in lengths:
-        whole = items.where(F.size("iw") == n).withColumn("key", F.xxhash64(*(F.get("iw", F.lit(k)) for k in range(n))))
-        w = F.col("w")
-        seen = worded.select("doc_id", F.explode(F.array_distinct(_up_to(F.size(w) - n, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n)))))).alias("key"))  # noqa: B023
-        proposed = proposed.union(seen.join(_small(whole), "key").select("doc_id", "item", "iw", F.lit(None).cast("int").alias("shift")))
-    found = proposed.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("item", "iw", "shift")).alias("found"))
-
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    met = rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left").withColumn("words", word_array(F.col("row.text")))
+    if lengths:  # one pass over all lengths: the key of a sequence is the hash of its length and words
+        sequence = lambda xs, i, n: F.xxhash64(F.lit(n), *(F.get(xs, i + k) for k in range(n)))
+        whole = F.coalesce(*(F.when(F.size("iw") == n, sequence(F.col("iw"), F.lit(0), n)) for n in lengths))
+        short = items.where(F.size("iw") < window).withColumn("key", whole)
+        of_length = lambda n: _up_to(F.size("w") - n, lambda i: sequence(F.col("w"), i, n))
+        every = F.concat(*map(of_length, lengths))
+        seen = worded.select("doc_id", F.explode(F.array_distinct(every)).alias("key"))
+        proposed = proposed.union(seen.join(_small(short), "key").select("doc_id", "item", "iw", F.lit(None).cast("int").alias("shift")))
+    found = cut(proposed.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("item", "iw", "shift")).alias("found")))
+    carried = found.agg(F.sum(F.aggregate("found", F.lit(0).cast("long"), lambda n, x: n + F.size(x["iw"]) + 4))).head()[0] or 0
+
+    rows = as_rows(docs)
+    met = rows.join(F.broadcast(found) if carried <= BROADCAST_WORDS else found, F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left").withColumn("words", word_array(F.col("row.text")))
     w = F.col("words")
 
     def starts(x: Column) -> Column:

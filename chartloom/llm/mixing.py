@@ -7,9 +7,13 @@ document is taken floor(rate) times, and once more if a hash of its id, seeded,
 fraction. Of `seeds` seeds each source uses the one whose draw comes nearest its target; all draws are
 summed in one pass, before any shuffle.
 
+Texts are read twice: once for the sizes, which are kept in a table of three numbers a document from which
+sources, targets and draws are summed, and once for the result.
+
 The hash depends on doc_id alone (on the text where there is none), so reruns agree however data are
 dealt. A null or empty text has size 0. Rows that repeat a doc_id are drawn alike. A null source is a
-source, the last one. A source of size 0 has the target 0 and none of its documents is taken.
+source, the last one. A source of size 0 has the target 0 and none of its documents is taken. Very long texts count
+whole; an empty table gives an empty result. Other columns, whatever their names, are carried in the struct `row`.
 """
 
 from __future__ import annotations
@@ -17,6 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartloom.llm.graph import cut
+from chartloom.llm.labelled import as_rows
+
 #: Draws are numbers below this prime.
 PRIME = 2**31 - 1
 
@@ -60,16 +67,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seeds: int = 32) -> DataFrame:
     """(row, size, source_size, target, copies, taken): each row of docs, with all its columns, as a struct; taken = copies * size."""
     own = F.conv(F.substring(F.md5(F.coalesce(F.col("row.doc_id").cast("string"), "row.text", F.lit(""))), 1, 7), 16, 10).cast("long")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    sized = rows.select("row", "row.source", text_size(F.col("row.text")).alias("size"), own.alias("own"))
-    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    sized = as_rows(docs).select("row", "row.source", text_size(F.col("row.text")).alias("size"), own.alias("own"))
+    thin = cut(sized.select("own", "size", "source"))
+    targets = source_targets(thin.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     rates = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    rates = rates.withColumn("whole", F.floor("rate")).withColumn("part", F.col("rate") - F.col("whole"))
-    thin = sized.select("own", "size", "source")
+    rates = cut(rates.withColumn("whole", F.floor("rate")).withColumn("part", F.col("rate") - F.col("whole")))
     drawn = _with_rates(thin, rates).groupBy("source").agg(F.first("target").alias("target"), F.first("whole").alias("whole"), F.sum("size").alias("source_size"), *(F.sum(F.when(_below(k, F.col("part")), F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(seeds)))
     off = [F.struct(F.abs(F.col("whole") * F.col("source_size") + F.col(f"s{k}") - F.col("target")).alias("off"), F.lit(k).alias("seed")) for k in range(seeds)]
     best = drawn.select("source", F.array_min(F.array(*off))["seed"].alias("seed"))
-    plan = rates.withColumnRenamed("source", "_s").join(best, F.col("_s").eqNullSafe(F.col("source"))).drop("_s")
+    plan = cut(rates.withColumnRenamed("source", "_s").join(best, F.col("_s").eqNullSafe(F.col("source"))).drop("_s"))
     copies = F.col("whole") + F.when(_below(F.col("seed"), F.col("part"), seeds), 1).otherwise(0)
     out = _with_rates(sized, plan).withColumn("copies", F.when(F.col("source_size") > 0, copies).otherwise(0).cast("int"))
     return out.select("row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
