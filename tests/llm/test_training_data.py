@@ -22,10 +22,15 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def hard(spark):
     base = " ".join(f"w{k}" for k in range(120))
     line = "the same long line of boilerplate that many of the documents share with one another, more than a hundred bytes of it.\n"
+    turns = "ab"
+    while len(turns) < 1024:  # the Thue-Morse word and its complement: equal under polynomials modulo a power of two
+        turns += turns.translate(str.maketrans("ab", "ba"))
+    other = turns.translate(str.maketrans("ab", "ba"))
     rows = [
         (1, base), (2, base), (3, base + " end"), (4, None), (5, ""), (6, "   \n\t "), (7, "one"), (8, "one"), (9, "Two words"), (10, "two WORDS"),
         (None, base + " null id"), (11, "é" * 150 + line + "x"), (12, line * 3), (13, "a" * 400), (14, "ab" * 3000), (15, "word " * 500), (15, "word " * 500), (15, "another text of the same id"),
         (16, line + " ".join(f"v{k}" for k in range(80)) + "\n" + line), (17, " ".join(f"x{k}" for k in range(40000))),
+        (18, turns), (19, other), (20, f"{turns}\n{other}\n{turns} {other}\n{turns}"),
     ]
     return spark.createDataFrame([(i, t, "s" if i and i % 2 else None, 1, "r", 0.5, 2) for i, t in rows], SCHEMA)
 
@@ -129,23 +134,22 @@ def removed(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
-def test_suffix_dedup_is_brute_force(hard, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize("most", [suffix_dedup.SHARD_PIECES, 1])
+def test_suffix_dedup_is_brute_force(hard, most):
     docs = hard.where("doc_id IS NULL OR doc_id <> 15")
     want = removed([(r.doc_id, r.text) for r in docs.collect()])
-    got = suffix_dedup.kept_digest(suffix_dedup.deduplicated(docs)).collect()
+    got = suffix_dedup.kept_digest(suffix_dedup.deduplicated(docs, shard_pieces=most)).collect()
     assert {(-(2**63) if r.doc_id is None else r.doc_id): (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
 
 
-def test_hot_anchors_are_dealt_out():
-    """More pieces on one anchor than HOT go to kind 2, all of them."""
+def test_many_pieces_on_one_key_have_several_shards():
     import pyarrow as pa
 
-    n = suffix_dedup.HOT + 5
-    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array(np.zeros(n, np.int64)), pa.array(np.ones(n, np.int32))], names=["anchor", "piece", "doc", "at", "n"])
-    out = [k for b in suffix_dedup._sift(iter([batch.slice(0, 100), batch.slice(100)])) for k in b.column(3).to_pylist()]
-    assert Counter(out) == {2: n}
+    n = 25
+    zeros, up = pa.array(np.zeros(n, np.int64)), pa.array(np.arange(n))
+    batch = pa.RecordBatch.from_arrays([zeros, zeros, up, up, up, zeros, pa.array(np.ones(n, np.int32))], names=["part", "anchor", "piece", "second", "doc", "at", "n"])
+    out = [k for b in suffix_dedup._sift(10)(iter([batch.slice(0, 7), batch.slice(7)])) for k in b.column(3).to_pylist()]
+    assert Counter(out) == {2: 11, 3: 11, 4: 3}
 
 
 def test_rows_of_one_id_and_text_are_one_document(hard):
@@ -292,12 +296,138 @@ def test_secret_base_patterns():
     assert secret_scan.redact(text, got, "#").count("#") == 5  # an assignment and the string in it are one
 
 
-def test_secret_network_separates():
-    x, y = secret_scan.training_findings(["the plain words of a text " * 3], each=300)
-    net = secret_scan.train(x, y)
-    p = net.probability(x)
-    assert (p[y == 1] >= net.threshold).mean() > 0.95
-    assert (p[y == 0] >= net.threshold).mean() < 0.02
+def test_secret_network_finds_made_up_secrets_it_has_not_seen():
+    words = ["plain", "words", "of", "texts", "report", "index"]
+    net = secret_scan.fitted([" ".join(words) * 3], each=800)
+    rows, y = secret_scan.made_up(600, words, seed=99)
+    caught = []
+    for (text, a, b), label in zip(rows, y, strict=True):
+        spans = secret_scan.all_findings(text, net)[1]
+        base = secret_scan.base_findings(text)
+        if not any(x < b and z > a for x, z, _ in base):
+            caught.append((label, any(x < b and z > a for x, z, _ in spans)))
+    positive, negative = ([c for label, c in caught if label == k] for k in (1, 0))
+    assert len(positive) > 400 and np.mean(positive) >= 0.9
+    assert np.mean(negative) <= 0.1
+
+
+def test_base_findings_are_brute_force():
+    """Against readers of one character after another."""
+    rng = np.random.default_rng(4)
+    names = ["password", "passwd", "secret", "token", "apikey", "api_key", "PassWord", "API_KEY"]
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def run(text, at, of):
+        end = at
+        while end < len(text) and text[end] in of:
+            end += 1
+        return end
+
+    def assigned(text, at):
+        """The end of an assignment that begins at `at`, and where its value begins, for the first name that fits."""
+        for name in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+            if text[at : at + len(name)].lower() == name:
+                k = at + len(name)
+                k += k < len(text) and text[k] in "\"'"
+                k = run(text, k, " ")
+                if k < len(text) and text[k] in ":=":
+                    k = run(text, k + 1, " ")
+                    quoted = k + (k < len(text) and text[k] in "\"'")
+                    end = run(text, quoted, value)
+                    if end > quoted:
+                        return quoted, end
+        return None
+
+    def brute(text):
+        out, at = [], 0
+        while at < len(text):
+            if got := assigned(text, at):
+                if got[1] - got[0] >= 8:
+                    out.append((at, got[1], 0))
+                at = got[1]
+            else:
+                at += 1
+        at = text.find("AKIA")
+        while at >= 0:
+            end = run(text, at + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+            if end > at + 4 and end - at >= 16:
+                out.append((at, end, 1))
+            at = text.find("AKIA", end if end > at + 4 else at + 1)
+        at = 0
+        while at < len(text):
+            end = run(text, at, set("0123456789abcdef"))
+            if end - at >= 32:
+                out.append((at, end, 2))
+            at = max(end, at + 1)
+        return sorted(out, key=lambda f: (f[0], f[2]))
+
+    bits = [*names, *names, "=", ":", " = ", '"', "'", " ", "é", "AKIA", "ABCDEFGH12345678", "0123456789abcdef" * 2, "ab12", "x_y.z", "+/", "\n"]
+    for _ in range(3000):
+        text = "".join(bits[k] for k in rng.integers(0, len(bits), rng.integers(1, 14)))
+        assert secret_scan.base_findings(text) == brute(text), text
+
+
+def test_held_out_labels_change_no_score(spark):
+    """Flipping the labels of held-out rows leaves every score as it was, and reruns agree."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    from chartloom.llm.labelled import held_out
+
+    flip = lambda c: F.when(held_out(F.col("doc_id")), 1 - F.col(c)).otherwise(F.col(c)).alias(c)
+    flipped = labels.select("doc_id", flip("quality"), flip("toxic"))
+    for f, column in ((toxicity.toxicity_scores, "score"), (quality_pu.quality_scores, "score"), (quality_rules.judged, "kept")):
+        one, two = ({r.doc_id: r[column] for r in f(docs, x).select("doc_id", column).collect()} for x in (labels, flipped))
+        assert one == two and len(one) == 1000
+
+
+def test_held_out_quality(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_pu.quality_scores(docs, labels).where("held_out").join(labels, "doc_id").collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    assert np.mean([g > b for g in good for b in bad]) > 0.95
+    assert np.mean(np.array(good) >= 0.3) > 0.95 and np.mean(np.array(bad) >= 0.3) < 0.2
+
+
+def test_emitted_rules_are_the_learned_list(hard, labels):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["fine", "word", "more", "of", "it"], 60)) if k % 3 else "!! ## " * 40 for k in range(90)]
+    x = quality_rules.features(text_stats.column_counts(pa.array(texts)))
+    rules = quality_rules.learn_list(x, np.arange(90) % 3 == 0)
+    assert rules
+    docs = hard.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.rule for r in text_stats.with_counts(docs).withColumn("rule", quality_rules.list_column(rules)).collect()}
+    want = {k: next((n for n, rule in enumerate(rules, 1) if all(c.test(x[k : k + 1])[0] for c in rule)), None) for k in range(90)}
+    assert got == want
+
+
+@pytest.mark.parametrize("name", ["op1_ngram_jaccard_join", "op2_suffix_array_dedup"])
+def test_registered_queries_are_brute_force(spark, name):
+    """Over the whole documents of the smallest folder."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = queries.QUERIES[name](spark, SF).collect()
+    if name.startswith("op1"):
+        want = components(rows, 3, 90)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(shingles(x, 3)), want[i]) for i, x in rows}
+    else:
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == removed(rows)
+
+
+def test_clustering_decides_where_nothing_is_marked():
+    links = "".join(f'<li><a href="/{k}">Link number {k}</a></li>' for k in range(12))
+    text = ["A heading", *(f"Paragraph {k} has many words, so that its ratio of text to tags is far above that of the links around it." for k in range(6)), "Short end."]
+    body = f"<div><ul>{links}</ul></div><div><h2>{text[0]}</h2>" + "".join(f"<p>{t}</p>" for t in text[1:]) + f"</div><div><ul>{links}</ul></div>"
+    assert html_extract.main_text(f"<html><body>{body}</body></html>") == "\n".join(text)
+    assert html_extract.main_text(f"<html><body><main>{body}</main></body></html>") == "\n".join(text)
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    ('<div class="layout has-sidebar"><h1 class="page-header">Title</h1><p>Text.</p></div>', "Title\nText."),
+    ('<article><div class="legal-analysis"><p>Text.</p></div><div class="comment-list"><p>Mine!</p></div></article>', "Text."),
+    ('<div id="content"><p>Text.</p><div class="ad-slot-2">Buy</div><div class="sidebarLeft">Side</div><div role="navigation">Go</div></div>', "Text."),
+])
+def test_marks_are_whole_names(html, want):
+    assert html_extract.main_text(f"<html><body>{html}</body></html>") == want
 
 
 def test_toxic_sentences_are_found():
