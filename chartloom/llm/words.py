@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are tokenised at once (a longer text is a chunk of its own).
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 400_000
 
 #: The hashes' modulus, a Mersenne prime: sums and products fold by shifts, and no text is a collision by its structure alone.
 PRIME = (1 << 61) - 1
