@@ -7,7 +7,7 @@ equal places. The shard's key is the hash of a longer context that the window mu
 what stands before it where the window has enough of that, else with what stands behind.
 Consecutive windows of one anchor and side are a piece of text.
 
-1. Every text gives its pieces: key, a hash of the piece (two of 61 bits over different bases), its place. Equal
+1. Every text gives its pieces: key, a hash of the piece (61 bits, and 31 over another base), its place. Equal
    pieces of one Arrow batch are combined before the shuffle: all but the first are covered whole, and go to no
    shard. Sorted by key the others stream by: again all but the first are covered, and a key with one piece
    needs nothing more.
@@ -41,7 +41,7 @@ from chartloom.llm.graph import cut, likely
 from chartloom.llm.jaccard_join import NULL_ID
 
 #: Bytes of a gram that may be an anchor.
-GRAM = 24
+GRAM = 16
 #: Different pieces on one key that share a shard.
 SHARD_PIECES = 8192
 #: Bytes of pieces that make a shard.
@@ -277,7 +277,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int):
     return key, whole, words.span_hash(two, start, end + length), text[start], start, end - start + 1
 
 
-_PIECE = "part long, anchor long, piece long, second long, doc long, at long, n int"
+_PIECE = "part long, anchor long, piece long, second int, doc long, at long, n int"
 _FOUND = "doc long, at long, n int, kind int, anchor long"
 
 
@@ -291,7 +291,7 @@ def _give_pieces(length: int):
             for first, _, data, offsets in words.chunks(b.column(2)):
                 key, piece, second, text, start, n = pieces(data, offsets, length)
                 at = (tags[first + text].astype(np.int64) << 32) | (start - offsets[text])
-                for c, x in zip(cols, (key.view(np.int64), piece.view(np.int64), second.view(np.int64), ids[first + text], at, n), strict=True):
+                for c, x in zip(cols, (key.view(np.int64), piece.view(np.int64), (second >> np.uint64(33)).astype(np.int64), ids[first + text], at, n), strict=True):
                     c.append(x)
             key, piece, second, doc, at, n = (np.concatenate(c) for c in cols)
             order = np.lexsort((at, doc, second, piece, key))
@@ -302,7 +302,7 @@ def _give_pieces(length: int):
             n = np.where(same, -n, n).astype(np.int32)
             part = np.where(same, (doc ^ at) * np.int64(0x1E3779B97F4A7C15), key)
             keep = ~same | (doc != doc[own]) | (at != at[own])  # a repeated row is the same occurrence
-            out = [x[keep] for x in (part, key, piece, second, doc, at, n)]
+            out = [x[keep] for x in (part, key, piece, second.astype(np.int32), doc, at, n)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["part", "anchor", "piece", "second", "doc", "at", "n"])
 
     return run
@@ -486,7 +486,8 @@ def deduplicated(docs: DataFrame, length: int = 100, shard_pieces: int = SHARD_P
     by_doc = cut(found.withColumn("tag", tag).groupBy("doc", "tag").agg(F.collect_list(F.when(F.col("kind") == 0, span)).alias("sure"), F.collect_list(F.when(F.col("kind") > 0, cand)).alias("cands")))
     open_ = by_doc.where(F.size("cands") > 0).select("doc", "tag", "cands")
     fetched = likely(keyed, open_, ["doc", "tag"]).join(open_, ["doc", "tag"]).select("doc", "tag", "text", "cands").mapInArrow(_fetch(length), "shard long, several boolean, doc long, at long, bytes binary")
-    compared = fetched.repartition("shard").sortWithinPartitions("shard", "doc", "at").mapInArrow(_compare(length), "doc long, at long, n long, one long, two long")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a shard's bytes take long: few of them make a task
+    compared = fetched.repartition(parts, "shard").sortWithinPartitions("shard", "doc", "at").mapInArrow(_compare(length), "doc long, at long, n long, one long, two long")
     more = compared.repartition("one").sortWithinPartitions("one", "two", "doc", "at").mapInArrow(_merge, "doc long, at long, n long")
     more = more.groupBy("doc", tag.alias("tag")).agg(F.collect_list(span).alias("found"))
     none = F.array().cast("array<struct<a:int,b:int>>")
