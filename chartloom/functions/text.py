@@ -121,3 +121,13 @@ def chart_type_of(caption_: Column) -> Column:
     for word, kind in (("line", "line"), ("pie", "pie"), ("scatter", "scatter"), ("heat", "heatmap"), ("box", "box"), ("area", "area")):
         out = out.when(low.contains(word), kind)
     return out.otherwise("unknown")
+
+
+def paper_id(chart_id: Column) -> Column:
+    """What stands before "_page_" in a chart's id, else before the first "_p"; else the id."""
+    return F.when(chart_id.contains("_page_"), F.split(chart_id, "_page_")[0]).otherwise(F.split(chart_id, "_p")[0])
+
+
+def safe_id(c: Column) -> Column:
+    """An id that may be a file name."""
+    return F.translate(c, "/:.", "___")
