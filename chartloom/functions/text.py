@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,8 +14,18 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def nfkc(c: Column) -> Column:
+    """Unicode's compatibility composition: no built-in function, so an Arrow-batched one; texts of plain ASCII, which it leaves alone, go past it as nulls."""
+
+    @F.pandas_udf("string")
+    def composed(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return F.coalesce(composed(F.when(F.length(c) < F.octet_length(c), c)), c)
+
+
 def normalize_a(c: Column) -> Column:
-    """Lower case, stripped, inner white space single."""
+    """Lower case, stripped, inner white space single; texts beyond ASCII go through nfkc() before."""
     return F.regexp_replace(strip(F.lower(c)), r"\s+", " ")
 
 

@@ -12,17 +12,31 @@ from chartloom.functions import text as T
 def text_metrics(pairs: DataFrame, pred: str, target: str, keys: list[str]) -> DataFrame:
     """Exact and contained matches, ANLS, CER, BLEU-1 and number recall of each pair."""
     p, t, d = F.col(pred), F.col(target), F.col("_distance")
+    pairs = pairs.withColumn(pred, T.nfkc(p)).withColumn(target, T.nfkc(t))
     return pairs.withColumn("_distance", T.distance(p, t)).select(*keys, T.exact_match(p, t).alias("exact"), T.contains_match(p, t).alias("contains"), F.round(T.anls(p, t, d=d), 6).alias("anls"), F.round(T.cer(p, t, d), 6).alias("cer"), F.round(N.number_recall(p, t), 6).alias("numeric"), T.length_category(t).alias("length"))
 
 
-def nearest_rank(x: Column, share: float) -> Column:
-    """The value at place floor(n * share) of the sorted values, from 0."""
-    xs = F.array_sort(F.collect_list(x))
-    return F.get(xs, F.floor(F.size(xs) * share).cast("int"))
+def nearest_ranks(rows: DataFrame, key: str, x: str, shares: dict[str, float], bins: int = 1024) -> DataFrame:
+    """(key, *shares): of each key the values at places floor(n * share) of its sorted values, from 0.
+
+    Equal values are counted first; a histogram of `bins` between a key's extremes finds the bin of each place, and only distinct values of that bin are ranked.
+    """
+    counts = rows.where(F.col(x).isNotNull()).groupBy(key, x).agg(F.count("*").alias("c"))
+    ends = counts.groupBy(key).agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.sum("c").alias("n"))
+    bin_ = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col(x) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).otherwise(F.lit(0))
+    binned = counts.join(ends, key).select(key, x, "c", "n", bin_.cast("int").alias("bin"))
+    w = Window.partitionBy(key).orderBy("bin")
+    hist = binned.groupBy(key, "bin").agg(F.sum("c").alias("h"), F.first("n").alias("n")).withColumn("before", F.sum("h").over(w) - F.col("h"))
+    wanted = F.explode(F.array(*(F.struct(F.lit(k).alias("share"), F.floor(F.col("n") * v).alias("place")) for k, v in shares.items())))
+    at = hist.select(key, "bin", "h", "before", wanted.alias("s")).where("s.place >= before AND s.place < before + h").select(key, "bin", "s.share", (F.col("s.place") - F.col("before")).alias("place"))
+    inside = Window.partitionBy(key, "share").orderBy(x)
+    found = binned.join(at, [key, "bin"]).withColumn("upto", F.sum("c").over(inside)).where("place < upto AND place >= upto - c")
+    return found.groupBy(key).agg(*(F.max(F.when(F.col("share") == k, F.col(x))).alias(k) for k in shares))
 
 
 def latency_report(rows: DataFrame, key: str, x: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg(x), 6).alias("mean"), nearest_rank(F.col(x), 0.5).alias("p50"), nearest_rank(F.col(x), 0.95).alias("p95"), F.min(x).alias("low"), F.max(x).alias("high"))
+    plain = rows.groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg(x), 6).alias("mean"), F.min(x).alias("low"), F.max(x).alias("high"))
+    return plain.join(nearest_ranks(rows, key, x, {"p50": 0.5, "p95": 0.95}), key).select(key, "n", "mean", "p50", "p95", "low", "high")
 
 
 def confusion(rows: DataFrame, gt: str, pred: str) -> DataFrame:

@@ -31,10 +31,16 @@ def unexpired(events: DataFrame, job: str, seconds: int) -> DataFrame:
 
 
 def rate_window(events: DataFrame, key: str, seconds: int) -> DataFrame:
-    """Requests and their sum within `seconds` up to and with each event of a key."""
-    w = Window.partitionBy(key).orderBy("t").rangeBetween(-seconds * 1_000_000, 0)
-    timed = events.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
-    return timed.select("event_id", key, F.count("*").over(w).alias("requests"), F.round(F.sum("value").over(w), 6).alias("total"))
+    """Requests and their sum within `seconds` up to and with each event of a key.
+
+    A key's events are dealt over spans of that length, each event standing in the next span too, so that a busy key isn't one group.
+    """
+    width = seconds * 1_000_000
+    timed = events.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("own", F.floor(F.col("t") / width).cast("long"))
+    dealt = timed.withColumn("span", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    w = Window.partitionBy(key, "span").orderBy("t").rangeBetween(-width, 0)
+    out = dealt.withColumn("requests", F.count("*").over(w)).withColumn("total", F.round(F.sum("value").over(w), 6))
+    return out.where("span = own").select("event_id", key, "requests", "total")
 
 
 def running_mean(events: DataFrame, key: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import deque
-from difflib import SequenceMatcher
 from functools import lru_cache
 
 import numpy as np
@@ -65,9 +66,29 @@ def suppressed(boxes: DataFrame, on: str, key: str, most: float = 0.5) -> DataFr
     return by.mapInPandas(run, f"{on} long, {key} long")
 
 
+def normal(x: str) -> str:
+    """Lower case, stripped, NFKC, white space single."""
+    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", x.lower().strip()))
+
+
 @lru_cache(1 << 18)
-def _ratio(g: str, p: str) -> float:
-    return SequenceMatcher(None, g, p).ratio()
+def edits(a: str, b: str, most: int) -> int:
+    """The edit distance of two texts, or most + 1 beyond it: only cells within `most` of the diagonal are filled."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    far = most + 1
+    row = [min(j, far) for j in range(len(b) + 1)]
+    for i, c in enumerate(a, 1):
+        lo, hi = max(1, i - most), min(len(b), i + most)
+        new = [far] * (len(b) + 1)
+        if lo == 1:
+            new[0] = min(i, far)
+        for j in range(lo, hi + 1):
+            new[j] = min(row[j - 1] + (c != b[j - 1]), row[j] + 1, new[j - 1] + 1, far)
+        row = new
+        if min(row[max(0, lo - 1) : hi + 1]) > most:
+            return far
+    return row[-1]
 
 
 def _bags(texts: list[str]) -> np.ndarray:
@@ -78,48 +99,56 @@ def _bags(texts: list[str]) -> np.ndarray:
 
 
 def _alike(gts: list[str], preds: list[str], least: float) -> dict[str, list[tuple[float, str]]]:
-    """Of each target the predictions with a ratio of at least `least`; characters in common, which bound it, rule most out."""
+    """Of each target the other predictions with an ANLS of at least `least`; characters in common, which bound the distance, rule most out."""
     out = {g: [] for g in gts}
     if not gts or not preds:
         return out
     a, b = _bags(gts), _bags(preds)
-    n = a.sum(1)[:, None] + b.sum(1)
+    n = np.maximum(a.sum(1)[:, None], b.sum(1))
     step = max(1, 1_000_000 // len(preds))
     for k in range(0, len(gts), step):
         part = a[k : k + step]
         common = sum(np.minimum(part[:, c, None], b[:, c]) for c in range(32))
-        for i, j in zip(*np.nonzero(2 * common >= least * n[k : k + step] - 1e-9), strict=True):
-            if (ratio := _ratio(gts[k + i], preds[j])) >= least:
-                out[gts[k + i]].append((ratio, preds[j]))
+        for i, j in zip(*np.nonzero(common >= least * n[k : k + step] - 1e-9), strict=True):
+            g, p = gts[k + i], preds[j]
+            size = max(len(g), len(p))
+            d = edits(g, p, int((1 - least) * size + 1e-9))
+            if size and g and 1 - d / size >= least - 1e-12:
+                out[g].append((1 - d / size, p))
     return out
 
 
-def greedy_text_overlap(pairs: DataFrame, key: str, least: float = 0.7) -> DataFrame:
-    """Precision, recall and F1 of (key, preds array, gts array): each target in order takes the unused prediction most alike, if alike enough.
+def greedy_text_overlap(pairs: DataFrame, key: str, least: float = 0.7, match: str = "anls") -> DataFrame:
+    """Matches, precision, recall and F1 of (key, preds array, gts array): each target in order takes the unused prediction that scores best, the first of equals, if it scores `least`.
 
-    Equal predictions are told apart by place alone, so each distinct target is compared with each distinct
-    prediction once, and takes the first unused place of the one most alike.
+    match: "exact" (equal once normalised), "contains" (one within the other) or "anls" (one less the edit distance over the longer length; 0 beyond a half).
+    Without targets all three are 1. Equal predictions are told apart by place alone, so distinct texts are compared once.
     """
 
     def run(it):
         for pdf in it:
             out = []
             for r in pdf.itertuples():
+                gts, preds = [normal(x) for x in r.gts], [normal(x) for x in r.preds]
                 places, known, hits = {}, None, 0
-                for i, p in enumerate(r.preds):
+                for i, p in enumerate(preds):
                     places.setdefault(p, deque()).append(i)
-                for g in r.gts:
-                    if places.get(g):  # no other has ratio 1
+                for g in gts:
+                    best = None
+                    if match == "contains":
+                        best = min((q[0], p) for p, q in places.items() if q and (g in p or p in g))[1] if any(q and (g in p or p in g) for p, q in places.items()) else None
+                    elif places.get(g):  # no other scores 1
                         best = g
-                    else:
+                    elif match == "anls":
                         if known is None:
-                            known = _alike(list(dict.fromkeys(r.gts)), list(places), least)
-                        best = max(((ratio, -places[p][0], p) for ratio, p in known[g] if places[p]), default=(0, 0, None))[2]
+                            known = _alike(list(dict.fromkeys(gts)), list(places), least)
+                        best = max(((score, -places[p][0], p) for score, p in known[g] if places[p]), default=(0, 0, None))[2]
                     if best is not None:
                         places[best].popleft()
                         hits += 1
-                p, q = (hits / len(x) if len(x) else 0.0 for x in (r.preds, r.gts))
-                out.append((getattr(r, key), hits, p, q, 2 * p * q / (p + q) if p + q else 0.0))
+                p, q = (hits / len(x) if len(x) else 0.0 for x in (preds, gts))
+                scores = (p, q, 2 * p * q / (p + q) if p + q else 0.0) if gts else (1.0, 1.0, 1.0)
+                out.append((getattr(r, key), hits, *(round(x, 4) for x in scores)))
             yield pd.DataFrame(out, columns=[key, "hits", "precision", "recall", "f1"])
 
     return pairs.select(key, "preds", "gts").mapInPandas(run, f"{key} long, hits long, precision double, recall double, f1 double")

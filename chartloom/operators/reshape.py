@@ -50,11 +50,13 @@ def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.posexplode(kept).alias("pos", "paragraph"))
 
 
-def with_context(paras: DataFrame, key: str, reach: int = 3) -> DataFrame:
-    """Each paragraph with the length of the paragraphs within `reach` of it, itself left out, and the first caption among them."""
+def with_context(paras: DataFrame, key: str, reach: int = 3, alt: str | None = None) -> DataFrame:
+    """Each paragraph with the paragraphs within `reach` of it, itself left out: their number, their length, and the first caption among them, else its alternative text (column `alt`) if that is one."""
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(-reach, reach)
     around = F.filter(F.collect_list(F.struct("pos", "paragraph")).over(w), lambda x: x["pos"] != F.col("pos"))
-    return paras.withColumn("around", around).select(key, "pos", F.size("around").alias("n"), F.length(F.array_join(F.col("around.paragraph"), " ")).alias("context_chars"))
+    other = F.when(T.caption(F.col(alt)), F.col(alt)) if alt else F.lit(None).cast("string")
+    caption = F.coalesce(F.get(F.filter(F.col("around.paragraph"), T.caption), F.lit(0)), other)
+    return paras.withColumn("around", around).select(key, "pos", F.size("around").alias("n"), F.length(F.array_join(F.col("around.paragraph"), " ")).alias("context_chars"), F.left(caption, F.lit(60)).alias("caption"))
 
 
 def pseudo_pages(paras: DataFrame, key: str, each: int = 15) -> DataFrame:

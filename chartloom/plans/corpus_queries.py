@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import functions as F
 
 from chartloom.functions import numeric as N
@@ -57,17 +55,6 @@ def quality_filter_notes(spark, sf_dir):
     return R.quality_notes(p)
 
 
-def role_classifier(spark, sf_dir):
-    """The role of each order's clerk-like token by its place and content: ordered rules, the first that holds."""
-    o = read(spark, sf_dir, "orders").select("o_orderkey", F.pmod("o_orderkey", F.lit(100)).alias("x"), F.pmod(F.floor(F.col("o_orderkey") / 7), F.lit(100)).alias("y"), F.when(F.col("o_orderkey") % 3 == 0, F.format_string("%.2f", "o_totalprice")).otherwise(F.col("o_orderpriority")).alias("text"))
-    number = N.is_number(F.col("text"))
-    role = (
-        F.when((F.col("y") < 10) & ~number, "title").when((F.col("x") < 20) & number, "y_tick").when((F.col("y") > 80) & number, "x_tick").when(F.col("y") > 90, "x_axis_label")
-        .when((F.col("x") < 10) & ~number, "y_axis_label").when((F.col("x") > 80) & ~number, "legend").when(number, "data_label").otherwise("unknown")
-    )
-    return o.groupBy(role.alias("role")).agg(F.count("*").alias("n"))
-
-
 def ocr_cleanup(spark, sf_dir):
     p = read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", "p_name")
     k = F.pmod("p_partkey", F.lit(5))
@@ -88,10 +75,10 @@ def nearest_label(spark, sf_dir):
 
 
 def nearest_colour(spark, sf_dir):
-    """Parts of a brand against that brand's suppliers' legend colours."""
+    """Parts as elements of charts of eighty, four suppliers of each chart as its legend."""
     rgb = lambda key, s="": [F.pmod(F.col(key) * k, F.lit(256)).cast("double").alias(c + s) for c, k in (("r", 37), ("g", 59), ("b", 83))]
-    parts = read(spark, sf_dir, "part").select(F.pmod("p_partkey", F.lit(25)).alias("chart"), "p_partkey", *rgb("p_partkey"))
-    legend = read(spark, sf_dir, "supplier").select(F.pmod("s_suppkey", F.lit(25)).alias("chart"), "s_suppkey", *rgb("s_suppkey", "2"))
+    parts = read(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 80).alias("chart"), "p_partkey", *rgb("p_partkey"))
+    legend = read(spark, sf_dir, "supplier").select(F.floor(F.col("s_suppkey") / 4).alias("chart"), "s_suppkey", *rgb("s_suppkey", "2"))
     return J.nearest_colour(parts, legend, "chart", "p_partkey", "s_suppkey")
 
 
@@ -123,14 +110,7 @@ def text_overlap_greedy(spark, sf_dir):
 
 
 def nfkc_normalize(spark, sf_dir):
-    """NFKC is no built-in function: an Arrow-batched UDF; texts of plain ASCII, which it leaves alone, go past it as nulls."""
-
-    @F.pandas_udf("string")
-    def nfkc(s):
-        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
-
-    other = F.when(F.length("text") < F.octet_length("text"), F.col("text"))
-    return _docs(spark, sf_dir).select("doc_id", F.md5(T.normalize_a(F.coalesce(nfkc(other), "text"))).alias("normal_md5"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.normalize_a(T.nfkc(F.col("text")))).alias("normal_md5"))
 
 
 def _paths(spark, sf_dir):
@@ -172,7 +152,7 @@ def colour_clusters(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        linear_table_parse, table_unpivot, table_records, paragraph_context, pseudo_pages, html_titles_links, quality_filter_notes, role_classifier, ocr_cleanup, caption_types, nearest_label, nearest_colour, caption_band_join,
+        linear_table_parse, table_unpivot, table_records, paragraph_context, pseudo_pages, html_titles_links, quality_filter_notes, ocr_cleanup, caption_types, nearest_label, nearest_colour, caption_band_join,
         iou_pairs, box_suppression, text_overlap_greedy, nfkc_normalize, polyline_facts, path_curvature, path_simplify, circle_fit, projection_runs, colour_clusters,
     )
 }
@@ -187,18 +167,18 @@ ORACLES = {
       FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, printf('%.0f | %.0f', l_quantity, l_discount * 100)) AS r FROM lineitem), (VALUES (0), (1)) v(s)""",
     "table_records": """SELECT l_orderkey, CAST(r - 1 AS INT) AS row, c AS col, ['Item', 'Quantity Discount', 'col2'][c + 1] AS header, CASE c WHEN 0 THEN 'item' || l_linenumber WHEN 1 THEN printf('%.0f', l_quantity) ELSE printf('%.0f', l_discount * 100) || '%' END AS cell
       FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, printf('%.0f | %.0f', l_quantity, l_discount * 100)) AS r FROM lineitem), (VALUES (0), (1), (2)) v(c)""",
-    "paragraph_context": f"WITH {_PARAS}, a AS (SELECT x.doc_id, x.pos, count(y.pos) AS n, coalesce(sum(length(trim(y.paragraph))), 0) + greatest(count(y.pos) - 1, 0) AS context_chars FROM paras x LEFT JOIN paras y ON x.doc_id = y.doc_id AND abs(x.pos - y.pos) BETWEEN 1 AND 3 GROUP BY ALL) SELECT doc_id, pos, n, CAST(context_chars AS BIGINT) AS context_chars FROM a",
+    "paragraph_context": f"""WITH {_PARAS}, a AS (SELECT x.doc_id, x.pos, count(y.pos) AS n, coalesce(sum(length(trim(y.paragraph))), 0) + greatest(count(y.pos) - 1, 0) AS context_chars,
+        arg_min(trim(y.paragraph), y.pos) FILTER (regexp_matches(trim(y.paragraph), '(?i)^\\s*(figure|fig\\.?|chart|graph|table|plot|diagram|hình|biểu đồ)\\s*\\d*'))[1:60] AS caption FROM paras x LEFT JOIN paras y ON x.doc_id = y.doc_id AND abs(x.pos - y.pos) BETWEEN 1 AND 3 GROUP BY ALL)
+      SELECT doc_id, pos, n, CAST(context_chars AS BIGINT) AS context_chars, caption FROM a""",
     "pseudo_pages": f"WITH {_PARAS} SELECT doc_id, CAST(pos // 3 AS INT) AS page, count(*) AS paragraphs, md5(string_agg(trim(paragraph), chr(10) ORDER BY pos)) AS text_md5 FROM paras GROUP BY 1, 2",
     "html_titles_links": """SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS links, coalesce(regexp_extract_all(html, '<a href="([^"]*)"', 1)[1], '') AS first_link, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages""",
     "quality_filter_notes": """WITH i AS (SELECT p_partkey AS image_id, p_size * 97 AS w, p_partkey % 47 * 101 AS h FROM part), a AS (SELECT *, CASE WHEN h > 0 THEN w::DOUBLE / h ELSE 0 END AS r FROM i),
       n AS (SELECT *, list_filter([CASE WHEN w < 300 THEN 'width_small' END, CASE WHEN h < 300 THEN 'height_small' END, CASE WHEN w > 4096 THEN 'width_large' END, CASE WHEN h > 4096 THEN 'height_large' END, CASE WHEN r < 0.3 THEN 'aspect_small' END, CASE WHEN r > 3 THEN 'aspect_large' END], lambda x: x IS NOT NULL) AS notes FROM a)
       SELECT image_id, array_to_string(notes, ',') AS notes, len(notes) = 0 AS valid, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - len(notes) * 0.2 + least(w * h / 1e6, 1.0) * 0.1 + CASE WHEN r BETWEEN 0.8 AND 1.5 THEN 0.1::DOUBLE ELSE 0 END)), 9) AS score FROM n""",
-    "role_classifier": """WITH o AS (SELECT o_orderkey % 100 AS x, o_orderkey // 7 % 100 AS y, o_orderkey % 3 = 0 AS number FROM orders)
-      SELECT CASE WHEN y < 10 AND NOT number THEN 'title' WHEN x < 20 AND number THEN 'y_tick' WHEN y > 80 AND number THEN 'x_tick' WHEN y > 90 THEN 'x_axis_label' WHEN x < 10 AND NOT number THEN 'y_axis_label' WHEN x > 80 AND NOT number THEN 'legend' WHEN number THEN 'data_label' ELSE 'unknown' END AS role, count(*) AS n FROM o GROUP BY 1""",
     "ocr_cleanup": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN p_size || '%' WHEN 2 THEN p_size || 'K' WHEN 3 THEN p_size || '.5' ELSE p_name END AS cleaned FROM part",
     "nearest_label": """WITH t AS (SELECT o_custkey, max(o_totalprice) AS top FROM orders GROUP BY 1), g AS (SELECT o_custkey, label, round(top * label / 5, 2) AS spot FROM t, (VALUES (1), (2), (3), (4), (5)) v(label))
       SELECT o_custkey, o_orderkey, label, round(distance, 6) AS distance FROM (SELECT o.o_custkey, o_orderkey, label, abs(o_totalprice - spot) AS distance, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(o_totalprice - spot), label) AS r FROM orders o JOIN g ON o.o_custkey = g.o_custkey) WHERE r = 1""",
-    "nearest_colour": f"""WITH p AS (SELECT p_partkey % 25 AS chart, p_partkey, {_RGB('p_partkey')} FROM part), s AS (SELECT s_suppkey % 25 AS chart, s_suppkey, {_RGB('s_suppkey', '2')} FROM supplier),
+    "nearest_colour": f"""WITH p AS (SELECT p_partkey // 80 AS chart, p_partkey, {_RGB('p_partkey')} FROM part), s AS (SELECT s_suppkey // 4 AS chart, s_suppkey, {_RGB('s_suppkey', '2')} FROM supplier),
       d AS (SELECT p.chart, p_partkey, s_suppkey, sqrt((r - r2) ** 2 + (g - g2) ** 2 + (b - b2) ** 2) AS distance FROM p JOIN s ON p.chart = s.chart)
       SELECT chart, p_partkey, s_suppkey, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY distance, s_suppkey) AS k FROM d) WHERE k = 1""",
     "caption_band_join": "SELECT a.l_orderkey, a.l_linenumber, count(*) AS candidates, min(b.l_linenumber) AS first FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_suppkey * 10 % 1000 BETWEEN a.l_partkey % 1000 AND a.l_partkey % 1000 + 100 GROUP BY 1, 2",

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chartloom.functions import numeric as N
-from chartloom.operators import calibrate as C
+from chartloom.operators import calibrate as K
 from chartloom.operators import dataset as D
+from chartloom.sources import chart_tables as C
 from chartloom.sources.tables import QA_SQL, qa_pairs, read
 
 
@@ -66,6 +67,41 @@ def class_ratio_split(spark, sf_dir):
     return D.ratio_split(_docs(spark, sf_dir), "lang", "doc_id")
 
 
+def simple_split(spark, sf_dir):
+    return D.simple_split(_docs(spark, sf_dir), "doc_id")
+
+
+def class_ratio_cap(spark, sf_dir):
+    return D.ratio_split(_docs(spark, sf_dir), "lang", "doc_id", most=60)
+
+
+def stratified_top_up(spark, sf_dir):
+    return D.stratified(_docs(spark, sf_dir), ["lang", "source"], "doc_id", 150, least=2, top_up=True)
+
+
+def negative_sample(spark, sf_dir):
+    return D.negatives(_docs(spark, sf_dir), F.col("lang") == "en", "doc_id", 0.3)
+
+
+def head_per_type(spark, sf_dir):
+    return D.head_per_type(_docs(spark, sf_dir), "source", "doc_id", 60)
+
+
+def audit_sample(spark, sf_dir):
+    """Thirty of each language, seeded."""
+    return D.cap_per_group(_docs(spark, sf_dir), "lang", "doc_id", 30, seed=3).groupBy("lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+
+
+#: How many charts of each type and difficulty a benchmark has.
+QUOTAS = {"line": {"simple": 3, "moderate": 2, "complex": 2}, "bar": {"simple": 3, "moderate": 2, "complex": 1}, "pie": {"simple": 2, "moderate": 2}, "heatmap": {"simple": 1, "complex": 2}}
+
+
+def quota_sample(spark, sf_dir):
+    """Charts by type and difficulty, from papers (customers) not used yet where there are any."""
+    c = C.charts(spark, sf_dir).select("chart_id", "chart_type", "difficulty").join(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chart_id"), F.col("o_custkey").alias("paper")), "chart_id")
+    return D.quota_sample(c, "chart_type", "difficulty", "chart_id", "paper", QUOTAS, presample=50)
+
+
 def registry_upsert(spark, sf_dir):
     """The latest order of each customer."""
     o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate").withColumn("at", F.struct("o_orderdate", "o_orderkey"))
@@ -75,7 +111,7 @@ def registry_upsert(spark, sf_dir):
 def insert_if_absent(spark, sf_dir):
     old = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey", "o_orderkey", "o_totalprice")
     new = read(spark, sf_dir, "orders").where("o_orderpriority <> '1-URGENT'").select("o_custkey", "o_orderkey", "o_totalprice")
-    return D.insert_if_absent(old, new, "o_custkey", "o_orderkey")
+    return D.insert_if_absent(old, new, "o_custkey")
 
 
 def _ticks(spark, sf_dir):
@@ -85,19 +121,19 @@ def _ticks(spark, sf_dir):
 
 
 def ols_fit(spark, sf_dir):
-    return C.ols(_ticks(spark, sf_dir))
+    return K.ols(_ticks(spark, sf_dir))
 
 
 def theil_sen_fit(spark, sf_dir):
-    return C.theil_sen(_ticks(spark, sf_dir))
+    return K.theil_sen(_ticks(spark, sf_dir))
 
 
 def ransac_fit(spark, sf_dir):
-    return C.ransac_pairs(_ticks(spark, sf_dir), tolerance=5000.0)
+    return K.ransac_pairs(_ticks(spark, sf_dir), tolerance=5000.0)
 
 
 def log_vs_linear(spark, sf_dir):
-    return C.linear_or_log(_ticks(spark, sf_dir), gain=0.001)
+    return K.linear_or_log(_ticks(spark, sf_dir), gain=0.001)
 
 
 def axis_map_clamp(spark, sf_dir):
@@ -111,17 +147,17 @@ def axis_map_clamp(spark, sf_dir):
 
 def scale_patterns(spark, sf_dir):
     p = read(spark, sf_dir, "part").select("p_brand", F.pow(F.lit(2.0), F.pmod("p_partkey", F.lit(5)).cast("double")).alias("two"), F.col("p_size").cast("double").alias("size"))
-    a = C.scale_pattern(p.select(F.concat("p_brand", F.lit("/2")).alias("axis_id"), F.col("two").alias("v")), "axis_id", "v")
-    return a.union(C.scale_pattern(p.select(F.concat("p_brand", F.lit("/s")).alias("axis_id"), F.col("size").alias("v")), "axis_id", "v"))
+    a = K.scale_pattern(p.select(F.concat("p_brand", F.lit("/2")).alias("axis_id"), F.col("two").alias("v")), "axis_id", "v")
+    return a.union(K.scale_pattern(p.select(F.concat("p_brand", F.lit("/s")).alias("axis_id"), F.col("size").alias("v")), "axis_id", "v"))
 
 
 def colour_series(spark, sf_dir):
     """Lines of an order as elements: the ship flag is the colour, the part key the place."""
     e = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey")
-    return C.numbered_series(e, "l_orderkey", "l_returnflag", "l_partkey", "l_linenumber")
+    return K.numbered_series(e, "l_orderkey", "l_returnflag", "l_partkey", "l_linenumber")
 
 
-QUERIES = {f.__name__: f for f in (qa_pairs_from_turns, qa_feature_left_join, coverage_semi, orphan_anti, curriculum_distribution, pivot_type_difficulty, per_type_cap, fixed_per_type, stratified_sample, group_split, class_ratio_split, registry_upsert, insert_if_absent, ols_fit, theil_sen_fit, ransac_fit, log_vs_linear, axis_map_clamp, scale_patterns, colour_series)}
+QUERIES = {f.__name__: f for f in (qa_pairs_from_turns, qa_feature_left_join, coverage_semi, orphan_anti, curriculum_distribution, pivot_type_difficulty, per_type_cap, fixed_per_type, stratified_sample, group_split, class_ratio_split, simple_split, class_ratio_cap, stratified_top_up, negative_sample, head_per_type, audit_sample, quota_sample, registry_upsert, insert_if_absent, ols_fit, theil_sen_fit, ransac_fit, log_vs_linear, axis_map_clamp, scale_patterns, colour_series)}
 
 _TICKS = "ticks AS (SELECT o_orderpriority || '/' || year(o_orderdate) AS axis_id, month(o_orderdate)::DOUBLE AS pixel, round(avg(o_totalprice), 2) AS value FROM orders GROUP BY ALL)"
 _PAIRS = "pairs AS (SELECT a.axis_id, a.pixel AS p, b.pixel AS q, a.value AS v, (b.value - a.value) / (b.pixel - a.pixel) AS m FROM ticks a JOIN ticks b ON a.axis_id = b.axis_id AND b.pixel > a.pixel)"
@@ -148,8 +184,13 @@ ORACLES = {
     "group_split": f"SELECT doc_id, lang, source, {_split(0.85, 0.10)} FROM (SELECT *, {_rank('')} AS r, count(*) OVER () AS n FROM documents)",
     "class_ratio_split": f"SELECT doc_id, lang, source, {_split(0.8, 0.1)} FROM (SELECT *, {_rank('PARTITION BY lang ')} AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents)",
     "registry_upsert": "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1",
-    "insert_if_absent": """SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL
-      SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders WHERE o_orderpriority <> '1-URGENT') WHERE r = 1 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""",
+    "insert_if_absent": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' OR o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
+    "simple_split": f"SELECT doc_id, lang, source, {_split(0.70, 0.15)} FROM (SELECT *, {_rank('')} AS r, count(*) OVER () AS n FROM documents)",
+    "class_ratio_cap": f"SELECT * FROM (SELECT doc_id, lang, source, {_split(0.8, 0.1)}, r FROM (SELECT *, {_rank('PARTITION BY lang ')} AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents)) WHERE split <> 'train' OR r <= 60".replace("SELECT * FROM (", "SELECT doc_id, lang, source, split FROM ("),
+    "stratified_top_up": f"""SELECT doc_id, lang, source FROM (SELECT *, {_rank('PARTITION BY lang, source ')} AS r, count(*) OVER (PARTITION BY lang, source) AS n, count(*) OVER () AS a FROM documents) ORDER BY r > greatest(2, round_even(n * 150.0::DOUBLE / a, 0)), r, md5('42:' || doc_id), doc_id LIMIT 150""",
+    "negative_sample": f"""WITH m AS (SELECT doc_id, lang, source, lang = 'en' AS positive FROM documents), r AS (SELECT *, {_rank('PARTITION BY positive ')} AS r FROM m) SELECT doc_id, lang, source, positive FROM r WHERE positive OR r <= (SELECT floor(count(*) * 0.3::DOUBLE) FROM m WHERE positive)""",
+    "head_per_type": "SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= greatest(1, 60 // (SELECT count(DISTINCT source) FROM documents)) ORDER BY source, doc_id LIMIT 60",
+    "audit_sample": f"SELECT lang, count(*) AS n, min(doc_id) AS first FROM (SELECT *, {_rank('PARTITION BY lang ', 3)} AS r FROM documents) WHERE r <= 30 GROUP BY 1",
     "ols_fit": f"WITH {_TICKS} SELECT axis_id, count(*) AS n, round(regr_slope(value, pixel), 6) AS slope, round(regr_intercept(value, pixel), 6) AS intercept, round(regr_r2(value, pixel), 6) AS r2, round(sqrt(greatest(0.0, (1 - regr_r2(value, pixel)) * regr_syy(value, pixel) / count(*))), 4) AS residual_sd FROM ticks GROUP BY 1 HAVING count(*) >= 2",
     "theil_sen_fit": f"WITH {_TICKS}, {_PAIRS}, s AS (SELECT axis_id, median(m) AS slope FROM pairs GROUP BY 1) SELECT axis_id, round(any_value(slope), 6) AS slope, round(median(value - slope * pixel), 6) AS intercept FROM ticks JOIN s USING (axis_id) GROUP BY 1",
     "ransac_fit": f"""WITH {_TICKS}, {_PAIRS}, c AS (SELECT l.axis_id, p, q, v, m, count(*) FILTER (abs(t.value - (v + m * (t.pixel - p))) < 5000.0) AS inliers, count(*) AS n FROM pairs l JOIN ticks t ON l.axis_id = t.axis_id GROUP BY ALL)

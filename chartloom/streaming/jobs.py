@@ -44,11 +44,13 @@ def job_states(events: DataFrame, expiry: str = "1 day", late: str = "10 minutes
     return timed.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_type string, events long", "at long, kind string, n long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def upsert_sink(path: str, key: str):
-    """A foreachBatch writer that keeps one row of each key, the newest; a batch that comes again changes nothing."""
+def upsert_sink(path: str, key: str, order: str | None = None):
+    """A foreachBatch writer that keeps one row of each key, the newest by `order` (a batch without one has a row a key, else of repeated keys the last by all columns); a batch that comes again changes nothing."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.dropDuplicates([key]).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        rest = [c for c in batch.columns if c != key]
+        newest = F.max_by(F.struct(*rest), F.struct(order, *rest)) if order else F.max(F.struct(*rest))
+        batch.groupBy(key).agg(newest.alias("x")).select(key, "x.*").withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return write
 

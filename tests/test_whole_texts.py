@@ -8,7 +8,6 @@ import random
 import re
 import unicodedata
 from collections import Counter
-from difflib import SequenceMatcher
 
 import pytest
 
@@ -80,23 +79,38 @@ def test_fuzzy_match_sees_whole_texts(spark, folder):
     assert got[3] is False and got[2] is True
 
 
-def overlap(preds, gts, least=0.7):
+def anls(p, t):
+    if not t:
+        return float(not p)
+    ned = edits(p, t) / max(len(p), len(t))
+    return 0.0 if ned > 0.5 else 1 - ned
+
+
+def overlap(preds, gts, match="anls", least=0.7):
+    if not gts:
+        return 0, 1.0, 1.0, 1.0
+    preds, gts = [normal(p) for p in preds], [normal(g) for g in gts]
+    score = {"anls": anls, "exact": lambda p, g: float(p == g), "contains": lambda p, g: float(g in p or p in g)}[match]
     used, hits = set(), 0
     for g in gts:
-        best = max(((SequenceMatcher(None, g, p).ratio(), -i) for i, p in enumerate(preds) if i not in used), default=(0, 0))
-        if best[0] >= least:
-            used.add(-best[1])
+        best, at = 0.0, -1
+        for i, p in enumerate(preds):
+            if i not in used and score(p, g) > best:
+                best, at = score(p, g), i
+        if best >= least and at >= 0:
+            used.add(at)
             hits += 1
     p, r = (hits / len(x) if x else 0.0 for x in (preds, gts))
-    return hits, p, r, 2 * p * r / (p + r) if p + r else 0.0
+    return hits, *(round(x, 4) for x in (p, r, 2 * p * r / (p + r) if p + r else 0.0))
 
 
-def test_greedy_overlap_is_brute_force(spark):
+@pytest.mark.parametrize("match", ["anls", "exact", "contains"])
+def test_greedy_overlap_is_brute_force(spark, match):
     rng = random.Random(5)
-    bag = lambda n: ["".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) for _ in range(n)]
-    rows = [(k, bag(rng.randint(0, 40)), bag(rng.randint(0, 40))) for k in range(60)]
-    got = {r.k: tuple(r)[1:] for r in J.greedy_text_overlap(spark.createDataFrame(rows, "k long, preds array<string>, gts array<string>"), "k").collect()}
-    assert got == {k: pytest.approx(overlap(p, g)) for k, p, g in rows}
+    bag = lambda n: ["".join(rng.choice("abC ") for _ in range(rng.randint(0, 7))) for _ in range(n)]
+    rows = [(k, bag(rng.randint(0, 30)), bag(rng.randint(0, 30))) for k in range(60)]
+    got = {r.k: tuple(r)[1:] for r in J.greedy_text_overlap(spark.createDataFrame(rows, "k long, preds array<string>, gts array<string>"), "k", match=match).collect()}
+    assert got == {k: pytest.approx(overlap(p, g, match)) for k, p, g in rows}
 
 
 def test_overlap_takes_all_words_of_all_turns(spark, tmp_path):
