@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -144,3 +144,22 @@ def paper_id(chart_id: Column) -> Column:
 def safe_id(c: Column) -> Column:
     """An id that may be a file name."""
     return F.translate(c, "/:.", "___")
+
+
+def cleaned(c: Column) -> Column:
+    """Control characters and white space as single blanks, stripped."""
+    return strip(F.regexp_replace(c, r"\s+", " "))
+
+
+def markdown_title(text: Column, path: Column) -> Column:
+    """The first H1 of a Markdown text, else its file's name in title case."""
+    stem = F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
+    return F.coalesce(F.nullif(strip(F.regexp_extract(text, r"(?m)^#\s+(.+)$", 1)), F.lit("")), F.initcap(F.translate(stem, "_-", "  ")))
+
+
+def papers(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, n, title, link, pdf, authors) of each entry of a listing: the strong link, the link to a PDF, and the links to people."""
+    one = lambda c, p: F.regexp_extract(c, p, 1)
+    entries = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r'(?s)(<p class="d-sm-flex.*?</p>)'), F.lit(1))).alias("n", "e"))
+    strong = r'<strong>\s*<a[^>]*href="([^"]*)"'
+    return entries.select(key, "n", one("e", r"<strong>\s*<a[^>]*>([^<]*)</a>").alias("title"), one("e", strong).alias("link"), one("e", r'href="([^"]*\.pdf)"').alias("pdf"), F.array_join(F.regexp_extract_all("e", F.lit(r'<a href="/people/[^"]*">([^<]*)</a>'), F.lit(1)), ", ").alias("authors"))
