@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Chart types that a directory may name.
+#: Chart types that a directory may name.
 CHART_TYPES = ("area", "bar", "box", "heatmap", "histogram", "line", "pie", "scatter")
 
 
@@ -16,22 +20,161 @@ def path_parts(path):
     return F.regexp_extract(clean, r"([^/]+)/[^/]+$", 1), F.regexp_extract(clean, r"([^/]+?)(\.[^./]*)?$", 1)
 
 
-def records(spark: SparkSession, glob: str, schema: str) -> DataFrame:
-    """One row a JSON file, with chart_type and chart_id from its path; broken files and other directories are skipped, of equal stems the last path stays."""
+#: Which parser reads a file, by its extension.
+PARSERS = {".pdf": "pdf", ".docx": "docx", ".doc": "docx", ".md": "markdown", ".markdown": "markdown", ".png": "image", ".jpg": "image", ".jpeg": "image", ".bmp": "image", ".tiff": "image", ".webp": "image"}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share; on one machine, where none is set, a temporary one."""
+    named = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="files-")
+    return f"{named.rstrip('/')}/files-{uuid4().hex}"
+
+
+def put(spark: SparkSession, folder: str, texts: dict[str, str | bytes]) -> None:
+    """Write a few files through the file system that holds the folder, each first beside its place and then renamed, so that no reader sees half of one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for name, text in texts.items():
+        target = path(f"{folder}/{name}")
+        fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        beside = path(target.getParent(), f".{target.getName()}.tmp")
+        out = fs.create(beside, True)
+        out.write(bytearray(text.encode() if isinstance(text, str) else text))
+        out.close()
+        fs.delete(target, False)
+        if not fs.rename(beside, target):
+            raise OSError(f"could not write {target.toString()}")
+
+
+def extension(path):
+    return F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1))
+
+
+def parser_of(path):
+    """The parser of a path's extension, null for others."""
+    out = F.when(F.lit(False), F.lit(""))
+    for e, p in PARSERS.items():
+        out = out.when(extension(path) == e, p)
+    return out
+
+
+def dispatched(files: DataFrame, path: str = "path", most_bytes: int | None = None) -> DataFrame:
+    """files (path, length) with their parser and, where one isn't read, why: its extension, or its size."""
+    parser = parser_of(F.col(path))
+    large = F.col("length") > most_bytes if most_bytes is not None else F.lit(False)
+    return files.select("*", parser.alias("parser"), F.when(parser.isNull(), F.concat(F.lit("unsupported extension "), extension(F.col(path)))).when(large, "too large").alias("error"))
+
+
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of all files below a folder; contents are not read. No folder is no file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "path string, length long")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+
+
+def images(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, width, height) of the images below a folder that begin as PNG or JPEG do; a PNG's size is in its header. Others are left out."""
+    b = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{png,jpg,jpeg,PNG,JPG,JPEG}").load(folder)
+    head = F.hex(F.substring("content", 1, 24))
+    png, side = head.startswith("89504E470D0A1A0A"), lambda k: F.conv(F.substring(head, k, 8), 16, 10).cast("int")
+    return b.where(png | head.startswith("FFD8FF")).select("path", F.when(png, side(33)).alias("width"), F.when(png, side(41)).alias("height"))
+
+
+def manifest_ids(spark: SparkSession, folder: str, most: int | None = None) -> DataFrame:
+    """(pos, chart_id) of a benchmark: the chart_ids of manifest.json, or, without them, the stems of annotations/*.json in order; optionally the first ones."""
+    files = listed(spark, folder)
+    named = [r["path"] for r in files.where("path LIKE '%/manifest.json'").collect()]  # one at most
+    ids = spark.read.schema("chart_ids array<string>").option("multiLine", True).json(named[0]).where("size(chart_ids) > 0") if named else None
+    if ids is not None and ids.head(1):
+        out = ids.select(F.posexplode("chart_ids").alias("pos", "chart_id"))
+    else:
+        stems = files.where("path LIKE '%/annotations/%.json'").select(path_parts(F.col("path"))[1].alias("chart_id"))
+        out = stems.select((F.row_number().over(Window.orderBy("chart_id")) - 1).alias("pos"), "chart_id")
+    return out if most is None else out.where(F.col("pos") < most)
+
+
+def found_files(ids: DataFrame, files: DataFrame, key: str, extensions: tuple[str, ...], kind: str | None = None) -> DataFrame:
+    """ids with the path of their file: of equal stems that in the folder `kind` names first, then by order of extensions, then of paths; null without any."""
+    folder, stem = path_parts(F.col("path"))
+    rank = F.array_position(F.array(*map(F.lit, extensions)), extension(F.col("path")))
+    f = files.select("path", stem.alias("_stem"), folder.alias("_folder"), rank.alias("_rank")).where("_rank > 0")
+    j = ids.join(f, F.col(key) == F.col("_stem"), "left")
+    typed = (F.col("_folder") == F.col(kind)) if kind else F.lit(True)
+    first = F.min_by("path", F.struct((~typed).alias("other"), "_rank", "path"))
+    return j.groupBy(*ids.columns).agg(first.alias("path"))
+
+
+def class_folders(files: DataFrame, negative: str) -> DataFrame:
+    """(path, cls, positive) of images in folders that are classes; one folder holds the negatives."""
+    folder, _ = path_parts(F.col("path"))
+    return files.where(parser_of(F.col("path")) == "image").select("path", folder.alias("cls"), (folder != negative).alias("positive"))
+
+
+def conversation_rows(rows: DataFrame, key: str) -> DataFrame:
+    """(key, turns): `conversations` where a row has them, else `messages`, as arrays of (role, content); rows without either go."""
+    turns = F.coalesce(F.when(F.size("conversations") > 0, F.col("conversations")), F.when(F.size("messages") > 0, F.col("messages")))
+    return rows.select(key, turns.alias("turns")).where("turns IS NOT NULL")
+
+
+def layered_config(*layers: dict) -> dict:
+    """Nested settings of which later layers win, key by key; "${a.b}" stands for another setting's value. Unknown and circular names are errors."""
+
+    def merged(a, b):
+        return {**a, **{k: merged(a[k], v) if isinstance(v, dict) and isinstance(a.get(k), dict) else v for k, v in b.items()}}
+
+    whole: dict = {}
+    for layer in layers:
+        whole = merged(whole, layer)
+
+    def looked_up(name, seen):
+        if name in seen:
+            raise ValueError(f"circular setting {name}")
+        at = whole
+        for part in name.split("."):
+            if not isinstance(at, dict) or part not in at:
+                raise KeyError(f"unknown setting {name}")
+            at = at[part]
+        return resolved(at, (*seen, name))
+
+    def resolved(v, seen=()):
+        if isinstance(v, dict):
+            return {k: resolved(x, seen) for k, x in v.items()}
+        if isinstance(v, list):
+            return [resolved(x, seen) for x in v]
+        if not isinstance(v, str):
+            return v
+        if m := re.fullmatch(r"\$\{([^}]+)\}", v):
+            return looked_up(m[1], seen)
+        return re.sub(r"\$\{([^}]+)\}", lambda m: str(looked_up(m[1], seen)), v)
+
+    return resolved(whole)
+
+
+def records(spark: SparkSession, glob: str, schema: str, typed: bool = True) -> DataFrame:
+    """One row a JSON file, with chart_type and chart_id from its path; broken files and, where folders are chart types, other folders are skipped, of equal stems the last path stays."""
     kind = T.StructType.fromDDL(schema).add("_corrupt", T.StringType())
     rows = spark.read.schema(kind).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(glob)
     folder, stem = path_parts(F.col("_metadata.file_path"))
-    rows = rows.select("*", F.col("_metadata.file_path").alias("path"), folder.alias("chart_type"), stem.alias("chart_id")).where(F.col("_corrupt").isNull() & F.col("chart_type").isin(*CHART_TYPES))
+    rows = rows.select("*", F.col("_metadata.file_path").alias("path"), folder.alias("chart_type"), stem.alias("chart_id")).where(F.col("_corrupt").isNull())
+    if not typed:
+        return rows.drop("_corrupt")
     w = Window.partitionBy("chart_id").orderBy(F.desc("path"))
-    return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank", "_corrupt")
+    return rows.where(F.col("chart_type").isin(*CHART_TYPES)).withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank", "_corrupt")
 
 
-def inventory(spark: SparkSession, folder: str, most_bytes: int | None = None) -> DataFrame:
-    """Files and bytes by directory and extension; contents are never read, files beyond `most_bytes` left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+def inventory(spark: SparkSession, folder: str, most_bytes: int | None = None, depth: int | None = None) -> DataFrame:
+    """Files and bytes by directory and extension; contents are never read, files beyond `most_bytes`, or more than `depth` folders below, left out."""
+    files = listed(spark, folder)
     if most_bytes is not None:
         files = files.where(F.col("length") <= most_bytes)
-    return files.groupBy(path_parts(F.col("path"))[0].alias("folder"), F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("extension")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    if depth is not None:
+        below = F.regexp_replace("path", f"^(file:)?/*{re.escape(folder.removeprefix('file:').strip('/'))}/", "")
+        files = files.where(F.size(F.split(below, "/")) - 1 <= depth)
+    return files.groupBy(path_parts(F.col("path"))[0].alias("folder"), extension(F.col("path")).alias("extension")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
 def latest_checkpoint(paths: DataFrame, run: str, path: str) -> DataFrame:
