@@ -42,6 +42,11 @@ def contains_match(p: Column, t: Column) -> Column:
     return normalize_a(p).contains(normalize_a(t))
 
 
+def contains_answer(p: Column, t: Column) -> Column:
+    """The stricter variant: an empty target is contained in nothing."""
+    return (normalize_b(t) != "") & normalize_b(p).contains(normalize_b(t))
+
+
 def distance(p: Column, t: Column) -> Column:
     return F.levenshtein(normalize_a(p), normalize_a(t))
 
@@ -163,3 +168,12 @@ def papers(pages: DataFrame, key: str, html: str) -> DataFrame:
     entries = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r'(?s)(<p class="d-sm-flex.*?</p>)'), F.lit(1))).alias("n", "e"))
     strong = r'<strong>\s*<a[^>]*href="([^"]*)"'
     return entries.select(key, "n", one("e", r"<strong>\s*<a[^>]*>([^<]*)</a>").alias("title"), one("e", strong).alias("link"), one("e", r'href="([^"]*\.pdf)"').alias("pdf"), F.array_join(F.regexp_extract_all("e", F.lit(r'<a href="/people/[^"]*">([^<]*)</a>'), F.lit(1)), ", ").alias("authors"))
+
+
+def field_type(field: Column) -> Column:
+    """The chart type that a dataset's field names; synonyms first, earlier ones win."""
+    low = F.lower(field)
+    out = F.when(low.rlike("histogram|hist"), "histogram")
+    for words, kind in (("bar|column", "bar"), ("line|curve", "line"), ("pie|donut|doughnut", "pie"), ("scatter|bubble", "scatter"), ("heat|matrix", "heatmap"), ("box|violin", "box"), ("area|stack", "area")):
+        out = out.when(low.rlike(words), kind)
+    return out.otherwise("unknown")

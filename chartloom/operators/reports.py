@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def label_lines(boxes: DataFrame, image: str, width: float, height: float) -> DataFrame:
-    """A detector's label file of each image: class and normalised centre and size, six decimals, a box a line."""
-    line = F.format_string("0 %.6f %.6f %.6f %.6f", (F.col("x0") + F.col("x1")) / (2 * width), (F.col("y0") + F.col("y1")) / (2 * height), (F.col("x1") - F.col("x0")) / width, (F.col("y1") - F.col("y0")) / height)
+def label_lines(boxes: DataFrame, image: str, width: float, height: float, cls: Column | None = None) -> DataFrame:
+    """A detector's label file of each image: class (0 if none is given) and normalised centre and size, six decimals, a box a line."""
+    line = F.format_string("%d %.6f %.6f %.6f %.6f", F.lit(0) if cls is None else cls, (F.col("x0") + F.col("x1")) / (2 * width), (F.col("y0") + F.col("y1")) / (2 * height), (F.col("x1") - F.col("x0")) / width, (F.col("y1") - F.col("y0")) / height)
     return boxes.groupBy(image).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("labels"))
 
 
@@ -37,10 +37,28 @@ def latex_rows(rows: DataFrame, columns: list[str], key: str) -> DataFrame:
     return rows.select(key, F.concat(F.concat_ws(" & ", *(cell(c) for c in columns)), F.lit(r" \\")).alias("latex"))
 
 
-def rendered(messages: Column, form: str) -> Column:
-    """An array of (role, content) as one text, in the chatml or llama3 form."""
+def rendered(messages: Column, form: str, template: tuple[str, str, str] | None = None) -> Column:
+    """An array of (role, content) as one text, in the chatml or llama3 form; "native" takes a model's own template: what stands before a role, between it and its content, and behind."""
+    if form == "native" and template:
+        a, b, c = template
+        return F.aggregate(messages, F.lit(""), lambda acc, m: F.concat(acc, F.lit(a), m["role"], F.lit(b), m["content"], F.lit(c)))
     if form == "llama3":
         return F.concat(F.lit("<|begin_of_text|>"), F.aggregate(messages, F.lit(""), lambda acc, m: F.concat(acc, F.lit("<|start_header_id|>"), m["role"], F.lit("<|end_header_id|>\n\n"), m["content"], F.lit("<|eot_id|>"))))
     if form == "chatml":
         return F.aggregate(messages, F.lit(""), lambda acc, m: F.concat(acc, F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], F.lit("<|im_end|>\n")))
     raise ValueError(f"unknown form {form!r}; known: chatml, llama3")
+
+
+def dataset_yaml(classes: DataFrame, folder: str) -> DataFrame:
+    """One text: a detector's dataset file over the classes (number, name) of a small table."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "name"))), lambda c: F.concat(F.lit("  "), c["number"].cast("string"), F.lit(": "), c["name"])), "\n")
+    return classes.agg(F.concat(F.lit(f"path: {folder}\ntrain: images/train\nval: images/val\nnames:\n"), lines).alias("yaml"))
+
+
+def benchmark_report(scores: DataFrame, suite: str) -> DataFrame:
+    """One row: a suite's result as JSON and as a Markdown table, models by mean score, from (model, n, mean, errors) of a few models."""
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("mean")).alias("k"), "model", "n", "mean", "errors")))
+    row = lambda m: F.concat(F.lit("| "), m["model"], F.lit(" | "), m["n"].cast("string"), F.lit(" | "), F.format_string("%.4f", m["mean"]), F.lit(" | "), m["errors"].cast("string"), F.lit(" |"))
+    by = scores.agg(ordered.alias("ms"))
+    fields = F.transform("ms", lambda m: F.struct(m["model"].alias("model"), m["n"].alias("n"), m["errors"].alias("errors")))
+    return by.select(F.to_json(F.struct(F.lit(suite).alias("suite"), fields.alias("models"))).alias("json"), F.concat(F.lit(f"# {suite}\n\n| Model | N | Mean | Errors |\n|---|---|---|---|\n"), F.array_join(F.transform("ms", row), "\n")).alias("markdown"))

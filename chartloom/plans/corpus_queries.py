@@ -43,7 +43,7 @@ def paragraph_context(spark, sf_dir):
 
 
 def pseudo_pages(spark, sf_dir):
-    return R.pseudo_pages(R.paragraphs(_docs(spark, sf_dir), "doc_id", "text"), "doc_id", 3)
+    return R.pseudo_pages(R.paragraphs(_docs(spark, sf_dir), "doc_id", "text"), "doc_id")
 
 
 def html_titles_links(spark, sf_dir):
@@ -170,7 +170,7 @@ ORACLES = {
     "paragraph_context": f"""WITH {_PARAS}, a AS (SELECT x.doc_id, x.pos, count(y.pos) AS n, coalesce(sum(length(trim(y.paragraph))), 0) + greatest(count(y.pos) - 1, 0) AS context_chars,
         arg_min(trim(y.paragraph), y.pos) FILTER (regexp_matches(trim(y.paragraph), '(?i)^\\s*(figure|fig\\.?|chart|graph|table|plot|diagram|hình|biểu đồ)\\s*\\d*'))[1:60] AS caption FROM paras x LEFT JOIN paras y ON x.doc_id = y.doc_id AND abs(x.pos - y.pos) BETWEEN 1 AND 3 GROUP BY ALL)
       SELECT doc_id, pos, n, CAST(context_chars AS BIGINT) AS context_chars, caption FROM a""",
-    "pseudo_pages": f"WITH {_PARAS} SELECT doc_id, CAST(pos // 3 AS INT) AS page, count(*) AS paragraphs, md5(string_agg(trim(paragraph), chr(10) ORDER BY pos)) AS text_md5 FROM paras GROUP BY 1, 2",
+    "pseudo_pages": f"WITH {_PARAS} SELECT doc_id, CAST(pos // 15 AS INT) AS page, count(*) AS paragraphs, md5(string_agg(trim(paragraph), chr(10) ORDER BY pos)) AS text_md5 FROM paras GROUP BY 1, 2",
     "html_titles_links": """SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS links, coalesce(regexp_extract_all(html, '<a href="([^"]*)"', 1)[1], '') AS first_link, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages""",
     "quality_filter_notes": """WITH i AS (SELECT p_partkey AS image_id, p_size * 97 AS w, p_partkey % 47 * 101 AS h FROM part), a AS (SELECT *, CASE WHEN h > 0 THEN w::DOUBLE / h ELSE 0 END AS r FROM i),
       n AS (SELECT *, list_filter([CASE WHEN w < 300 THEN 'width_small' END, CASE WHEN h < 300 THEN 'height_small' END, CASE WHEN w > 4096 THEN 'width_large' END, CASE WHEN h > 4096 THEN 'height_large' END, CASE WHEN r < 0.3 THEN 'aspect_small' END, CASE WHEN r > 3 THEN 'aspect_large' END], lambda x: x IS NOT NULL) AS notes FROM a)
