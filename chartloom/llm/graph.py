@@ -53,6 +53,18 @@ def shuffles_freed(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+#: Bytes of rows that reach a Python worker at once, whatever their number: long texts make batches of few rows.
+BATCH_BYTES = 16 << 20
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """df, in whose session Arrow batches have BATCH_BYTES at most from now on (plans run later, so the setting stays); a smaller setting is left alone."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", df.sparkSession.conf.get(name)) or 0) > BATCH_BYTES or not df.sparkSession.conf.get(name).rstrip("bB").isdigit():
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 class Scratch:
     """Tables of cut() that a later one supersedes."""
 

@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from chartloom.llm.graph import bound_batches
+
 #: Fixed values of HTML: elements without content, elements that break text into blocks, and raw text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -201,4 +203,4 @@ def extracted(pages: DataFrame) -> DataFrame:
                 texts = [main_text(h.as_py()) for h in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string")
+    return bound_batches(pages).select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartloom.llm.graph import Scratch, cut
+from chartloom.llm.graph import Scratch, bound_batches, cut
 
 
 def held_out(doc_id: Column) -> Column:
@@ -73,7 +73,7 @@ def lists(x: np.ndarray) -> pa.ListArray:
 
 def as_rows(docs: DataFrame) -> DataFrame:
     """docs with each row, all its columns whatever their names, as one struct `row`."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return bound_batches(docs).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
 
 def with_fields(rows: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:

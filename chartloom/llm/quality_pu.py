@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import words
-from chartloom.llm.graph import Scratch
+from chartloom.llm.graph import Scratch, bound_batches
 from chartloom.llm.labelled import bounded, gathered, held_out, lists, training_rows, vectors
 from chartloom.llm.text_stats import column_counts, ratios
 
@@ -174,7 +174,7 @@ def learned(p: tuple[np.ndarray, np.ndarray], u: tuple[np.ndarray, np.ndarray])
 
 def quality_scores(docs: DataFrame, labels: DataFrame, most: int = 8000) -> DataFrame:
     """(doc_id, held_out, score) of every row."""
-    scratch = Scratch()
+    scratch, docs = Scratch(), bound_batches(docs)
     columns = [("x", "array<double>"), ("pairs", "array<float>")]
     samples = []
     for rows in (training_rows(docs, labels.where("quality = 1"), "quality", 2 * most, scratch), bounded(docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))), most, 9)):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartloom.llm.graph import Scratch, cut
+from chartloom.llm.graph import Scratch, bound_batches, cut
 from chartloom.llm.labelled import as_rows, bounded, with_fields
 
 #: Kinds in the order in which ties are listed.
@@ -254,7 +254,7 @@ def fitted(texts: list[str], recall: float = 0.98, each: int = 800) -> Network:
 
 def _network(docs: DataFrame, most: int, recall: float, each: int = 800, most_findings: int = 6000, vocabulary: int = 4000):
     """A network from a bounded sample, whose findings executors encode."""
-    scratch = Scratch()
+    scratch, docs = Scratch(), bound_batches(docs)
     sample = cut(bounded(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), most, 13), scratch)
 
     def teach(batches):

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import words
-from chartloom.llm.graph import cut, likely
+from chartloom.llm.graph import bound_batches, cut, likely
 from chartloom.llm.jaccard_join import NULL_ID
 
 #: Bytes of a gram that may be an anchor.
@@ -477,7 +477,7 @@ def _joined_spans(batches):
 def deduplicated(docs: DataFrame, length: int = 100, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """(doc_id, text, spans) of every row; spans are the maximal removed runs of bytes, [(a, b), ...] in order."""
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.shiftrightunsigned(F.xxhash64(text), 33).alias("tag"), text.alias("text"))
+    keyed = bound_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.shiftrightunsigned(F.xxhash64(text), 33).alias("tag"), text.alias("text"))
     found = keyed.mapInArrow(_give_pieces(length), _PIECE).repartition("part").sortWithinPartitions("part", "anchor", "piece", "second", "doc", "at").mapInArrow(_sift(shard_pieces), _FOUND)
     place = (F.col("at").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).cast("int")
     tag = F.shiftright("at", 32)

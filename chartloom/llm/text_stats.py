@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from chartloom.llm import words
+from chartloom.llm.graph import bound_batches
 
 #: The counts, all whole numbers: words; code points in words; characters of [#*$%&|<>]; lines that have a word
 #: and equal an earlier line; words in 3-word windows found twice or more; lines that have a word; different
@@ -100,7 +101,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
             x = column_counts(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x[:, k]) for k in range(len(NAMES)))], names=["doc_id", *NAMES])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in NAMES))
+    return bound_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in NAMES))
 
 
 def ratios(x: np.ndarray) -> tuple[list[str], np.ndarray]:
