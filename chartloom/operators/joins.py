@@ -48,7 +48,7 @@ def suppressed(boxes: DataFrame, on: str, key: str, most: float = 0.5) -> DataFr
 
     def kept(group) -> list:
         out: list = []
-        for r in sorted(group, key=lambda r: (-(r["x1"] - r["x0"]) * (r["y1"] - r["y0"]), r[key])):
+        for r in sorted(group, key=lambda r: (-(r["x1"] - r["x0"]) * (r["y1"] - r["y0"]), r[key], r["x0"], r["y0"])):
             for q in out:
                 w, h = min(r["x1"], q["x1"]) - max(r["x0"], q["x0"]), min(r["y1"], q["y1"]) - max(r["y0"], q["y0"])
                 both = max(w, 0) * max(h, 0)

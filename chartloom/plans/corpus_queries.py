@@ -184,6 +184,12 @@ ORACLES = {
     "caption_band_join": "SELECT a.l_orderkey, a.l_linenumber, count(*) AS candidates, min(b.l_linenumber) AS first FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_suppkey * 10 % 1000 BETWEEN a.l_partkey % 1000 AND a.l_partkey % 1000 + 100 GROUP BY 1, 2",
     "iou_pairs": f"""WITH {_BOXES}, j AS (SELECT a.chart, a.box AS box_a, b.box AS box_b, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS u FROM boxes a JOIN boxes b ON a.chart = b.chart AND a.box < b.box)
       SELECT chart, box_a, box_b, round(i / (u - i), 6) AS iou FROM j WHERE round(i / (u - i), 6) > 0.5""",
+    "box_suppression": f"""WITH RECURSIVE {_BOXES}, o AS (SELECT *, row_number() OVER (PARTITION BY chart ORDER BY (x1 - x0) * (y1 - y0) DESC, box, x0, y0) AS k FROM boxes),
+      r AS (SELECT DISTINCT chart, 0::BIGINT AS k, []::STRUCT(box BIGINT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[] AS kept FROM boxes
+        UNION ALL SELECT r.chart, o.k, CASE WHEN len(list_filter(r.kept, lambda q: greatest(least(o.x1, q.x1) - greatest(o.x0, q.x0), 0) * greatest(least(o.y1, q.y1) - greatest(o.y0, q.y0), 0)
+          > 0.5 * ((o.x1 - o.x0) * (o.y1 - o.y0) + (q.x1 - q.x0) * (q.y1 - q.y0) - greatest(least(o.x1, q.x1) - greatest(o.x0, q.x0), 0) * greatest(least(o.y1, q.y1) - greatest(o.y0, q.y0), 0)))) > 0 THEN r.kept
+          ELSE list_append(r.kept, {{'box': o.box::BIGINT, 'x0': o.x0, 'y0': o.y0, 'x1': o.x1, 'y1': o.y1}}) END FROM r JOIN o ON o.chart = r.chart AND o.k = r.k + 1),
+      l AS (SELECT chart, arg_max(kept, k) AS kept FROM r GROUP BY chart) SELECT chart, b.box AS box FROM (SELECT chart, unnest(kept) AS b FROM l)""",
     "polyline_facts": f"WITH {_PATHS}, s AS (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS d FROM paths WINDOW w AS (PARTITION BY path_id ORDER BY pos)) SELECT path_id, count(*) AS n, round(coalesce(sum(d), 0), 4) AS length, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM s GROUP BY 1",
     "path_curvature": f"""WITH {_PATHS}, s AS (SELECT *, lag(x) OVER w AS xa, lag(y) OVER w AS ya, lead(x) OVER w AS xb, lead(y) OVER w AS yb FROM paths WINDOW w AS (PARTITION BY path_id ORDER BY pos)),
       k AS (SELECT *, abs((x - xa) * (yb - ya) - (xb - xa) * (y - ya)) AS a2, sqrt((x - xa) ** 2 + (y - ya) ** 2) * sqrt((x - xb) ** 2 + (y - yb) ** 2) * sqrt((xa - xb) ** 2 + (ya - yb) ** 2) AS sides FROM s WHERE xa IS NOT NULL AND xb IS NOT NULL)
