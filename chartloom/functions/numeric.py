@@ -39,9 +39,13 @@ def parse_demo(c: Column) -> Column:
     return as_double(strip(F.replace(F.regexp_replace(t, r"[kKmMbB]$", ""), F.lit(","), F.lit("")))) * _multiplier(F.right(t, F.lit(1)))
 
 
+#: Fixed value: what counts as a number within a text.
+NUMBER_IN_TEXT = r"(-?\d+(?:\.\d+)?(?:e[+-]?\d+)?)"
+
+
 def all_numbers(c: Column) -> Column:
     """(d) Every number in a text."""
-    return F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"(-?\d+(?:\.\d+)?(?:e[+-]?\d+)?)"), F.lit(1)), lambda x: x.cast("double"))
+    return F.transform(F.regexp_extract_all(F.lower(c), F.lit(NUMBER_IN_TEXT), F.lit(1)), lambda x: x.cast("double"))
 
 
 def is_number(c: Column) -> Column:
@@ -81,7 +85,3 @@ def iou(a: list[Column], b: list[Column]) -> Column:
     h = F.greatest(F.lit(0), F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
     area = lambda x: (x[2] - x[0]) * (x[3] - x[1])
     return w * h / (area(a) + area(b) - w * h)
-
-
-def hex_colour(r: Column, g: Column, b: Column) -> Column:
-    return F.format_string("#%02x%02x%02x", r, g, b)

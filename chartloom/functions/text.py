@@ -110,9 +110,13 @@ def fuzzy_match(gt: Column, p: Column, share: float = 0.6) -> Column:
     return bound(lambda g, q: bound(matched, g, q, keep(g), keep(q)), F.lower(strip(gt)), F.lower(strip(p)))
 
 
+#: Letters that stand for digits, and those.
+LETTERS, DIGITS = "OolISsBZGq", "0011558269"
+
+
 def ocr_cleanup(c: Column, confidence: Column) -> Column:
     """Letters that stand for digits, only in texts made of such characters; then decimal commas, spaces before units and white space."""
-    digits = F.when(c.rlike(r"^[0-9OolISsBZGq.,%\s-]+$") & (c.rlike("[0-9]") | (confidence < 0.8)), F.translate(c, "OolISsBZGq", "0011558269")).otherwise(c)
+    digits = F.when(c.rlike(r"^[0-9OolISsBZGq.,%\s-]+$") & (c.rlike("[0-9]") | (confidence < 0.8)), F.translate(c, LETTERS, DIGITS)).otherwise(c)
     decimal = F.regexp_replace(digits, r"^(-?\d+),(\d{1,2})$", "$1.$2")
     unit = F.regexp_replace(F.regexp_replace(decimal, r"(\d)\s+%", "$1%"), r"(\d)\s+([KMB])\b", "$1$2")
     return strip(F.regexp_replace(unit, r"\s+", " "))

@@ -49,10 +49,6 @@ def scale_pattern(values: DataFrame, axis: str, value: str) -> DataFrame:
     return xs.select(axis, F.size("v").alias("n"), kind.alias("pattern"))
 
 
-def integer_scale(values: DataFrame, axis: str, value: str) -> DataFrame:
-    return values.groupBy(axis).agg(F.bool_and(F.abs(F.col(value) - F.bround(F.col(value), 0)) < 0.01).alias("integers"))
-
-
 def numbered_series(elements: DataFrame, chart: str, colour: str, x: str, pos: str) -> DataFrame:
     """Series by colour in the order in which colours appear, points by x, both numbered from 0."""
     first = elements.withColumn("seen", F.min(pos).over(Window.partitionBy(chart, colour)))

@@ -164,7 +164,7 @@ def categorised_number(text: Column, confidence: Column, least: float = 0.5) ->
 def ocr_corrected(text: Column, confidence: Column) -> Column:
     """A struct (text, correction) of a token after the cascade: letters that stand for digits, decimal commas, thousands points, blanks before units, white space; a number out of any range reverts."""
     numeric = text.rlike(r"\d") | (confidence < 0.8)
-    letters = F.when(numeric & text.rlike(r"^[\d\s,.\-+%OolISsBZGq]+$"), F.translate(text, "OolISsBZGq", "0011558269")).otherwise(text)
+    letters = F.when(numeric & text.rlike(r"^[\d\s,.\-+%OolISsBZGq]+$"), F.translate(text, T.LETTERS, T.DIGITS)).otherwise(text)
     first = F.when(letters != text, "char_substitution")
     european = letters.rlike(r"^\d+,\d{1,2}$")
     decimal = F.when(european, F.replace(letters, F.lit(","), F.lit("."))).otherwise(letters)
