@@ -11,8 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_owned: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it; on one machine, as in tests, one of our own where none is set."""
+    """This application's own folder in the one that driver and executors share, as spark.checkpoint.dir names it; on one machine, as in tests, one of our own where none is set.
+
+    It is erased when the application ends, with all tables that results were read from.
+    """
     sc = spark.sparkContext
     named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
@@ -20,7 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         named = sc.getCheckpointDir()
-    return named.rstrip("/")
+    path = f"{named.rstrip('/')}/tables-{sc.applicationId}"
+    if path not in _owned:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _owned.add(path)
+    return path
 
 
 def erase(spark: SparkSession, path: str) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chartloom.llm.chat_format import chat_examples, read_back
 from chartloom.llm.decontaminate import benchmark_hits
+from chartloom.llm.exact_dedup import exact_groups
 from chartloom.llm.html_extract import extracted
 from chartloom.llm.jaccard_join import jaccard_components
 from chartloom.llm.mixing import PRIME, mix_plan, seed_pair
@@ -79,6 +80,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 _OP4_SQL = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
@@ -127,6 +132,12 @@ SELECT d.doc_id, d.size, r.source_size, r.target,
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN best ON d.source IS NOT DISTINCT FROM best.source
 """
 
+_OP11_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT d.doc_id, keep_id, group_size, d.doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
+"""
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -138,6 +149,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_source_mixing": op9_source_mixing,
     "op10_secret_scans": op10_secret_scans,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 
-ORACLES = {"op4_chat_formatting": _OP4_SQL, "op7_benchmark_decontamination": _OP7_SQL, "op9_source_mixing": _OP9_SQL}
+ORACLES = {"op11_exact_dedup": _OP11_SQL, "op4_chat_formatting": _OP4_SQL, "op7_benchmark_decontamination": _OP7_SQL, "op9_source_mixing": _OP9_SQL}
