@@ -14,6 +14,8 @@ from chartloom.llm.mixing import PRIME, mix_plan, seed_pair
 from chartloom.llm.quality_pu import quality_scores
 from chartloom.llm.quality_rules import judged
 from chartloom.llm.secret_scan import secret_spans
+from chartloom.llm.sort_means import clustered
+from chartloom.llm.source_audit import audited
 from chartloom.llm.suffix_dedup import deduplicated, kept_digest
 from chartloom.llm.toxicity import toxicity_scores
 
@@ -84,6 +86,14 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audited(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 _OP4_SQL = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
@@ -138,6 +148,44 @@ g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t
 SELECT d.doc_id, keep_id, group_size, d.doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
 """
 
+
+_OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT rid) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+s AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS MATERIALIZED (SELECT s.lang, s.source, kept.term, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2) // (s.n + 2 * v.v) AS p, 1 + CAST(1000000000 AS HUGEINT) * (kept.n + 2) // (v.n + 2 * v.v) AS q
+  FROM s JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = kept.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM k WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def _op12_sql(rounds: int = 5) -> str:
+    """k-means in whole numbers: the distance of every vector from every centroid, round by round."""
+    assign = """a{r} AS MATERIALIZED (SELECT rid, min(vec_id) AS vec_id, min(x) AS x, min_by(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT rid, vec_id, x, c, CAST(list_inner_product(f, f) - 2 * list_inner_product(f, g) + list_inner_product(g, g) AS BIGINT) AS d FROM v, (SELECT c, y, CAST(y AS DOUBLE[]) AS g FROM c{r})) GROUP BY rid)"""
+    move = """c{s} AS MATERIALIZED (SELECT c, coalesce(z, y) AS y FROM c{r} LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS z FROM (SELECT c, i, sum(x[i]) AS s, count(*) AS n FROM a{r}, range(1, 65) t(i) GROUP BY c, i) GROUP BY c) USING (c))"""
+    steps = ",\n".join(x.format(r=r, s=r + 1) for r in range(rounds) for x in (assign, move))
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS f
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT c, x AS y FROM (SELECT x, row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), x) - 1 AS c FROM v) WHERE c < 40),
+{steps},
+{assign.format(r=rounds)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(y, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (c)
+"""
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -150,6 +198,8 @@ QUERIES = {
     "op9_source_mixing": op9_source_mixing,
     "op10_secret_scans": op10_secret_scans,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_source_audit": op13_source_audit,
 }
 
-ORACLES = {"op11_exact_dedup": _OP11_SQL, "op4_chat_formatting": _OP4_SQL, "op7_benchmark_decontamination": _OP7_SQL, "op9_source_mixing": _OP9_SQL}
+ORACLES = {"op13_source_audit": _OP13_SQL, "op11_exact_dedup": _OP11_SQL, "op12_centroid_clustering": _op12_sql(), "op4_chat_formatting": _OP4_SQL, "op7_benchmark_decontamination": _OP7_SQL, "op9_source_mixing": _OP9_SQL}
