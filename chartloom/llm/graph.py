@@ -98,13 +98,18 @@ class Scratch:
 MAP_BITS = 24
 
 
-def likely(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """Of rows those whose `on` may be in keys; the rest go before any shuffle. A full map only lets more pass."""
+def with_bit(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """rows with a boolean `_bit`: whether their `on` may be in keys; where it isn't, it is not."""
     bit = F.pmod(F.xxhash64(*on), F.lit(1 << MAP_BITS))
     of = keys.select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("_word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask"))
     bits = of.groupBy("_word").agg(F.bit_or("mask").alias("_bits"))
-    marked = rows.withColumn("_bit", bit).withColumn("_word", F.shiftright("_bit", 6)).join(F.broadcast(bits), "_word")
-    return marked.where(F.expr("shiftright(_bits, cast(_bit & 63 as int)) & 1 = 1")).select(*rows.columns)
+    marked = rows.withColumn("_at", bit).withColumn("_word", F.shiftright("_at", 6)).join(F.broadcast(bits), "_word", "left")
+    return marked.select(*rows.columns, F.coalesce(F.expr("shiftright(_bits, cast(_at & 63 as int)) & 1 = 1"), F.lit(False)).alias("_bit"))
+
+
+def likely(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Of rows those whose `on` may be in keys; the rest go before any shuffle. A full map only lets more pass."""
+    return with_bit(rows, keys, on).where("_bit").select(*rows.columns)
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -21,8 +21,9 @@ Consecutive windows of one anchor and side are a piece of text.
    each of them leaves, the first occurrences of its strings, is merged by two hashes of the strings, of 61 bits
    over different bases, in sorted streams: no task holds more than one shard.
 
-Order is by doc_id, then, for rows that repeat a doc_id with another text, by a hash of the text, then by
-start. Rows equal in doc_id and text are one document. A null doc_id is the smallest id, a null text is
+Order is by doc_id, then, for rows that repeat a doc_id with another text, by the text's name, then by
+start. A text's name is its MD5 digest, 128 bits, where its doc_id may occur more than once (a bit map of the ids that do tells), else 0:
+unique ids need none, and zeros cost nothing in a shuffle. Rows equal in doc_id and text are one document. A null doc_id is the smallest id, a null text is
 empty. An empty table gives an empty result. No text is cut, no group is sampled. Other columns, whatever
 their names, are ignored.
 """
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import words
-from chartloom.llm.graph import bound_batches, cut, likely
+from chartloom.llm.graph import bound_batches, cut, likely, with_bit
 from chartloom.llm.jaccard_join import NULL_ID
 
 #: Bytes of a gram that may be an anchor.
@@ -277,76 +278,89 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int):
     return key, whole, words.span_hash(two, start, end + length), text[start], start, end - start + 1
 
 
-_PIECE = "part long, anchor long, piece long, second int, doc long, at long, n int"
-_FOUND = "doc long, at long, n int, kind int, anchor long"
+_PIECE = "part long, anchor long, piece long, second int, doc long, hi long, lo long, at int, n int"
+_FOUND = "doc long, hi long, lo long, at int, n int, kind int, anchor long"
+#: What names a row.
+ROW = ["doc", "hi", "lo"]
+_TURN = np.int64(0x1E3779B97F4A7C15)
+
+
+def _other(rows: np.ndarray, at: int) -> np.ndarray:
+    """Of rows (doc, hi, lo, start): which differ from those at `at`."""
+    return (rows != rows[at]).any(1)
 
 
 def _give_pieces(length: int):
-    """Pieces for _sift; those that a batch shows to be covered have n < 0 and a part of their own."""
+    """Pieces for _sift, from (doc, hi, lo, text); those that a batch shows to be covered have n < 0 and a part of their own."""
 
     def run(batches):
         for b in batches:
-            ids, tags = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            cols = [[np.zeros(0, np.int64)] for _ in range(6)]
-            for first, _, data, offsets in words.chunks(b.column(2)):
+            names = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(3)], 1)
+            cols, rows = [[np.zeros(0, np.int64)] for _ in range(4)], [np.zeros((0, 4), np.int64)]
+            for first, _, data, offsets in words.chunks(b.column(3)):
                 key, piece, second, text, start, n = pieces(data, offsets, length)
-                at = (tags[first + text].astype(np.int64) << 32) | (start - offsets[text])
-                for c, x in zip(cols, (key.view(np.int64), piece.view(np.int64), (second >> np.uint64(33)).astype(np.int64), ids[first + text], at, n), strict=True):
+                rows.append(np.column_stack((names[first + text], start - offsets[text])))
+                for c, x in zip(cols, (key.view(np.int64), piece.view(np.int64), (second >> np.uint64(33)).astype(np.int64), n), strict=True):
                     c.append(x)
-            key, piece, second, doc, at, n = (np.concatenate(c) for c in cols)
-            order = np.lexsort((at, doc, second, piece, key))
-            key, piece, second, doc, at, n = (x[order] for x in (key, piece, second, doc, at, n))
+            key, piece, second, n = (np.concatenate(c) for c in cols)
+            rows = np.concatenate(rows)
+            order = np.lexsort((*rows.T[::-1], second, piece, key))
+            key, piece, second, n, rows = (x[order] for x in (key, piece, second, n, rows))
             same = np.zeros(len(key), bool)
             same[1:] = (key[1:] == key[:-1]) & (piece[1:] == piece[:-1]) & (second[1:] == second[:-1])
             own = np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))
             n = np.where(same, -n, n).astype(np.int32)
-            part = np.where(same, (doc ^ at) * np.int64(0x1E3779B97F4A7C15), key)
-            keep = ~same | (doc != doc[own]) | (at != at[own])  # a repeated row is the same occurrence
-            out = [x[keep] for x in (part, key, piece, second.astype(np.int32), doc, at, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["part", "anchor", "piece", "second", "doc", "at", "n"])
+            part = np.where(same, (rows[:, 0] ^ rows[:, 2] ^ rows[:, 3]) * _TURN, key)
+            keep = ~same | _other(rows, own)  # a repeated row is the same occurrence
+            out = [x[keep] for x in (part, key, piece, second.astype(np.int32), *rows.T[:3], rows[:, 3].astype(np.int32), n)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["part", "anchor", "piece", "second", *ROW, "at", "n"])
 
     return run
 
 
 def _sift(most: int):
-    """For mapInArrow over pieces sorted by part, anchor, piece, second, doc, at: covered pieces (kind 0), and the first of each piece where a key has several, to be compared in the key's only shard (kind 1) or in one of several of `most` pieces (kind 2 and more)."""
+    """For mapInArrow over pieces sorted by part, anchor, piece, second, row and place: covered pieces (kind 0), and the first of each piece where a key has several, to be compared in the key's only shard (kind 1) or in one of several of `most` pieces (kind 2 and more)."""
 
     def run(batches):
-        anchor = piece = second = None
-        owner = None
-        waiting: list[tuple] = []  # owners of the key's pieces so far, until they fill a shard
+        last = owner = None  # (anchor, piece, second) and row of the piece before
+        anchor = None
+        waiting: list[tuple] = []  # owners of the key's pieces so far, (row, n), until they fill a shard
         shard = 0
 
-        def table(found, covered=None):
-            cols = [np.array([x[k] for x in found], np.int64) for k in range(5)]
-            if covered is not None:
-                d, a, n, g = covered
-                cols = [np.concatenate((x, y)) for x, y in zip(cols, (d, a, n, np.zeros(len(d), np.int64), g), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32)), pa.array(cols[4])], names=["doc", "at", "n", "kind", "anchor"])
+        def table(found, rows=None, n=None, g=None):
+            """found: [(row, n, kind, anchor)]; rows: covered ones."""
+            some = np.array([x[0] for x in found], np.int64).reshape(-1, 4)
+            rest = [np.array([x[k] for x in found], np.int64) for k in (1, 2, 3)]
+            if rows is not None:
+                some = np.concatenate((some, rows))
+                rest = [np.concatenate(x) for x in zip(rest, (n, np.zeros(len(n), np.int64), g), strict=True)]
+            cols = [*some.T[:3], some[:, 3].astype(np.int32), rest[0].astype(np.int32), rest[1].astype(np.int32), rest[2]]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=[*ROW, "at", "n", "kind", "anchor"])
 
         def ended():
             if shard:
-                return [(d, a, n, 2 + shard, anchor) for d, a, n in waiting]
-            return [(d, a, n, 1, anchor) for d, a, n in waiting] if len(waiting) > 1 else []
+                return [(*x, 2 + shard, anchor) for x in waiting]
+            return [(*x, 1, anchor) for x in waiting] if len(waiting) > 1 else []
 
         for b in batches:
-            g, p, q, d, a, n = (c.to_numpy(zero_copy_only=False) for c in b.columns[1:])
-            sure = n < 0
-            early = (d[sure], a[sure], -n[sure], g[sure])
-            g, p, q, d, a, n = (x[~sure] for x in (g, p, q, d, a, n))
+            g, p, q, *row, n = (c.to_numpy(zero_copy_only=False) for c in b.columns[1:])
+            rows, sure = np.column_stack(row).astype(np.int64), n < 0
+            early = rows[sure], -n[sure], g[sure]
+            g, p, q, n, rows = (x[~sure] for x in (g, p, q, n, rows))
             if not len(g):
-                yield table([], early)
+                yield table([], *early)
                 continue
-            head = np.append(True, (g[1:] != g[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]))
-            head[0] = not (g[0] == anchor and p[0] == piece and q[0] == second)
+            names = np.column_stack((g, p, q.astype(np.int64)))
+            head = np.append(True, (names[1:] != names[:-1]).any(1))
+            head[0] = last is None or bool((names[0] != last).any())
             turn = np.append(True, g[1:] != g[:-1])
-            turn[0] = g[0] != anchor
+            turn[0] = last is None or g[0] != last[0]
             # a piece equal to its owner in place (a repeated row) is the same occurrence
-            covered = np.flatnonzero(~head)
             own = np.maximum.accumulate(np.where(head, np.arange(len(g)), -1))
-            od = np.where(own >= 0, d[own], owner[0] if owner else 0)
-            oa = np.where(own >= 0, a[own], owner[1] if owner else 0)
-            covered = covered[(d[covered] != od[covered]) | (a[covered] != oa[covered])]
+            owners = rows[own]
+            if owner is not None:
+                owners[own < 0] = owner
+            covered = ~head & (rows != owners).any(1)
             found = []
             heads = np.flatnonzero(head)
             turns = turn[heads]
@@ -356,106 +370,110 @@ def _sift(most: int):
                 if g[h] != anchor:
                     found += ended()
                     waiting, shard, anchor = [], 0, g[h]
-                waiting.append((d[h], a[h], n[h]))
+                waiting.append((rows[h], n[h]))
                 if len(waiting) > most:
                     found += [(*x, 2 + shard, anchor) for x in waiting]
                     waiting, shard = [], shard + 1
             if len(heads):
-                last = heads[-1]
-                anchor, piece, second, owner = g[-1], p[-1], q[-1], (d[last], a[last])
-            yield table(found, tuple(np.concatenate(x) for x in zip((d[covered], a[covered], n[covered], g[covered]), early, strict=True)))
+                owner = rows[heads[-1]]
+            last = names[-1]
+            yield table(found, *(np.concatenate(x) for x in zip((rows[covered], n[covered], g[covered]), early, strict=True)))
         yield table(ended())
 
     return run
 
 
 def _fetch(length: int):
-    """From texts with their candidates: the bytes of each piece, by its shard."""
+    """From texts with their candidates, (doc, hi, lo, text, cands): the bytes of each piece, by its shard."""
 
     def run(batches):
         for b in batches:
-            docs, tags, texts, cands = (b.column(k) for k in range(4))
             for r in range(b.num_rows):
-                raw = (texts[r].as_py() or "").encode()
-                doc, tag = docs[r].as_py(), tags[r].as_py() << 32
-                items = cands[r].values
+                raw = (b.column(3)[r].as_py() or "").encode()
+                items = b.column(4)[r].values
                 kind, anchor, s0, n = (items.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
                 shard = words.mix(anchor.view(np.uint64) + kind.astype(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard), pa.array(kind > 1), pa.array(np.full(len(s0), doc)), pa.array(s0 + tag), pa.array([raw[s : s + m + length - 1] for s, m in zip(s0, n, strict=True)], pa.binary())],
-                    names=["shard", "several", "doc", "at", "bytes"],
+                    [pa.array(shard), pa.array(kind > 1), *(pa.array(np.full(len(s0), b.column(k)[r].as_py())) for k in range(3)), pa.array(s0.astype(np.int32)), pa.array([raw[s : s + m + length - 1] for s, m in zip(s0, n, strict=True)], pa.binary())],
+                    names=["shard", "several", *ROW, "at", "bytes"],
                 )
 
     return run
 
 
 def _compare(length: int):
-    """For mapInArrow over pieces sorted by shard, doc, at: what is covered, as (doc, at, windows); and of keys with several shards the windows that are not, with their hashes."""
+    """For mapInArrow over pieces sorted by shard, row and place: what is covered, as (row, at, windows); and of keys with several shards the windows that are not, with their hashes."""
 
     def runs(dup: np.ndarray):
         edge = np.flatnonzero(np.diff(np.concatenate(([0], dup.view(np.int8), [0]))))
         return edge[::2], edge[1::2] - edge[::2]
 
     def run(batches):
-        shard, weight, key = [], 0, None
+        shard, weight, key = [], 0, None  # (row with start, several, bytes)
 
         def flush():
-            out = [[np.zeros(0, np.int64)] for _ in range(5)]
+            out = [[np.zeros((0, 4), np.int64)], *([np.zeros(0, np.int64)] for _ in range(3))]
 
-            def give(doc, at, n, one, two):
-                for c, x in zip(out, (np.full(len(at), doc), at, n, one, two), strict=True):
+            def give(row, s, n, one, two):
+                rows = np.tile(np.array(row, np.int64), (len(s), 1))
+                rows[:, 3] += s
+                for c, x in zip(out, (rows, n, (rows[:, 0] ^ rows[:, 2] ^ rows[:, 3]) * _TURN if one is None else one, two), strict=True):
                     c.append(x)
 
             if shard:
-                shard.sort(key=lambda x: x[1:3])  # shards of one key may have met
-                for (several, doc, at, raw), dup in zip(shard, repeats([x[3] for x in shard], length), strict=True):
+                shard.sort(key=lambda x: x[0])  # shards of one key may have met
+                for (row, several, raw), dup in zip(shard, repeats([x[2] for x in shard], length), strict=True):
                     s, m = runs(dup)
-                    give(doc, at + s, m, (doc ^ (at + s)) * np.int64(0x1E3779B97F4A7C15), np.zeros(len(s), np.int64))
+                    give(row, s, m, None, np.zeros(len(s), np.int64))
                     if several:
                         data, s = np.frombuffer(raw, np.uint8), np.flatnonzero(~dup)
                         one, two = (words.span_hash(words.prefix_hash(data, k), s, s + length).view(np.int64) for k in (0, 1))
-                        give(doc, at + s, np.zeros(len(s), np.int64), one, two)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["doc", "at", "n", "one", "two"])
+                        give(row, s, np.zeros(len(s), np.int64), one, two)
+            rows, n, one, two = (np.concatenate(c) for c in out)
+            return pa.RecordBatch.from_arrays([*(pa.array(x) for x in rows.T[:3]), pa.array(rows[:, 3].astype(np.int32)), pa.array(n), pa.array(one), pa.array(two)], names=[*ROW, "at", "n", "one", "two"])
 
         for b in batches:
-            keys, doc, at = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
-            for k, (several, raw) in enumerate(zip(b.column(1).to_pylist(), b.column(4), strict=True)):
+            keys = b.column(0).to_numpy(zero_copy_only=False)
+            rows = np.column_stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(2, 6)]).tolist()
+            for k, (several, raw) in enumerate(zip(b.column(1).to_pylist(), b.column(6), strict=True)):
                 if keys[k] != key and weight > SHARD_BYTES:
                     yield flush()
                     shard, weight = [], 0
-                if shard and keys[k] == key and shard[-1][1:3] == (doc[k], at[k]):
+                if shard and keys[k] == key and shard[-1][0] == rows[k]:
                     continue  # a repeated row
                 key = keys[k]
-                shard.append((several, doc[k], at[k], raw.as_py()))
-                weight += len(shard[-1][3])
+                shard.append((rows[k], several, raw.as_py()))
+                weight += len(shard[-1][2])
         yield flush()
 
     return run
 
 
 def _merge(batches):
-    """Over rows of _compare sorted by one, two, doc, at: what is covered; of windows that shards left (n = 0) all but the first of their hashes."""
+    """Over rows of _compare sorted by one, two, row and place: what is covered; of windows that shards left (n = 0) all but the first of their hashes."""
     seen = None
     for b in batches:
-        doc, at, n, one, two = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-        done, left = n > 0, np.flatnonzero(n == 0)
-        out = [doc[done], at[done], n[done]]
-        if len(left):
-            rows = np.stack([one[left], two[left], doc[left], at[left]], 1)
+        *row, n, one, two = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        all_ = np.column_stack((one, two, *row)).astype(np.int64)
+        done = n > 0
+        out, found = [all_[done, 2:]], [n[done]]
+        if not done.all():
+            rows = all_[~done]
             if seen is not None:
                 rows = np.concatenate((seen[None], rows))
             head = np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))
             own = rows[np.maximum.accumulate(np.where(head, np.arange(len(rows)), 0))]
             again = rows[(own[:, 2:] != rows[:, 2:]).any(1)]
-            out = [np.concatenate(x) for x in zip(out, (again[:, 2], again[:, 3], np.ones(len(again), np.int64)), strict=True)]
+            out.append(again[:, 2:]), found.append(np.ones(len(again), np.int64))
             seen = own[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["doc", "at", "n"])
+        rows = np.concatenate(out)
+        yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in rows.T[:3]), pa.array(rows[:, 3].astype(np.int32)), pa.array(np.concatenate(found))], names=[*ROW, "at", "n"])
 
 
 def _joined_spans(batches):
-    """(doc, tag, spans) with a document's sorted spans, those that touch or overlap made one."""
+    """(doc, hi, lo, spans) with a document's sorted spans, those that touch or overlap made one."""
     for b in batches:
-        lists = b.column(2)
+        lists = b.column(3)
         offsets = lists.offsets.to_numpy().astype(np.int64)
         x = lists.values.slice(0)
         a, e = (x.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
@@ -471,29 +489,34 @@ def _joined_spans(batches):
         counts = np.bincount(of[k], minlength=b.num_rows)
         low = np.int64(0xFFFFFFFF)
         spans = pa.StructArray.from_arrays([pa.array((a[k] & low).astype(np.int32)), pa.array((last & low).astype(np.int32))], names=["a", "b"])
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), spans)], names=["doc", "tag", "spans"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), spans)], names=[*ROW, "spans"])
+
+
+def named_rows(docs: DataFrame) -> DataFrame:
+    """(doc, hi, lo, text) of docs: rows that differ in doc_id or text differ in (doc, hi, lo); order by it is order by doc_id, null first."""
+    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    again = plain.groupBy("doc").count().where("count > 1").select("doc")
+    half = lambda k: F.when(F.col("_bit"), F.conv(F.substring(F.md5("text"), 16 * k + 1, 16), 16, -10).cast("long")).otherwise(F.lit(0).cast("long"))
+    return with_bit(plain, again, ["doc"]).select("doc", half(0).alias("hi"), half(1).alias("lo"), "text")
 
 
 def deduplicated(docs: DataFrame, length: int = 100, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """(doc_id, text, spans) of every row; spans are the maximal removed runs of bytes, [(a, b), ...] in order."""
-    text = F.coalesce("text", F.lit(""))
-    keyed = bound_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.shiftrightunsigned(F.xxhash64(text), 33).alias("tag"), text.alias("text"))
-    found = keyed.mapInArrow(_give_pieces(length), _PIECE).repartition("part").sortWithinPartitions("part", "anchor", "piece", "second", "doc", "at").mapInArrow(_sift(shard_pieces), _FOUND)
-    place = (F.col("at").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).cast("int")
-    tag = F.shiftright("at", 32)
-    span = F.struct(place.alias("a"), (place + F.col("n") + (length - 1)).cast("int").alias("b"))
-    cand = F.struct("kind", "anchor", place.alias("s0"), "n")
-    by_doc = cut(found.withColumn("tag", tag).groupBy("doc", "tag").agg(F.collect_list(F.when(F.col("kind") == 0, span)).alias("sure"), F.collect_list(F.when(F.col("kind") > 0, cand)).alias("cands")))
-    open_ = by_doc.where(F.size("cands") > 0).select("doc", "tag", "cands")
-    fetched = likely(keyed, open_, ["doc", "tag"]).join(open_, ["doc", "tag"]).select("doc", "tag", "text", "cands").mapInArrow(_fetch(length), "shard long, several boolean, doc long, at long, bytes binary")
+    keyed = named_rows(bound_batches(docs))
+    found = keyed.mapInArrow(_give_pieces(length), _PIECE).repartition("part").sortWithinPartitions("part", "anchor", "piece", "second", *ROW, "at").mapInArrow(_sift(shard_pieces), _FOUND)
+    span = F.struct(F.col("at").alias("a"), (F.col("at") + F.col("n") + (length - 1)).cast("int").alias("b"))
+    cand = F.struct("kind", "anchor", F.col("at").alias("s0"), "n")
+    by_doc = cut(found.groupBy(*ROW).agg(F.collect_list(F.when(F.col("kind") == 0, span)).alias("sure"), F.collect_list(F.when(F.col("kind") > 0, cand)).alias("cands")))
+    open_ = by_doc.where(F.size("cands") > 0).select(*ROW, "cands")
+    fetched = likely(keyed, open_, ROW).join(open_, ROW).select(*ROW, "text", "cands").mapInArrow(_fetch(length), "shard long, several boolean, doc long, hi long, lo long, at int, bytes binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a shard's bytes take long: few of them make a task
-    compared = fetched.repartition(parts, "shard").sortWithinPartitions("shard", "doc", "at").mapInArrow(_compare(length), "doc long, at long, n long, one long, two long")
-    more = compared.repartition("one").sortWithinPartitions("one", "two", "doc", "at").mapInArrow(_merge, "doc long, at long, n long")
-    more = more.groupBy("doc", tag.alias("tag")).agg(F.collect_list(span).alias("found"))
+    compared = fetched.repartition(parts, "shard").sortWithinPartitions("shard", *ROW, "at").mapInArrow(_compare(length), "doc long, hi long, lo long, at int, n long, one long, two long")
+    more = compared.repartition("one").sortWithinPartitions("one", "two", *ROW, "at").mapInArrow(_merge, "doc long, hi long, lo long, at int, n long")
+    more = more.groupBy(*ROW).agg(F.collect_list(span).alias("found"))
     none = F.array().cast("array<struct<a:int,b:int>>")
-    spans = by_doc.select("doc", "tag", "sure").join(more, ["doc", "tag"], "left").select("doc", "tag", F.concat("sure", F.coalesce("found", none)).alias("spans"))
-    spans = spans.where(F.size("spans") > 0).mapInArrow(_joined_spans, "doc long, tag long, spans array<struct<a:int,b:int>>")
-    out = keyed.join(spans, ["doc", "tag"], "left")
+    spans = by_doc.select(*ROW, "sure").join(more, ROW, "left").select(*ROW, F.concat("sure", F.coalesce("found", none)).alias("spans"))
+    spans = spans.where(F.size("spans") > 0).mapInArrow(_joined_spans, "doc long, hi long, lo long, spans array<struct<a:int,b:int>>")
+    out = keyed.join(spans, ROW, "left")
     return out.select(F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), "text", F.coalesce("spans", none).alias("spans"))
 
 

@@ -147,11 +147,30 @@ def test_many_pieces_on_one_key_have_several_shards():
 
     n = 25
     zeros, up = pa.array(np.zeros(n, np.int64)), pa.array(np.arange(n))
-    batch = pa.RecordBatch.from_arrays([zeros, zeros, up, up, up, zeros, pa.array(np.ones(n, np.int32))], names=["part", "anchor", "piece", "second", "doc", "at", "n"])
-    out = [k for b in suffix_dedup._sift(10)(iter([batch.slice(0, 7), batch.slice(7)])) for k in b.column(3).to_pylist()]
+    batch = pa.RecordBatch.from_arrays([zeros, zeros, up, up, up, zeros, zeros, zeros, pa.array(np.ones(n, np.int32))], names=["part", "anchor", "piece", "second", "doc", "hi", "lo", "at", "n"])
+    out = [k for b in suffix_dedup._sift(10)(iter([batch.slice(0, 7), batch.slice(7)])) for k in b.column(5).to_pylist()]
     assert Counter(out) == {2: 11, 3: 11, 4: 3}
 
 
+def test_texts_of_one_id_stay_apart(spark):
+    """Null and repeated ids, with texts whose short hashes agree: each row's bytes are those of brute force by (id, text)."""
+    rng = np.random.default_rng(11)
+    word = lambda n: "".join(chr(c) for c in rng.integers(97, 123, n))
+    made = spark.range(300_000).select(F.concat(*(F.md5(F.concat(F.col("id").cast("string"), F.lit(k))) for k in "abcdef")).alias("text")).withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 33))
+    pair = [r.text for r in made.join(made.groupBy("h").count().where("count > 1"), "h").orderBy("h").limit(2).collect()]  # the first 31 bits agree
+    assert len(pair) == 2
+    part = word(120)
+    rows = [(None, pair[0]), (None, pair[1] * 2), (7, pair[1][:150]), (7, part), (7, "x" + part + "y"), (7, part), (8, part), (9, word(300))]
+    name = lambda r: (-(2**63) if r[0] is None else r[0], hashlib.md5(r[1].encode()).digest())
+    signed = lambda d: tuple(int.from_bytes(d[k : k + 8], "big", signed=True) for k in (0, 8))
+    keys = sorted({name(r): r for r in rows}.items(), key=lambda x: (x[0][0], signed(x[0][1])))
+    want = removed([(k, r[1]) for k, (_, r) in enumerate(keys)])
+    by_row = {(r[0], len(r[1].encode()), want[k]) for k, (_, r) in enumerate(keys)}
+    got = suffix_dedup.kept_digest(suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.n_bytes, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got} == by_row
+
+
 def test_rows_of_one_id_and_text_are_one_document(hard):
     got = suffix_dedup.deduplicated(hard.where("doc_id = 15")).collect()
     assert len(got) == 3
@@ -481,4 +500,4 @@ def test_hard_rows_and_empty_tables(name, hard, empty, labels):
 
 def test_all_operators_are_registered():
     names = {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES}
-    assert names == set(range(1, 11))
+    assert names == set(range(1, 14))
