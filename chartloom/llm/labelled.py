@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartloom.llm.graph import Scratch, bound_batches, cut
+from chartloom.llm.graph import Scratch, bound_batches, cut, with_bit
 
 
 def held_out(doc_id: Column) -> Column:
@@ -76,5 +76,23 @@ def as_rows(docs: DataFrame) -> DataFrame:
     return bound_batches(docs).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
 
+#: Stands for a null doc_id: the smallest.
+NULL_ID = -(2**63)
+#: What names a row, from named().
+ROW = ["doc", "hi", "lo"]
+
+
+def named(rows: DataFrame, doc_id: Column, text: Column) -> DataFrame:
+    """rows with doc, hi, lo: rows that differ in doc_id or text differ in these, and their order is by doc_id, null first.
+
+    hi and lo are the MD5 digest of the text where the id may occur more than once (a bit map of the ids that do
+    tells, 2 MB whatever the input), else 0: unique ids need no digest, and zeros cost nothing in a shuffle.
+    """
+    keyed = rows.withColumn("doc", F.coalesce(doc_id.cast("long"), F.lit(NULL_ID)))
+    again = keyed.groupBy("doc").count().where("count > 1").select("doc")
+    half = lambda k: F.when(F.col("_bit"), F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 16 * k + 1, 16), 16, -10).cast("long")).otherwise(F.lit(0).cast("long"))
+    return with_bit(keyed, again, ["doc"]).withColumn("hi", half(0)).withColumn("lo", half(1)).drop("_bit")
+
+
 def with_fields(rows: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([rows.schema["row"], *(T.StructField(n, t) for n, t in fields)])

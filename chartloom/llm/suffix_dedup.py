@@ -38,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import words
-from chartloom.llm.graph import bound_batches, cut, likely, with_bit
-from chartloom.llm.jaccard_join import NULL_ID
+from chartloom.llm.graph import bound_batches, cut, likely
+from chartloom.llm.labelled import NULL_ID, ROW, named
 
 #: Bytes of a gram that may be an anchor.
 GRAM = 16
@@ -280,8 +280,6 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int):
 
 _PIECE = "part long, anchor long, piece long, second int, doc long, hi long, lo long, at int, n int"
 _FOUND = "doc long, hi long, lo long, at int, n int, kind int, anchor long"
-#: What names a row.
-ROW = ["doc", "hi", "lo"]
 _TURN = np.int64(0x1E3779B97F4A7C15)
 
 
@@ -492,17 +490,9 @@ def _joined_spans(batches):
         yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), spans)], names=[*ROW, "spans"])
 
 
-def named_rows(docs: DataFrame) -> DataFrame:
-    """(doc, hi, lo, text) of docs: rows that differ in doc_id or text differ in (doc, hi, lo); order by it is order by doc_id, null first."""
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    again = plain.groupBy("doc").count().where("count > 1").select("doc")
-    half = lambda k: F.when(F.col("_bit"), F.conv(F.substring(F.md5("text"), 16 * k + 1, 16), 16, -10).cast("long")).otherwise(F.lit(0).cast("long"))
-    return with_bit(plain, again, ["doc"]).select("doc", half(0).alias("hi"), half(1).alias("lo"), "text")
-
-
 def deduplicated(docs: DataFrame, length: int = 100, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """(doc_id, text, spans) of every row; spans are the maximal removed runs of bytes, [(a, b), ...] in order."""
-    keyed = named_rows(bound_batches(docs))
+    keyed = named(bound_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), F.col("doc_id"), F.col("text")).select(*ROW, "text")
     found = keyed.mapInArrow(_give_pieces(length), _PIECE).repartition("part").sortWithinPartitions("part", "anchor", "piece", "second", *ROW, "at").mapInArrow(_sift(shard_pieces), _FOUND)
     span = F.struct(F.col("at").alias("a"), (F.col("at") + F.col("n") + (length - 1)).cast("int").alias("b"))
     cand = F.struct("kind", "anchor", F.col("at").alias("s0"), "n")

@@ -241,6 +241,8 @@ def test_decontamination_is_brute_force(spark):
     vocabulary = [f"w{k}" for k in range(30)]
     items = [(k, " ".join(rng.choice(vocabulary, rng.integers(1, 40)))) for k in range(12)] + [(50, None), (51, "..."), (52, "W1 w2")]
     rows = [(k, " ".join([*rng.choice(vocabulary, 30), *items[k % 12][1].split()[: rng.integers(5, 40)], *rng.choice(vocabulary, 20)])) for k in range(40)] + [(100, None), (100, ""), (None, "É" + items[3][1].upper()), (101, "w1 " * 300)]
+    items += [(60, "a " * 60), (61, "x y " * 50), (62, "p q r " * 20 + " ".join(vocabulary) + " p q r" * 20)]  # repetitive words
+    rows += [(None, "a " * 500), (None, "y " + "x y " * 300), (None, "p q r " * 200), (None, f"{items[-1][1]} end"), (7, items[0][1]), (7, "second text of this id " + items[1][1]), (None, items[2][1])]
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n_hit long, words string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -251,6 +253,17 @@ def test_decontamination_is_brute_force(spark):
     assert decontaminate.benchmark_hits(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_long_benchmark_items_leave_room(spark):
+    """300 items of 1,000 words: their fingerprints are broadcast, not their texts."""
+    rng = np.random.default_rng(6)
+    items = [(k, " ".join(f"v{x}" for x in rng.integers(0, 40_000, 1000))) for k in range(300)]
+    part = lambda k, a, n: " ".join(items[k][1].split()[a : a + n])
+    rows = [(k, f"some words before {part(k, 10 * k % 900, 9 + k % 5)} and after") for k in range(100)] + [(None, part(3, 0, 500) + " x " + part(4, 500, 500))]
+    got = {r.row.doc_id: (r.n_hit, r.item_ids) for r in decontaminate.benchmark_hits(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {k: (9 + k % 5, [str(k)]) if k % 5 else (0, []) for k in range(100)} | {None: (1000, ["3", "4"])}
+    assert got == want
+
+
 def test_native_operators_run_no_python(spark):
     docs = spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string")
     bench = spark.createDataFrame([(1, "a b c d e f g h i j k l")], "item_id long, text string")
