@@ -1,10 +1,10 @@
 """Source divergence audit by mergeable radix tries.
 
-Each task counts terms in byte tries, one a language, whose leaves have a counter for each source: occurrences, and documents that
-hold the term. Tries are written leaf by leaf in byte order. Spark deals the leaves over ranges of (language, term) and
-sorts them, so that every task has the leaves of one range of prefixes from all tries; it merges them into a trie of its own,
-walks that in byte order, which is UTF-8 order, and keeps the terms of enough documents. Walked leaves leave the trie, so a range is
-never whole in memory.
+Each task counts terms and grows byte tries of them, one a language, whose leaves have a counter for each source: occurrences, and documents
+that hold the term. Terms are sorted first, so a trie grows along its last path and its children stand in byte order, which is UTF-8 order. Tries are
+written leaf by leaf. Spark deals the leaves over ranges of (language, term) and
+sorts them, so that every task has the leaves of one range of prefixes from all tries; it merges those of enough documents into a trie of its own
+and walks that. Walked leaves leave the trie, so a range is never whole in memory.
 
 Once the kept terms are known, so are the totals of each source. The second traversal takes the kept leaves range by
 range: each part begins with its language's totals, then streams its terms, adding up the divergence of all pairs of a block of
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ from chartloom.llm.graph import bound_batches, cut
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Terms of one source that a task holds before it writes its tries and begins anew.
-STAGED = 200_000
+STAGED = 500_000
 #: Bytes of a text whose terms are looked for at once, and whose different terms are held at once.
 STRETCH, LONG = 1 << 20, 16 << 20
 #: Leaves that a merging task holds, leaves in a written batch.
@@ -51,46 +52,64 @@ _FOUND = "lang string, source string, part string, item binary, value long"
 
 
 class ByteTrie:
-    """A radix trie over bytes. A node is [label, children by first byte, leaf]; a leaf has [occurrences, documents] by source."""
+    """A radix trie over bytes, grown by rising terms.
+
+    Nodes are numbers; lists hold their labels, first children, next siblings, depths at their ends, and leaves (-1 for
+    none). Leaves are numbered as they come, their counters are kept by number.
+    """
 
     def __init__(self):
-        self.root = [b"", {}, None]
-        self.leaves = 0
-
-    def leaf(self, term: bytes) -> dict:
-        """The leaf of a term, made if need be."""
-        node, at = self.root, 0
-        while at < len(term):
-            child = node[1].get(term[at])
-            if child is None:
-                child = node[1][term[at]] = [term[at:], {}, None]
-            elif not term.startswith(child[0], at):  # they part inside the label
-                label, m = child[0], 1
-                while m < len(label) and at + m < len(term) and label[m] == term[at + m]:
+        self.label, self.below, self.beside, self.depth, self.leaf = [b""], [-1], [-1], [0], [-1]
+        self.last, self.leaves, self.path = None, 0, [0]
+
+    def _node(self, label: bytes, below: int, depth: int, leaf: int) -> int:
+        self.label.append(label), self.below.append(below), self.beside.append(-1), self.depth.append(depth), self.leaf.append(leaf)
+        return len(self.label) - 1
+
+    def grow(self, term: bytes) -> None:
+        """A new leaf for a term that is greater than the last one."""
+        last, path, depth, child = self.last, self.path, self.depth, -1
+        if last is not None:
+            m, most = 0, len(last)
+            if term.startswith(last):
+                m = most
+            else:
+                while last[m] == term[m]:
                     m += 1
-                upper = node[1][term[at]] = [label[:m], {label[m]: child}, None]
-                child[0] = label[m:]
-                child = upper
-            node, at = child, at + len(child[0])
-        if node[2] is None:
-            node[2] = {}
-            self.leaves += 1
-        return node[2]
-
-    def add(self, term: bytes, source: str, n: int, docs: int) -> None:
-        own = self.leaf(term).setdefault(source, [0, 0])
-        own[0] += n
-        own[1] += docs
-
-    def walk(self) -> Iterator[tuple[bytes, dict]]:
+            while depth[path[-1]] > m:
+                child = path.pop()
+            above = depth[path[-1]]
+            if child >= 0 and above < m:  # they part inside the label of `child`, which keeps the part that they share
+                label = self.label[child]
+                lower = self._node(label[m - above :], self.below[child], depth[child], self.leaf[child])
+                self.label[child], self.below[child], depth[child], self.leaf[child] = label[: m - above], lower, m, -1
+                path.append(child)
+                child = lower
+        top = path[-1]
+        if len(term) > depth[top]:
+            node = self._node(term[depth[top] :], -1, len(term), self.leaves)
+            if child >= 0:
+                self.beside[child] = node
+            else:
+                self.below[top] = node
+            path.append(node)
+        else:
+            self.leaf[top] = self.leaves
+        self.last = term
+        self.leaves += 1
+
+    def walk(self) -> Iterator[tuple[bytes, int]]:
         """(term, leaf) in byte order."""
-        stack = [(b"", self.root)]
+        stack = [(b"", 0)]
         while stack:
             before, node = stack.pop()
-            term = before + node[0]
-            if node[2] is not None:
-                yield term, node[2]
-            stack += [(term, node[1][b]) for b in sorted(node[1], reverse=True)]
+            if self.beside[node] >= 0:
+                stack.append((before, self.beside[node]))
+            term = before + self.label[node]
+            if self.leaf[node] >= 0:
+                yield term, self.leaf[node]
+            if self.below[node] >= 0:
+                stack.append((term, self.below[node]))
 
 
 def stretches(text: bytes) -> Iterator[bytes]:
@@ -104,15 +123,15 @@ def stretches(text: bytes) -> Iterator[bytes]:
         a = e
 
 
-def text_terms(text: bytes) -> Iterator[Counter]:
-    """Counts of a text's terms; a long text gives several, each of terms that the others don't have."""
+def text_terms(text: bytes) -> Iterator[list[bytes]]:
+    """A text's terms in order, stretch by stretch; a long text gives them in passes (an empty list parts them), each of terms that the others don't have."""
     passes = 1 + len(text) // LONG
     for p in range(passes):
-        found: Counter = Counter()
+        if p:
+            yield []
         for piece in stretches(text):
             terms = TERM.findall(piece.translate(LOWER))
-            found.update(terms if passes == 1 else [t for t in terms if hash(t) % passes == p])
-        yield found
+            yield terms if passes == 1 else [t for t in terms if hash(t) % passes == p]
 
 
 def _count(batches):
@@ -120,65 +139,129 @@ def _count(batches):
     occurrences, documents = {}, {}
 
     def written():
-        tries: dict[str, ByteTrie] = {}
-        for (lang, source), found in occurrences.items():
-            trie, docs = tries.setdefault(lang, ByteTrie()), documents[lang, source]
-            trie.add(b"", source, 0, 0)
-            for term, n in found.items():
-                trie.add(term, source, n, docs[term])
+        by_lang: dict[str, list[str]] = {}
+        for lang, source in occurrences:
+            by_lang.setdefault(lang, []).append(source)
+        for lang, sources in by_lang.items():
+            yield from _grown(lang, [(s, occurrences[lang, s], documents[lang, s]) for s in sorted(sources)])
         occurrences.clear(), documents.clear()
-        for lang in sorted(tries):
-            yield from _batches([lang], tries[lang].walk())
 
     for b in batches:
         texts = b.column(2).cast(pa.binary() if not pa.types.is_large_string(b.column(2).type) else pa.large_binary())
         for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, strict=True):
-            found, docs = occurrences.setdefault((lang, source), Counter()), documents.setdefault((lang, source), Counter())
+            found, docs = occurrences.setdefault((lang, source), Counter({b"": 0})), documents.setdefault((lang, source), Counter({b"": 0}))
+            seen: set[bytes] = set()
             for terms in text_terms(text.as_py()):
+                if not terms:
+                    docs.update(seen)
+                    seen = set()
                 found.update(terms)
-                docs.update(terms.keys())
+                seen.update(terms)
+            docs.update(seen)
         if sum(map(len, occurrences.values())) > STAGED:
             yield from written()
     yield from written()
 
 
-def _batches(langs: list[str], leaves, keep: int = 0, columns: int = 5):
-    """Record batches of leaves, (term, leaf), of one language; those of fewer than `keep` documents are left out."""
-    rows: list[tuple] = []
-    for term, leaf in leaves:
-        docs = sum(x[1] for x in leaf.values())
-        if docs >= keep:
-            some = sorted(leaf)
-            rows.append((langs[0], term, some, [leaf[s][0] for s in some], docs))
-        if len(rows) == BATCH:
-            yield _leaf_batch(rows, columns)
-            rows = []
-    if rows:
-        yield _leaf_batch(rows, columns)
-
-
-def _leaf_batch(rows: list[tuple], columns: int) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64())
-    names = ("lang", "term", "sources", "counts", "docs")
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in list(zip(zip(*rows, strict=True), kinds, strict=True))[:columns]], names=list(names[:columns]))
+def _grown(lang: str, counted: list[tuple[str, Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+    """A language's trie, grown from the counts of its sources, leaf by leaf."""
+    terms = [list(found) for _, found, _ in counted]
+    source = np.repeat(np.arange(len(counted)), [len(x) for x in terms])
+    n = np.concatenate([np.fromiter(found.values(), np.int64, len(found)) for _, found, _ in counted])
+    docs = np.concatenate([np.fromiter(map(d.__getitem__, x), np.int64, len(x)) for x, (_, _, d) in zip(terms, counted, strict=True)])
+    every = pa.array([t for x in terms for t in x], pa.binary())
+    order = pc.array_sort_indices(every).to_numpy()  # stable: equal terms stay in order of sources
+    every = every.take(pa.array(order))
+    first = _changes(every)
+    ends = np.append(first, len(every))
+    trie = ByteTrie()
+    for term in every.take(pa.array(first)).to_pylist():
+        trie.grow(term)
+    names = pa.array([s for s, _, _ in counted], pa.string())
+    sources, n, docs = names.take(pa.array(source[order])), n[order], np.add.reduceat(docs[order], first)
+    walked = [t for t, _ in trie.walk()]
+    for a in range(0, len(walked), BATCH):
+        e = min(a + BATCH, len(walked))
+        at, (i, j) = pa.array((ends[a : e + 1] - ends[a]).astype(np.int32)), (ends[a], ends[e])
+        lists = [pa.ListArray.from_arrays(at, x) for x in (sources.slice(i, j - i), pa.array(n[i:j]))]
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * (e - a)), pa.array(walked[a:e], pa.binary()), *lists, pa.array(docs[a:e])], names=["lang", "term", "sources", "counts", "docs"])
+
+
+def _changes(*columns: pa.Array) -> np.ndarray:
+    """Where rows differ from those before them, with the first row."""
+    n = len(columns[0])
+    new = [pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False) for c in columns]
+    return np.flatnonzero(np.append(n > 0, np.any(new, axis=0)))
 
 
 def _merge(least: int):
     """Over leaves sorted by lang and term: those of at least `least` documents, each term once."""
 
     def run(batches):
-        lang, last, trie, empty = None, None, ByteTrie(), True
+        trie, leaves, lang = ByteTrie(), [], None
+        last, last_docs, last_leaf = None, 0, {}  # the term that the next batch may go on with
+
+        def walked():
+            nonlocal trie, leaves
+            if leaves:
+                rows = [(lang, term, *leaves[k]) for term, k in trie.walk()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())), strict=True)], names=["lang", "term", "sources", "counts"])
+            trie, leaves = ByteTrie(), []
+
+        def ended(key, docs, leaf):
+            nonlocal lang
+            if docs < least:
+                return
+            if key[0] != lang or len(leaves) >= HELD:
+                yield from walked()
+                lang = key[0]
+            trie.grow(key[1])
+            leaves.append((list(leaf), list(leaf.values())) if isinstance(leaf, dict) else leaf)
+
+        def added(b, a, e, leaf):
+            """A leaf with the counters of rows a to e."""
+            for s, n in zip(*(b.column(k).slice(a, e - a).flatten().to_pylist() for k in (2, 3)), strict=True):
+                leaf[s] = leaf.get(s, 0) + n
+            return leaf
+
+        def summed(some, group):
+            """(sources, counts) of each group of rows."""
+            sources = some.column(2).flatten().dictionary_encode()
+            names, wide = sources.dictionary.to_pylist(), max(len(sources.dictionary), 1)
+            key = np.repeat(group, pc.list_value_length(some.column(2)).to_numpy()) * wide + sources.indices.to_numpy()
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.append(len(key) > 0, key[1:] != key[:-1]))
+            counts = np.add.reduceat(some.column(3).flatten().to_numpy()[order], first).tolist() if len(key) else []
+            of = np.searchsorted(key[first] // wide, np.arange(group[-1] + 2 if len(group) else 1)).tolist()
+            named = [names[c] for c in (key[first] % wide).tolist()]
+            return [(named[i:j], counts[i:j]) for i, j in zip(of[:-1], of[1:], strict=True)]
+
         for b in batches:
-            for name, term, sources, counts, docs in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                if name != lang or (trie.leaves >= HELD and term != last):
-                    if not empty:
-                        yield from _batches([lang], trie.walk(), least, 4)
-                    lang, trie = name, ByteTrie()
-                for k, (source, n) in enumerate(zip(sources, counts, strict=True)):
-                    trie.add(term, source, n, docs if k == 0 else 0)  # only the sum of a leaf's documents counts
-                last, empty = term, False
-        if not empty:
-            yield from _batches([lang], trie.walk(), least, 4)
+            rows = b.num_rows
+            if not rows:
+                continue
+            langs, terms, docs = b.column(0), b.column(1), b.column(4).to_numpy()
+            first = _changes(langs, terms)
+            ends, total = np.append(first[1:], rows), np.add.reduceat(docs, first)
+            key = lambda k: (langs[k].as_py(), terms[k].as_py())  # noqa: E731, B023
+            at = int(key(0) == last)
+            if at:
+                last_docs, last_leaf = last_docs + int(total[0]), added(b, 0, int(ends[0]), last_leaf)
+            if at < len(first):  # the last term ended, and all of this batch but its own last
+                if last is not None:
+                    yield from ended(last, last_docs, last_leaf)
+                kept = np.flatnonzero(total[at:-1] >= least) + at
+                size = ends[kept] - first[kept]
+                upto = np.concatenate(([0], np.cumsum(size)))
+                some = b.take(pa.array(np.repeat(first[kept] - upto[:-1], size) + np.arange(upto[-1])))
+                heads = b.take(pa.array(first[kept]))
+                for name, term, g, leaf in zip(heads.column(0).to_pylist(), heads.column(1).to_pylist(), kept, summed(some, np.repeat(np.arange(len(kept)), size)), strict=True):
+                    yield from ended((name, term), int(total[g]), leaf)
+                last, last_docs, last_leaf = key(int(first[-1])), int(total[-1]), added(b, int(first[-1]), rows, {})
+        if last is not None:
+            yield from ended(last, last_docs, last_leaf)
+        yield from walked()
 
     return run
 
@@ -285,6 +368,7 @@ def audited(docs: DataFrame, least: int = 10, top: int = 10) -> DataFrame:
     bare = sized.where("terms = 0").select("lang", F.explode("all.source").alias("source"), F.col("all.source").alias("others")).select("lang", "source", F.explode("others").alias("other")).where("source <> other")
     bare = bare.select("lang", "source", F.col("other").cast("binary").alias("item"), F.lit(0).cast("long").alias("value"))
     pairs = found.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).unionByName(bare).withColumn("part", F.lit("pair"))
-    order = Window.partitionBy("lang", "source", "part").orderBy(F.col("value").desc(), "item")
-    both = pairs.unionByName(found.where("part = 'term'")).withColumn("rank", F.row_number().over(order)).where((F.col("part") == "pair") | (F.col("rank") <= top))
-    return both.select("lang", "source", "part", F.col("item").cast("string").alias("item"), "value", "rank")
+    order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
+    rank = F.row_number().over(order).alias("rank")
+    best = found.where("part = 'term'").select("*", rank).where(F.col("rank") <= top)  # each task keeps a group's first before the shuffle
+    return pairs.select("*", rank).unionByName(best).select("lang", "source", "part", F.col("item").cast("string").alias("item"), "value", "rank")

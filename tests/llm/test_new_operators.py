@@ -189,11 +189,15 @@ def test_byte_tries_walk_in_order_and_divide_exactly():
     rng = np.random.default_rng(3)
     words = {bytes(rng.integers(97, 100, rng.integers(0, 9)).tolist()) for _ in range(500)} | {"é".encode(), "ü".encode(), b"a" * 5000}
     trie = source_audit.ByteTrie()
-    both = sorted(words) * 2
-    for k in rng.permutation(len(both)):
-        w = both[k]
-        trie.add(w, "s", 1, 1)
-    assert [w for w, _ in trie.walk()] == sorted(words) and trie.leaves == len(words)
-    assert all(leaf == {"s": [2, 2]} for _, leaf in trie.walk())
+    for w in sorted(words):
+        trie.grow(w)
+    assert list(trie.walk()) == [(w, k) for k, w in enumerate(sorted(words))]
+    for k, label in enumerate(trie.label):
+        children, c = [], trie.below[k]
+        while c >= 0:
+            children.append(trie.label[c])
+            c = trie.beside[c]
+        assert trie.leaf[k] >= 0 or len(children) > 1 or not k  # no node that only hands on
+        assert (label or not k) and len({x[0] for x in children}) == len(children)
     n, total = np.array([0, 1, 5, 8 * 10**15, 7]), np.array([1, 3, 5, 9 * 10**15 - 1, 10**15])
     assert source_audit.parts_of(n, total).tolist() == [1 + 10**9 * int(a) // int(b) for a, b in zip(n, total, strict=True)]
