@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def strip(c: Column) -> Column:
     """Outer white space of every kind, where trim() takes blanks alone."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def nfkc(c: Column) -> Column:
@@ -26,7 +26,7 @@ def nfkc(c: Column) -> Column:
 
 def normalize_a(c: Column) -> Column:
     """Lower case, stripped, inner white space single; texts beyond ASCII go through nfkc() before."""
-    return F.regexp_replace(strip(F.lower(c)), r"\s+", " ")
+    return F.regexp_replace(strip(F.lower(c)), r"(?U)\s+", " ")
 
 
 def normalize_b(c: Column) -> Column:

@@ -9,26 +9,17 @@ from chartloom.functions import text as T
 from chartloom.operators import evaluate as E
 from chartloom.sources.tables import QA_SQL, qa_pairs, read
 
-#: What whole texts are cleared of, so that both engines fold case alike.
-ASCII = r"[^ -~]"
-
-
-def _ascii_pairs(spark, sf_dir):
-    fold = lambda c: F.regexp_replace(c, ASCII, "")
-    return qa_pairs(spark, sf_dir).select("conv_id", "qa_idx", fold("answer").alias("answer"), fold("question").alias("question"))
-
-
 def text_metrics(spark, sf_dir):
-    return E.text_metrics(_ascii_pairs(spark, sf_dir), "answer", "question", ["conv_id", "qa_idx"])
+    return E.text_metrics(qa_pairs(spark, sf_dir), "answer", "question", ["conv_id", "qa_idx"])
 
 
 def bleu1(spark, sf_dir):
-    p = _ascii_pairs(spark, sf_dir)
+    p = qa_pairs(spark, sf_dir)
     return p.select("conv_id", "qa_idx", F.round(T.bleu_1(F.col("answer"), F.col("question")), 6).alias("bleu_1"))
 
 
 def fuzzy_match(spark, sf_dir):
-    p = _ascii_pairs(spark, sf_dir)
+    p = qa_pairs(spark, sf_dir)
     return p.select("conv_id", "qa_idx", T.fuzzy_match(F.col("question"), F.col("answer")).alias("matched"))
 
 
@@ -104,20 +95,23 @@ def numeric_match(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (text_metrics, bleu1, fuzzy_match, latency_nearest_rank, error_rate_by_type, worst20, confusion_matrix, prf1, class_weights, type_distribution_sets, cross_models_metrics_pivot, ablation_deltas, parse_numbers, numeric_match)}
 
-_WHOLE = f"""{QA_SQL}, s AS (SELECT conv_id, qa_idx, regexp_replace(answer, '[^ -~]', '', 'g') AS a, regexp_replace(question, '[^ -~]', '', 'g') AS q FROM qa),
-n AS (SELECT *, regexp_replace(trim(lower(a)), '\\s+', ' ', 'g') AS p, regexp_replace(trim(lower(q)), '\\s+', ' ', 'g') AS t FROM s)"""
+_TRIM = r"regexp_replace(lower({}), '^[\s\x0B]+|[\s\x0B]+$', '', 'g')"
+_WHOLE = rf"""{QA_SQL}, s AS (SELECT conv_id, qa_idx, nfc_normalize(answer) AS a, nfc_normalize(question) AS q FROM qa),
+n AS (SELECT *, regexp_replace({_TRIM.format('a')}, '[\s\x0B]+', ' ', 'g') AS p, regexp_replace({_TRIM.format('q')}, '[\s\x0B]+', ' ', 'g') AS t FROM s)"""
+#: DuckDB's levenshtein counts bytes: letters of Latin-1, lower-cased, stand as bytes that lower-cased texts don't have, so that it counts characters.
+_BYTES = "translate({}, 'àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(1) || chr(2) || chr(3) || chr(4) || chr(5) || chr(6))"
 _PRED = "p AS (SELECT doc_id, quality, CAST(n_chars >= 400 AS INT) AS pred FROM labels JOIN documents USING (doc_id))"
 ORACLES = {
-    "text_metrics": f"""WITH {_WHOLE}, m AS (SELECT *, regexp_extract_all(lower(a), '-?\\d+(?:\\.\\d+)?(?:e[+-]?\\d+)?') AS na, regexp_extract_all(lower(q), '-?\\d+(?:\\.\\d+)?(?:e[+-]?\\d+)?') AS nq FROM n)
+    "text_metrics": f"""WITH {_WHOLE}, m AS (SELECT *, levenshtein({_BYTES.format('p')}, {_BYTES.format('t')})::DOUBLE AS d, regexp_extract_all(lower(a), '-?\\d+(?:\\.\\d+)?(?:e[+-]?\\d+)?') AS na, regexp_extract_all(lower(q), '-?\\d+(?:\\.\\d+)?(?:e[+-]?\\d+)?') AS nq FROM n)
       SELECT conv_id, qa_idx, p = t AS exact, contains(p, t) AS contains,
-        round(CASE WHEN t = '' THEN CASE WHEN p = '' THEN 1.0::DOUBLE ELSE 0 END WHEN levenshtein(p, t)::DOUBLE / greatest(length(p), length(t)) > 0.5 THEN 0 ELSE 1 - levenshtein(p, t)::DOUBLE / greatest(length(p), length(t)) END, 6) AS anls,
-        round(CASE WHEN t = '' THEN CASE WHEN p = '' THEN 0.0::DOUBLE ELSE 1 END ELSE levenshtein(p, t)::DOUBLE / length(t) END, 6) AS cer,
+        round(CASE WHEN t = '' THEN CASE WHEN p = '' THEN 1.0::DOUBLE ELSE 0 END WHEN d / greatest(length(p), length(t)) > 0.5 THEN 0 ELSE 1 - d / greatest(length(p), length(t)) END, 6) AS anls,
+        round(CASE WHEN t = '' THEN CASE WHEN p = '' THEN 0.0::DOUBLE ELSE 1 END ELSE d / length(t) END, 6) AS cer,
         round(CASE WHEN len(nq) = 0 THEN -1.0::DOUBLE WHEN len(na) = 0 THEN 0 ELSE len(list_filter(nq, lambda x: len(list_filter(na, lambda y: CASE WHEN abs(x::DOUBLE) < 1e-9 THEN abs(y::DOUBLE) < 1e-9 ELSE abs(y::DOUBLE - x::DOUBLE) / (abs(x::DOUBLE) + 1e-9) <= 0.05 END)) > 0))::DOUBLE / len(nq) END, 6) AS numeric,
-        CASE WHEN length(trim(q)) <= 5 THEN 'short' WHEN length(trim(q)) <= 50 THEN 'medium' ELSE 'long' END AS length FROM m""",
+        CASE WHEN length({_TRIM.format('q')}) <= 5 THEN 'short' WHEN length({_TRIM.format('q')}) <= 50 THEN 'medium' ELSE 'long' END AS length FROM m""",
     "bleu1": f"""WITH {_WHOLE}, b AS (SELECT conv_id, qa_idx, list_filter(string_split(regexp_replace(p, '\\.+$', ''), ' '), lambda x: x <> '') AS a, list_filter(string_split(regexp_replace(t, '\\.+$', ''), ' '), lambda x: x <> '') AS r FROM n),
       c AS (SELECT conv_id, qa_idx, a, r, list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda x: x = w)), len(list_filter(r, lambda x: x = w))))) AS k FROM b)
       SELECT conv_id, qa_idx, round(CASE WHEN len(a) = 0 OR len(r) = 0 THEN 0.0::DOUBLE ELSE (CASE WHEN len(a) < len(r) THEN exp(1 - len(r)::DOUBLE / len(a)) ELSE 1.0 END) * k / len(a) END, 6) AS bleu_1 FROM c""",
-    "fuzzy_match": f"""WITH {_WHOLE}, f AS (SELECT conv_id, qa_idx, lower(trim(q)) AS g, lower(trim(a)) AS b FROM s), k AS (SELECT *, regexp_replace(g, '[^a-z0-9]', '', 'g') AS gk, regexp_replace(b, '[^a-z0-9]', '', 'g') AS bk FROM f)
+    "fuzzy_match": f"""WITH {_WHOLE}, f AS (SELECT conv_id, qa_idx, {_TRIM.format('q')} AS g, {_TRIM.format('a')} AS b FROM s), k AS (SELECT *, regexp_replace(g, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS gk, regexp_replace(b, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS bk FROM f)
       SELECT conv_id, qa_idx, CASE WHEN g = '' OR b = '' THEN false ELSE contains(g, b) OR contains(b, g) OR (gk <> '' AND bk <> '' AND (contains(gk, bk) OR contains(bk, gk)))
         OR (length(gk) >= 3 AND len(list_filter(string_split(gk, ''), lambda c: contains(bk, c)))::DOUBLE / length(gk) >= 0.6) END AS matched FROM k""",
     "latency_nearest_rank": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, list_sort(list(value))[CAST(floor(count(*) * 0.5) AS INT) + 1] AS p50, list_sort(list(value))[CAST(floor(count(*) * 0.95::DOUBLE) AS INT) + 1] AS p95, min(value) AS low, max(value) AS high FROM events GROUP BY 1",

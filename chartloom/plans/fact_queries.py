@@ -77,8 +77,10 @@ def scale_confidence(spark, sf_dir):
 
 
 def contains_variants(spark, sf_dir):
-    fold = lambda c: F.regexp_replace(F.col(c), r"[^ -~]", "")
-    p = qa_pairs(spark, sf_dir).select("conv_id", "qa_idx", fold("answer").alias("a"), F.when(F.col("qa_idx") % 4 == 0, " ").otherwise(F.left(fold("answer"), F.lit(12))).alias("t"))
+    """Whole answers against the last sentence of their own (even conversations) or against the whole question; every fourth target is blank."""
+    last = F.element_at(F.split("answer", r"[.!?][ \n]+"), -1)
+    target = F.when(F.col("qa_idx") % 4 == 0, " ").when(F.col("conv_id") % 2 == 0, last).otherwise(F.col("question"))
+    p = qa_pairs(spark, sf_dir).select("conv_id", "qa_idx", F.col("answer").alias("a"), target.alias("t"))
     return p.select("conv_id", "qa_idx", T.contains_match(F.col("a"), F.col("t")).alias("loose"), T.contains_answer(F.col("a"), F.col("t")).alias("strict"))
 
 
@@ -150,6 +152,7 @@ QUERIES = {
 _ROLES = ("title", "legend", "data_label", "y_axis_label", "x_axis_label")
 _DIM = {"split": "['train', 'val', 'test'][CAST(chart_id % 3 + 1 AS INT)]", "chart_type": "chart_type", "difficulty": "difficulty", "version": "['v1', 'v2'][CAST((chart_id + 1) % 2 + 1 AS INT)]"}
 _SCORE = "count(*) AS n, count(*) FILTER (value / 64 < 0.5) AS failed, round(avg((value / 64 < 0.5)::INT), 6) AS rate, round(avg(value / 64), 6) AS mean, round(stddev_pop(value / 64), 6) AS sd, min(value / 64) AS low, max(value / 64) AS high"
+_NORMAL = r"regexp_replace(regexp_replace(lower({}), '^[\s\x0B]+|[\s\x0B]+$', '', 'g'), '[\s\x0B]+', ' ', 'g')"
 ORACLES = {
     "page_texts": rf"""WITH {C.TOKENS_SQL}, b AS (SELECT chart_id % 97 AS doc, chart_id AS page, pos AS block, CASE WHEN pos % 3 = 0 THEN 'Figure ' || text ELSE text END AS text, w AS size FROM tokens),
       c AS (SELECT doc, page, arg_max(text, length(text) * 100000000000000000::HUGEINT - block) AS caption FROM b WHERE regexp_matches(text, '(?i)^\s*(figure|fig\.?|chart|graph|table|plot|diagram|hình|biểu đồ)\s*\d*') GROUP BY ALL),
@@ -172,7 +175,8 @@ ORACLES = {
       g AS (SELECT axis_id, count(*) AS n, min(v) AS lo, max(v) AS hi, bool_and(coalesce(abs(ratio - 10) < 0.1, true)) AND min(v) > 0 AND count(*) > 1 AS ten, bool_and(coalesce(abs(ratio - 2) < 0.02, true)) AND min(v) > 0 AND count(*) > 1 AS two, avg(step) AS m, stddev_pop(step) AS sd FROM s GROUP BY 1),
       k AS (SELECT *, CASE WHEN n < 2 THEN 'unknown' WHEN ten AND (abs(hi) >= 1e5 OR (abs(hi) < 1e-3 AND hi <> 0)) THEN 'scientific' WHEN ten THEN 'log10' WHEN two THEN 'log2' WHEN lo >= 0 AND hi <= 1 THEN 'ratio' WHEN lo >= 0 AND hi <= 100 THEN 'percentage' ELSE 'linear' END AS pattern FROM g)
       SELECT axis_id, n, pattern, round(CASE WHEN n < 2 THEN 0.0::DOUBLE WHEN ten OR two THEN 0.9 WHEN pattern IN ('ratio', 'percentage') THEN 0.8 ELSE greatest(0.5, 1 - coalesce(sd / abs(m), 0)) END, 6) AS confidence FROM k""",
-    "contains_variants": rf"""WITH {QA_SQL}, s AS (SELECT conv_id, qa_idx, regexp_replace(answer, '[^ -~]', '', 'g') AS a FROM qa), n AS (SELECT conv_id, qa_idx, regexp_replace(trim(lower(a)), '\s+', ' ', 'g') AS a, CASE WHEN qa_idx % 4 = 0 THEN '' ELSE regexp_replace(trim(lower(a[1:12])), '\s+', ' ', 'g') END AS t FROM s)
+    "contains_variants": rf"""WITH {QA_SQL}, s AS (SELECT conv_id, qa_idx, answer AS a, CASE WHEN qa_idx % 4 = 0 THEN ' ' WHEN conv_id % 2 = 0 THEN regexp_split_to_array(answer, '[.!?][ \n]+')[-1] ELSE question END AS t FROM qa),
+      n AS (SELECT conv_id, qa_idx, {_NORMAL.format('a')} AS a, {_NORMAL.format('t')} AS t FROM s)
       SELECT conv_id, qa_idx, contains(a, t) AS loose, regexp_replace(t, '\.+$', '') <> '' AND contains(regexp_replace(a, '\.+$', ''), regexp_replace(t, '\.+$', '')) AS strict FROM n""",
     "field_types": "WITH f AS (SELECT ['bar', 'bar', 'histogram', 'line', 'line', 'pie', 'scatter', 'heatmap', 'box', 'area', 'unknown', 'pie'][CAST(p_partkey % 12 + 1 AS INT)] AS chart_type FROM part) SELECT chart_type, count(*) AS n FROM f GROUP BY 1",
     "detector_labels": f"WITH {_BOXES}, l AS (SELECT chart, printf('%d %.6f %.6f %.6f %.6f', box % 3, (x0 + x1) / 400.0, (y0 + y1) / 400.0, (x1 - x0) / 200.0, (y1 - y0) / 200.0) AS line FROM boxes) SELECT chart, string_agg(line, chr(10) ORDER BY line) AS labels FROM l GROUP BY 1",

@@ -20,6 +20,9 @@ A_B = [
     ("user", "what is it", "assistant", "no " * 50 + "it is what"),
     ("user", "zq" + "7" * 150, "assistant", "abc " * 60),
     ("user", "", "assistant", "some"),
+    ("user", "Wie groß ist\n der Änderungsbetrag für Zürich?", "assistant", "  Der ÄNDERUNGSBETRAG für Zürich\nist größer. "),
+    ("user", "ﬁve ½ Ångström\u00a0日本", "assistant", "five 1⁄2 Ångström 日本."),
+    ("user", "Événement à l’été", "assistant", "Quoi? Événement\tà l’été"),
 ]
 
 
@@ -48,7 +51,7 @@ def edits(a, b):
 def test_text_metrics_see_whole_texts(spark, folder):
     got = {r.conv_id: r for r in catalogue.QUERIES["text_metrics"](spark, folder).collect()}
     for k, (_, q, _, a) in enumerate(A_B):
-        p, t = normal(a), normal(q)
+        p, t = (normal(unicodedata.normalize("NFKC", x)) for x in (a, q))
         d, r = edits(p, t), got[k]
         ned = d / max(len(p), len(t))
         assert (r.exact, r.contains) == (p == t, t in p)
