@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chartloom.sources import papers as P
+from chartloom.sources import word_files as W
 from chartloom.sources.tables import read
 
 
@@ -53,11 +54,48 @@ def feed_papers(spark, sf_dir):
     return P.feed_papers(P.parsed(feeds, "xml", P.FEED), "feed", ["14v1", "35v1"]).withColumn("published_date", F.date_format("published_date", "yyyy-MM-dd HH:mm"))
 
 
-QUERIES = {f.__name__: f for f in (xml_articles, xml_figures, feed_papers)}
+CAPTION = r"^(figure|fig\.?|chart|graph|table|plot|diagram)\s*\d"
+
+
+def _word_files(spark, sf_dir):
+    """A document as a Word file: its lines are paragraphs, an image stands behind every ninth line; every sixth has none, every seventh is no archive."""
+    d = read(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", "source", F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0B-\x1F]", ""), "\n").alias("lines"))
+    texts = F.transform("lines", lambda x, i: F.when(i % 5 == 3, F.concat(F.lit("Figure "), i.cast("string"), F.lit(": "), x)).otherwise(x))
+    places = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i % 9 == 4) & (F.col("doc_id") % 6 != 0))
+    images = F.transform(places, lambda i: F.struct(i.alias("after"), F.concat(F.lit("image "), F.col("doc_id").cast("string"), F.lit("/"), i.cast("string")).cast("binary").alias("bytes")))
+    rows = d.select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), F.when(F.col("doc_id") % 4 != 0, F.col("source")).alias("title"), texts.alias("paragraphs"), images.alias("images"))
+    made = W.files_of(rows)
+    bad = F.substring_index("path", ".", 1).cast("long") % 7 == 0
+    return made.select("path", F.when(bad, F.substring("content", 1, 50)).otherwise(F.col("content")).alias("content"))
+
+
+def word_pages(spark, sf_dir):
+    p = W.pages(W.bodies(_word_files(spark, sf_dir)), CAPTION)
+    return p.select("path", "page", "title", F.md5("image").alias("image_md5"), F.md5("surrounding").alias("surrounding_md5"), F.md5("caption").alias("caption_md5"))
+
+
+def word_errors(spark, sf_dir):
+    return W.bodies(_word_files(spark, sf_dir)).groupBy("error").agg(F.count("*").alias("files"), F.sum(F.size("paragraphs")).alias("paragraphs"), F.sum(F.size("images")).alias("images"))
+
+
+QUERIES = {f.__name__: f for f in (xml_articles, xml_figures, feed_papers, word_pages, word_errors)}
 
 _XML = r"""d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0), c AS (SELECT *, regexp_replace(text, '[\x01-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS clean FROM d),
   l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM d)"""
+_WORD = r"""d AS (SELECT doc_id, source, string_split(regexp_replace(coalesce(text, ''), '[\x01-\x08\x0B-\x1F]', '', 'g'), chr(10)) AS lines FROM documents WHERE doc_id IS NOT NULL),
+  t AS (SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN source END AS title, list_transform(lines, lambda x, i: CASE WHEN (i - 1) % 5 = 3 THEN 'Figure ' || (i - 1) || ': ' || x ELSE x END) AS texts FROM d),
+  i AS (SELECT *, CASE WHEN doc_id % 6 = 0 THEN []::BIGINT[] ELSE list_filter(range(0, len(texts)), lambda i: i % 9 = 4) END AS images FROM t),
+  p AS (SELECT *, flatten(list_transform(texts, lambda x, i: CASE WHEN (i - 1) % 9 = 4 AND doc_id % 6 <> 0 THEN [x, NULL] ELSE [x] END)) AS paras FROM i)"""
+_CLEAN = r"regexp_replace(regexp_replace({}, '[\s\x0B]+', ' ', 'g'), '^ | $', '', 'g')"
+_CUT = "CASE WHEN {0} = '' THEN NULL WHEN length({0}) > 800 THEN left({0}, 800) || '...' ELSE {0} END"
+_SOME = r"list_filter(list_transform({}, lambda x: regexp_replace(x, '^[\s\x0B]+|[\s\x0B]+$', '', 'g')), lambda x: x IS NOT NULL AND x <> '')"
 ORACLES = {
+    "word_pages": rf"""WITH {_WORD}, g AS (SELECT doc_id, title, paras, unnest(images) AS spot, generate_subscripts(images, 1) AS page FROM p WHERE doc_id % 7 <> 0),
+      h AS (SELECT *, spot + page + 1 AS k FROM g), a AS (SELECT *, {_SOME.format('list_concat(paras[greatest(k - 3, 1):k - 1], paras[k + 1:k + 3])')} AS around FROM h),
+      o AS (SELECT doc_id, title, page, 'image ' || doc_id || '/' || spot AS image, {_CLEAN.format("array_to_string(around, chr(10))")} AS s, list_filter(around, lambda x: regexp_matches(lower(x), '{CAPTION}'))[1] AS caption FROM a
+        UNION ALL SELECT doc_id, title, 1, NULL, {_CLEAN.format("array_to_string(list_filter(paras, lambda x: regexp_replace(x, '^[ \t-]+', '') <> '' AND x IS NOT NULL), chr(10))")}, NULL FROM p WHERE len(images) = 0 AND doc_id % 7 <> 0)
+      SELECT doc_id || '.docx' AS path, CAST(page AS INT) AS page, title, md5(image) AS image_md5, md5({_CUT.format('s')}) AS surrounding_md5, md5(caption) AS caption_md5 FROM o""",
+    "word_errors": f"""WITH {_WORD} SELECT CASE WHEN doc_id % 7 = 0 THEN 'BadZipFile' END AS error, count(*) AS files, CAST(sum(CASE WHEN doc_id % 7 = 0 THEN 0 ELSE len(paras) END) AS BIGINT) AS paragraphs, CAST(sum(CASE WHEN doc_id % 7 = 0 THEN 0 ELSE len(images) END) AS BIGINT) AS images FROM p GROUP BY 1""",
     "xml_articles": rf"""WITH {_XML} SELECT doc_id, 'PMC' || doc_id AS pmc_id, CASE WHEN doc_id % 4 <> 0 AND source IS NOT NULL THEN 'Paper ' || doc_id || ' & ' || source ELSE 'Unknown' END AS title,
       md5(regexp_replace(left(regexp_replace(clean, '^[\s]+|[\s]+$', '', 'g'), 500), '[\s\x0B]+', '', 'g')) AS abstract_md5,
       CASE doc_id % 5 WHEN 0 THEN '2020-01-01' WHEN 1 THEN '2019-01-01' ELSE '2021-' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') END AS published_date,
