@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from chartloom.sources import papers as P
 from chartloom.sources import word_files as W
+from chartloom.sources.files import shared_folder
 from chartloom.sources.tables import read
+from chartloom.streaming import jobs, progress, pulled
 
 
 def _escaped(c):
@@ -78,7 +80,39 @@ def word_errors(spark, sf_dir):
     return W.bodies(_word_files(spark, sf_dir)).groupBy("error").agg(F.count("*").alias("files"), F.sum(F.size("paragraphs")).alias("paragraphs"), F.sum(F.size("images")).alias("images"))
 
 
-QUERIES = {f.__name__: f for f in (xml_articles, xml_figures, feed_papers, word_pages, word_errors)}
+def pulled_items(spark, sf_dir):
+    """All documents with a text, pulled as a stream, two row groups a micro-batch."""
+    pulled.register(spark)
+    folder = shared_folder(spark)
+    stream = spark.readStream.format("items").option("path", f"{sf_dir}/documents.parquet").option("columns", "doc_id,text").option("groups", "2").load()
+    q = stream.select("doc_id", F.md5("text").alias("text_md5")).writeStream.format("parquet").option("checkpointLocation", f"{folder}/log").start(f"{folder}/out")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.read.schema("doc_id long, text_md5 string").parquet(f"{folder}/out")
+
+
+def stream_metrics(spark, sf_dir):
+    """Events as a stream of files; what its micro-batches observed, added up by type."""
+    folder = shared_folder(spark)
+    kinds = ("view", "click", "purchase", "scroll", "signup")
+    events = jobs.event_stream(spark, f"{sf_dir}/events.parquet*")
+    seen = progress.observed(events, "totals", F.count("*").alias("n"), F.round(F.sum(F.coalesce("value", F.lit(0.0)).cast("decimal(38,6)")), 6).cast("string").alias("value"), *(F.count_if(F.col("event_type") == k).alias(k) for k in kinds))
+    log = progress.MetricLog(spark, f"{folder}/metrics", name := f"metrics_{folder[-12:]}")
+    spark.streams.addListener(log)
+    try:
+        q = seen.groupBy("event_type").count().writeStream.format("noop").outputMode("complete").queryName(name).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+        q.awaitTermination()
+        progress.drained(spark)
+    finally:
+        spark.streams.removeListener(log)
+    m = progress.metric_rows(spark, f"{folder}/metrics").select("rows", F.from_json("metrics", "map<string,string>").alias("m"))
+    of = lambda k: F.sum(F.col("m")[f"totals.{k}"].cast("decimal(38,6)"))
+    return m.agg(F.sum("rows").alias("rows"), of("n").cast("long").alias("n"), of("value").cast("double").alias("value"), *(of(k).cast("long").alias(k) for k in kinds))
+
+
+QUERIES = {f.__name__: f for f in (xml_articles, xml_figures, feed_papers, word_pages, word_errors, pulled_items, stream_metrics)}
 
 _XML = r"""d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0), c AS (SELECT *, regexp_replace(text, '[\x01-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS clean FROM d),
   l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM d)"""
@@ -90,6 +124,8 @@ _CLEAN = r"regexp_replace(regexp_replace({}, '[\s\x0B]+', ' ', 'g'), '^ | $', ''
 _CUT = "CASE WHEN {0} = '' THEN NULL WHEN length({0}) > 800 THEN left({0}, 800) || '...' ELSE {0} END"
 _SOME = r"list_filter(list_transform({}, lambda x: regexp_replace(x, '^[\s\x0B]+|[\s\x0B]+$', '', 'g')), lambda x: x IS NOT NULL AND x <> '')"
 ORACLES = {
+    "pulled_items": "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL",
+    "stream_metrics": "SELECT count(*) AS rows, count(*) AS n, CAST(sum(CAST(coalesce(value, 0) AS DECIMAL(38, 6))) AS DOUBLE) AS value, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in ("view", "click", "purchase", "scroll", "signup")) + " FROM events",
     "word_pages": rf"""WITH {_WORD}, g AS (SELECT doc_id, title, paras, unnest(images) AS spot, generate_subscripts(images, 1) AS page FROM p WHERE doc_id % 7 <> 0),
       h AS (SELECT *, spot + page + 1 AS k FROM g), a AS (SELECT *, {_SOME.format('list_concat(paras[greatest(k - 3, 1):k - 1], paras[k + 1:k + 3])')} AS around FROM h),
       o AS (SELECT doc_id, title, page, 'image ' || doc_id || '/' || spot AS image, {_CLEAN.format("array_to_string(around, chr(10))")} AS s, list_filter(around, lambda x: regexp_matches(lower(x), '{CAPTION}'))[1] AS caption FROM a

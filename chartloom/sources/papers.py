@@ -1,7 +1,9 @@
 """Papers out of XML: journal articles with their figures, and search feeds, by declared schemas.
 
-XML that can't be read is kept as a row with its text in `corrupt` and nothing else: callers see what was lost. The same
-schemas read files (`format("xml")`, a row a tag) and texts in a column (`from_xml`).
+XML that can't be read is kept as a row with its text in `corrupt` and nothing else: callers see what was lost. Files are split
+at the end of each record by Spark's text reader, so that a large file is read by many tasks; then records are parsed like texts in a column
+(`from_xml`). Fields that hold markup come as inner XML with references resolved, where a resolved `<` would look like a tag; so
+XML's five named references are escaped once more before parsing, and resolved by plain() after tags are gone.
 """
 
 from __future__ import annotations
@@ -26,22 +28,34 @@ YEAR, FIRST = "2020", "01"
 ABSTRACT = 500
 
 
-def plain(c: Column) -> Column:
-    """The text of inner XML: tags go, character references of XML's own five are resolved, outer white space goes."""
-    text = F.regexp_replace(c, "<[^>]*>", "")
+def resolved(c: Column) -> Column:
+    """Text with the references resolved that parsed() has left."""
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+        c = F.replace(c, F.lit(name), F.lit(char))
+    return c
+
+
+def plain(c: Column) -> Column:
+    """The text of inner XML, without outer white space."""
+    return F.regexp_replace(resolved(F.regexp_replace(c, "<[^>]*>", "")), r"^\s+|\s+$", "")
+
+
+def records(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """(xml): the elements of a tag in XML files, each cut out as text; what stands between them goes."""
+    ended = spark.read.option("lineSep", f"</{tag}>").text(path)
+    begun = F.regexp_extract("value", rf"(?s)<{tag}[\s>].*$", 0)
+    return ended.select(F.concat(begun, F.lit(f"</{tag}>")).alias("xml")).where(begun != "")
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """The articles of XML files, a row for each `article`, as `parsed` holds them in a column."""
-    return spark.read.format("xml").options(**OPTIONS, rowTag="article").schema(ARTICLE).load(path)
+    """The articles of XML files, as rows for articles()."""
+    return parsed(records(spark, path, "article"), "xml", ARTICLE).select("x.*")
 
 
 def parsed(texts: DataFrame, xml: str, schema: str) -> DataFrame:
     """texts with the struct `x` that their XML holds by a schema."""
-    return texts.withColumn("x", F.from_xml(F.col(xml), schema, OPTIONS))
+    kept = F.regexp_replace(F.col(xml), "&(lt|gt|amp|quot|apos);", "&amp;$1;")
+    return texts.withColumn("x", F.from_xml(kept, schema, OPTIONS))
 
 
 def articles(found: DataFrame, keep: list[str]) -> DataFrame:
@@ -59,7 +73,7 @@ def articles(found: DataFrame, keep: list[str]) -> DataFrame:
     deep = F.flatten(F.transform(F.coalesce(F.col("body.sec"), F.array().cast(f"array<{_SECTION},sec:array<{_SECTION}>>>>")), lambda s: F.concat(of(s), F.flatten(F.transform(F.coalesce(s["sec"], F.array().cast(f"array<{_SECTION}>>")), of)))))
     href = lambda f: F.coalesce(F.get(f["graphic"], F.lit(0))["_xlink:href"], F.get(f["graphic"], F.lit(0))["_href"])
     figures = F.filter(F.concat(F.coalesce(F.col("body.fig"), none), deep), lambda f: F.coalesce(href(f), F.lit("")) != "")
-    shown = F.transform(figures, lambda f: F.struct(F.coalesce(f["_id"], F.lit("")).alias("fig_id"), F.coalesce(plain(f["label"]), F.lit("")).alias("label"), F.coalesce(plain(f["caption"]), F.lit("")).alias("caption"), href(f).alias("graphic_href")))
+    shown = F.transform(figures, lambda f: F.struct(F.coalesce(resolved(f["_id"]), F.lit("")).alias("fig_id"), F.coalesce(plain(f["label"]), F.lit("")).alias("label"), F.coalesce(plain(f["caption"]), F.lit("")).alias("caption"), resolved(href(f)).alias("graphic_href")))
     return found.where(pmc.isNotNull()).select(
         *keep,
         pmc.alias("pmc_id"),
@@ -83,6 +97,7 @@ def feed_papers(found: DataFrame, order: str, seeds: list[str], limit: int | Non
     """
     e = found.select(order, F.posexplode("x.entry").alias("place", "e"))
     pdf = F.get(F.filter("e.link", lambda a: a["_title"] == "pdf"), F.lit(0))["_href"]
+    pdf = resolved(pdf)
     one = e.select(F.element_at(F.split("e.id", "/"), -1).alias("arxiv_id"), plain(F.col("e.title")).alias("title"), F.to_timestamp("e.published").alias("published_date"), pdf.alias("pdf_url"), order, "place").where("pdf_url IS NOT NULL")
     at = F.struct((~F.col("arxiv_id").isin(seeds)).alias("later"), order, "place")
     first = one.groupBy("arxiv_id").agg(F.min_by(F.struct("title", "published_date", "pdf_url"), at).alias("x"), F.min(at).alias("at"))

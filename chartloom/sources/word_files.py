@@ -27,7 +27,7 @@ BODY = "path string, title string, paragraphs array<string>, images array<struct
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of the Word files below a folder; Spark lists and deals them out."""
+    """(path, content) of the Word files below a folder; Spark lists and deals them out, all but empty ones."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
