@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chartloom.functions import numeric as N
 from chartloom.functions import text as T
+from chartloom.operators import colours as K
+from chartloom.operators import curves as V
 from chartloom.operators import geometry as G
+from chartloom.operators import grids as D
 from chartloom.operators import joins as J
 from chartloom.operators import reshape as R
 from chartloom.sources.tables import read
@@ -139,29 +143,111 @@ def projection_runs(spark, sf_dir):
     return G.runs_above(p, "chart", 15.0, 3)
 
 
+def _cells(spark, sf_dir):
+    """Grey cells of 16 by 16 for each supplier: how much of the parts that fall on a place was shipped."""
+    line = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey", "l_quantity")
+    return line.groupBy(F.col("l_suppkey").alias("image"), (F.col("l_partkey") % 16).alias("x"), (F.col("l_orderkey") % 16).alias("y")).agg(F.sum("l_quantity").cast("double").alias("v"))
+
+
+def _marks(spark, sf_dir):
+    """Foreground cells of 64 by 48 for each supplier."""
+    return read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("image"), (F.col("l_orderkey") * 7 % 64).alias("x"), (F.col("l_partkey") % 48).alias("y"))
+
+
+def small_components(spark, sf_dir):
+    """Components of an image's marks with their boxes, and whether they are large enough to stay."""
+    c = D.components(_marks(spark, sf_dir), ["image"])
+    return c.select("image", "area", "x0", "y0", "x1", "y1", "x_sum", "y_sum", (F.col("area") >= 6).alias("kept"))
+
+
+def cleaned_marks(spark, sf_dir):
+    return D.without_small(_marks(spark, sf_dir), ["image"], 6).groupBy("image").agg(F.count("*").alias("cells"), F.sum("x").alias("x_sum"), F.sum("y").alias("y_sum"))
+
+
+def _skeletons(spark, sf_dir):
+    """Thin lines of an order: its lines lie across, every second one has a branch down."""
+    line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor(F.col("l_quantity") / 10).cast("long").alias("n"))
+    y, x0 = F.col("l_linenumber") * 6, F.col("l_partkey") % 20
+    across = line.select(F.col("l_orderkey").alias("image"), F.explode(F.sequence(x0, x0 + F.col("n"))).alias("x"), y.cast("long").alias("y"))
+    down = line.where("l_linenumber % 2 = 1").select(F.col("l_orderkey").alias("image"), (x0 + F.col("l_suppkey") % 4).alias("x"), F.explode(F.sequence(y.cast("long"), (y + 1 + F.col("l_suppkey") % 3).cast("long"))).alias("y"))
+    return across.unionByName(down)
+
+
+def skeleton_paths(spark, sf_dir):
+    """Paths of each order's lines between ends and crossings: from where to where, and how long."""
+    p = D.traced(_skeletons(spark, sf_dir), ["image"])
+    at = lambda f: f(F.struct("x", "y"), "pos")
+    return p.groupBy("image", "path").agg(at(F.min_by).alias("a"), at(F.max_by).alias("b"), F.first("length").alias("length"), F.first("ends").alias("ends"), F.sum("x").alias("x_sum")).select("image", "a.x", "a.y", F.col("b.x").alias("x2"), F.col("b.y").alias("y2"), "length", F.col("ends.first").alias("degree"), F.col("ends.last").alias("degree2"), "x_sum")
+
+
+def _colour_pixels(spark, sf_dir):
+    """Pixels of each supplier, with seven bands of colour and some noise."""
+    line = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey", "l_quantity")
+    place = line.groupBy(F.col("l_suppkey").alias("image"), (F.col("l_partkey") % 24).alias("x"), (F.col("l_orderkey") % 32).alias("y")).agg(F.sum("l_quantity").cast("long").alias("v"))
+    band, noise = F.floor(F.col("x") / 4) + F.floor(F.col("y") / 12), F.col("v") % 7
+    return place.select("image", "x", "y", (band * 37 % 200 + noise).cast("int").alias("r"), (band * 91 % 210 + noise).cast("int").alias("g"), (band * 53 % 250 + noise).cast("int").alias("b"))
+
+
 def colour_clusters(spark, sf_dir):
-    """K-means over embeddings: clusters by size."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    """Segments of one colour: k-means over each image's colours, then the touching cells of a cluster."""
+    return K.segments(_colour_pixels(spark, sf_dir), "image", least=5)
+
+
+def curvature_simplify(spark, sf_dir):
+    """Points that stay when straight stretches may be further off than curved ones."""
+    return V.simplified_by_curvature(_paths(spark, sf_dir), "path_id")
+
+
+def curve_kinds(spark, sf_dir):
+    """The orders of a customer along a line, an arc, a circle, an ellipse, or where they are."""
+    w, all_ = Window.partitionBy("path_id").orderBy("pos"), Window.partitionBy("path_id")
+    p = _paths(spark, sf_dir).withColumn("k", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(all_))
+    t, kind = F.lit(6.0) * F.col("k") / F.col("n"), F.col("path_id") % 5
+    x = F.when(kind == 0, F.col("k") * 1.0).when(kind == 1, 5 + 4 * F.cos(t)).when(kind == 2, 4 * F.cos(t / 3)).when(kind == 3, 7 + 6 * F.cos(t)).otherwise(F.col("x"))
+    y = F.when(kind == 0, F.col("k") * 2.0).when(kind == 1, 9 + 4 * F.sin(t)).when(kind == 2, 4 * F.sin(t / 3)).when(kind == 3, 3 * F.sin(t)).otherwise(F.col("y"))
+    c = V.curve_kinds(p.select("path_id", "pos", x.alias("x"), y.alias("y")), "path_id")
+    return c.select("path_id", "n", "kind", F.round("fit", 6).alias("fit"))
+
+
+def shape_moments(spark, sf_dir):
+    m = V.image_moments(_cells(spark, sf_dir), "image")
+    return m.select("image", "area", *(F.round(c, 6).alias(c) for c in ("cx", "cy", "elongation")), *(F.round(F.col(f"h{k}") * 10**s, 5).alias(f"h{k}") for k, s in ((1, 3), (2, 9), (3, 12), (4, 12))))
+
 
-    e = read(spark, sf_dir, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"))
-    model = KMeans(k=8, seed=42, maxIter=20).fit(e)
-    return model.transform(e).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n"))
+def refined_vertices(spark, sf_dir):
+    cells = _cells(spark, sf_dir)
+    spots = cells.where("(x * 5 + y * 3) % 7 = 0").select("image", (F.col("x") * 100 + F.col("y")).alias("vertex"), (F.col("x") + 0.25).alias("x"), (F.col("y") - 0.25).alias("y"))
+    return V.refined(spots, cells, "image").select("image", "vertex", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         linear_table_parse, table_unpivot, table_records, paragraph_context, pseudo_pages, html_titles_links, quality_filter_notes, ocr_cleanup, caption_types, nearest_label, nearest_colour, caption_band_join,
-        iou_pairs, box_suppression, text_overlap_greedy, nfkc_normalize, polyline_facts, path_curvature, path_simplify, circle_fit, projection_runs, colour_clusters,
+        iou_pairs, box_suppression, text_overlap_greedy, nfkc_normalize, polyline_facts, path_curvature, path_simplify, circle_fit, projection_runs, colour_clusters, small_components, cleaned_marks, skeleton_paths, curvature_simplify, curve_kinds, shape_moments, refined_vertices,
     )
 }
 
 _PARAS = "paras AS (SELECT doc_id, p AS paragraph, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(p) <> '')"
+_MARKS = """m AS (SELECT DISTINCT l_suppkey AS image, l_orderkey * 7 % 64 AS x, l_partkey % 48 AS y, l_suppkey * 10000 + l_orderkey * 7 % 64 * 100 + l_partkey % 48 AS id FROM lineitem),
+  e AS (SELECT a.id AS a, b.id AS b FROM m a JOIN (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) d(dx, dy) ON true JOIN m b ON a.image = b.image AND b.x = a.x + dx AND b.y = a.y + dy),
+  r(id, root) AS (SELECT id, id FROM m UNION SELECT e.b, r.root FROM r JOIN e ON r.id = e.a WHERE r.root < e.b),
+  l AS (SELECT id, min(root) AS root FROM r GROUP BY id), g0 AS (SELECT m.*, l.root FROM m JOIN l USING (id)),
+  deep AS (SELECT image, root, count(*) AS area FROM g0 GROUP BY 1, 2)"""
+_CELLS = "c AS (SELECT l_suppkey AS image, l_partkey % 16 AS x, l_orderkey % 16 AS y, sum(l_quantity)::DOUBLE AS v FROM lineitem GROUP BY ALL)"
 _BOXES = "boxes AS (SELECT l_orderkey AS chart, l_linenumber AS box, (l_partkey % 40)::DOUBLE AS x0, (l_suppkey % 40)::DOUBLE AS y0, l_partkey % 40 + 30 + l_quantity AS x1, l_suppkey % 40 + 60.0::DOUBLE AS y1 FROM lineitem)"
 _PATHS = "paths AS (SELECT o_custkey AS path_id, o_orderkey AS pos, (o_orderkey % 1000)::DOUBLE AS x, o_totalprice / 1000 AS y FROM orders)"
 _RGB = lambda key, s="": ", ".join(f"({key} * {k} % 256)::DOUBLE AS {c}{s}" for c, k in (("r", 37), ("g", 59), ("b", 83)))
 ORACLES = {
+    "small_components": f"WITH RECURSIVE {_MARKS} SELECT image, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, sum(x)::DOUBLE AS x_sum, CAST(sum(y) AS BIGINT) AS y_sum, count(*) >= 6 AS kept FROM g0 GROUP BY image, root",
+    "cleaned_marks": f"WITH RECURSIVE {_MARKS} SELECT image, count(*) AS cells, CAST(sum(x) AS BIGINT) AS x_sum, CAST(sum(y) AS BIGINT) AS y_sum FROM g0 JOIN deep USING (image, root) WHERE area >= 6 GROUP BY image",
+    "shape_moments": f"""WITH {_CELLS}, f AS (SELECT image, sum(v) AS area, sum(v * x) / sum(v) AS cx, sum(v * y) / sum(v) AS cy FROM c GROUP BY 1),
+      s AS (SELECT image, area, cx, cy, {', '.join(f'sum(v * (x - cx) ** {p} * (y - cy) ** {q}) AS m{p}{q}, sum(v * (x - cx) ** {p} * (y - cy) ** {q}) / area ** {1 + (p + q) / 2} AS n{p}{q}' for p, q in ((2, 0), (1, 1), (0, 2), (3, 0), (2, 1), (1, 2), (0, 3)))} FROM c JOIN f USING (image) GROUP BY 1, 2, 3, 4)
+      SELECT image, area, round(cx, 6) AS cx, round(cy, 6) AS cy, round(least(10, sqrt((m20 + m02 + sqrt(4 * m11 ** 2 + (m20 - m02) ** 2)) / (m20 + m02 - sqrt(4 * m11 ** 2 + (m20 - m02) ** 2)))) / 10, 6) AS elongation,
+        round((n20 + n02) * 1e3, 5) AS h1, round(((n20 - n02) ** 2 + 4 * n11 ** 2) * 1e9, 5) AS h2, round(((n30 - 3 * n12) ** 2 + (3 * n21 - n03) ** 2) * 1e12, 5) AS h3, round(((n30 + n12) ** 2 + (n21 + n03) ** 2) * 1e12, 5) AS h4 FROM s""",
+    "refined_vertices": f"""WITH {_CELLS}, s AS (SELECT image, x * 100 + y AS vertex, x, y FROM c WHERE (x * 5 + y * 3) % 7 = 0), k(o, soft, softer, slope, bend) AS (VALUES (-2, 0, 1, 0, 1), (-1, 1, 4, -1, 0), (0, 2, 6, 0, -2), (1, 1, 4, 1, 0), (2, 0, 1, 0, 1)),
+      d AS (SELECT s.image, vertex, s.x, s.y, count(*) AS n, sum(v * i.slope * j.soft) AS gx, sum(v * j.slope * i.soft) AS gy, sum(v * i.bend * j.softer) AS hx, sum(v * j.bend * i.softer) AS hy FROM s JOIN k i ON true JOIN k j ON true JOIN c ON c.image = s.image AND c.x = s.x + i.o AND c.y = s.y + j.o GROUP BY ALL)
+      SELECT image, vertex, round(x + 0.25 + CASE WHEN n = 25 AND abs(hx) > 1e-6 THEN greatest(-2, least(2, -gx / hx)) ELSE 0 END, 6) AS x, round(y - 0.25 + CASE WHEN n = 25 AND abs(hy) > 1e-6 THEN greatest(-2, least(2, -gy / hy)) ELSE 0 END, 6) AS y FROM d""",
     "linear_table_parse": "SELECT l_orderkey, 'Item,Quantity Discount,col2' AS headers, CAST(count(*) AS INT) AS rows FROM lineitem GROUP BY 1",
     "table_unpivot": """SELECT l_orderkey, s AS series_idx, CASE s WHEN 0 THEN 'Quantity Discount' ELSE 'col2' END AS series_name, CAST(r - 1 AS INT) AS point_idx, 'item' || l_linenumber AS label, CASE s WHEN 0 THEN round(l_quantity) ELSE round(l_discount * 100) END AS value, 0.95::DOUBLE AS confidence
       FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, printf('%.0f | %.0f', l_quantity, l_discount * 100)) AS r FROM lineitem), (VALUES (0), (1)) v(s)""",
