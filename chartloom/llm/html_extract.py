@@ -8,7 +8,8 @@ ratio, its characters outside links over its tags; the ratios, smoothed by a Gau
 by threshold clustering (two means of their logarithms), and the content is the region from the first to the last
 block of the upper cluster, so that short paragraphs inside it stay. The region grows at either end over blocks
 of running text (paragraphs, headings, list items and the like) without links, so that neither headings nor last
-words are lost; lists of links and stray boxes at the ends go. Where a page names its article or main part, the same
+words are lost; lists of links and stray boxes at the ends go: a box at an end of the region that is no element of running text, and whose own ratio is
+below that of the region's running text as a whole, is no part of it. So the region is right on pages that name none of their parts; names only correct it. Where a page names its article or main part, the same
 happens among the blocks of those parts, of which the clustering decides between several.
 
 A null or empty page gives the empty text. Broken, unclosed and cut markup is read as far as it goes. No
@@ -171,13 +172,26 @@ def main_text(html: str | None) -> str:
     blocks = parser.blocks
     if not blocks:
         return ""
-    content = upper_cluster(smoothed(np.log([max(len(t) - linked, 1) / max(tags, 1) for t, tags, _, linked, _ in blocks])))
+    chars, tags = (np.array(x, float) for x in zip(*((max(len(t) - linked, 1), max(n, 1)) for t, n, _, linked, _ in blocks), strict=True))
+    content = upper_cluster(smoothed(np.log(chars / tags)))
     root = np.array([b[2] for b in blocks])
     among = np.ones(len(blocks), bool)
     if parser.roots and (root > 0).any():
         chosen = set(root[content & (root > 0)].tolist()) or set(root[root > 0].tolist())
         among = np.isin(root, list(chosen))
-    return "\n".join(blocks[k][0] for k in region(np.flatnonzero(among), content, [running and not linked for _, _, _, linked, running in blocks]))
+    found = region(np.flatnonzero(among), content, [running and not linked for _, _, _, linked, running in blocks])
+    if not parser.roots:
+        found = without_strays(found, chars, tags, np.array([running for *_, running in blocks]))
+    return "\n".join(blocks[k][0] for k in found)
+
+
+def without_strays(found: np.ndarray, chars: np.ndarray, tags: np.ndarray, running: np.ndarray) -> np.ndarray:
+    """A region without the boxes at its ends that hold fewer characters a tag than its running text does; all of it, if it has none."""
+    text = found[running[found]]
+    if not len(text):
+        return found
+    stays = np.flatnonzero(running[found] | (chars[found] / tags[found] >= chars[text].sum() / tags[text].sum()))
+    return found[stays[0] : stays[-1] + 1]
 
 
 def region(of: np.ndarray, content: np.ndarray, grows: list[bool]) -> np.ndarray:

@@ -219,6 +219,26 @@ def test_html_main_text():
     assert html_extract.main_text(None) == html_extract.main_text("") == html_extract.main_text("<nav>x</nav>") == ""
 
 
+def test_clustering_finds_the_article_where_nothing_names_it(spark):
+    """The given pages without article tags, classes and roles keep their texts, and so they do without footer and nav elements' names where those hold links."""
+    pages = [r.html or "" for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    bare = lambda h: re.sub(r"</?(article|main)\b[^>]*>", "", re.sub(r'\s(class|role|id)="[^"]*"', "", h))
+    same = [html_extract.main_text(bare(h)) == html_extract.main_text(h) for h in pages]
+    assert len(same) == 250 and sum(same) >= 235
+    unmenued = [html_extract.main_text(re.sub(r"(</?)nav\b", r"\1div", bare(h))) == html_extract.main_text(h) for h in pages]
+    assert sum(unmenued) >= 200
+    # the clusters decide: with all blocks called content the texts are others
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(html_extract, "upper_cluster", lambda v: np.ones(len(v), bool))
+        m.setattr(html_extract, "without_strays", lambda found, *_: found)
+        assert sum(html_extract.main_text(bare(h)) == html_extract.main_text(h) for h in pages) < 50
+
+
+def test_html_extraction_of_empty_tables(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_extract.extracted(empty).collect() == []
+
+
 def test_html_keeps_nulls_and_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, "c"), (None, None, "<p>x", "c"), (1, "u", "<p>" + "y" * 200000, "c")], "page_id long, url string, html string, text string")
     assert sorted(len(r.text) for r in html_extract.extracted(pages).collect()) == [0, 1, 200000]
