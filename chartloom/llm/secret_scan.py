@@ -4,7 +4,8 @@ The base patterns find assignments, access keys and hexadecimal strings; their s
 other token that could be a secret (CANDIDATE: long, with digits or mixed case) goes through a small
 network in numpy, together with the text around it; what scores above the threshold is added as a span of
 kind `cnn`. Base spans are cut out of a token first, and what is left on either side is scored if it is a candidate. A candidate longer than the network's window is scored in overlapping parts
-(`windows`), and its score is the highest of them; the span is the whole candidate.
+(`windows`), and its score is the highest of them; the span is the whole candidate. The network scores base findings too: they stay, and how
+many of them it is sure of is a result. Windows are encoded WINDOWS at a time, so a token of any length takes the same memory.
 
 The network learns from labelled findings: base findings of a bounded sample of documents (`most`, by hash of id and text;
 at most `most_findings` findings of them, by hash), labelled as secrets by their patterns; candidates of that sample that are
@@ -23,7 +24,9 @@ from __future__ import annotations
 
 import re
 import string
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +52,8 @@ PLAIN = re.compile(r"(?:[a-z]+[0-9]{0,3}\.)+[a-z]{2,6}|[0-9]+(?:[.:/_+-][0-9]+)*
 
 BEFORE, INSIDE, AFTER = 24, 48, 8
 WINDOW = BEFORE + INSIDE + AFTER
+#: Windows that are scored at once.
+WINDOWS = 4096
 #: From one part of a long candidate to the next: any 40 characters in a row lie in one part.
 STEP = 8
 
@@ -84,9 +89,14 @@ def candidates(text: str, base: list[tuple[int, int, int]], whole: bool = False)
     return out
 
 
-def windows(a: int, b: int) -> list[tuple[int, int]]:
+def parts(a: int, b: int) -> Iterator[tuple[int, int]]:
     """What the network sees of a candidate: all of it, or overlapping parts of INSIDE characters to its end."""
-    return [(k, k + INSIDE) for k in range(a, b - INSIDE, STEP)] + [(max(a, b - INSIDE), b)]
+    yield from ((k, k + INSIDE) for k in range(a, b - INSIDE, STEP))
+    yield max(a, b - INSIDE), b
+
+
+def windows(a: int, b: int) -> list[tuple[int, int]]:
+    return list(parts(a, b))
 
 
 def written(findings) -> str:
@@ -221,8 +231,7 @@ def text_findings(text: str) -> list[tuple[int, int, bool, list[np.ndarray]]]:
     """(start, label, whether it is a base finding, encoded windows) of what a text teaches."""
     base, out = base_findings(text), []
     for a, b, kind in base:
-        m = ASSIGN.match(text, a) if kind == 0 else None
-        a, b = m.span(2) if m else (a, b)
+        a, b = secret_itself(text, (a, b, kind))
         out.append((a, 1, True, [encoded(text, *w) for w in windows(a, b)]))
     for a, b in candidates(text, base, whole=True):  # a part beside a secret may be one
         if PLAIN.fullmatch(text, a, b):
@@ -272,35 +281,48 @@ def _network(docs: DataFrame, most: int, recall: float, each: int = 800, most_fi
     return docs.sparkSession.sparkContext.broadcast(train(x, y, recall, of=of, base=base))
 
 
+def scores(text: str, spans: list[tuple[int, int]], net: Network) -> np.ndarray:
+    """The highest probability of each span's windows."""
+    best = np.zeros(len(spans))
+    stream = ((k, w) for k, (a, b) in enumerate(spans) for w in parts(a, b))
+    while some := list(islice(stream, WINDOWS)):
+        np.maximum.at(best, [k for k, _ in some], net.probability(np.stack([encoded(text, *w) for _, w in some])))
+    return best
+
+
 def all_findings(text: str, net: Network) -> tuple[list, list]:
     """The base findings of a text, and all findings, as (start, end, kind)."""
     base = base_findings(text)
     more = candidates(text, base)
-    if more:
-        parts = [windows(*m) for m in more]
-        p = net.probability(np.stack([encoded(text, *w) for ws in parts for w in ws]))
-        best = np.maximum.reduceat(p, np.cumsum([0, *map(len, parts[:-1])]))
-        more = [(a, e, 3) for (a, e), q in zip(more, best, strict=True) if q >= net.threshold]
+    more = [(a, e, 3) for (a, e), q in zip(more, scores(text, more, net), strict=True) if q >= net.threshold] if more else []
     return base, sorted([*base, *more], key=lambda f: (f[0], f[2]))
 
 
+def secret_itself(text: str, finding: tuple[int, int, int]) -> tuple[int, int]:
+    """Where the secret of a base finding is: an assignment's value, else all of it."""
+    m = ASSIGN.match(text, finding[0]) if finding[2] == 0 else None
+    return m.span(2) if m else finding[:2]
+
+
 def secret_spans(docs: DataFrame, most: int = 6000, recall: float = 0.98) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base, spans) of every row; spans as kind:start:end, joined by commas."""
+    """(doc_id, n_assign, n_access, n_hex, base, spans, n_sure) of every row; spans as kind:start:end, joined by commas; n_sure: base findings that the network takes for secrets too."""
     net = _network(docs, most, recall)
 
     def run(batches):
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                counts, bases, spans = [[], [], []], [], []
+                counts, bases, spans, sure = [[], [], []], [], [], []
                 for value in part.column(1):
-                    base, found = all_findings(value.as_py() or "", net.value)
+                    text = value.as_py() or ""
+                    base, found = all_findings(text, net.value)
                     for kind in range(3):
                         counts[kind].append(sum(f[2] == kind for f in base))
                     bases.append(written(base)), spans.append(written(found))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(bases, pa.string()), pa.array(spans, pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base", "spans"])
+                    sure.append(int((scores(text, [secret_itself(text, f) for f in base], net.value) >= net.value.threshold).sum()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(bases, pa.string()), pa.array(spans, pa.string()), pa.array(sure, pa.int64())], names=["doc_id", "n_assign", "n_access", "n_hex", "base", "spans", "n_sure"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base string, spans string, n_sure long")
 
 
 def redact(text: str, findings: list, mark: str) -> str:

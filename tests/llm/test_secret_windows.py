@@ -67,3 +67,36 @@ def test_parts_are_cut_around_many_and_nested_base_spans():
     nested = [(2, 40, 0), (4, 10, 2), (50, 60, 2)]
     assert secret_scan.candidates("x1" + "a" * 38 + "bcdefghij1" * 4, nested) == [(60, 80)]
     assert secret_scan.candidates("x1" + "a" * 38 + "bcdefghij1" * 4, nested, whole=True) == []
+
+
+def test_labels_decide_what_is_found():
+    """Trained with labels turned round, the network finds what it left and leaves what it found."""
+    rows, y = secret_scan.made_up(400, ["alpha", "beta", "gamma", "delta"], seed=5)
+    x = np.stack([secret_scan.encoded(*r) for r in rows])
+    right, wrong = (secret_scan.train(x, np.array(labels)) for labels in (y, [1 - v for v in y]))
+    fresh, truth = secret_scan.made_up(200, ["omega", "sigma", "kappa"], seed=77)
+    found = lambda net: np.array([bool(secret_scan.all_findings(t, net)[1][-1:] and any(k == 3 for *_, k in secret_scan.all_findings(t, net)[1])) for t, *_ in fresh])
+    judged = np.array([bool(secret_scan.candidates(t, secret_scan.base_findings(t))) and not secret_scan.base_findings(t) for t, *_ in fresh])
+    truth = np.array(truth, bool)
+    a, b = found(right)[judged], found(wrong)[judged]
+    assert (a == truth[judged]).mean() > 0.9 and (a != b).mean() > 0.7
+    hit = a & truth[judged]
+    assert hit.sum() / a.sum() > 0.9 and hit.sum() / truth[judged].sum() > 0.9
+
+
+def test_base_findings_are_scored_and_windows_come_in_batches(net, monkeypatch):
+    text = f"password = {KEY} and token: aaaaaaaaaaaaaaaa"
+    base = secret_scan.base_findings(text)
+    assert [text[slice(*secret_scan.secret_itself(text, f))] for f in base] == [KEY, "a" * 16]
+    spans = [secret_scan.secret_itself(text, f) for f in base] + [(0, len(text)), (3, 9)]
+    whole = secret_scan.scores(text, spans, net)
+    assert whole[0] >= net.threshold
+    sizes = []
+    probability = secret_scan.Network.probability
+    monkeypatch.setattr(secret_scan.Network, "probability", lambda self, x: (sizes.append(len(x)), probability(self, x))[1])
+    monkeypatch.setattr(secret_scan, "WINDOWS", 3)
+    assert np.allclose(secret_scan.scores(text, spans, net), whole) and max(sizes) == 3 and len(sizes) > 1
+    assert len(secret_scan.scores(text, [], net)) == 0
+    long = "A1b2" * 50_000
+    sizes.clear()
+    assert len(secret_scan.scores(long, [(0, len(long))], net)) == 1 and max(sizes) == 3
