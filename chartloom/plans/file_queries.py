@@ -1,10 +1,7 @@
-"""Queries through file sources, sinks and plug-ins. Each writes a few files made of the small tables to the shared folder and reads them again."""
+"""Queries through file sources, sinks and plug-ins. Each has executors write files made of the documents to the shared folder and reads them again."""
 
 from __future__ import annotations
 
-import json
-import struct
-
 from pyspark.sql import functions as F
 
 from chartloom.operators import stages as G
@@ -15,25 +12,35 @@ from chartloom.sources.tables import read
 KINDS = ("bar", "line", "pie", "unknown")
 
 
-def _nations(spark, sf_dir):
-    """The 25 nations, the one table whose size never changes."""
-    return [(r.n_nationkey, r.n_name, r.n_regionkey) for r in read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
-
-
-def _png(w: int, h: int) -> bytes:
-    return b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", w, h) + b"\x08\x02\x00\x00\x00"
+def _items(spark, sf_dir):
+    """(k, name, region, text): documents by their id; names are upper case and differ."""
+    d = read(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    text = lambda c: F.coalesce(F.col(c), F.lit("none"))
+    return d.select(F.col("doc_id").alias("k"), F.upper(F.concat(text("source"), F.lit(" "), text("lang"), F.lit(" D"), F.col("doc_id").cast("string"))).alias("name"), (F.col("doc_id") % 5).alias("region"), "text")
 
 
 def _tree(spark, sf_dir) -> str:
-    """A folder of nations: JSON by chart type (one in seven broken), images (one in five none), Markdown, and other files."""
-    folder, texts = files.shared_folder(spark), {}
-    for k, name, region in _nations(spark, sf_dir):
-        texts[f"qa/{KINDS[k % 4]}/n{k}.json"] = "{broken" if k % 7 == 6 else json.dumps({"name": name, "pairs": [{"q": f"q{i}"} for i in range(k % 4)]})
-        if k % 3 == 0:
-            texts[f"qa/{KINDS[(k + 1) % 3]}/n{k}.json"] = json.dumps({"name": name.lower(), "pairs": []})
-        texts[f"img/r{region}/n{k}.{'png' if k % 2 else 'PNG'}"] = b"no image" if k % 5 == 4 else _png(k * 10 + 1, 50)
-        texts[f"doc/n{k}.{('md', 'pdf', 'txt', 'docx', 'jpeg')[k % 5]}"] = f"# {name}\n\ntext ![a](img/r{region}/n{k}.png) ![b](http://x/y.png)" if k % 2 else name
-    files.put(spark, folder, texts)
+    """A folder of documents' files: JSON by chart type with the whole text (one in seven broken), images (one in five none), Markdown, and other files."""
+    i = _items(spark, sf_dir)
+    k, n, region = F.col("k"), F.concat(F.lit("n"), F.col("k").cast("string")), F.col("region").cast("string")
+    pairs = F.transform(F.filter(F.sequence(F.lit(0), k % 4), lambda x: x < k % 4), lambda x: F.struct(F.concat(F.lit("q"), x.cast("string")).alias("q")))
+    record = F.when(k % 7 == 6, "{broken").otherwise(F.to_json(F.struct("name", pairs.alias("pairs"), "text")))
+    second = F.when(k % 3 == 0, F.concat(F.lit('{"name": "'), F.lower("name"), F.lit('", "pairs": []}')))
+    size = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), F.unhex(F.lpad(F.hex(k * 10 + 1), 8, "0")), F.unhex(F.lit("00000032")), F.unhex(F.lit("0802000000")))
+    picture = F.when(k % 5 == 4, F.lit("no image").cast("binary")).otherwise(size)
+    page = F.when(k % 2 == 1, F.concat(F.lit("# "), F.col("name"), F.lit("\n\ntext ![a](img/r"), region, F.lit("/"), n, F.lit(".png) ![b](http://x/y.png)"))).otherwise(F.col("name"))
+    file = lambda path, content: F.struct(F.concat(*path).alias("path"), content.cast("binary").alias("content"))
+    made = F.array(
+        file((F.lit("qa/"), C.pick(k, KINDS), F.lit("/"), n, F.lit(".json")), record),
+        file((F.lit("qa/"), C.pick(k + 1, KINDS[:3]), F.lit("/"), n, F.lit(".json")), second),
+        file((F.lit("img/r"), region, F.lit("/"), n, F.when(k % 2 == 1, ".png").otherwise(".PNG")), picture),
+        file((F.lit("doc/"), n, F.lit("."), C.pick(k, ("md", "pdf", "txt", "docx", "jpeg"))), page),
+    )
+    # where both records have one path, the second stays
+    same = (k % 3 == 0) & (C.pick(k, KINDS) == C.pick(k + 1, KINDS[:3]))
+    kept = F.filter(made, lambda f: f["content"].isNotNull())
+    rows = i.select(F.explode(F.when(same, F.slice(kept, 2, 9)).otherwise(kept)).alias("f")).select("f.*")
+    sinks.write_files(rows, folder := files.shared_folder(spark))
     return folder
 
 
@@ -72,16 +79,17 @@ def markdown_scan(spark, sf_dir):
 def manifest_ids(spark, sf_dir):
     """A benchmark with a manifest, and one that only has annotations."""
     a, b = files.shared_folder(spark), files.shared_folder(spark)
-    n = _nations(spark, sf_dir)
-    files.put(spark, a, {"manifest.json": json.dumps({"chart_ids": [x[1] for x in n]}), "annotations/other.json": "{}"})
-    files.put(spark, b, {f"annotations/{x[1].replace(' ', '_')}.json": "{}" for x in n})
+    i = _items(spark, sf_dir)
+    named = i.agg(F.array_sort(F.collect_list(F.struct("k", "name"))).alias("x")).select(F.lit("manifest.json").alias("path"), F.to_json(F.struct(F.col("x.name").alias("chart_ids"))).alias("content"))
+    sinks.write_files(named.union(spark.createDataFrame([("annotations/other.json", "{}")], "path string, content string")), a)
+    sinks.write_files(i.select(F.concat(F.lit("annotations/"), F.replace("name", F.lit(" "), F.lit("_")), F.lit(".json")).alias("path"), F.lit("{}").alias("content")), b)
     one, two = files.manifest_ids(spark, a, 10), files.manifest_ids(spark, b, 10)
     return one.withColumn("benchmark", F.lit("manifest")).unionByName(two.withColumn("benchmark", F.lit("annotations")))
 
 
 def found_files(spark, sf_dir):
-    """Each nation's QA file: in the folder of its type first, else in any."""
-    ids = read(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("chart_id"), C.pick(F.col("n_nationkey") + 1, KINDS[:3]).alias("kind"))
+    """Each document's QA file: in the folder of its type first, else in any."""
+    ids = _items(spark, sf_dir).select(F.concat(F.lit("n"), F.col("k").cast("string")).alias("chart_id"), C.pick(F.col("k") + 1, KINDS[:3]).alias("kind"))
     f = files.found_files(ids, files.listed(spark, f"{_tree(spark, sf_dir)}/qa"), "chart_id", (".json",), "kind")
     return f.select("chart_id", "kind", files.path_parts(F.col("path"))[0].alias("folder"))
 
@@ -93,15 +101,17 @@ def class_folders(spark, sf_dir):
 
 def cached_results(spark, sf_dir):
     """Paths with a cached result, one under the other separator, cached errors, and misses."""
-    n = read(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("a/n"), F.col("n_nationkey").cast("string")).alias("path"))
-    cache = n.where("n_nationkey % 3 <> 0").select(F.when(F.col("n_nationkey") % 2 == 0, F.replace("path", F.lit("/"), F.lit("\\"))).otherwise(F.col("path")).alias("path"), F.lit("hit").alias("result"), F.when(F.col("n_nationkey") % 5 == 0, "failed").alias("error"))
-    return files.with_cache(n, cache, F.lit("computed")).select("n_nationkey", "result")
+    n = _items(spark, sf_dir).select("k", F.concat(F.lit("a/n"), F.col("k").cast("string")).alias("path"))
+    cache = n.where("k % 3 <> 0").select(F.when(F.col("k") % 2 == 0, F.replace("path", F.lit("/"), F.lit("\\"))).otherwise(F.col("path")).alias("path"), F.lit("hit").alias("result"), F.when(F.col("k") % 5 == 0, "failed").alias("error"))
+    return files.with_cache(n, cache, F.lit("computed")).select("k", "result")
 
 
 def run_scan(spark, sf_dir):
     """Results of all runs, broken files skipped."""
     folder = files.shared_folder(spark)
-    files.put(spark, folder, {f"run{k}/results.json": "[1" if k % 6 == 5 else json.dumps({"score": k / 4, "model": name}) for k, name, _ in _nations(spark, sf_dir)})
+    k = F.col("k")
+    content = F.when(k % 6 == 5, "[1").otherwise(F.to_json(F.struct((k / 4).alias("score"), F.col("name").alias("model"))))
+    sinks.write_files(_items(spark, sf_dir).select(F.concat(F.lit("run"), k.cast("string"), F.lit("/results.json")).alias("path"), content.alias("content")), folder)
     return files.records(spark, f"{folder}/*/results.json", "score double, model string", typed=False).select(F.col("chart_type").alias("run"), "score", "model")
 
 
@@ -115,12 +125,12 @@ def conversation_loader(spark, sf_dir):
 
 
 def fan_out(spark, sf_dir):
-    """Nations as JSON, CSV and text, one form skipped and one failing; what each sink holds."""
+    """Documents as JSON, CSV and text, one form skipped and one failing; what each sink holds."""
     folder = files.shared_folder(spark)
-    n = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    lines = n.select(F.concat_ws(" ", F.col("n_nationkey").cast("string"), "n_name").alias("line"))
-    said = sinks.fan_out({"json": (n, sinks.as_json), "csv": (n, sinks.as_csv), "text": (lines, sinks.as_text("line")), "markdown": None, "broken": (n, sinks.as_text("n_nationkey"))}, folder)
-    rows = {"json": spark.read.json(f"{folder}/json"), "csv": spark.read.option("header", True).csv(f"{folder}/csv"), "text": spark.read.text(f"{folder}/text")}
+    n = _items(spark, sf_dir)
+    lines = n.select(F.concat_ws(" ", F.col("k").cast("string"), "name").alias("line"))
+    said = sinks.fan_out({"json": (n, sinks.as_json), "csv": (n, sinks.as_csv), "text": (lines, sinks.as_text("line")), "markdown": None, "broken": (n, sinks.as_text("k"))}, folder)
+    rows = {"json": spark.read.json(f"{folder}/json"), "csv": spark.read.option("header", True).option("multiLine", True).csv(f"{folder}/csv"), "text": spark.read.text(f"{folder}/text")}
     counts = None
     for name, state in said.items():
         of = rows[name].agg(F.count("*").alias("n")) if name in rows else spark.range(1).select(F.lit(0).cast("long").alias("n"))
@@ -130,17 +140,17 @@ def fan_out(spark, sf_dir):
 
 
 def text_each(spark, sf_dir):
-    """One JSON text a region and nation, read back with both from its path."""
+    """One JSON text a region and document, read back with both from its path."""
     folder = f"{files.shared_folder(spark)}/each"
-    n = read(spark, sf_dir, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("chart_type"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("chart_id"), F.to_json(F.struct("n_name")).alias("text"))
+    n = _items(spark, sf_dir).select(F.concat(F.lit("r"), F.col("region").cast("string")).alias("chart_type"), F.concat(F.lit("n"), F.col("k").cast("string")).alias("chart_id"), F.to_json(F.struct("name", "text")).alias("text"))
     sinks.text_each(n, folder, "chart_type", "chart_id", "text")
-    return spark.read.text(folder).select("chart_type", "chart_id", F.from_json("value", "n_name string")["n_name"].alias("name"))
+    return spark.read.text(folder).select("chart_type", "chart_id", F.from_json("value", "name string")["name"].alias("name"))
 
 
 def metric_log(spark, sf_dir):
     """A log of metrics written in two steps."""
     path = f"{files.shared_folder(spark)}/log"
-    e = read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("run_id"), F.col("n_nationkey").alias("step"), (F.col("n_nationkey") / 8).alias("loss"))
+    e = _items(spark, sf_dir).select(F.col("region").alias("run_id"), F.col("k").alias("step"), (F.col("k") / 8).alias("loss"))
     for part in (0, 1):
         sinks.append_metrics(e.where(F.col("step") % 2 == part), path)
     return spark.read.json(path).groupBy("run_id").agg(F.count("*").alias("steps"), F.max_by("loss", "step").alias("last"))
@@ -159,26 +169,28 @@ def routed_engines(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (file_records, merged_dataset, file_inventory, file_dispatch, file_images, markdown_scan, manifest_ids, found_files, class_folders, cached_results, run_scan, conversation_loader, fan_out, text_each, metric_log, mock_detections, routed_engines)}
 
 _REC = """rec AS (SELECT CASE WHEN k % 3 = 0 AND NOT first THEN ['bar', 'line', 'pie'][(k + 1) % 3 + 1] ELSE ['bar', 'line', 'pie', 'unknown'][k % 4 + 1] END AS chart_type, k, CASE WHEN first THEN name ELSE lower(name) END AS name, CASE WHEN first THEN k % 4 ELSE 0 END AS pairs, first AND k % 7 = 6 AS broken
-    FROM (SELECT CAST(n_nationkey AS INT) AS k, n_name AS name, first FROM nation, (VALUES (true), (false)) v(first) WHERE first OR n_nationkey % 3 = 0)),
+    FROM (SELECT k, name, first FROM items, (VALUES (true), (false)) v(first) WHERE first OR k % 3 = 0)),
   same AS (SELECT k FROM rec GROUP BY k, chart_type HAVING count(*) > 1), one AS (SELECT * FROM rec r WHERE NOT (EXISTS (SELECT 1 FROM same s WHERE s.k = r.k) AND pairs = k % 4 AND name = upper(name) AND name <> lower(name) AND (SELECT count(*) FROM rec q WHERE q.k = r.k AND q.chart_type = r.chart_type) > 1)),
   good AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY chart_type DESC) AS p FROM one WHERE NOT broken AND chart_type <> 'unknown')"""
 ORACLES = {
     "file_records": f"WITH {_REC} SELECT chart_type, 'n' || k AS chart_id, name, CAST(pairs AS INT) AS pairs FROM good WHERE p = 1",
     "merged_dataset": f"WITH {_REC}, b AS (SELECT chart_type, count(*) AS f, sum(pairs) AS e FROM good WHERE p = 1 GROUP BY 1) SELECT CAST(sum(f) AS BIGINT) AS files, CAST(sum(e) AS BIGINT) AS entries, '{{' || string_agg('\"' || chart_type || '\":' || e::BIGINT, ',' ORDER BY chart_type) || '}}' AS by_type FROM b",
-    "file_images": "SELECT 'n' || n_nationkey AS image, CAST(n_nationkey * 10 + 1 AS INT) AS width, 50 AS height FROM nation WHERE n_nationkey % 5 <> 4",
-    "file_dispatch": """WITH f AS (SELECT ['md', 'pdf', 'txt', 'docx', 'jpeg'][CAST(n_nationkey % 5 + 1 AS INT)] AS e, CASE WHEN n_nationkey % 2 = 1 THEN strlen('# ' || n_name || chr(10) || chr(10) || 'text ![a](img/r' || n_regionkey || '/n' || n_nationkey || '.png) ![b](http://x/y.png)') ELSE strlen(n_name) END AS b FROM nation)
+    "file_images": "SELECT 'n' || k AS image, CAST(k * 10 + 1 AS INT) AS width, 50 AS height FROM items WHERE k % 5 <> 4",
+    "file_dispatch": """WITH f AS (SELECT ['md', 'pdf', 'txt', 'docx', 'jpeg'][CAST(k % 5 + 1 AS INT)] AS e, CASE WHEN k % 2 = 1 THEN strlen('# ' || name || chr(10) || chr(10) || 'text ![a](img/r' || region || '/n' || k || '.png) ![b](http://x/y.png)') ELSE strlen(name) END AS b FROM items)
       SELECT CASE e WHEN 'md' THEN 'markdown' WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' WHEN 'jpeg' THEN 'image' END AS parser, CASE WHEN e = 'txt' THEN 'unsupported extension .txt' WHEN b > 60 THEN 'too large' END AS error, count(*) AS n FROM f GROUP BY ALL""",
-    "markdown_scan": "SELECT 'n' || n_nationkey AS doc, CASE WHEN n_nationkey % 2 = 1 AND n_nationkey % 5 <> 4 THEN 1 ELSE 0 END AS pictures, CASE WHEN n_nationkey % 2 = 1 AND n_nationkey % 5 <> 4 THEN CAST(n_nationkey * 10 + 1 AS INT) END AS width FROM nation WHERE n_nationkey % 5 = 0",
-    "manifest_ids": "WITH n AS (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS a, row_number() OVER (ORDER BY replace(n_name, ' ', '_')) - 1 AS b FROM nation) SELECT CAST(a AS INT) AS pos, n_name AS chart_id, 'manifest' AS benchmark FROM n WHERE a < 10 UNION ALL SELECT CAST(b AS INT), replace(n_name, ' ', '_'), 'annotations' FROM n WHERE b < 10",
-    "found_files": "WITH n AS (SELECT 'n' || n_nationkey AS chart_id, ['bar', 'line', 'pie'][CAST((n_nationkey + 1) % 3 + 1 AS INT)] AS kind, ['bar', 'line', 'pie', 'unknown'][CAST(n_nationkey % 4 + 1 AS INT)] AS own, n_nationkey % 3 = 0 AS two FROM nation) SELECT chart_id, kind, CASE WHEN own = kind OR two THEN kind ELSE own END AS folder FROM n",
-    "class_folders": "SELECT 'r' || n_regionkey AS cls, n_regionkey <> 0 AS positive, count(*) AS n FROM nation GROUP BY ALL",
-    "cached_results": "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'computed' WHEN n_nationkey % 5 = 0 THEN '' ELSE 'hit' END AS result FROM nation",
-    "run_scan": "SELECT 'run' || n_nationkey AS run, n_nationkey::DOUBLE / 4 AS score, n_name AS model FROM nation WHERE n_nationkey % 6 <> 5",
+    "markdown_scan": "SELECT 'n' || k AS doc, CASE WHEN k % 2 = 1 AND k % 5 <> 4 THEN 1 ELSE 0 END AS pictures, CASE WHEN k % 2 = 1 AND k % 5 <> 4 THEN CAST(k * 10 + 1 AS INT) END AS width FROM items WHERE k % 5 = 0",
+    "manifest_ids": "WITH n AS (SELECT name, row_number() OVER (ORDER BY k) - 1 AS a, row_number() OVER (ORDER BY replace(name, ' ', '_')) - 1 AS b FROM items) SELECT CAST(a AS INT) AS pos, name AS chart_id, 'manifest' AS benchmark FROM n WHERE a < 10 UNION ALL SELECT CAST(b AS INT), replace(name, ' ', '_'), 'annotations' FROM n WHERE b < 10",
+    "found_files": "WITH n AS (SELECT 'n' || k AS chart_id, ['bar', 'line', 'pie'][CAST((k + 1) % 3 + 1 AS INT)] AS kind, ['bar', 'line', 'pie', 'unknown'][CAST(k % 4 + 1 AS INT)] AS own, k % 3 = 0 AS two FROM items) SELECT chart_id, kind, CASE WHEN own = kind OR two THEN kind ELSE own END AS folder FROM n",
+    "class_folders": "SELECT 'r' || region AS cls, region <> 0 AS positive, count(*) AS n FROM items GROUP BY ALL",
+    "cached_results": "SELECT k, CASE WHEN k % 3 = 0 THEN 'computed' WHEN k % 5 = 0 THEN '' ELSE 'hit' END AS result FROM items",
+    "run_scan": "SELECT 'run' || k AS run, k::DOUBLE / 4 AS score, name AS model FROM items WHERE k % 6 <> 5",
     "conversation_loader": "SELECT conv_id, CAST(CASE WHEN conv_id % 4 < 2 THEN count(*) ELSE 1 END AS INT) AS turns FROM conversations WHERE conv_id % 4 < 3 GROUP BY conv_id",
-    "fan_out": "SELECT s AS sink, CASE s WHEN 'markdown' THEN 'skipped' WHEN 'broken' THEN 'failed' ELSE 'written' END AS state, CASE WHEN s IN ('json', 'csv', 'text') THEN (SELECT count(*) FROM nation) ELSE 0 END AS n FROM (VALUES ('json'), ('csv'), ('text'), ('markdown'), ('broken')) v(s)",
-    "text_each": "SELECT 'r' || n_regionkey AS chart_type, 'n' || n_nationkey AS chart_id, n_name AS name FROM nation",
-    "metric_log": "SELECT n_regionkey AS run_id, count(*) AS steps, arg_max(n_nationkey / 8, n_nationkey) AS last FROM nation GROUP BY 1",
+    "fan_out": "SELECT s AS sink, CASE s WHEN 'markdown' THEN 'skipped' WHEN 'broken' THEN 'failed' ELSE 'written' END AS state, CASE WHEN s IN ('json', 'csv', 'text') THEN (SELECT count(*) FROM items) ELSE 0 END AS n FROM (VALUES ('json'), ('csv'), ('text'), ('markdown'), ('broken')) v(s)",
+    "text_each": "SELECT 'r' || region AS chart_type, 'n' || k AS chart_id, name AS name FROM items",
+    "metric_log": "SELECT region AS run_id, count(*) AS steps, arg_max(k / 8, k) AS last FROM items GROUP BY 1",
     "mock_detections": """WITH i AS (SELECT p_partkey AS image_id, p_size * 20 AS w, 300 AS h, k FROM part, range(2) r(k) WHERE p_partkey % 9 <> 0), b AS (SELECT image_id, k, w, h, (image_id * 7 + k * 13) % w AS x0, (image_id * 11 + k * 17) % h AS y0 FROM i)
       SELECT image_id, CAST(k AS INT) AS box, x0, y0, least(w, x0 + 100) AS x1, least(h, y0 + 80) AS y1, round(0.9::DOUBLE - 0.1::DOUBLE * k, 6) AS confidence FROM b UNION ALL SELECT p_partkey, -1, NULL, NULL, NULL, NULL, 0.0 FROM part WHERE p_partkey % 9 = 0""",
     "routed_engines": "SELECT p_partkey AS request_id, CASE p_partkey % 3 WHEN 2 THEN 'echo' ELSE 'rules' END AS engine, CASE p_partkey % 3 WHEN 0 THEN 'A chart: ' || p_name WHEN 1 THEN length(p_name)::VARCHAR ELSE p_name END AS answer, CASE p_partkey % 3 WHEN 2 THEN 0.5::DOUBLE ELSE 0.8 END AS confidence FROM part",
 }
+_ITEMS = "items AS (SELECT doc_id AS k, upper(coalesce(source, 'none') || ' ' || coalesce(lang, 'none') || ' D' || doc_id) AS name, doc_id % 5 AS region FROM documents WHERE doc_id IS NOT NULL)"
+ORACLES = {k: q if "items" not in q else q.replace("WITH ", f"WITH {_ITEMS}, ", 1) if q.startswith("WITH ") else f"WITH {_ITEMS} {q}" for k, q in ORACLES.items()}

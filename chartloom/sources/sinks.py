@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
+from uuid import uuid4
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +52,27 @@ def text_each(rows: DataFrame, folder: str, kind: str, key: str, text: str) -> N
     rows.select(kind, key, text).repartition(kind, key).write.partitionBy(kind, key).text(folder)
 
 
+def write_files(rows: DataFrame, folder: str) -> None:
+    """A file for each row (path, content), below a folder and by executors, each first beside its place and then moved, so that no reader sees half of one and a task that runs again changes nothing.
+
+    Paths are those that pyarrow's file systems open: local and shared mounts, and stores with a URI.
+    """
+
+    def run(batches):
+        fs, root = pafs.FileSystem.from_uri(folder) if re.match(r"[a-z0-9]+:", folder) else (pafs.LocalFileSystem(), folder)
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                above, name = f"{root}/{path}".rsplit("/", 1)
+                fs.create_dir(above, recursive=True)
+                beside = f"{above}/.{name}.{uuid4().hex[:8]}"
+                with fs.open_output_stream(beside) as out:
+                    out.write(content.as_py() or b"")
+                fs.move(beside, f"{above}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    rows.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+
+
 def merged_dataset(rows: DataFrame, count: str) -> DataFrame:
     """One row: how many files and entries there are in all, and how many by chart type, as JSON."""
     by = rows.groupBy("chart_type").agg(F.count("*").alias("files"), F.sum(count).alias("entries"))
