@@ -43,9 +43,28 @@ def rate_window(events: DataFrame, key: str, seconds: int) -> DataFrame:
     return out.where("span = own").select("event_id", key, "requests", "total")
 
 
-def running_mean(events: DataFrame, key: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return events.select("event_id", key, F.row_number().over(Window.partitionBy(key).orderBy("ts", "event_id")).alias("n"), F.round(F.avg("value").over(w), 9).alias("mean"))
+def running(rows: DataFrame, key: str, place, width: int, order: list[str], sums: dict) -> DataFrame:
+    """rows with running sums (name: column) of each key in an order that begins with `place`, a whole number.
+
+    A key's rows are dealt over spans of `width` places; sums within a span are carried on by those of the spans before, so
+    that a busy key isn't one group: what is summed over the whole key is one row a span.
+    """
+    spanned = rows.withColumn("_span", F.floor(place / width).cast("long"))
+    inside = Window.partitionBy(key, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spanned.groupBy(key, "_span").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
+    carried = spans.select(key, "_span", *(F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums))
+    own = spanned.select("*", *(F.sum(c).over(inside).alias(f"_o_{n}") for n, c in sums.items()))
+    joined = own.join(carried, [key, "_span"])
+    return joined.select(*rows.columns, *((F.col(f"_o_{n}") + F.coalesce(f"_c_{n}", F.lit(0))).alias(n) for n in sums))
+
+
+def running_mean(events: DataFrame, key: str, seconds: int = 3600) -> DataFrame:
+    """How many events of a key there were up to each, and the mean of their values; a null value counts for n alone."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    sums = {"n": F.lit(1), "_sum": F.coalesce("value", F.lit(0.0)), "_known": F.col("value").isNotNull().cast("long")}
+    out = running(events.select("event_id", key, "ts", "value"), key, at, seconds * 1_000_000, ["ts", "event_id"], sums)
+    return out.select("event_id", key, F.col("n").cast("int").alias("n"), F.round(F.try_divide("_sum", "_known"), 9).alias("mean"))
 
 
 def fallback(attempts: DataFrame, least: float = 0.7) -> DataFrame:

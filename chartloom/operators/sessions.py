@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartloom.operators.events import running
+
 #: Columns of the flat file, in order.
 FLAT = ("session_id", "chart_id", "chart_type", "chart_title", "series_name", "label", "value", "unit", "confidence", "x_axis_label", "y_axis_label")
 
@@ -123,16 +125,20 @@ def retried(attempts: DataFrame, most: int = 3) -> DataFrame:
 
 
 def health(checks: DataFrame) -> DataFrame:
-    """What each check of a provider (provider, ts, result: ok, auth, or another failure) sees: after an authentication failure the cached no, else the result itself."""
-    w = Window.partitionBy("provider").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    cached = F.coalesce(F.max((F.col("result") == "auth").cast("int")).over(w), F.lit(0)) == 1
-    return checks.select("provider", "ts", cached.alias("cached"), (~cached & (F.col("result") == "ok")).alias("healthy"))
+    """What each check of a provider (provider, ts, result: ok, auth, or another failure) sees: after an authentication failure the cached no, else the result itself.
+
+    The first such failure of each provider is found by a sum before the shuffle, so a busy provider is no group of its own.
+    """
+    first = checks.where("result = 'auth'").groupBy("provider").agg(F.min("ts").alias("_first"))
+    cached = F.coalesce(F.col("ts") > F.col("_first"), F.lit(False))
+    return checks.join(first, "provider", "left").select("provider", "ts", cached.alias("cached"), (~cached & (F.col("result") == "ok")).alias("healthy"))
 
 
-def progress(events: DataFrame, total: int | None = None) -> DataFrame:
-    """Running numbers of each worker's items (worker, ord, seconds, status): done, errors, mean seconds, and the estimate of what is left, where a total is known."""
-    w = Window.partitionBy("worker").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    out = events.select("worker", "ord", F.count("*").over(w).alias("done"), F.sum((F.col("status") == "error").cast("int")).over(w).alias("errors"), F.round(F.avg("seconds").over(w), 9).alias("mean"))
+def progress(events: DataFrame, total: int | None = None, width: int = 10_000) -> DataFrame:
+    """Running numbers of each worker's items (worker, ord, seconds, status): done, errors, mean seconds, and the estimate of what is left, where a total is known. Spans of `width` in ord are summed apart."""
+    sums = {"done": F.lit(1), "errors": (F.col("status") == "error").cast("long"), "_sum": F.coalesce("seconds", F.lit(0.0)), "_known": F.col("seconds").isNotNull().cast("long")}
+    out = running(events.select("worker", "ord", "seconds", "status"), "worker", F.col("ord"), width, ["ord"], sums)
+    out = out.select("worker", "ord", "done", "errors", F.round(F.try_divide("_sum", "_known"), 9).alias("mean"))
     return out if total is None else out.withColumn("eta", F.round(F.greatest(F.lit(0), F.lit(total) - F.col("done")) * F.col("mean"), 5))
 
 
