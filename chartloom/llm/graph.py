@@ -1,70 +1,16 @@
-"""Connected components by alternating star contraction, without collecting edges."""
+"""What the training-data operators share with the core, and their own helpers: bounded Arrow batches, and bit maps that keep rows from a shuffle."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-from contextlib import contextmanager
-from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chartloom.operators.graphs import connected_components
+from chartloom.sources.scratch import Scratch, cut, erase, shared_dir, shuffles_freed
 
-_owned: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """This application's own folder in the one that driver and executors share, as spark.checkpoint.dir names it; on one machine, as in tests, one of our own where none is set.
-
-    It is erased when the application ends, with all tables that results were read from.
-    """
-    sc = spark.sparkContext
-    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-        named = sc.getCheckpointDir()
-    path = f"{named.rstrip('/')}/tables-{sc.applicationId}"
-    if path not in _owned:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-        fs.mkdirs(at)
-        fs.deleteOnExit(at)
-        _owned.add(path)
-    return path
-
-
-def erase(spark: SparkSession, path: str) -> None:
-    """Delete a folder through the file system that holds it."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def cut(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """df, written as a table to the shared folder and read again: a lost executor loses none of it. Its shuffles' files are freed."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid4().hex}"
-    with shuffles_freed(spark):
-        df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    if scratch is not None:
-        scratch.paths[id(out)] = (out, path)
-    return out
-
-
-@contextmanager
-def shuffles_freed(spark: SparkSession):
-    """Queries that run inside free their shuffle files when they end; what they give must be written."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
+__all__ = ["Scratch", "bound_batches", "connected_components", "cut", "erase", "likely", "shared_dir", "shuffles_freed", "with_bit"]
 
 #: Bytes of rows that reach a Python worker at once, whatever their number: long texts make batches of few rows.
 BATCH_BYTES = 16 << 20
@@ -78,22 +24,6 @@ def bound_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-class Scratch:
-    """Tables of cut() that a later one supersedes."""
-
-    def __init__(self):
-        self.paths: dict[int, tuple[DataFrame, str]] = {}
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Erase tables that no plan reads any more."""
-        for t in tables:
-            df, path = self.paths.pop(id(t))
-            erase(df.sparkSession, path)
-
-    def clear(self) -> None:
-        self.drop(*(df for df, _ in self.paths.values()))
-
-
 #: log2 of the bits of a map that keeps rows of other keys from being shuffled: 2**18 rows of 64 bits, whatever the input.
 MAP_BITS = 24
 
@@ -110,33 +40,3 @@ def with_bit(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 def likely(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Of rows those whose `on` may be in keys; the rest go before any shuffle. A full map only lets more pass."""
     return with_bit(rows, keys, on).where("_bit").select(*rows.columns)
-
-
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component) of every vertex of edges (a, b); component is the smallest id reachable.
-
-    Large-star and small-star steps alternate until nothing changes. A vertex's minimum is found by a
-    pre-aggregated groupBy and joined back, so a vertex with very many edges never sits in one group.
-    Nulls and loops are ignored; an empty input gives an empty result.
-    """
-    scratch = Scratch()
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), scratch)
-    state = None
-    for _ in range(rounds):
-        # large star: each u gives the neighbours above it its smallest neighbour
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: each u joins the neighbours below it to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
-        last, e = e, cut(pairs.where("u <> v").distinct(), scratch)
-        scratch.drop(last)
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"), (F.count("*") - F.countDistinct("u")).alias("more")).head()
-        if now == state and not now["more"]:
-            break
-        state = now
-    else:
-        raise RuntimeError("components did not settle")
-    roots = e.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
