@@ -100,6 +100,43 @@ def described(charts: DataFrame, points: DataFrame) -> DataFrame:
     return j.select("chart_id", F.concat(F.concat_ws(". ", head, holds, F.when(axes != "", F.concat(F.lit("with "), axes))), F.lit(".")).alias("description"))
 
 
+def described_briefly(charts: DataFrame, points: DataFrame) -> DataFrame:
+    """A shorter sentence about each chart, each axis in a part of its own."""
+    j = charts.join(points.groupBy("chart_id").agg(F.count("*").alias("n")), "chart_id", "left")
+    head = F.concat(F.lit("A "), F.col("chart_type"), F.lit(" chart"), F.when(~blank(F.col("title")), F.concat(F.lit(' titled "'), F.col("title"), F.lit('"'))).otherwise(""))
+    rest = (F.when(F.col("n") > 0, F.concat(F.lit("with "), F.col("n").cast("string"), F.lit(" data points"))), *(F.when(~blank(F.col(f"{a}_label")), F.concat(F.lit(f"{a}-axis: "), F.col(f"{a}_label"))) for a in "xy"))
+    return j.select("chart_id", F.concat(F.concat_ws(". ", head, *rest), F.lit(".")).alias("description"))
+
+
+#: What a chart of a type is called, and what is said of its elements.
+TYPE_NAMES = {"scatter": "scatter plot", "histogram": "histogram", "heatmap": "heatmap", "box": "box plot"}
+ELEMENT_TEXTS = {"bar": ("The chart contains ", " bars."), "pie": ("The chart has ", " segments."), "scatter": ("The chart displays ", " data points."), "histogram": ("The histogram shows ", " bins."), "box": ("The plot shows ", " box-and-whisker elements.")}
+
+
+def described_fully(charts: DataFrame, elements: DataFrame, labels: DataFrame, facts: DataFrame, most: int = 5) -> DataFrame:
+    """A paragraph about each chart: kind and title, axes, elements by kind, trend and range, the largest segment, its labels, or their number beyond `most`.
+
+    labels: (chart_id, pos, text); facts: (chart_id, trend, low, high, top_text, top_value, even), any of them null. Of a chart's labels only the first ones and their number are gathered.
+    """
+    kind = F.col("chart_type")
+    called = F.coalesce(*(F.when(kind == k, v) for k, v in TYPE_NAMES.items()), F.concat(kind, F.lit(" chart")))
+    quoted = lambda lead, c: F.when(~blank(F.col(c)), F.concat(F.lit(lead), F.col(c), F.lit("'")))
+    order = Window.partitionBy("chart_id").orderBy("pos")
+    first = labels.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).groupBy("chart_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), ", ").alias("shown"))
+    counted = labels.groupBy("chart_id").agg(F.count("*").alias("n_labels")).join(first, "chart_id")
+    j = charts.join(elements.groupBy("chart_id").agg(F.count("*").alias("n")), "chart_id", "left").join(counted, "chart_id", "left").join(facts, "chart_id", "left")
+    title = F.when(blank(F.col("title")), ".").otherwise(F.concat(F.lit(" titled '"), F.col("title"), F.lit("'.")))
+    axes = F.concat_ws(" and ", quoted("x-axis represents '", "x_label"), quoted("y-axis represents '", "y_label"))
+    n = F.col("n").cast("string")
+    of = F.coalesce(*(F.when(kind == k, F.concat(F.lit(a), n, F.lit(b))) for k, (a, b) in ELEMENT_TEXTS.items()), F.when(kind == "line", "The chart shows data points connected by lines."))
+    trend = F.when(F.col("trend").isin("increasing", "decreasing", "stable"), F.concat(F.lit("The data shows "), F.when(F.col("trend") == "increasing", "an ").otherwise("a "), F.col("trend"), F.lit(" trend.")))
+    span = F.when(F.col("low").isNotNull() & F.col("high").isNotNull(), F.concat(F.lit("Values range from "), F.col("low").cast("string"), F.lit(" to "), F.col("high").cast("string"), F.lit(".")))
+    top = F.when(F.col("top_text").isNotNull(), F.concat(F.lit("The largest segment is "), F.col("top_text"), F.lit(" ("), F.col("top_value").cast("string"), F.lit("%).")))
+    named = F.when(F.col("n_labels") <= most, F.concat(F.lit("Visible labels include: "), F.col("shown"), F.lit("."))).when(F.col("n_labels") > most, F.concat(F.lit("The chart contains "), F.col("n_labels").cast("string"), F.lit(" labeled data points.")))
+    parts = (F.concat(F.lit("This is a "), called, title), F.when(axes != "", F.concat(F.lit("The "), axes, F.lit("."))), F.when(F.col("n") > 0, of), trend, span, top, F.when(F.col("even"), "The segments are relatively evenly distributed."), named)
+    return j.select("chart_id", F.concat_ws(" ", *parts).alias("description"))
+
+
 def complexity(elements: DataFrame, tokens: DataFrame) -> DataFrame:
     """Traits of each chart: dense beyond 20 elements, several series beyond two colours, legend and data labels among its texts."""
     e = elements.groupBy("chart_id").agg((F.count("*") > 20).alias("dense"), (F.countDistinct("r", "g", "b") > 2).alias("multi_series"), F.count("*").alias("elements"))

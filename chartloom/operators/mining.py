@@ -223,3 +223,24 @@ def model_pairs(responses: DataFrame, key: str, text: str) -> DataFrame:
     sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("p.confidence", F.lit(0.8))))
     own = F.coalesce(*(F.when(kind == k, v) for k, v in DIFFICULTY.items()), F.lit(2))
     return p.select(key, "n", F.coalesce("p.question", F.lit("")).alias("question"), kind.alias("question_type"), known(F.col("p.reasoning_method"), METHODS, "direct_read").alias("method"), sure.alias("confidence"), F.when(sure >= 0.9, "high").when(sure >= 0.7, "medium").when(sure >= 0.5, "low").otherwise("uncertain").alias("level"), F.coalesce("p.difficulty", own).alias("difficulty"))
+
+
+def answer_parts(responses: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, verification, pairs, state) of a model's answers, fences and trailing commas aside: an object with both parts, or a bare array of pairs.
+
+    Where the answer is no JSON as a whole, what can be read of it is kept: the verification block, if it is whole and flat, and each
+    pair of the array that is an object with a question of its own. state: whole, salvaged or none. verification maps names to JSON values.
+    """
+    clean = T.strip(T.strip_fence(F.col(text)))
+    obj, arr = F.try_parse_json(F.when(F.startswith(clean, F.lit("{")), clean)), F.try_parse_json(F.when(F.startswith(clean, F.lit("[")), clean))
+    whole = obj.isNotNull() | arr.isNotNull()
+    block = F.nullif(F.regexp_extract(clean, r'"verification"\s*:\s*(\{[^}]+\})', 1), F.lit(""))
+    block = F.when(F.try_parse_json(block).isNotNull(), block)
+    objects = F.filter(F.regexp_extract_all(clean, F.lit(r'(\{[^{}]*"question"[^{}]*\})'), F.lit(1)), lambda x: F.try_parse_json(x).isNotNull())
+    some = F.from_json(F.concat(F.lit("["), F.array_join(objects, ","), F.lit("]")), RAW_PAIRS)
+    said = F.from_json(F.when(obj.isNotNull(), clean), f"verification map<string,string>, qa_pairs {RAW_PAIRS}")
+    none = F.array().cast(RAW_PAIRS)
+    pairs = F.when(obj.isNotNull(), F.coalesce(said["qa_pairs"], none)).when(arr.isNotNull(), F.coalesce(F.from_json(clean, RAW_PAIRS), none)).otherwise(F.coalesce(some, none))
+    verification = F.when(obj.isNotNull(), said["verification"]).when(~whole, F.from_json(block, "map<string,string>"))
+    state = F.when(whole, "whole").when((F.size(pairs) > 0) | block.isNotNull(), "salvaged").otherwise("none")
+    return responses.select(key, F.coalesce(verification, F.create_map().cast("map<string,string>")).alias("verification"), pairs.alias("pairs"), state.alias("state"))

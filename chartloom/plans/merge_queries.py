@@ -73,6 +73,24 @@ def chart_descriptions(spark, sf_dir):
     return M.described(charts, M.colour_points(C.elements(spark, sf_dir).where("chart_id % 3 <> 0")))
 
 
+def _named_charts(spark, sf_dir):
+    labels = C.tokens(spark, sf_dir).groupBy("chart_id").agg(F.min_by("text", F.when(F.col("role") == "x_axis_label", F.col("pos"))).alias("x_label"), F.min_by("text", F.when(F.col("role") == "y_axis_label", F.col("pos"))).alias("y_label"))
+    return C.charts(spark, sf_dir).select("chart_id", "chart_type", "title").join(labels, "chart_id", "left")
+
+
+def brief_descriptions(spark, sf_dir):
+    return M.described_briefly(_named_charts(spark, sf_dir), M.colour_points(C.elements(spark, sf_dir).where("chart_id % 3 <> 0")))
+
+
+def full_descriptions(spark, sf_dir):
+    """Charts with trends, ranges and shares of one in two; labels are their data labels."""
+    e = C.elements(spark, sf_dir)
+    labels = C.tokens(spark, sf_dir).where("role = 'data_label'").select("chart_id", "pos", "text")
+    k = F.col("chart_id")
+    facts = C.charts(spark, sf_dir).where("chart_id % 2 = 0").select("chart_id", C.pick((k / 2).cast("long"), ("increasing", "decreasing", "stable", "unknown")).alias("trend"), F.when(k % 3 == 0, F.floor("total")).alias("low"), F.floor(F.col("total") * 2).alias("high"), F.when(F.col("chart_type") == "pie", "top").alias("top_text"), (k % 100).alias("top_value"), (k % 5 == 0).alias("even"))
+    return M.described_fully(_named_charts(spark, sf_dir), e, labels, facts)
+
+
 def complexity_traits(spark, sf_dir):
     return M.complexity(C.elements(spark, sf_dir), C.tokens(spark, sf_dir))
 
@@ -158,7 +176,7 @@ def page_charts(spark, sf_dir):
     return o.select(F.col("o_custkey").alias("page"), F.posexplode("charts").alias("n", "chart")).select("page", "n", "chart", F.concat_ws("_", F.lit("p"), F.col("page").cast("string"), F.col("n").cast("string")).alias("chart_id"))
 
 
-QUERIES = {f.__name__: f for f in (merged_points, legend_colours, corrected_texts, filled_annotations, overwritten_annotations, vision_merge, colour_points, chart_descriptions, complexity_traits, category_points, mapped_points, captions_below, context_above, first_containing, best_error_rates, found_by_role, role_groups, free_places, target_values, canonical_context, hex_colours, page_charts)}
+QUERIES = {f.__name__: f for f in (merged_points, legend_colours, corrected_texts, filled_annotations, overwritten_annotations, vision_merge, colour_points, chart_descriptions, brief_descriptions, full_descriptions, complexity_traits, category_points, mapped_points, captions_below, context_above, first_containing, best_error_rates, found_by_role, role_groups, free_places, target_values, canonical_context, hex_colours, page_charts)}
 
 _T, _E = C.TOKENS_SQL, C.ELEMENTS_SQL
 _HEX = "printf('#%02x%02x%02x', r, g, b)"
@@ -170,7 +188,18 @@ _OPEN = "s.chart_id IS NOT NULL AND coalesce(a.annotator, '') <> 'human-verified
 _LAYOUT = f"""WITH {_T}, {_E}, images AS (SELECT chart_id, pos AS image, y1 AS bottom, y0 AS image_top FROM elements), blocks AS (SELECT chart_id, pos AS block, y0 AS top, y1 AS block_bottom, CASE pos % 4 WHEN 0 THEN 'Figure ' || pos % 100 || ': ' || text WHEN 1 THEN 'see fig. ' || text ELSE text END AS text FROM tokens)"""
 _FUZZY = """CASE WHEN t = '' OR p = '' THEN false ELSE contains(t, p) OR contains(p, t) OR (tk <> '' AND pk <> '' AND (contains(tk, pk) OR contains(pk, tk))) OR (length(tk) >= 3 AND len(list_filter(string_split(tk, ''), lambda c: contains(pk, c)))::DOUBLE / length(tk) >= 0.6) END"""
 _COLOURS = f"coloured AS (SELECT chart_id, pos, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b, (y0 + y1) / 2 AS value FROM elements), firsts AS (SELECT *, min(pos) OVER (PARTITION BY chart_id, r, g, b) AS f FROM coloured), colour_points AS (SELECT chart_id, 'Series ' || dense_rank() OVER (PARTITION BY chart_id ORDER BY f) AS series, {_HEX} AS colour, 'Point ' || row_number() OVER (PARTITION BY chart_id, f ORDER BY pos, value) AS label, value, 0.5::DOUBLE AS confidence FROM firsts)"
+_NAMED = f"""{C.CHARTS_SQL}, {_T}, {_E}, named AS (SELECT c.chart_id, chart_type, title, total, x_label, y_label FROM charts c LEFT JOIN (SELECT chart_id, arg_min(text, pos) FILTER (role = 'x_axis_label') AS x_label, arg_min(text, pos) FILTER (role = 'y_axis_label') AS y_label FROM tokens GROUP BY 1) t USING (chart_id))"""
 ORACLES = {
+    "brief_descriptions": f"""WITH {_NAMED}, p AS (SELECT chart_id, count(*) AS n FROM elements WHERE chart_id % 3 <> 0 GROUP BY 1)
+      SELECT chart_id, concat_ws('. ', 'A ' || chart_type || ' chart' || CASE WHEN coalesce(title, '') <> '' THEN ' titled "' || title || '"' ELSE '' END, 'with ' || n || ' data points', CASE WHEN x_label <> '' THEN 'x-axis: ' || x_label END, CASE WHEN y_label <> '' THEN 'y-axis: ' || y_label END) || '.' AS description FROM named LEFT JOIN p USING (chart_id)""",
+    "full_descriptions": f"""WITH {_NAMED}, p AS (SELECT chart_id, count(*) AS n FROM elements GROUP BY 1), l AS (SELECT chart_id, count(*) AS k, array_to_string(list(text ORDER BY pos)[1:5], ', ') AS shown FROM tokens WHERE role = 'data_label' GROUP BY 1)
+      SELECT chart_id, concat_ws(' ', 'This is a ' || CASE chart_type WHEN 'scatter' THEN 'scatter plot' WHEN 'histogram' THEN 'histogram' WHEN 'heatmap' THEN 'heatmap' WHEN 'box' THEN 'box plot' ELSE chart_type || ' chart' END || CASE WHEN coalesce(title, '') <> '' THEN ' titled ' || chr(39) || title || chr(39) || '.' ELSE '.' END,
+        'The ' || nullif(concat_ws(' and ', CASE WHEN x_label <> '' THEN 'x-axis represents ' || chr(39) || x_label || chr(39) END, CASE WHEN y_label <> '' THEN 'y-axis represents ' || chr(39) || y_label || chr(39) END), '') || '.',
+        CASE WHEN n > 0 THEN CASE chart_type WHEN 'bar' THEN 'The chart contains ' || n || ' bars.' WHEN 'line' THEN 'The chart shows data points connected by lines.' WHEN 'pie' THEN 'The chart has ' || n || ' segments.' WHEN 'scatter' THEN 'The chart displays ' || n || ' data points.' WHEN 'histogram' THEN 'The histogram shows ' || n || ' bins.' WHEN 'box' THEN 'The plot shows ' || n || ' box-and-whisker elements.' END END,
+        CASE WHEN chart_id % 2 = 0 THEN CASE chart_id // 2 % 4 WHEN 0 THEN 'The data shows an increasing trend.' WHEN 1 THEN 'The data shows a decreasing trend.' WHEN 2 THEN 'The data shows a stable trend.' END END,
+        CASE WHEN chart_id % 6 = 0 THEN 'Values range from ' || CAST(floor(total) AS BIGINT) || ' to ' || CAST(floor(total * 2) AS BIGINT) || '.' END, CASE WHEN chart_id % 2 = 0 AND chart_type = 'pie' THEN 'The largest segment is top (' || chart_id % 100 || '%).' END,
+        CASE WHEN chart_id % 10 = 0 THEN 'The segments are relatively evenly distributed.' END, CASE WHEN k <= 5 THEN 'Visible labels include: ' || shown || '.' WHEN k > 5 THEN 'The chart contains ' || k || ' labeled data points.' END) AS description
+      FROM named LEFT JOIN p USING (chart_id) LEFT JOIN l USING (chart_id)""",
     "merged_points": f"""WITH {_SIDES}, sc AS (SELECT chart_id, series_ord, min(colour) AS c FROM mapped GROUP BY ALL)
       SELECT r.chart_id, r.series_ord, r.name, coalesce(r.colour, sc.c) AS colour, r.point_ord, CASE WHEN m.confidence > r.confidence AND r.label = '' THEN m.label ELSE r.label END AS label, CASE WHEN m.confidence > r.confidence THEN m.value ELSE r.value END AS value, CASE WHEN m.confidence > r.confidence THEN m.confidence ELSE r.confidence END AS confidence
       FROM reasoned r LEFT JOIN mapped m USING (chart_id, series_ord, point_ord) LEFT JOIN sc ON sc.chart_id = r.chart_id AND sc.series_ord = r.series_ord UNION ALL SELECT chart_id, series_ord, name, colour, point_ord, label, value, confidence FROM mapped WHERE chart_id NOT IN (SELECT chart_id FROM reasoned)""",

@@ -111,7 +111,22 @@ def model_pairs(spark, sf_dir):
     return M.model_pairs(o.where("p_partkey % 3 < 2").select("p_partkey", text.alias("text")), "p_partkey", "text").withColumn("confidence", F.round("confidence", 6))
 
 
-QUERIES = {f.__name__: f for f in (mined_titles, mined_counts, mined_axes, mined_texts, mined_values, categorised_numbers, ocr_cascade, numeric_fixes, closed_json, table_json, model_pairs)}
+def answer_parts(spark, sf_dir):
+    """Answers with a verification block and two pairs: whole, fenced, bare, cut off in the second pair, cut off in the block, and no JSON."""
+    o = read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name")
+    k, n = F.col("p_partkey") % 6, F.col("p_size").cast("string")
+    block = F.concat(F.lit('"verification": {"is_chart": true, "size": '), n, F.lit("}"))
+    one, two = F.concat(F.lit('{"question": "What is '), F.col("p_name"), F.lit('?", "answer": "'), n, F.lit('"}')), F.lit('{"question": "r", "answer": "b", "difficulty": 4,}')
+    body = F.concat(F.lit("{"), block, F.lit(', "qa_pairs": ['), one, F.lit(", "), two, F.lit(",]}"))
+    text = (
+        F.when(k == 0, body).when(k == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 2, F.concat(F.lit("["), one, F.lit(","), two, F.lit("]")))
+        .when(k == 3, F.concat(F.lit("{"), block, F.lit(', "qa_pairs": ['), one, F.lit(', {"question": "r", "answ'))).when(k == 4, F.concat(F.lit('{"verification": {"is_chart": tr'))).otherwise("no answer")
+    )
+    a = M.answer_parts(o.select("p_partkey", text.alias("text")), "p_partkey", "text")
+    return a.select("p_partkey", "state", F.col("verification")["size"].alias("size"), F.size("pairs").alias("pairs"), F.get("pairs", F.lit(0))["question"].alias("first"), F.get("pairs", F.lit(1))["difficulty"].alias("difficulty"))
+
+
+QUERIES = {f.__name__: f for f in (mined_titles, mined_counts, mined_axes, mined_texts, mined_values, categorised_numbers, ocr_cascade, numeric_fixes, closed_json, table_json, model_pairs, answer_parts)}
 
 _s = lambda x: "'" + x.replace("'", "''") + "'"
 _arr = lambda j: "[" + ", ".join(_s(f[j]) for f in FORMS) + "]"
@@ -143,6 +158,8 @@ ORACLES = {
         CASE WHEN k = 0 THEN CASE WHEN text <> p_size::VARCHAR THEN 'char_substitution' END WHEN k IN (1, 2, 5) THEN 'cleanup' WHEN k = 3 THEN 'decimal_format' WHEN k = 4 THEN 'thousand_separator' WHEN k = 8 THEN 'char_substitution' END AS correction FROM t WHERE NOT (k = 0 AND regexp_matches(text, '^[OlS]+$') AND confidence >= 0.8)
         UNION ALL SELECT p_partkey, text, NULL FROM t WHERE k = 0 AND regexp_matches(text, '^[OlS]+$') AND confidence >= 0.8""",
     "numeric_fixes": f"{_TOK} SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN translate(text, 'OolI', '0011') ELSE text END AS text, CASE WHEN p_partkey % 2 = 0 THEN concat_ws(',', CASE WHEN contains(text, 'O') THEN '''O'' -> ''0''' END, CASE WHEN contains(text, 'o') THEN '''o'' -> ''0''' END, CASE WHEN contains(text, 'l') THEN '''l'' -> ''1''' END, CASE WHEN contains(text, 'I') THEN '''I'' -> ''1''' END) ELSE '' END AS changes FROM t",
+    "answer_parts": """SELECT p_partkey, CASE WHEN p_partkey % 6 < 3 THEN 'whole' WHEN p_partkey % 6 = 3 THEN 'salvaged' ELSE 'none' END AS state, CASE WHEN p_partkey % 6 IN (0, 1, 3) THEN p_size::VARCHAR END AS size,
+      CASE p_partkey % 6 WHEN 3 THEN 1 WHEN 4 THEN 0 WHEN 5 THEN 0 ELSE 2 END AS pairs, CASE WHEN p_partkey % 6 < 4 THEN 'What is ' || p_name || '?' END AS first, CASE WHEN p_partkey % 6 < 3 THEN 4 END AS difficulty FROM part""",
     "closed_json": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '[{"a": ' || p_size || '}, {"a": 2}]' WHEN 1 THEN '{"a": ' || p_size || '}' END AS closed, CASE p_partkey % 4 WHEN 0 THEN 2 ELSE 0 END AS objects FROM part""",
     "table_json": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'x,y' WHEN 1 THEN 'x,y,z' END AS headers, CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 END AS rows, CASE WHEN p_partkey % 4 < 2 THEN p_size::VARCHAR END AS cell FROM part",
     "model_pairs": """WITH p AS (SELECT p_partkey, p_size, ['trend', 'extraction', 'extraction', 'multi_hop', 'range'][CAST(p_partkey % 5 + 1 AS INT)] AS kind, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (p_size - 5)::DOUBLE / 40)) AS c FROM part WHERE p_partkey % 3 < 2)
