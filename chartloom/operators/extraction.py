@@ -9,10 +9,13 @@ from chartloom.functions import numeric as N
 
 #: Words that a label of an axis, or of a legend, contains.
 AXIS_WORDS = (
-    "count number amount value score rate ratio percentage percent frequency probability density time date year month day hour price cost revenue sales profit distance height width size area volume"
-    " temperature weight mass speed velocity accuracy precision recall f1 loss error epoch iteration step batch ( ) [ ]"
-).split()
-LEGEND_WORDS = "group class category type series label train test val validation baseline proposed ours method model algorithm".split()
+    "count", "number", "amount", "value", "score", "rate", "ratio", "percentage", "percent", "frequency", "probability", "density", "time", "date", "year", "month", "day", "hour",
+    "price", "cost", "revenue", "sales", "profit", "distance", "height", "width", "size", "area", "volume", "temperature", "weight", "mass", "speed", "velocity", "accuracy",
+    "precision", "recall", "f1", "loss", "error", "epoch", "iteration", "step", "batch", "(", ")", "[", "]",
+)
+LEGEND_WORDS = (
+    "group", "class", "category", "type", "series", "label", "train", "test", "val", "validation", "baseline", "proposed", "ours", "method", "model", "algorithm",
+)
 #: The element type that a chart type expects, and its axis template.
 EXPECTED_ELEMENT = {"bar": "bar", "histogram": "bar", "line": "point", "scatter": "point", "area": "point", "pie": "slice", "box": "box", "heatmap": "cell"}
 

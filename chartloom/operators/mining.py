@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from chartloom.functions import text as T
 
-#: Number words, prefixes of answers that name a title or a label, and patterns of questions that ask for a count.
-NUMBER_WORDS = {w: k for k, w in enumerate("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split(), 1)}
+#: Number words, prefixes of answers that name a title or a label, patterns of questions that ask for a count, of ranges, and of
+#: what questions say of an axis. The patterns inside element_counts() are fixed values too.
+NUMBER_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19, "twenty": 20}
 TITLE_PREFIXES = ("The title of the chart is ", "The title is ", "The chart title is ", "The chart is titled ", "The title of the graph is ")
 LABEL_PREFIXES = (
     "The y-axis represents ", "The x-axis represents ", "The y-axis is labeled ", "The x-axis is labeled ", "The y-axis label is ", "The x-axis label is ", "The y-axis is ", "The x-axis is ", "The label of the x-axis is ", "The label of the y-axis is ", "The label is ",
