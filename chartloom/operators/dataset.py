@@ -121,3 +121,12 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
 def insert_if_absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """old, and all rows of new whose key old lacks, repeated keys of new included."""
     return old.unionByName(new.join(old.select(key).distinct(), key, "left_anti").select(*old.columns))
+
+
+def test_rows(rows: DataFrame, key: str, most: int = 0, strata: list[str] | None = None, seed: int = 42) -> DataFrame:
+    """The rows of a test set: all, if `most` is 0 or no fewer are there; else `most` of them, in proportion to strata where there are any, in random order."""
+    if most <= 0 or rows.select(key).limit(most + 1).count() <= most:
+        return rows
+    if strata:
+        return stratified(rows, strata, key, most, seed=seed)
+    return rows.orderBy(draw(key, seed), key).limit(most)

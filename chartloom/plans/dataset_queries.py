@@ -8,6 +8,7 @@ from chartloom.functions import numeric as N
 from chartloom.operators import calibrate as K
 from chartloom.operators import dataset as D
 from chartloom.sources import chart_tables as C
+from chartloom.sources.files import shared_folder
 from chartloom.sources.tables import QA_SQL, qa_pairs, read
 
 
@@ -92,6 +93,19 @@ def audit_sample(spark, sf_dir):
     return D.cap_per_group(_docs(spark, sf_dir), "lang", "doc_id", 30, seed=3).groupBy("lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
 
+def test_set(spark, sf_dir):
+    """A test set of question pairs, written as JSON and loaded three ways: all of it, a plain sample, and one by question type and difficulty."""
+    folder = f"{shared_folder(spark)}/test"
+    qa_pairs(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("qa_idx")).alias("id"), "question", "answer", "question_type", "difficulty").write.json(folder)
+    rows = spark.read.schema("id long, question string, answer string, question_type string, difficulty int").json(folder)
+    loads = {"all": D.test_rows(rows, "id"), "plain": D.test_rows(rows, "id", 50), "stratified": D.test_rows(rows, "id", 60, ["question_type", "difficulty"]), "more": D.test_rows(rows, "id", 10**9)}
+    out = None
+    for how, df in loads.items():
+        one = df.select(F.lit(how).alias("load"), "id", F.md5("answer").alias("answer_md5"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 #: How many charts of each type and difficulty a benchmark has.
 QUOTAS = {"line": {"simple": 3, "moderate": 2, "complex": 2}, "bar": {"simple": 3, "moderate": 2, "complex": 1}, "pie": {"simple": 2, "moderate": 2}, "heatmap": {"simple": 1, "complex": 2}}
 
@@ -157,7 +171,7 @@ def colour_series(spark, sf_dir):
     return K.numbered_series(e, "l_orderkey", "l_returnflag", "l_partkey", "l_linenumber")
 
 
-QUERIES = {f.__name__: f for f in (qa_pairs_from_turns, qa_feature_left_join, coverage_semi, orphan_anti, curriculum_distribution, pivot_type_difficulty, per_type_cap, fixed_per_type, stratified_sample, group_split, class_ratio_split, simple_split, class_ratio_cap, stratified_top_up, negative_sample, head_per_type, audit_sample, quota_sample, registry_upsert, insert_if_absent, ols_fit, theil_sen_fit, ransac_fit, log_vs_linear, axis_map_clamp, scale_patterns, colour_series)}
+QUERIES = {f.__name__: f for f in (qa_pairs_from_turns, qa_feature_left_join, coverage_semi, orphan_anti, curriculum_distribution, pivot_type_difficulty, per_type_cap, fixed_per_type, stratified_sample, group_split, class_ratio_split, simple_split, class_ratio_cap, stratified_top_up, negative_sample, head_per_type, audit_sample, test_set, quota_sample, registry_upsert, insert_if_absent, ols_fit, theil_sen_fit, ransac_fit, log_vs_linear, axis_map_clamp, scale_patterns, colour_series)}
 
 _TICKS = "ticks AS (SELECT o_orderpriority || '/' || year(o_orderdate) AS axis_id, month(o_orderdate)::DOUBLE AS pixel, round(avg(o_totalprice), 2) AS value FROM orders GROUP BY ALL)"
 _PAIRS = "pairs AS (SELECT a.axis_id, a.pixel AS p, b.pixel AS q, a.value AS v, (b.value - a.value) / (b.pixel - a.pixel) AS m FROM ticks a JOIN ticks b ON a.axis_id = b.axis_id AND b.pixel > a.pixel)"
@@ -180,6 +194,9 @@ ORACLES = {
     "pivot_type_difficulty": "SELECT p_brand, count(*) FILTER (p_size <= 10) AS easy, count(*) FILTER (p_size > 10 AND p_size <= 30) AS medium, count(*) FILTER (p_size > 30) AS hard, count(*) AS total FROM part GROUP BY 1",
     "per_type_cap": f"SELECT doc_id, lang, source FROM (SELECT *, {_rank('PARTITION BY source ')} AS r FROM documents) WHERE r <= 20",
     "fixed_per_type": f"SELECT doc_id, lang, source FROM (SELECT *, {_rank('PARTITION BY lang ', 7)} AS r FROM documents) WHERE r <= 50",
+    "test_set": f"""WITH {QA_SQL}, t AS (SELECT conv_id * 1000 + qa_idx AS id, answer, question_type, difficulty FROM qa), r AS (SELECT *, row_number() OVER (PARTITION BY question_type, difficulty ORDER BY md5('42:' || id), id) AS r, count(*) OVER (PARTITION BY question_type, difficulty) AS n, count(*) OVER () AS a FROM t)
+      SELECT how AS load, id, md5(answer) AS answer_md5 FROM (SELECT 'all' AS how, id, answer FROM t UNION ALL SELECT 'more', id, answer FROM t UNION ALL (SELECT 'plain', id, answer FROM t ORDER BY md5('42:' || id), id LIMIT 50)
+        UNION ALL (SELECT 'stratified', id, answer FROM r WHERE r <= greatest(1, round_even(n * 60.0::DOUBLE / a, 0)) ORDER BY r, md5('42:' || id), id LIMIT 60))""",
     "stratified_sample": f"SELECT doc_id, lang, source FROM (SELECT *, {_rank('PARTITION BY lang, source ')} AS r, count(*) OVER (PARTITION BY lang, source) AS n, count(*) OVER () AS a FROM documents) WHERE r <= greatest(1, round_even(n * 200.0::DOUBLE / a, 0)) ORDER BY r, md5('42:' || doc_id), doc_id LIMIT 200",
     "group_split": f"SELECT doc_id, lang, source, {_split(0.85, 0.10)} FROM (SELECT *, {_rank('')} AS r, count(*) OVER () AS n FROM documents)",
     "class_ratio_split": f"SELECT doc_id, lang, source, {_split(0.8, 0.1)} FROM (SELECT *, {_rank('PARTITION BY lang ')} AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents)",

@@ -63,6 +63,15 @@ def file_dispatch(spark, sf_dir):
     return d.groupBy("parser", "error").agg(F.count("*").alias("n"))
 
 
+def file_uploads(spark, sf_dir):
+    """What becomes of the documents' files when they are taken over, and what is there afterwards."""
+    target = files.shared_folder(spark)
+    said = sinks.uploads(spark, f"{_tree(spark, sf_dir)}/doc", target, 60)
+    there = files.listed(spark, target).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("saved"), "length")
+    j = said.join(there, "saved", "left").withColumn("kind", files.extension(F.col("path")))
+    return j.groupBy("status", "kind").agg(F.count("*").alias("n"), F.count("length").alias("copied"), F.sum("length").alias("bytes"))
+
+
 def file_images(spark, sf_dir):
     return files.images(spark, f"{_tree(spark, sf_dir)}/img").select(files.path_parts(F.col("path"))[1].alias("image"), "width", "height")
 
@@ -166,7 +175,7 @@ def routed_engines(spark, sf_dir):
     return G.routed(r, ["rules", "echo"])
 
 
-QUERIES = {f.__name__: f for f in (file_records, merged_dataset, file_inventory, file_dispatch, file_images, markdown_scan, manifest_ids, found_files, class_folders, cached_results, run_scan, conversation_loader, fan_out, text_each, metric_log, mock_detections, routed_engines)}
+QUERIES = {f.__name__: f for f in (file_records, merged_dataset, file_inventory, file_dispatch, file_uploads, file_images, markdown_scan, manifest_ids, found_files, class_folders, cached_results, run_scan, conversation_loader, fan_out, text_each, metric_log, mock_detections, routed_engines)}
 
 _REC = """rec AS (SELECT CASE WHEN k % 3 = 0 AND NOT first THEN ['bar', 'line', 'pie'][(k + 1) % 3 + 1] ELSE ['bar', 'line', 'pie', 'unknown'][k % 4 + 1] END AS chart_type, k, CASE WHEN first THEN name ELSE lower(name) END AS name, CASE WHEN first THEN k % 4 ELSE 0 END AS pairs, first AND k % 7 = 6 AS broken
     FROM (SELECT k, name, first FROM items, (VALUES (true), (false)) v(first) WHERE first OR k % 3 = 0)),
@@ -178,6 +187,8 @@ ORACLES = {
     "file_images": "SELECT 'n' || k AS image, CAST(k * 10 + 1 AS INT) AS width, 50 AS height FROM items WHERE k % 5 <> 4",
     "file_dispatch": """WITH f AS (SELECT ['md', 'pdf', 'txt', 'docx', 'jpeg'][CAST(k % 5 + 1 AS INT)] AS e, CASE WHEN k % 2 = 1 THEN strlen('# ' || name || chr(10) || chr(10) || 'text ![a](img/r' || region || '/n' || k || '.png) ![b](http://x/y.png)') ELSE strlen(name) END AS b FROM items)
       SELECT CASE e WHEN 'md' THEN 'markdown' WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' WHEN 'jpeg' THEN 'image' END AS parser, CASE WHEN e = 'txt' THEN 'unsupported extension .txt' WHEN b > 60 THEN 'too large' END AS error, count(*) AS n FROM f GROUP BY ALL""",
+    "file_uploads": """WITH f AS (SELECT ['md', 'pdf', 'txt', 'docx', 'jpeg'][CAST(k % 5 + 1 AS INT)] AS e, CASE WHEN k % 2 = 1 THEN strlen('# ' || name || chr(10) || chr(10) || 'text ![a](img/r' || region || '/n' || k || '.png) ![b](http://x/y.png)') ELSE strlen(name) END AS b FROM items)
+      SELECT CASE WHEN e = 'txt' THEN 400 WHEN b > 60 THEN 413 ELSE 200 END AS status, '.' || e AS kind, count(*) AS n, count(*) FILTER (e <> 'txt' AND b <= 60) AS copied, CAST(sum(b) FILTER (e <> 'txt' AND b <= 60) AS BIGINT) AS bytes FROM f GROUP BY ALL""",
     "markdown_scan": "SELECT 'n' || k AS doc, CASE WHEN k % 2 = 1 AND k % 5 <> 4 THEN 1 ELSE 0 END AS pictures, CASE WHEN k % 2 = 1 AND k % 5 <> 4 THEN CAST(k * 10 + 1 AS INT) END AS width FROM items WHERE k % 5 = 0",
     "manifest_ids": "WITH n AS (SELECT name, row_number() OVER (ORDER BY k) - 1 AS a, row_number() OVER (ORDER BY replace(name, ' ', '_')) - 1 AS b FROM items) SELECT CAST(a AS INT) AS pos, name AS chart_id, 'manifest' AS benchmark FROM n WHERE a < 10 UNION ALL SELECT CAST(b AS INT), replace(name, ' ', '_'), 'annotations' FROM n WHERE b < 10",
     "found_files": "WITH n AS (SELECT 'n' || k AS chart_id, ['bar', 'line', 'pie'][CAST((k + 1) % 3 + 1 AS INT)] AS kind, ['bar', 'line', 'pie', 'unknown'][CAST(k % 4 + 1 AS INT)] AS own, k % 3 = 0 AS two FROM items) SELECT chart_id, kind, CASE WHEN own = kind OR two THEN kind ELSE own END AS folder FROM n",

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartloom.sources.files import put
+from chartloom.sources.files import dispatched, extension, listed, parser_of, put
 
 #: A JSON Schema type for each Spark type that has one.
 JSON_TYPES = {T.StringType: "string", T.BooleanType: "boolean", T.LongType: "integer", T.IntegerType: "integer", T.ShortType: "integer", T.DoubleType: "number", T.FloatType: "number", T.DateType: "string", T.TimestampType: "string"}
@@ -73,6 +73,20 @@ def write_files(rows: DataFrame, folder: str) -> None:
     rows.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
 
 
+def uploads(spark: SparkSession, folder: str, target: str, most_bytes: int) -> DataFrame:
+    """Take the files of a folder over into a target, each under the MD5 of its path with its extension: (path, saved, status, error).
+
+    Files of another extension are refused (400), larger ones too (413); their contents are never read. Executors copy the others (200), and
+    a copy is there whole or not at all.
+    """
+    said = dispatched(listed(spark, folder), most_bytes=most_bytes)
+    name = F.concat(F.md5(F.regexp_replace("path", "^file:/+", "/")), extension(F.col("path")))
+    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.col("length") <= most_bytes)
+    write_files(content.where(parser_of(F.col("path")).isNotNull()).select(name.alias("path"), "content"), target)
+    status = F.when(F.col("parser").isNull(), 400).when(F.col("error").isNotNull(), 413).otherwise(200)
+    return said.select("path", F.when(F.col("error").isNull(), name).alias("saved"), status.alias("status"), "error")
+
+
 def merged_dataset(rows: DataFrame, count: str) -> DataFrame:
     """One row: how many files and entries there are in all, and how many by chart type, as JSON."""
     by = rows.groupBy("chart_type").agg(F.count("*").alias("files"), F.sum(count).alias("entries"))
