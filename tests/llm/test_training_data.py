@@ -142,6 +142,32 @@ def test_suffix_dedup_is_brute_force(hard, most):
     assert {(-(2**63) if r.doc_id is None else r.doc_id): (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
 
 
+def test_jaccard_join_tells_rows_of_one_id_apart(spark):
+    """Near copies under null ids and under one id, with repeated rows: each row gets the group of its own text."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for family in range(12):
+        base = [f"f{family}w{k}" for k in range(80)]
+        for copy in range(15):
+            words = list(base)
+            words[int(rng.integers(0, 80))] = f"c{copy}"
+            rows.append(([None, 7, 100 + family][family % 3], " ".join(words)))
+    rows += rows[:10] + rows[40:44] + [(None, None), (None, ""), (7, " ")]
+    got = jj.named_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    sets = [shingles(t, 5) for _, t in rows]
+    part = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                part = [part[j] if p == part[i] else p for p in part]
+    want = Counter((len([r for r, p in zip(rows, part, strict=True) if p == q and sets[part.index(q)]]) or 1) for q in part)
+    sizes = Counter(tuple(r.first) if r.n_shingles else id(r) for r in got)
+    assert Counter(sizes[tuple(r.first) if r.n_shingles else id(r)] for r in got) == want
+    for r in got:  # a group's name is one of its own rows
+        assert r.n_shingles == 0 or any((x.doc, x.hi, x.lo) == tuple(r.first) and tuple(x.first) == tuple(r.first) for x in got)
+
+
 def test_many_pieces_on_one_key_have_several_shards():
     import pyarrow as pa
 
