@@ -19,8 +19,16 @@ def _items(spark, sf_dir):
     return d.select(F.col("doc_id").alias("k"), F.upper(F.concat(text("source"), F.lit(" "), text("lang"), F.lit(" D"), F.col("doc_id").cast("string"))).alias("name"), (F.col("doc_id") % 5).alias("region"), "text")
 
 
-def _tree(spark, sf_dir) -> str:
-    """A folder of documents' files: JSON by chart type with the whole text (one in seven broken), images (one in five none), Markdown, and other files."""
+#: Folders that a tree's documents are dealt over, so that none holds too many files.
+SHELVES = 256
+
+
+def _shelf(k):
+    return F.concat(F.lit("s"), (k % SHELVES).cast("string"), F.lit("/"))
+
+
+def _tree(spark, sf_dir, *parts) -> str:
+    """A glob of folders of documents' files: JSON by chart type with the whole text (one in seven broken), images (one in five none), Markdown, and other files. parts: those that a query reads."""
     i = _items(spark, sf_dir)
     k, n, region = F.col("k"), F.concat(F.lit("n"), F.col("k").cast("string")), F.col("region").cast("string")
     pairs = F.transform(F.filter(F.sequence(F.lit(0), k % 4), lambda x: x < k % 4), lambda x: F.struct(F.concat(F.lit("q"), x.cast("string")).alias("q")))
@@ -39,18 +47,20 @@ def _tree(spark, sf_dir) -> str:
     # where both records have one path, the second stays
     same = (k % 3 == 0) & (C.pick(k, KINDS) == C.pick(k + 1, KINDS[:3]))
     kept = F.filter(made, lambda f: f["content"].isNotNull())
-    rows = i.select(F.explode(F.when(same, F.slice(kept, 2, 9)).otherwise(kept)).alias("f")).select("f.*")
+    rows = i.select(_shelf(k).alias("shelf"), F.explode(F.when(same, F.slice(kept, 2, 9)).otherwise(kept)).alias("f")).select(F.concat("shelf", "f.path").alias("path"), "f.content")
+    if parts:
+        rows = rows.where(F.split("path", "/")[1].isin(*parts))
     sinks.write_files(rows, folder := files.shared_folder(spark))
-    return folder
+    return f"{folder}/*"
 
 
 def file_records(spark, sf_dir):
-    r = files.records(spark, f"{_tree(spark, sf_dir)}/qa/*/*.json", "name string, pairs array<struct<q:string>>")
+    r = files.records(spark, f"{_tree(spark, sf_dir, 'qa')}/qa/*/*.json", "name string, pairs array<struct<q:string>>")
     return r.select("chart_type", "chart_id", "name", F.size("pairs").alias("pairs"))
 
 
 def merged_dataset(spark, sf_dir):
-    r = files.records(spark, f"{_tree(spark, sf_dir)}/qa/*/*.json", "name string, pairs array<struct<q:string>>")
+    r = files.records(spark, f"{_tree(spark, sf_dir, 'qa')}/qa/*/*.json", "name string, pairs array<struct<q:string>>")
     return sinks.merged_dataset(r.withColumn("n", F.size("pairs")), "n")
 
 
@@ -59,30 +69,31 @@ def file_inventory(spark, sf_dir):
 
 
 def file_dispatch(spark, sf_dir):
-    d = files.dispatched(files.listed(spark, f"{_tree(spark, sf_dir)}/doc"), most_bytes=60)
+    d = files.dispatched(files.listed(spark, f"{_tree(spark, sf_dir, 'doc')}/doc"), most_bytes=60)
     return d.groupBy("parser", "error").agg(F.count("*").alias("n"))
 
 
 def file_uploads(spark, sf_dir):
     """What becomes of the documents' files when they are taken over, and what is there afterwards."""
     target = files.shared_folder(spark)
-    said = sinks.uploads(spark, f"{_tree(spark, sf_dir)}/doc", target, 60)
+    said = sinks.uploads(spark, f"{_tree(spark, sf_dir, 'doc')}/doc", target, 60)
     there = files.listed(spark, target).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("saved"), "length")
     j = said.join(there, "saved", "left").withColumn("kind", files.extension(F.col("path")))
     return j.groupBy("status", "kind").agg(F.count("*").alias("n"), F.count("length").alias("copied"), F.sum("length").alias("bytes"))
 
 
 def file_images(spark, sf_dir):
-    return files.images(spark, f"{_tree(spark, sf_dir)}/img").select(files.path_parts(F.col("path"))[1].alias("image"), "width", "height")
+    return files.images(spark, f"{_tree(spark, sf_dir, 'img')}/img").select(files.path_parts(F.col("path"))[1].alias("image"), "width", "height")
 
 
 def markdown_scan(spark, sf_dir):
     """Local pictures of Markdown files that are there and are images; a file without any has one row."""
-    folder = _tree(spark, sf_dir)
-    docs = spark.read.option("pathGlobFilter", "*.md").text(f"{folder}/doc", wholetext=True).select(files.path_parts(F.col("_metadata.file_path"))[1].alias("doc"), F.col("value").alias("text"))
+    folder = _tree(spark, sf_dir, "doc", "img")
+    md = files.contents(files.listed(spark, f"{folder}/doc").where("path LIKE '%.md'"))
+    docs = md.select(files.path_parts(F.col("path"))[1].alias("doc"), F.col("content").cast("string").alias("text"))
     refs = files.markdown_images(docs, "doc", "text").withColumn("stem", files.path_parts(F.concat(F.lit("/"), F.col("image")))[1])
-    there = files.images(spark, f"{folder}/img").select(files.path_parts(F.col("path"))[1].alias("stem"), "width")
-    return docs.select("doc").join(refs.join(there, "stem").groupBy("doc").agg(F.count("*").alias("pictures"), F.min("width").alias("width")), "doc", "left").na.fill(0, ["pictures"])
+    there = files.images(spark, f"{folder}/img").select(files.path_parts(F.col("path"))[1].alias("stem"), "width", F.lit(1).alias("there"))
+    return refs.join(there, "stem", "left").groupBy("doc").agg(F.count("there").alias("pictures"), F.min("width").alias("width"))
 
 
 def manifest_ids(spark, sf_dir):
@@ -99,12 +110,12 @@ def manifest_ids(spark, sf_dir):
 def found_files(spark, sf_dir):
     """Each document's QA file: in the folder of its type first, else in any."""
     ids = _items(spark, sf_dir).select(F.concat(F.lit("n"), F.col("k").cast("string")).alias("chart_id"), C.pick(F.col("k") + 1, KINDS[:3]).alias("kind"))
-    f = files.found_files(ids, files.listed(spark, f"{_tree(spark, sf_dir)}/qa"), "chart_id", (".json",), "kind")
+    f = files.found_files(ids, files.listed(spark, f"{_tree(spark, sf_dir, 'qa')}/qa"), "chart_id", (".json",), "kind")
     return f.select("chart_id", "kind", files.path_parts(F.col("path"))[0].alias("folder"))
 
 
 def class_folders(spark, sf_dir):
-    c = files.class_folders(files.listed(spark, f"{_tree(spark, sf_dir)}/img"), "r0")
+    c = files.class_folders(files.listed(spark, f"{_tree(spark, sf_dir, 'img')}/img"), "r0")
     return c.groupBy("cls", "positive").agg(F.count("*").alias("n"))
 
 
@@ -120,8 +131,8 @@ def run_scan(spark, sf_dir):
     folder = files.shared_folder(spark)
     k = F.col("k")
     content = F.when(k % 6 == 5, "[1").otherwise(F.to_json(F.struct((k / 4).alias("score"), F.col("name").alias("model"))))
-    sinks.write_files(_items(spark, sf_dir).select(F.concat(F.lit("run"), k.cast("string"), F.lit("/results.json")).alias("path"), content.alias("content")), folder)
-    return files.records(spark, f"{folder}/*/results.json", "score double, model string", typed=False).select(F.col("chart_type").alias("run"), "score", "model")
+    sinks.write_files(_items(spark, sf_dir).select(F.concat(_shelf(k), F.lit("run"), k.cast("string"), F.lit("/results.json")).alias("path"), content.alias("content")), folder)
+    return files.records(spark, f"{folder}/*/*/results.json", "score double, model string", typed=False).select(F.col("chart_type").alias("run"), "score", "model")
 
 
 def conversation_loader(spark, sf_dir):
@@ -153,7 +164,7 @@ def text_each(spark, sf_dir):
     folder = f"{files.shared_folder(spark)}/each"
     n = _items(spark, sf_dir).select(F.concat(F.lit("r"), F.col("region").cast("string")).alias("chart_type"), F.concat(F.lit("n"), F.col("k").cast("string")).alias("chart_id"), F.to_json(F.struct("name", "text")).alias("text"))
     sinks.text_each(n, folder, "chart_type", "chart_id", "text")
-    return spark.read.text(folder).select("chart_type", "chart_id", F.from_json("value", "name string")["name"].alias("name"))
+    return sinks.texts_of(spark, folder, "chart_type", "chart_id").select("chart_type", "chart_id", F.from_json("value", "name string")["name"].alias("name"))
 
 
 def metric_log(spark, sf_dir):

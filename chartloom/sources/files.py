@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 from uuid import uuid4
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,18 +71,154 @@ def dispatched(files: DataFrame, path: str = "path", most_bytes: int | None = No
     return files.select("*", parser.alias("parser"), F.when(parser.isNull(), F.concat(F.lit("unsupported extension "), extension(F.col(path)))).when(large, "too large").alias("error"))
 
 
-def listed(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length) of all files below a folder; contents are not read. No folder is no file."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], "path string, length long")
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+_stores: dict = {}
+
+
+def opened(path: str):
+    """(file system, path in it), as executors open it: local and shared mounts, and stores with a URI, each once a worker."""
+    if not (uri := re.match(r"([a-z0-9]+):(//[^/]*)?(.*)", path)) or uri[1] == "file":
+        return pafs.LocalFileSystem(), re.sub("^file:/+", "/", path)
+    root = uri[1] + ":" + (uri[2] or "")
+    if root not in _stores:
+        _stores[root] = pafs.FileSystem.from_uri(root)
+    fs, at = _stores[root]
+    return fs, at.rstrip("/") + uri[3]
+
+
+def _entries(fs, path: str):
+    """(name, length, is it a folder) of what is in a folder, but for hidden names; no folder holds nothing. A local one's names are streamed."""
+    if isinstance(fs, pafs.LocalFileSystem):
+        try:
+            with os.scandir(path) as found:
+                for e in found:
+                    if not _hidden(e.name):
+                        yield e.name, 0 if e.is_dir() else e.stat().st_size, e.is_dir()
+        except (FileNotFoundError, NotADirectoryError):
+            return
+    else:
+        for e in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)):
+            if not _hidden(e.base_name):
+                yield e.base_name, e.size or 0, e.type == pafs.FileType.Directory
+
+
+def _file_size(fs, path: str) -> int | None:
+    """The length of a file, none for a folder or what isn't there."""
+    if isinstance(fs, pafs.LocalFileSystem):
+        return os.path.getsize(path) if os.path.isfile(path) else None
+    info = fs.get_file_info(path)
+    return info.size if info.type == pafs.FileType.File else None
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over, too."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+_FOUND = "path string, length long, folder boolean"
+#: Rows of a listing that leave a task at once.
+LISTED_ROWS = 10_000
+
+
+def _expanded(rows: DataFrame, named: str | None, last: bool = False) -> DataFrame:
+    """rows (path, length, folder) with each folder replaced by what is in it under a name like `named`; the last one by all files below it."""
+
+    def run(batches):
+        out = []
+
+        def batch():
+            cols = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.bool_()))]
+            out.clear()
+            return pa.RecordBatch.from_arrays(cols, names=["path", "length", "folder"])
+
+        for b in batches:
+            for path, length, folder in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not folder:
+                    out.append((path, length, folder))
+                    continue
+                fs, at = opened(path)
+                if (size := _file_size(fs, at)) is not None:  # what a glob names last may be a file
+                    if named is None:
+                        out.append((path, size, False))
+                    continue
+                todo = [""]
+                while todo:
+                    below = todo.pop()
+                    for name, size, is_folder in _entries(fs, at + below):
+                        if last and is_folder:
+                            todo.append(f"{below}/{name}")
+                        elif named is None or re.fullmatch(named, name):
+                            out.append((f"{path}{below}/{name}", size, is_folder))
+                        if len(out) >= LISTED_ROWS:
+                            yield batch()
+            yield batch()
+
+    return rows.mapInArrow(run, _FOUND)
+
+
+def _pattern(glob: str) -> str:
+    """A part of a glob as a regular expression."""
+    out, depth = "", 0
+    for c in re.findall(r"\[[^\]]*\]|.", glob):
+        depth += (c == "{") - (c == "}")
+        out += {"*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")"}.get(c) or ("|" if c == "," and depth else c if c.startswith("[") and len(c) > 1 else re.escape(c))
+    return out
+
+
+def listed(spark: SparkSession, glob: str) -> DataFrame:
+    """(path, length) of all files below a folder, or below the folders that a glob names; contents are not read. No folder is no file.
+
+    Executors list: a folder at a time down to the second level below the glob, whose folders are then dealt over tasks, so that no names pass the driver.
+    """
+    parts = re.sub("^file:/+", "/", glob.rstrip("/")).split("/")
+    fixed = next((k for k, x in enumerate(parts) if re.search(r"[*?\[{]", x)), len(parts))
+    base = "/".join(parts[:fixed])
+    now = spark.createDataFrame([(f"file:{base}" if base.startswith("/") else base, 0, True)], _FOUND)
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    for x in parts[fixed:]:
+        if re.search(r"[*?\[{]", x):
+            now = _expanded(now, _pattern(x)).repartition(tasks)
+        else:
+            now = now.where("folder").select(F.concat("path", F.lit(f"/{x}")).alias("path"), "length", "folder")
+    for _ in range(2):
+        now = _expanded(now, None).repartition(tasks)
+    return _expanded(now, None, True).where("NOT folder").select("path", "length")
+
+
+#: Bytes of contents that leave a task at once.
+CONTENT_BYTES = 16 << 20
+
+
+def contents(files: DataFrame, most: int | None = None) -> DataFrame:
+    """files (path, length) with their content, or the first bytes of it, read by executors; a file that has gone meanwhile is left out."""
+
+    def run(batches):
+        for b in batches:
+            out, held = [], 0
+            for path, length in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                fs, at = opened(path)
+                try:
+                    with fs.open_input_file(at) as f:
+                        x = f.read() if most is None else f.read(most)
+                except FileNotFoundError:
+                    continue
+                out.append((path, length, x))
+                held += len(x)
+                if held >= CONTENT_BYTES:
+                    yield _files(out)
+                    out, held = [], 0
+            yield _files(out)
+
+    return files.select("path", "length").mapInArrow(run, "path string, length long, content binary")
+
+
+def _files(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["path", "length", "content"])
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, width, height) of the images below a folder that begin as PNG or JPEG do; a PNG's size is in its header. Others are left out."""
-    b = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{png,jpg,jpeg,PNG,JPG,JPEG}").load(folder)
-    head = F.hex(F.substring("content", 1, 24))
+    """(path, width, height) of the images below a folder that begin as PNG or JPEG do; a PNG's size is in its header, and no more is read. Others are left out."""
+    b = contents(listed(spark, folder).where(F.col("path").rlike(r"\.(png|jpg|jpeg|PNG|JPG|JPEG)$")), 24)
+    head = F.hex("content")
     png, side = head.startswith("89504E470D0A1A0A"), lambda k: F.conv(F.substring(head, k, 8), 16, 10).cast("int")
     return b.where(png | head.startswith("FFD8FF")).select("path", F.when(png, side(33)).alias("width"), F.when(png, side(41)).alias("height"))
 
@@ -157,9 +296,12 @@ def layered_config(*layers: dict) -> dict:
 def records(spark: SparkSession, glob: str, schema: str, typed: bool = True) -> DataFrame:
     """One row a JSON file, with chart_type and chart_id from its path; broken files and, where folders are chart types, other folders are skipped, of equal stems the last path stays."""
     kind = T.StructType.fromDDL(schema).add("_corrupt", T.StringType())
-    rows = spark.read.schema(kind).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(glob)
-    folder, stem = path_parts(F.col("_metadata.file_path"))
-    rows = rows.select("*", F.col("_metadata.file_path").alias("path"), folder.alias("chart_type"), stem.alias("chart_id")).where(F.col("_corrupt").isNull())
+    found = contents(listed(spark, glob)).select("path", F.col("content").cast("string").alias("_text"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    one, many = F.from_json("_text", kind, options), F.from_json("_text", T.ArrayType(T.StructType.fromDDL(schema).add("_corrupt", T.StringType())), {"mode": "PERMISSIVE"})
+    rows = found.select("path", F.explode(F.when(F.ltrim("_text").startswith("["), many).otherwise(F.array(one))).alias("_row")).where("_row IS NOT NULL")
+    folder, stem = path_parts(F.col("path"))
+    rows = rows.select("_row.*", "path", folder.alias("chart_type"), stem.alias("chart_id")).where(F.col("_corrupt").isNull())
     if not typed:
         return rows.drop("_corrupt")
     w = Window.partitionBy("chart_id").orderBy(F.desc("path"))
@@ -167,12 +309,12 @@ def records(spark: SparkSession, glob: str, schema: str, typed: bool = True) ->
 
 
 def inventory(spark: SparkSession, folder: str, most_bytes: int | None = None, depth: int | None = None) -> DataFrame:
-    """Files and bytes by directory and extension; contents are never read, files beyond `most_bytes`, or more than `depth` folders below, left out."""
+    """Files and bytes by directory and extension; contents are never read, files beyond `most_bytes`, or more than `depth` folders below, left out. A folder may be a glob; depth counts below each folder that it names."""
     files = listed(spark, folder)
     if most_bytes is not None:
         files = files.where(F.col("length") <= most_bytes)
     if depth is not None:
-        below = F.regexp_replace("path", f"^(file:)?/*{re.escape(folder.removeprefix('file:').strip('/'))}/", "")
+        below = F.regexp_replace("path", f"^(file:)?/*{_pattern(folder.removeprefix('file:').strip('/'))}/", "")
         files = files.where(F.size(F.split(below, "/")) - 1 <= depth)
     return files.groupBy(path_parts(F.col("path"))[0].alias("folder"), extension(F.col("path")).alias("extension")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 

@@ -8,12 +8,11 @@ from collections.abc import Callable
 from uuid import uuid4
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartloom.sources.files import dispatched, extension, listed, parser_of, put
+from chartloom.sources.files import contents, dispatched, extension, listed, opened, parser_of, put
 
 #: A JSON Schema type for each Spark type that has one.
 JSON_TYPES = {T.StringType: "string", T.BooleanType: "boolean", T.LongType: "integer", T.IntegerType: "integer", T.ShortType: "integer", T.DoubleType: "number", T.FloatType: "number", T.DateType: "string", T.TimestampType: "string"}
@@ -48,8 +47,49 @@ def as_text(column: str) -> Callable[[DataFrame, str], None]:
 
 
 def text_each(rows: DataFrame, folder: str, kind: str, key: str, text: str) -> None:
-    """One file for each key under its kind: kind=.../key=.../, written by the executors."""
-    rows.select(kind, key, text).repartition(kind, key).write.partitionBy(kind, key).text(folder)
+    """One file for each key under its kind: kind=.../key=.../, a line for each of its rows, written and moved by executors."""
+
+    def run(batches):
+        fs, root = opened(folder)
+        now, out, beside, above = None, None, None, None
+
+        def close():
+            out.close()
+            fs.move(beside, f"{above}/part.txt")
+
+        for b in batches:
+            for *path, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if path != now:
+                    if out is not None:
+                        close()
+                    now, above = path, "/".join((root, *(f"{c}={_escaped(x)}" for c, x in zip((kind, key), path, strict=True))))
+                    fs.create_dir(above, recursive=True)
+                    out = fs.open_output_stream(beside := f"{above}/.part.{uuid4().hex[:8]}")
+                out.write((line or "").encode() + b"\n")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+        if out is not None:
+            close()
+
+    by = rows.select(F.col(kind).cast("string"), F.col(key).cast("string"), F.col(text).cast("string"))
+    by.repartition(kind, key).sortWithinPartitions(kind, key).mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+
+
+#: What stands for null in a folder's name, as Spark's own partitions have it.
+NULL_NAME = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _escaped(value: str | None) -> str:
+    """A value in a folder's name, as Spark's own partitions escape it."""
+    return re.sub(r"[\x00-\x1f\"#%'*/:=?\\\x7f{\[\]^]", lambda m: f"%{ord(m[0]):02X}", value) if value else NULL_NAME
+
+
+def texts_of(spark: SparkSession, folder: str, kind: str, key: str) -> DataFrame:
+    """(kind, key, value) of each line of the files that text_each wrote."""
+    found = contents(listed(spark, folder))
+    of = lambda c: F.regexp_extract("path", f"/{c}=([^/]*)/", 1)
+    plain = lambda c: F.when(of(c) != NULL_NAME, F.url_decode(F.replace(of(c), F.lit("+"), F.lit("%2B")))).alias(c)
+    lines = F.split(F.regexp_replace(F.col("content").cast("string"), "\n$", ""), "\r\n|\r|\n")
+    return found.select(plain(kind), plain(key), F.explode(lines).alias("value"))
 
 
 def write_files(rows: DataFrame, folder: str) -> None:
@@ -59,11 +99,14 @@ def write_files(rows: DataFrame, folder: str) -> None:
     """
 
     def run(batches):
-        fs, root = pafs.FileSystem.from_uri(folder) if re.match(r"[a-z0-9]+:", folder) else (pafs.LocalFileSystem(), folder)
+        fs, root = opened(folder)
+        made = set()
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 above, name = f"{root}/{path}".rsplit("/", 1)
-                fs.create_dir(above, recursive=True)
+                if above not in made:
+                    fs.create_dir(above, recursive=True)
+                    made.add(above)
                 beside = f"{above}/.{name}.{uuid4().hex[:8]}"
                 with fs.open_output_stream(beside) as out:
                     out.write(content.as_py() or b"")
@@ -74,15 +117,15 @@ def write_files(rows: DataFrame, folder: str) -> None:
 
 
 def uploads(spark: SparkSession, folder: str, target: str, most_bytes: int) -> DataFrame:
-    """Take the files of a folder over into a target, each under the MD5 of its path with its extension: (path, saved, status, error).
+    """Take the files of a folder over into a target, each under the MD5 of its path with its extension, in the folder of the MD5's first two digits: (path, saved, status, error).
 
     Files of another extension are refused (400), larger ones too (413); their contents are never read. Executors copy the others (200), and
     a copy is there whole or not at all.
     """
     said = dispatched(listed(spark, folder), most_bytes=most_bytes)
     name = F.concat(F.md5(F.regexp_replace("path", "^file:/+", "/")), extension(F.col("path")))
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.col("length") <= most_bytes)
-    write_files(content.where(parser_of(F.col("path")).isNotNull()).select(name.alias("path"), "content"), target)
+    content = contents(listed(spark, folder).where(F.col("length") <= most_bytes).where(parser_of(F.col("path")).isNotNull()))
+    write_files(content.select(F.concat(F.substring(name, 1, 2), F.lit("/"), name).alias("path"), "content"), target)
     status = F.when(F.col("parser").isNull(), 400).when(F.col("error").isNotNull(), 413).otherwise(200)
     return said.select("path", F.when(F.col("error").isNull(), name).alias("saved"), status.alias("status"), "error")
 

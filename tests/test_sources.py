@@ -7,8 +7,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from chartloom.operators import facts as X
 from chartloom.operators import reports as P
-from chartloom.sources import files
+from chartloom.sources import files, sinks
 
 
 def test_records_take_columns_from_paths(spark, tmp_path):
@@ -47,3 +48,45 @@ def test_reports(spark):
     assert P.latex_rows(rows.where("id = 2"), ["id", "v"], "id").first().latex == r"2 & a\&b \\"
     with pytest.raises(ValueError, match="chatml"):
         P.rendered(F.col("m"), "other")
+
+
+def test_executors_list_what_a_glob_names(spark, tmp_path, monkeypatch):
+    for at in ("s0/qa/bar/a.json", "s0/qa/bar/.a.json.crc", "s0/doc/b.md", "s1/qa/line/deep/down/c.json", "s1/qa/d e%.json", "s1/_log/e.json", "s1/runs/results.json"):
+        (tmp_path / at).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / at).write_text(at)
+    monkeypatch.setattr(type(spark), "read", property(lambda _: pytest.fail("listed through the driver")))
+    below = lambda glob: sorted(r.path.removeprefix(f"file:{tmp_path}/") for r in files.listed(spark, f"{tmp_path}{glob}").collect())
+    assert below("") == ["s0/doc/b.md", "s0/qa/bar/a.json", "s1/qa/d e%.json", "s1/qa/line/deep/down/c.json", "s1/runs/results.json"]
+    assert below("/*/qa") == ["s0/qa/bar/a.json", "s1/qa/d e%.json", "s1/qa/line/deep/down/c.json"]
+    assert below("/*/*/results.json") == ["s1/runs/results.json"]
+    assert below("/s[1-9]/{qa,runs}/*.json") == ["s1/qa/d e%.json", "s1/runs/results.json"]
+    assert below("/none/*") == below("/none") == []
+    got = {r.path.rsplit("/", 1)[1]: (r.length, bytes(r.content)) for r in files.contents(files.listed(spark, f"{tmp_path}/*/qa"), 3).collect()}
+    assert got == {"a.json": (16, b"s0/"), "c.json": (27, b"s1/"), "d e%.json": (15, b"s1/")}
+
+
+def test_records_of_odd_files(spark, tmp_path):
+    for name, text in (("a", '{"q": "x"} '), ("b", '[{"q": "y"}, {"q": "z"}]'), ("c", ""), ("d", "[1"), ("e", '{"q": 5, "n": "no number"}'), ("f", "{}")):
+        (tmp_path / f"r{name}").mkdir()
+        (tmp_path / f"r{name}" / "results.json").write_text(text)
+    glob, schema = f"{tmp_path}/*/results.json", "q string, n int"
+    want = spark.read.schema(f"{schema}, _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(glob).cache().where("_bad IS NULL")
+    got = files.records(spark, glob, schema, typed=False)
+    assert sorted((r.chart_type, r.q) for r in got.collect() if r.q) == [("ra", "x"), ("rb", "y"), ("rb", "z")]
+    assert got.count() == want.count() == 4
+
+
+def test_one_text_a_key(spark, tmp_path):
+    rows = [("r", "a=b/c+d é", "one"), ("r", "a=b/c+d é", "two"), ("s", None, "three"), ("s", "%41", "")]
+    write = spark.createDataFrame(rows, "kind string, key string, text string")
+    sinks.text_each(write, str(tmp_path / "each"), "kind", "key", "text")
+    got = sinks.texts_of(spark, str(tmp_path / "each"), "kind", "key").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(rows, key=str)
+    assert sorted(map(tuple, spark.read.text(str(tmp_path / "each")).select("kind", "key", "value").collect()), key=str) == sorted(rows, key=str)
+    assert not (tmp_path / "each" / "_SUCCESS").exists()  # no committer renames a folder a key in the driver
+
+
+def test_three_digits_are_those_of_c(spark):
+    values = [1.005, 1.125, 1.135, 2.675, 0.00012345, 999.5, 1015.0, 1235.0, 1245.0, -1.115, 1e300, 1.5e-310, 0.0, None, float("inf")]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(X.three_digits(F.col("v")).alias("t")).collect()
+    assert [r.t for r in got] == [None if v is None else f"{v:.3g}" for v in values]
