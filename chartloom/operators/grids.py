@@ -14,6 +14,8 @@ from chartloom.sources.scratch import Scratch, cut
 
 #: Columns of an image that are joined at once.
 BLOCK = 256
+#: Rows and blocks of an image whose touching runs are contracted by one task.
+STRIP, BLOCKS = 256, 16
 #: The eight neighbours of a cell.
 AROUND = tuple((dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy)
 
@@ -34,7 +36,8 @@ def labelled(cells: DataFrame, by: list[str]) -> DataFrame:
     span = lambda a, b: F.explode(F.sequence(F.floor((F.col("x0") - a) / BLOCK), F.floor((F.col("x1") + b) / BLOCK))).alias("block")
     upper = found.select(*by, "y", F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("run").alias("a"), span(0, 0))
     lower = found.select(*by, (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("run").alias("b"), span(1, 1))
-    touch = upper.join(lower, [*by, "y", "block"]).where("a0 <= b1 + 1 AND b0 <= a1 + 1").select("a", "b").distinct()
+    touch = upper.join(lower, [*by, "y", "block"]).where("a0 <= b1 + 1 AND b0 <= a1 + 1")
+    touch = touch.select(*by, F.floor(F.col("y") / STRIP).alias("_s"), F.floor(F.col("block") / BLOCKS).alias("_b"), "a", "b").repartition(*by, "_s", "_b").sortWithinPartitions(*by, "_s", "_b").select("a", "b")
     parts = connected_components(touch).withColumnRenamed("id", "run")
     return found.join(parts, "run", "left").withColumn("component", F.coalesce("component", "run"))
 
@@ -56,11 +59,14 @@ def without_small(cells: DataFrame, by: list[str], least: int) -> DataFrame:
 
 def steps(cells: DataFrame, by: list[str]) -> DataFrame:
     """(by..., x, y, nx, ny, degree): each cell with each of its neighbours, and how many of them it has. A cell without any has a row with none."""
-    cells = cells.select(*by, "x", "y").distinct()
-    near = cells.select(*by, F.explode(F.array(*(F.struct((F.col("x") + dx).alias("nx"), (F.col("y") + dy).alias("ny")) for dx, dy in AROUND))).alias("n"), "x", "y").select(*by, "n.*", "x", "y")
-    met = near.join(cells.select(*by, F.col("x").alias("nx"), F.col("y").alias("ny")), [*by, "nx", "ny"])
-    degree = met.groupBy(*by, "x", "y").agg(F.count("*").alias("degree"))
-    return cells.join(degree, [*by, "x", "y"], "left").na.fill(0, ["degree"]).join(met, [*by, "x", "y"], "left")
+    # a row's cells stand by blocks of columns, those beside a block in it, too; each row meets those above and below it
+    column = lambda dx: F.floor((F.col("x") + dx) / BLOCK)
+    rows = cells.select(*by, "x", "y", F.explode(F.array_distinct(F.array(*(column(dx) for dx in (-1, 0, 1))))).alias("block")).groupBy(*by, "y", "block").agg(F.collect_set("x").alias("xs"))
+    met = rows.select(*by, F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), (F.col("y") - dy).alias("y")) for dy in (-1, 0, 1)))).alias("_at"), "block", "xs").select(*by, "_at.*", "block", "xs")
+    three = met.groupBy(*by, "y", "block").agg(*(F.max(F.when(F.col("dy") == dy, F.col("xs"))).alias(f"_{dy + 1}") for dy in (-1, 0, 1)))
+    own = three.select(*by, F.explode("_1").alias("x"), "y", "block", "_0", "_1", "_2").where(column(0) == F.col("block"))
+    near = F.array_compact(F.array(*(F.when(F.array_contains(F.col(f"_{dy + 1}"), F.col("x") + dx), F.struct((F.col("x") + dx).alias("nx"), (F.col("y") + dy).alias("ny"))) for dx, dy in AROUND)))
+    return own.select(*by, "x", "y", near.alias("_near")).select(*by, "x", "y", F.size("_near").cast("long").alias("degree"), F.explode_outer("_near").alias("n")).select(*by, "x", "y", "degree", "n.nx", "n.ny")
 
 
 def traced(cells: DataFrame, by: list[str]) -> DataFrame:
@@ -82,19 +88,20 @@ def traced(cells: DataFrame, by: list[str]) -> DataFrame:
     # the step that follows u -> v is v -> w with w other than u; a step into a keypoint ends its path
     on = all_steps.where("degree = 2").select(*by, F.col("u").alias("v"), F.col("v").alias("w"))
     follow = arcs.where("into = 2").join(on, [*by, "v"]).where("w <> u").select(*by, "u", "v", F.struct(F.col("v").alias("u"), F.col("w").alias("v")).alias("to"))
-    now = cut(arcs.join(follow, [*by, "u", "v"], "left").select(*by, "u", "v", "degree", "into", F.coalesce("to", F.struct("u", "v")).alias("to"), F.col("to").isNotNull().cast("long").alias("d"), F.least("u", "v").alias("low"), F.col("to").isNull().alias("done")), scratch)
+    now = cut(arcs.join(follow, [*by, "u", "v"], "left").select(*by, "u", "v", "degree", "into", F.coalesce("to", F.struct("u", "v")).alias("to"), F.col("to").isNotNull().cast("long").alias("d"), F.least("u", "v").alias("low"), F.col("to").isNull().alias("done")))
     scratch.drop(all_steps)
-    left, before = now.where("NOT done").count(), None
+    left, before, ended = now.where("NOT done").count(), None, now.where("done").drop("still")
     while left:
         # on a ring nothing ends: once its pointers have gone round, its smallest cell is known and nothing changes any more
-        ahead = now.select(*by, F.struct("u", "v").alias("to"), F.col("to").alias("to2"), F.col("d").alias("d2"), F.col("low").alias("low2"), F.col("done").alias("done2"))
-        moved = now.join(ahead, [*by, "to"]).select(*by, "u", "v", "degree", "into", "to2", (F.col("d") + F.col("d2")).alias("d"), F.least("low", "low2").alias("low"), "done2", (F.col("low") == F.least("low", "low2")).alias("still"))
-        last, now = now, cut(moved.select(*by, "u", "v", "degree", "into", F.col("to2").alias("to"), "d", "low", F.col("done2").alias("done"), "still"), scratch)
-        scratch.drop(last)
+        open_ = now.where("NOT done")
+        ahead = ended.unionByName(open_.select(ended.columns)).select(*by, F.struct("u", "v").alias("to"), F.col("to").alias("to2"), F.col("d").alias("d2"), F.col("low").alias("low2"), F.col("done").alias("done2"))
+        moved = open_.join(ahead, [*by, "to"]).select(*by, "u", "v", "degree", "into", "to2", (F.col("d") + F.col("d2")).alias("d"), F.least("low", "low2").alias("low"), "done2", (F.col("low") == F.least("low", "low2")).alias("still"))
+        now = cut(moved.select(*by, "u", "v", "degree", "into", F.col("to2").alias("to"), "d", "low", F.col("done2").alias("done"), "still"))
+        ended = ended.unionByName(now.where("done").drop("still"))  # what has ended is not written again
         before, (left, moving) = left, now.where("NOT done").agg(F.count("*"), F.count_if(~F.col("still"))).head()
         if left == before and not moving:
             break
-    out = _paths(now.where("done"), by).unionByName(_rings(now.where("NOT done"), by))
+    out = _paths(ended, by).unionByName(_rings(now.where("NOT done"), by))
     return out.select(*by, "path", "pos", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), "length", "ends")
 
 

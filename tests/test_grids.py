@@ -7,7 +7,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from chartloom.operators import grids
+from chartloom.operators import graphs, grids
+from chartloom.sources.scratch import cut
 
 AROUND = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
 
@@ -109,3 +110,36 @@ def test_spurs_go_and_junctions_stay(spark, longest):
                 gone |= set(p) - {p[0] if a > 2 else p[-1]}
         want |= {(k, *x) for x in c - gone}
     assert {(r.image, r.x, r.y) for r in grids.without_spurs(cells, ["image"], longest).collect()} == want
+
+
+def test_lots_of_edges_become_stars():
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 900, (2, 700)) * 10**12 - 10**14
+    got = dict(zip(*(x.tolist() for x in graphs.stars(a, b)), strict=True))
+    root = {x: x for x in (*a.tolist(), *b.tolist())}
+    for _ in range(900):
+        before = dict(root)
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            root[x] = root[y] = min(root[x], root[y])
+        if before == root:
+            break
+    assert got == {x: r for x, r in root.items() if x != r}
+
+
+def test_a_contracted_graph_takes_no_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graphs, "cut", lambda df, scratch=None: written.append(1) or cut(df, scratch))
+    edges = spark.createDataFrame([(k, k + 1) for k in range(400) if k % 50], "a long, b long").coalesce(1)
+    got = {r.id: r.component for r in graphs.connected_components(edges).collect()}
+    assert got == {k: (k - 1) // 50 * 50 + 1 for k in range(1, 401)}
+    assert len(written) == 1  # a path of fifty took rounds of shuffles before
+
+
+def test_steps_meet_over_blocks_of_columns(spark, monkeypatch):
+    monkeypatch.setattr(grids, "BLOCK", 4)
+    rng = np.random.default_rng(8)
+    cells = {(int(x), int(y)) for x, y in rng.integers(-9, 9, (120, 2))}
+    got = grids.steps(spark.createDataFrame([(1, *c) for c in [*cells, *list(cells)[:9]]], "image int, x long, y long"), ["image"]).collect()
+    want = {(x, y, x + dx, y + dy) for x, y in cells for dx, dy in grids.AROUND if (x + dx, y + dy) in cells}
+    assert {tuple(r)[1:3] + (r.nx, r.ny) for r in got if r.nx is not None} == want and len(got) == len(want) + sum(not any((x + dx, y + dy) in cells for dx, dy in grids.AROUND) for x, y in cells)
+    assert all(r.degree == sum((r.x, r.y) == w[:2] for w in want) for r in got)
