@@ -33,14 +33,20 @@ def unexpired(events: DataFrame, job: str, seconds: int) -> DataFrame:
 def rate_window(events: DataFrame, key: str, seconds: int) -> DataFrame:
     """Requests and their sum within `seconds` up to and with each event of a key.
 
-    A key's events are dealt over spans of that length, each event standing in the next span too, so that a busy key isn't one group.
+    A key's events are dealt over spans of that length, each event standing in the next span too, as far behind its start as it is in its own,
+    so that a busy key isn't one group. What lies within `seconds` of an event is then all of its span up to it and all of the span before from
+    there on: two running sums, one in each direction, which take each row once.
     """
     width = seconds * 1_000_000
     timed = events.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("own", F.floor(F.col("t") / width).cast("long"))
-    dealt = timed.withColumn("span", F.explode(F.array(F.col("own"), F.col("own") + 1)))
-    w = Window.partitionBy(key, "span").orderBy("t").rangeBetween(-width, 0)
-    out = dealt.withColumn("requests", F.count("*").over(w)).withColumn("total", F.round(F.sum("value").over(w), 6))
-    return out.where("span = own").select("event_id", key, "requests", "total")
+    dealt = timed.withColumn("lag", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("span", F.col("own") + F.col("lag")).withColumn("place", F.col("t") + F.col("lag") * width)
+    upto = Window.partitionBy(key, "span").orderBy("place").rangeBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(key, "span").orderBy(F.desc("place")).rangeBetween(Window.unboundedPreceding, 0)
+    both = lambda f, c: [f(F.when(F.col("lag") == k, c)).over(w) for k, w in ((0, upto), (1, after))]
+    n, v = both(F.count, F.lit(1)), both(F.sum, F.col("value"))
+    total = F.when(v[0].isNotNull() | v[1].isNotNull(), F.coalesce(v[0], F.lit(0)) + F.coalesce(v[1], F.lit(0)))
+    out = dealt.withColumn("requests", n[0] + n[1]).withColumn("total", F.round(total, 6))
+    return out.where("lag = 0").select("event_id", key, "requests", "total")
 
 
 def running(rows: DataFrame, key: str, place, width: int, order: list[str], sums: dict) -> DataFrame:

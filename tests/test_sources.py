@@ -7,7 +7,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from chartloom.operators import events as E
 from chartloom.operators import facts as X
+from chartloom.operators import merges as M
 from chartloom.operators import reports as P
 from chartloom.sources import files, sinks
 
@@ -90,3 +92,21 @@ def test_three_digits_are_those_of_c(spark):
     values = [1.005, 1.125, 1.135, 2.675, 0.00012345, 999.5, 1015.0, 1235.0, 1245.0, -1.115, 1e300, 1.5e-310, 0.0, None, float("inf")]
     got = spark.createDataFrame([(v,) for v in values], "v double").select(X.three_digits(F.col("v")).alias("t")).collect()
     assert [r.t for r in got] == [None if v is None else f"{v:.3g}" for v in values]
+
+
+def test_rate_windows_take_each_row_once(spark):
+    rows = [(k, "a" if k % 5 else "b", t, None if k % 11 == 0 else k * 0.25) for k, t in enumerate([0, 0, 3, 7, 7, 9, 10, 10, 11, 19, 20, 20, 21, 30, 31, 41, 55] * 3)]
+    d = spark.createDataFrame(rows, "event_id int, event_type string, s int, value double").select("event_id", "event_type", F.timestamp_seconds("s").alias("ts"), "value")
+    out = E.rate_window(d, "event_type", 10)
+    for k, requests, total in ((r.event_id, r.requests, r.total) for r in out.collect()):
+        inside = [v for _, e, t, v in rows if e == rows[k][1] and rows[k][2] - 10 <= t <= rows[k][2]]
+        known = [v for v in inside if v is not None]
+        assert (requests, total) == (len(inside), sum(known) if known else None)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "-10000000" not in plan  # a sliding frame is summed anew for each row
+
+
+def test_stems_meet_whole_keys(spark):
+    files = spark.createDataFrame([(1, "xx_ab12_p77"), (2, "p7"), (3, "none"), (4, None), (5, "ab12")], "f int, stem string")
+    papers = spark.createDataFrame([("p77", 3), ("ab12", 5), ("p7", 4), ("ab12", 9), (None, 0)], "key string, ord int")
+    assert sorted((r.f, r.paper) for r in M.first_containing(files, papers, "f", "stem", "key").collect()) == [(1, "p77"), (2, "p7"), (3, None), (4, None), (5, "ab12")]
