@@ -166,12 +166,14 @@ def context_above(images: DataFrame, blocks: DataFrame, on: list[str], reach: in
     return j.groupBy(*on, "image").agg(F.left(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), " "), F.lit(most)).alias("context"))
 
 
-def first_containing(files: DataFrame, papers: DataFrame, file: str, stem: str, key: str, grams: int = 6) -> DataFrame:
-    """Each file with the first paper (by `ord`) whose key its stem contains: stems and keys meet on the key's first `grams` characters, so the join is on equality; keys must be that long."""
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(stem) - grams + 1, F.lit(1))), lambda i: F.substring(F.col(stem), i, F.lit(grams)))
-    cut = files.select(file, stem, F.explode(F.array_distinct(pieces)).alias("gram"))
-    j = cut.join(papers.select(F.left(key, F.lit(grams)).alias("gram"), key, "ord"), "gram").where(F.col(stem).contains(F.col(key)))
-    return files.select(file).join(j.groupBy(file).agg(F.min_by(key, "ord").alias("paper")), file, "left")
+def first_containing(files: DataFrame, papers: DataFrame, file: str, stem: str, key: str) -> DataFrame:
+    """Each file with the first paper (by `ord`) whose key its stem contains: a stem's pieces of the lengths that keys have meet whole keys, so the join is on equality and hands on nothing that doesn't match."""
+    lengths = papers.select(F.length(key).alias("n")).distinct().agg(F.collect_list("n").alias("_lengths"))  # one row
+    pieces = F.flatten(F.transform("_lengths", lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(stem) - n + 1, F.lit(1))), lambda i: i + n - 1 <= F.length(stem)), lambda i: F.substring(F.col(stem), i, n))))
+    cut = files.crossJoin(F.broadcast(lengths)).select(file, F.explode(F.array_distinct(pieces)).alias("piece"))
+    first = papers.groupBy(F.col(key).alias("piece")).agg(F.min("ord").alias("ord"))
+    j = cut.join(first, "piece").groupBy(file).agg(F.min_by("piece", "ord").alias("paper"))
+    return files.select(file).join(j, file, "left")
 
 
 def best_error_rates(predicted: DataFrame, targets: DataFrame, key: str) -> DataFrame:
