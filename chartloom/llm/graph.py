@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from chartloom.operators.graphs import connected_components
+from chartloom.operators.joins import likely, with_bit
 from chartloom.sources.scratch import Scratch, cut, erase, shared_dir, shuffles_freed
 
 __all__ = ["Scratch", "bound_batches", "connected_components", "cut", "erase", "likely", "shared_dir", "shuffles_freed", "with_bit"]
@@ -22,21 +22,3 @@ def bound_batches(df: DataFrame) -> DataFrame:
     if int(re.sub(r"\D", "", df.sparkSession.conf.get(name)) or 0) > BATCH_BYTES or not df.sparkSession.conf.get(name).rstrip("bB").isdigit():
         df.sparkSession.conf.set(name, str(BATCH_BYTES))
     return df
-
-
-#: log2 of the bits of a map that keeps rows of other keys from being shuffled: 2**18 rows of 64 bits, whatever the input.
-MAP_BITS = 24
-
-
-def with_bit(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """rows with a boolean `_bit`: whether their `on` may be in keys; where it isn't, it is not."""
-    bit = F.pmod(F.xxhash64(*on), F.lit(1 << MAP_BITS))
-    of = keys.select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("_word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask"))
-    bits = of.groupBy("_word").agg(F.bit_or("mask").alias("_bits"))
-    marked = rows.withColumn("_at", bit).withColumn("_word", F.shiftright("_at", 6)).join(F.broadcast(bits), "_word", "left")
-    return marked.select(*rows.columns, F.coalesce(F.expr("shiftright(_bits, cast(_at & 63 as int)) & 1 = 1"), F.lit(False)).alias("_bit"))
-
-
-def likely(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """Of rows those whose `on` may be in keys; the rest go before any shuffle. A full map only lets more pass."""
-    return with_bit(rows, keys, on).where("_bit").select(*rows.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartloom.functions import text as T
+from chartloom.operators.joins import likely
 
 
 def blank(c: Column) -> Column:
@@ -167,12 +168,12 @@ def context_above(images: DataFrame, blocks: DataFrame, on: list[str], reach: in
 
 
 def first_containing(files: DataFrame, papers: DataFrame, file: str, stem: str, key: str) -> DataFrame:
-    """Each file with the first paper (by `ord`) whose key its stem contains: a stem's pieces of the lengths that keys have meet whole keys, so the join is on equality and hands on nothing that doesn't match."""
+    """Each file with the first paper (by `ord`) whose key its stem contains: a stem's pieces of the lengths that keys have meet whole keys, so the join is on equality; pieces that are no key go by a bit map before it."""
     lengths = papers.select(F.length(key).alias("n")).distinct().agg(F.collect_list("n").alias("_lengths"))  # one row
     pieces = F.flatten(F.transform("_lengths", lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(stem) - n + 1, F.lit(1))), lambda i: i + n - 1 <= F.length(stem)), lambda i: F.substring(F.col(stem), i, n))))
     cut = files.crossJoin(F.broadcast(lengths)).select(file, F.explode(F.array_distinct(pieces)).alias("piece"))
     first = papers.groupBy(F.col(key).alias("piece")).agg(F.min("ord").alias("ord"))
-    j = cut.join(first, "piece").groupBy(file).agg(F.min_by("piece", "ord").alias("paper"))
+    j = likely(cut, first, ["piece"]).join(first, "piece").groupBy(file).agg(F.min_by("piece", "ord").alias("paper"))
     return files.select(file).join(j, file, "left")
 
 
