@@ -31,17 +31,23 @@ def parsed(tables: DataFrame, text: str) -> DataFrame:
     return out.select(*keep, F.struct(F.when(F.col("_width") > 0, names).otherwise(strings).alias("headers"), F.col("_rows").alias("rows")).alias("t"))
 
 
+def _rows(tables: DataFrame, key: str) -> DataFrame:
+    """(key, headers, row, cells) of parsed tables. The outer form, since before the plain one Spark filters by the array's size, which would parse each text anew."""
+    return tables.select(key, "t.headers", F.posexplode_outer("t.rows").alias("row", "cells")).where("row IS NOT NULL")
+
+
 def unpivot(tables: DataFrame, key: str) -> DataFrame:
     """Series points of parsed tables: the first column labels, each other one is a series; cells that are no number go."""
-    rows = tables.select(key, "t.headers", F.posexplode("t.rows").alias("row", "cells"))
-    cells = rows.select(key, "row", F.get("cells", F.lit(0)).alias("label"), "headers", F.posexplode(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0)))).alias("series_idx", "cell"))
-    return cells.select(key, "series_idx", F.get("headers", F.col("series_idx") + 1).alias("series_name"), F.col("row").alias("point_idx"), "label", N.parse_mapper(F.col("cell")).alias("value"), F.lit(0.95).alias("confidence")).where("value IS NOT NULL")
+    rows = _rows(tables, key)
+    values = F.transform(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))), N.parse_mapper)  # read before they are told apart, so that the filter below does not read them anew
+    points = rows.select(key, "row", F.get("cells", F.lit(0)).alias("label"), "headers", F.posexplode_outer(values).alias("series_idx", "value")).where("value IS NOT NULL")
+    return points.select(key, "series_idx", F.get("headers", F.col("series_idx") + 1).alias("series_name"), F.col("row").alias("point_idx"), "label", "value", F.lit(0.95).alias("confidence"))
 
 
 def records(tables: DataFrame, key: str) -> DataFrame:
     """Rows as (header, cell) pairs, short rows padded with empty cells."""
-    rows = tables.select(key, "t.headers", F.posexplode("t.rows").alias("row", "cells"))
-    return rows.select(key, "row", F.posexplode("headers").alias("col", "header"), "cells").select(key, "row", "col", "header", F.coalesce(F.get("cells", F.col("col")), F.lit("")).alias("cell"))
+    rows = _rows(tables, key)
+    return rows.select(key, "row", F.posexplode_outer("headers").alias("col", "header"), "cells").where("col IS NOT NULL").select(key, "row", "col", "header", F.coalesce(F.get("cells", F.col("col")), F.lit("")).alias("cell"))
 
 
 def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
