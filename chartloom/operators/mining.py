@@ -88,16 +88,18 @@ def element_counts(pairs: DataFrame) -> DataFrame:
     number = F.coalesce(F.when((value > 0) & (value < 200), F.floor(value).cast("int")), within(number_in(a), 1, 199))
     asked = ~kind.isin("multi_hop", "threshold", "interpolation") & ~F.startswith(F.trim(low), F.lit("if ")) & low.rlike(COUNT_QUESTION)
     named = F.coalesce(within(number_in(F.nullif(F.regexp_extract(low, NAMED_COUNT, 1), F.lit(""))), 1, 50), within(number_in(F.nullif(F.regexp_extract(F.lower(a), THERE_ARE, 1), F.lit(""))), 1, 50))
-    points = F.greatest(*(F.array_max(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"data\s*point\s*(\d{1,6})"), F.lit(1)), lambda x: x.cast("int"))) for c in (q, a)))
+    points = F.greatest(*(F.when(F.lower(c).contains("point"), F.array_max(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"data\s*point\s*(\d{1,6})"), F.lit(1)), lambda x: x.cast("int")))) for c in (q, a)))
     of = F.lower(F.regexp_replace(F.regexp_extract(q, r"(?i)(?:value|speed|price|accuracy|score|percentage|count|number|rate|size|frequency|height|width|performance|result|cost|revenue|amount|quantity|level|proportion|ratio|weight).*?(?:of|for|in)\s+(.+?)(?:\?|$)", 1), "^['\"]+|['\"]+$", ""))
     best = F.when(q.rlike(r"(?i)(?:which|what)\s+\w+\s+has\s+(?:the\s+)?(?:highest|lowest|largest|smallest|greatest|most|least|best|worst)"), F.lower(F.regexp_replace(F.regexp_replace(T.strip(a), r"\.+$", ""), "^['\"]+|['\"]+$", "")))
-    proper = lambda c: F.when((F.length(c) > 1) & (F.length(c) < 60) & kind.isin("extraction", "comparison", "threshold"), c)
+    proper = lambda c: F.when(kind.isin("extraction", "comparison", "threshold") & F.length(c).between(2, 59), c)
     said = within(F.regexp_extract(a, r"(?i)(\d{1,6})\s+\w+\s+(?:meet|exceed|above|below|satisfy)", 1).try_cast("int"), 0, 10**6)
     listed = F.when(a.contains(":"), listed_items(F.substring_index(a, ":", -1)))
     over = F.when(kind == "threshold", F.when(listed >= said, listed).otherwise(within(said, 2, 50)))
+    grouped = (kind == "structural") & (low.contains("categor") | low.contains("group"))
+    # each pattern is held only against the pairs that it can speak for: most of the time goes into patterns
     by = pairs.groupBy("chart_id", "chart_type").agg(
-        _first(number, kind == "counting").alias("s1"), _first(number, asked).alias("s2"), _first(named, kind == "structural").alias("s3"), F.max(points).alias("points"), F.array_distinct(F.concat(F.collect_set(proper(of)), F.collect_set(proper(best)))).alias("items"), _first(over, F.lit(True)).alias("over"),
-        F.countDistinct(F.when((kind == "extraction") & (value > 0) & (value <= 100), F.left("question", F.lit(50)))).alias("shares"), _first(F.when(listed_items(a) >= 2, listed_items(a)), (kind == "structural") & (low.contains("categor") | low.contains("group"))).alias("boxes"),
+        _first(F.when(kind == "counting", number), F.lit(True)).alias("s1"), _first(number, asked).alias("s2"), _first(F.when(kind == "structural", named), F.lit(True)).alias("s3"), F.max(points).alias("points"), F.array_distinct(F.concat(F.collect_set(proper(of)), F.collect_set(proper(best)))).alias("items"), _first(over, F.lit(True)).alias("over"),
+        F.countDistinct(F.when((kind == "extraction") & (value > 0) & (value <= 100), F.left("question", F.lit(50)))).alias("shares"), _first(F.when(grouped & (listed_items(a) >= 2), listed_items(a)), F.lit(True)).alias("boxes"),
     )
     ctype = F.col("chart_type")
     bars = F.coalesce(F.when(F.col("points") >= 2, F.col("points")), F.when(F.size("items") >= 2, F.size("items")), F.col("over"))
