@@ -179,9 +179,16 @@ def first_containing(files: DataFrame, papers: DataFrame, file: str, stem: str,
 
 def best_error_rates(predicted: DataFrame, targets: DataFrame, key: str) -> DataFrame:
     """Of each target text the least character error rate among its chart's predicted texts, 1 without any; lower case, stripped, empty ones left out."""
-    p = predicted.select(key, F.lower(F.trim("text")).alias("p")).where("p <> ''").distinct()
+    # both sides lie in one sorted order, so that a task holds one sort: a join and its groups take two sorts and two hash maps
     t = targets.select(key, "pos", F.lower(F.trim("text")).alias("t")).where("t <> ''")
-    return t.join(p, key, "left").groupBy(key, "pos").agg(F.coalesce(F.round(F.min(F.levenshtein("p", "t") / F.length("t")), 6), F.lit(1.0)).alias("cer"))
+    p = predicted.select(key, F.lower(F.trim("text")).alias("p")).where(f"p <> '' AND `{key}` IS NOT NULL")
+    whole = Window.partitionBy(key).orderBy("pos", "t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    each = Window.partitionBy(key, "pos").orderBy("t")
+    both = t.unionByName(p, allowMissingColumns=True).withColumn("ps", F.collect_set("p").over(whole)).where("t IS NOT NULL")
+    least = F.array_min(F.transform("ps", lambda x: F.levenshtein(x, F.col("t"))))
+    rates = both.select(key, "pos", "t", F.coalesce(F.round(least / F.length("t"), 6), F.lit(1.0)).alias("rate"))
+    rates = rates.withColumn("n", F.row_number().over(each)).withColumn("cer", F.min("rate").over(each.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return rates.where("n = 1").select(key, "pos", "cer")
 
 
 def found_by_role(targets: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
