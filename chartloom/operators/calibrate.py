@@ -51,5 +51,7 @@ def scale_pattern(values: DataFrame, axis: str, value: str) -> DataFrame:
 
 def numbered_series(elements: DataFrame, chart: str, colour: str, x: str, pos: str) -> DataFrame:
     """Series by colour in the order in which colours appear, points by x, both numbered from 0."""
-    first = elements.withColumn("seen", F.min(pos).over(Window.partitionBy(chart, colour)))
-    return first.withColumn("series_idx", F.dense_rank().over(Window.partitionBy(chart).orderBy("seen")) - 1).withColumn("point_idx", F.row_number().over(Window.partitionBy(chart, colour).orderBy(x, pos)) - 1).drop("seen")
+    of = Window.partitionBy(chart, colour).orderBy(x, pos)  # one sort gives the place in a series and where its colour is first seen
+    first = elements.withColumn("point_idx", F.row_number().over(of) - 1).withColumn("seen", F.min(pos).over(of.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    ranked = first.withColumn("series_idx", F.dense_rank().over(Window.partitionBy(chart).orderBy("seen")) - 1)
+    return ranked.select(*elements.columns, "series_idx", "point_idx")
