@@ -85,18 +85,37 @@ def fitted_circles(points: DataFrame, path: str) -> DataFrame:
 
     fit is one less the squares of (squared distance - radius**2) over those about their own mean, 1 where both vanish.
     """
-    mean = points.groupBy(path).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.count("*").alias("n"))
-    c = points.join(mean, path).withColumn("u", F.col("x") - F.col("mx")).withColumn("v", F.col("y") - F.col("my"))
+    return _about_circles(points, path).where("radius IS NOT NULL").groupBy(path).agg(*_circle()).select(path, "n", "cx", "cy", "radius", _fit().alias("fit"))
+
+
+def _about_means(points: DataFrame, path: str) -> DataFrame:
+    """points of paths that are not null with n, mx, my, scale of their path, and u, v from its mean: one sort by path, no join."""
+    w = Window.partitionBy(path)
+    m = points.where(F.col(path).isNotNull()).withColumns({"n": F.count("*").over(w), "mx": F.avg("x").over(w), "my": F.avg("y").over(w), "scale": F.sqrt(F.var_pop("x").over(w) + F.var_pop("y").over(w))})
+    return m.withColumn("u", F.col("x") - F.col("mx")).withColumn("v", F.col("y") - F.col("my"))
+
+
+def _about_circles(points: DataFrame, path: str) -> DataFrame:
+    """_about_means() with cx, cy, radius of the path's circle, null where it has none, and d, a point's squared distance from the centre."""
+    w = Window.partitionBy(path)
+    c = _about_means(points, path)
     z = F.col("u") * F.col("u") + F.col("v") * F.col("v")
-    total = lambda *cs: F.sum(math.prod(cs[1:], start=cs[0]))
-    s = c.groupBy(path, "n", "mx", "my").agg(total(F.col("u"), F.col("u")).alias("uu"), total(F.col("v"), F.col("v")).alias("vv"), total(F.col("u"), F.col("v")).alias("uv"), total(z, F.col("u")).alias("zu"), total(z, F.col("v")).alias("zv"))
+    total = lambda *cs: F.sum(math.prod(cs[1:], start=cs[0])).over(w)
+    s = c.withColumns({"uu": total(F.col("u"), F.col("u")), "vv": total(F.col("v"), F.col("v")), "uv": total(F.col("u"), F.col("v")), "zu": total(z, F.col("u")), "zv": total(z, F.col("v"))})
     det = F.col("uu") * F.col("vv") - F.col("uv") * F.col("uv")
-    a, b = (F.col("zu") * F.col("vv") - F.col("zv") * F.col("uv")) / (2 * det), (F.col("zv") * F.col("uu") - F.col("zu") * F.col("uv")) / (2 * det)
-    circle = s.where((F.col("n") >= 3) & (det > 1e-9 * (F.col("uu") + F.col("vv")) ** 2)).select(path, "n", (F.col("mx") + a).alias("cx"), (F.col("my") + b).alias("cy"), F.sqrt(a * a + b * b + (F.col("uu") + F.col("vv")) / F.col("n")).alias("radius"))
-    d = points.join(circle, path).withColumn("d", (F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2)
-    res = d.groupBy(path, "n", "cx", "cy", "radius").agg(F.sum((F.col("d") - F.col("radius") ** 2) ** 2).alias("res"), (F.var_pop("d") * F.count("*")).alias("tot"))
-    fit = F.when(F.col("tot") < 1e-10, F.when(F.col("res") < 1e-10, 1.0).otherwise(0.0)).otherwise(1 - F.col("res") / F.col("tot"))
-    return res.select(path, "n", "cx", "cy", "radius", fit.alias("fit"))
+    a, b = F.try_divide(F.col("zu") * F.col("vv") - F.col("zv") * F.col("uv"), 2 * det), F.try_divide(F.col("zv") * F.col("uu") - F.col("zu") * F.col("uv"), 2 * det)
+    sure = (F.col("n") >= 3) & (det > 1e-9 * (F.col("uu") + F.col("vv")) ** 2)
+    circle = s.select(*c.columns, F.when(sure, F.col("mx") + a).alias("cx"), F.when(sure, F.col("my") + b).alias("cy"), F.when(sure, F.sqrt(a * a + b * b + (F.col("uu") + F.col("vv")) / F.col("n"))).alias("radius"))
+    return circle.withColumn("d", (F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2)
+
+
+def _circle() -> list[Column]:
+    """What a path's rows of _about_circles() give of its circle; _fit() follows from them."""
+    return [*(F.first(c).alias(c) for c in ("n", "cx", "cy", "radius")), F.sum((F.col("d") - F.col("radius") ** 2) ** 2).alias("res"), (F.var_pop("d") * F.count("*")).alias("tot")]
+
+
+def _fit() -> Column:
+    return F.when(F.col("tot") < 1e-10, F.when(F.col("res") < 1e-10, 1.0).otherwise(0.0)).otherwise(1 - F.col("res") / F.col("tot"))
 
 
 def arc_angles(points: DataFrame, circles: DataFrame, path: str) -> DataFrame:
@@ -115,12 +134,20 @@ def ellipses(points: DataFrame, path: str) -> DataFrame:
     Its 5 by 5 normal equations are sums of products of the terms, scaled by the path's spread; only these sums, 20 a path, are solved in Arrow batches.
     a is the semi-axis at `angle` degrees, b the other; fit is one less the mean of |(r / r of the ellipse)**2 - 1|, 0 at least.
     """
-    mean = points.groupBy(path).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.count("*").alias("n"), F.sqrt(F.var_pop("x") + F.var_pop("y")).alias("scale"))
-    c = points.join(mean.where("n >= 5 AND scale > 1e-9"), path).withColumn("u", (F.col("x") - F.col("mx")) / F.col("scale")).withColumn("v", (F.col("y") - F.col("my")) / F.col("scale"))
-    u, v = F.col("u"), F.col("v")
+    c = _about_means(points, path).where("n >= 5 AND scale > 1e-9")
+    return _ovals(points, cut(_solved(c.groupBy(path).agg(*_moments()), path)), path)
+
+
+def _moments() -> list[Column]:
+    """Of a path's rows of _about_means(): where its mean is, its spread, and the sums of its normal equations, null without spread."""
+    u, v = (F.when(F.col("scale") > 1e-9, F.col(c) / F.col("scale")) for c in "uv")
     terms = (u * u, u * v, v * v, u, v)
     sums = [F.sum(terms[i] * terms[j]).alias(f"m{i}{j}") for i in range(5) for j in range(i, 5)] + [F.sum(terms[i]).alias(f"r{i}") for i in range(5)]
-    moments = c.groupBy(path, "mx", "my", "scale").agg(*sums)
+    return [*(F.first(c).alias(c) for c in ("mx", "my", "scale")), *sums]
+
+
+def _solved(moments: DataFrame, path: str) -> DataFrame:
+    """(path, cx, cy, a, b, angle) of the paths whose _moments() give an ellipse."""
     kind = moments.schema[path].dataType.simpleString()
 
     def solve(batches):
@@ -146,7 +173,11 @@ def ellipses(points: DataFrame, path: str) -> DataFrame:
                 out = [col["mx"] + cu * col["scale"], col["my"] + cv * col["scale"], np.sqrt(level / one) * col["scale"], np.sqrt(level / two) * col["scale"], np.degrees(angle)]
             yield pa.RecordBatch.from_arrays([b.column(path).filter(pa.array(ok)), *(pa.array(x[ok]) for x in out)], names=[path, "cx", "cy", "a", "b", "angle"])
 
-    found = cut(moments.mapInArrow(solve, f"`{path}` {kind}, cx double, cy double, a double, b double, angle double"))
+    return moments.mapInArrow(solve, f"`{path}` {kind}, cx double, cy double, a double, b double, angle double")
+
+
+def _ovals(points: DataFrame, found: DataFrame, path: str) -> DataFrame:
+    """found with the fit of each path's points."""
     t = F.radians("angle")
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
     off = F.abs(((dx * F.cos(t) + dy * F.sin(t)) / F.col("a")) ** 2 + ((dy * F.cos(t) - dx * F.sin(t)) / F.col("b")) ** 2 - 1)
@@ -161,17 +192,20 @@ def curve_kinds(points: DataFrame, path: str) -> DataFrame:
     """
     n, w = F.col("n"), Window.partitionBy(path).orderBy("pos")
     near = lambda f, c, k: f(c, k).over(w)
-    p = points.withColumn("_back", F.lag("pos").over(w)).withColumn("_on", F.lead("pos").over(w))
+    p = points.where(F.col(path).isNotNull()).withColumn("_back", F.lag("pos").over(w)).withColumn("_on", F.lead("pos").over(w))
     # an end takes the two next to it
     trio = [(F.when(F.col("_back").isNull(), F.col(c)).when(F.col("_on").isNull(), near(F.lag, c, 2)).otherwise(near(F.lag, c, 1)), F.when(F.col("_back").isNull(), near(F.lead, c, 1)).when(F.col("_on").isNull(), near(F.lag, c, 1)).otherwise(F.col(c)), F.when(F.col("_back").isNull(), near(F.lead, c, 2)).when(F.col("_on").isNull(), F.col(c)).otherwise(near(F.lead, c, 1))) for c in ("x", "y")]
-    bend = p.select(path, _menger(*zip(*trio, strict=True), 2.0).alias("k")).groupBy(path).agg(F.count("*").alias("n"), F.avg("k").alias("mean"), F.stddev_pop("k").alias("sd"))
-    circles = fitted_circles(points, path)
-    angle = points.join(circles, path).withColumn("t", F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx"))).groupBy(path).agg((F.max("t") - F.min("t")).alias("range"))
-    all_ = bend.join(circles.select(path, F.col("fit").alias("round")).join(angle, path), path, "left").join(ellipses(points, path).select(path, F.col("fit").alias("oval")), path, "left")
+    bent = p.select(path, "pos", "x", "y", _menger(*zip(*trio, strict=True), 2.0).alias("k"))
+    # one pass over a path's rows, sorted once: its bends, its circle and the sums of its ellipse; joins of each would all be held by one task
+    c = _about_circles(bent, path).withColumn("t", F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx")))
+    by = cut(c.groupBy(path).agg(*_circle(), *_moments(), F.avg("k").alias("mean"), F.stddev_pop("k").alias("sd"), (F.max("t") - F.min("t")).alias("range")))
+    solvable = by.where("n >= 5 AND scale > 1e-9").select(path, "mx", "my", "scale", *(m for m in by.columns if m[0] in "mr" and m[1:].isdigit()))
+    oval = _ovals(points, cut(_solved(solvable, path)), path).select(path, F.col("fit").alias("oval"))
+    all_ = by.withColumn("round", F.when(F.col("radius").isNotNull(), _fit())).join(oval, path, "left")
     line = (n < FEWEST) | (F.col("mean") < CURVED)
     even = (F.col("sd") < 0.3 * F.col("mean")) & (F.coalesce("round", F.lit(0.0)) > GOOD)
     kind = F.when(line, "line").when(even, F.when(F.col("range") > 1.8 * math.pi, "circle").otherwise("arc")).when(F.coalesce("oval", F.lit(0.0)) > GOOD, "ellipse").otherwise("spline")
-    return all_.select(path, "n", kind.alias("kind")).join(all_.select(path, "round", "oval"), path).select(path, "n", "kind", F.when(F.col("kind").isin("circle", "arc"), F.col("round")).when(F.col("kind") == "ellipse", F.col("oval")).when(F.col("kind") == "spline", 1.0).alias("fit"))
+    return all_.withColumn("kind", kind).select(path, "n", "kind", F.when(F.col("kind").isin("circle", "arc"), F.col("round")).when(F.col("kind") == "ellipse", F.col("oval")).when(F.col("kind") == "spline", 1.0).alias("fit"))
 
 
 def image_moments(pixels: DataFrame, by: str, weight: str = "v") -> DataFrame:
