@@ -2,23 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame
-
 from chartloom.operators.graphs import connected_components
 from chartloom.operators.joins import likely, with_bit
-from chartloom.sources.scratch import Scratch, cut, erase, shared_dir, shuffles_freed
-
-__all__ = ["Scratch", "bound_batches", "connected_components", "cut", "erase", "likely", "shared_dir", "shuffles_freed", "with_bit"]
-
-#: Bytes of rows that reach a Python worker at once, whatever their number: long texts make batches of few rows.
-BATCH_BYTES = 16 << 20
-
+from chartloom.sources.scratch import BATCH_BYTES, Scratch, bound_batches, cut, erase, shared_dir, shuffles_freed
 
-def bound_batches(df: DataFrame) -> DataFrame:
-    """df, in whose session Arrow batches have BATCH_BYTES at most from now on (plans run later, so the setting stays); a smaller setting is left alone."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.sub(r"\D", "", df.sparkSession.conf.get(name)) or 0) > BATCH_BYTES or not df.sparkSession.conf.get(name).rstrip("bB").isdigit():
-        df.sparkSession.conf.set(name, str(BATCH_BYTES))
-    return df
+__all__ = ["BATCH_BYTES", "Scratch", "bound_batches", "connected_components", "cut", "erase", "likely", "shared_dir", "shuffles_freed", "with_bit"]

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chartloom.sources.scratch import bound_batches
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _BLIP = "{http://schemas.openxmlformats.org/drawingml/2006/main}blip"
 _EMBED = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}embed"
@@ -65,7 +67,7 @@ def bodies(files: DataFrame) -> DataFrame:
                     row = (path.as_py(), None, [], [], f"{type(e).__name__}")
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
-    return files.select("path", "content").mapInArrow(run, BODY)
+    return bound_batches(files).select("path", "content").mapInArrow(run, BODY)
 
 
 def pages(found: DataFrame, caption: str, limit: int = 800) -> DataFrame:
@@ -78,14 +80,14 @@ def pages(found: DataFrame, caption: str, limit: int = 800) -> DataFrame:
     strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
     cut = lambda c: F.when(c == "", None).otherwise(F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit("..."))).otherwise(c))
     some = lambda xs: F.filter(F.transform(xs, strip), lambda x: x != "")
-    read = found.where("error IS NULL")
-    at = read.select("path", "title", "paragraphs", F.posexplode("images").alias("k", "image"))
-    p = F.col("image.paragraph")
+    # one row for each image and one for a file without any, so that each file is taken apart once
+    at = found.where("error IS NULL AND images IS NOT NULL").select("path", "title", "paragraphs", F.posexplode_outer("images").alias("k", "image"))
+    p, alone = F.col("image.paragraph"), F.col("k").isNull()
     around = some(F.concat(F.slice("paragraphs", F.greatest(p - RADIUS, F.lit(0)) + 1, F.least(p, F.lit(RADIUS))), F.slice("paragraphs", p + 2, F.lit(RADIUS))))
-    pictures = at.select("path", (F.col("k") + 1).alias("page"), "title", F.col("image.bytes").alias("image"), around.alias("around"))
-    pictures = pictures.select("path", "page", "title", "image", cut(clean(F.array_join("around", "\n"))).alias("surrounding"), F.get(F.filter("around", lambda x: F.lower(x).rlike(caption)), F.lit(0)).alias("caption"))
-    alone = read.where(F.size("images") == 0).select("path", F.lit(1).alias("page"), "title", F.lit(None).cast("binary").alias("image"), cut(clean(F.array_join(F.filter("paragraphs", lambda x: strip(x) != ""), "\n"))).alias("surrounding"), F.lit(None).cast("string").alias("caption"))
-    return pictures.unionByName(alone)
+    texts = F.when(alone, F.filter("paragraphs", lambda x: strip(x) != "")).otherwise(around)
+    found = at.select("path", F.coalesce(F.col("k") + 1, F.lit(1)).alias("page"), "title", F.col("image.bytes").alias("image"), texts.alias("texts"), alone.alias("alone"))
+    caption_of = F.when(~F.col("alone"), F.get(F.filter("texts", lambda x: F.lower(x).rlike(caption)), F.lit(0)))
+    return found.select("path", "page", "title", "image", cut(clean(F.array_join("texts", "\n"))).alias("surrounding"), caption_of.alias("caption"))
 
 
 def files_of(rows: DataFrame) -> DataFrame:
@@ -93,10 +95,11 @@ def files_of(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
+            for k in range(b.num_rows):  # a row at a time: a batch of long texts is many times larger as Python's objects
+                r = b.slice(k, 1).to_pylist()[0]
                 yield pa.RecordBatch.from_arrays([pa.array([r["path"]]), pa.array([archive(r["title"], r["paragraphs"], r["images"])], pa.binary())], names=["path", "content"])
 
-    return rows.select("path", "title", "paragraphs", "images").mapInArrow(run, "path string, content binary")
+    return bound_batches(rows).select("path", "title", "paragraphs", "images").mapInArrow(run, "path string, content binary")
 
 
 def archive(title: str | None, paragraphs: list[str], images: list[dict]) -> bytes:
@@ -108,11 +111,13 @@ def archive(title: str | None, paragraphs: list[str], images: list[dict]) -> byt
     def paragraph() -> ElementTree.Element:
         return ElementTree.SubElement(ElementTree.SubElement(body, f"{{{w}}}p"), f"{{{w}}}r")
 
+    behind: dict[int, list[int]] = {}
+    for i, image in enumerate(images):
+        behind.setdefault(image["after"], []).append(i)
     for k, text in enumerate(paragraphs):
         ElementTree.SubElement(paragraph(), f"{{{w}}}t").text = fit(text)
-        for i, image in enumerate(images):
-            if image["after"] == k:
-                ElementTree.SubElement(ElementTree.SubElement(paragraph(), f"{{{w}}}drawing"), f"{{{a}}}blip").set(f"{{{r}}}embed", f"rId{i}")
+        for i in behind.get(k, ()):
+            ElementTree.SubElement(ElementTree.SubElement(paragraph(), f"{{{w}}}drawing"), f"{{{a}}}blip").set(f"{{{r}}}embed", f"rId{i}")
     document = ElementTree.Element(f"{{{w}}}document")
     document.append(body)
     links = "".join(f'<Relationship Id="rId{i}" Type="image" Target="media/image{i}.png"/>' for i in range(len(images)))
