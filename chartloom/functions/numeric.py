@@ -19,6 +19,11 @@ def _multiplier(last: Column) -> Column:
     return F.when(F.lower(last) == "k", 1e3).when(F.lower(last) == "m", 1e6).when(F.lower(last) == "b", 1e9).otherwise(1.0)
 
 
+def power_of_ten(k: Column) -> Column:
+    """The double nearest 10**k, k whole: F.pow is off by its last bit for some k (10**-5)."""
+    return F.concat(F.lit("1e"), k.cast("long").cast("string")).cast("double")
+
+
 def parse_mapper(c: Column) -> Column:
     """(a) One suffix off, O l I read as digits, thousands commas off; percent ignored."""
     t = strip(c)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chartloom.functions import numeric as N
 from chartloom.functions import text as T
 from chartloom.operators import facts as X
 from chartloom.operators import reports as P
@@ -65,7 +66,7 @@ def adaptive_tolerance(spark, sf_dir):
 
 
 def three_digits(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") * F.pow(F.lit(10.0), (F.col("o_orderkey") % 13 - 10).cast("double"))).alias("v"))
+    o = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") * N.power_of_ten(F.col("o_orderkey") % 13 - 10)).alias("v"))
     return o.select("o_orderkey", X.three_digits(F.when(F.col("o_orderkey") % 17 == 0, 0.0).when(F.col("o_orderkey") % 5 == 0, -F.col("v")).otherwise(F.col("v"))).alias("text"))
 
 

@@ -7,10 +7,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from chartloom.functions import numeric
 from chartloom.operators import events as E
 from chartloom.operators import facts as X
 from chartloom.operators import merges as M
 from chartloom.operators import reports as P
+from chartloom.plans import fact_queries
 from chartloom.sources import files, sinks
 
 
@@ -94,6 +96,15 @@ def test_three_digits_are_those_of_c(spark):
     assert [r.t for r in got] == [None if v is None else f"{v:.3g}" for v in values]
 
 
+def test_three_digits_take_exact_powers_of_ten(spark, tmp_path):
+    prices = (297500.0, 198500.0, 32350.0, 65450.0, 9895.0, 9725.0)
+    keys = (18, 31, 44, 57, 83, 96)  # 5 modulo 13: times 10 ** -5
+    spark.createDataFrame(list(zip(keys, prices, strict=True)), "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    assert {r.o_orderkey: r.text for r in fact_queries.three_digits(spark, tmp_path).collect()} == {k: f"{p * 1e-5:.3g}" for k, p in zip(keys, prices, strict=True)}
+    powers = spark.range(-30, 30).select("id", numeric.power_of_ten(F.col("id")).alias("p")).collect()
+    assert all(r.p == float(f"1e{r.id}") for r in powers)
+
+
 def test_rate_windows_hold_all_rows_of_their_span(spark):
     rows = [(k, "a" if k % 5 else "b", t, None if k % 11 == 0 else k * 0.25) for k, t in enumerate([0, 0, 3, 7, 7, 9, 10, 10, 11, 19, 20, 20, 21, 30, 31, 41, 55] * 3)]
     d = spark.createDataFrame(rows, "event_id int, event_type string, s int, value double").select("event_id", "event_type", F.timestamp_seconds("s").alias("ts"), "value")
