@@ -175,9 +175,8 @@ def _skeletons(spark, sf_dir):
 
 def skeleton_paths(spark, sf_dir):
     """Paths of each order's lines between ends and crossings: from where to where, and how long."""
-    p = D.traced(_skeletons(spark, sf_dir), ["image"])
-    at = lambda f: f(F.struct("x", "y"), "pos")
-    return p.groupBy("image", "path").agg(at(F.min_by).alias("a"), at(F.max_by).alias("b"), F.first("length").alias("length"), F.first("ends").alias("ends"), F.sum("x").alias("x_sum")).select("image", "a.x", "a.y", F.col("b.x").alias("x2"), F.col("b.y").alias("y2"), "length", F.col("ends.first").alias("degree"), F.col("ends.last").alias("degree2"), "x_sum")
+    p = D.path_ends(_skeletons(spark, sf_dir), ["image"])
+    return p.select("image", "a.x", "a.y", F.col("b.x").alias("x2"), F.col("b.y").alias("y2"), "length", F.col("ends.first").alias("degree"), F.col("ends.last").alias("degree2"), "x_sum")
 
 
 def _colour_pixels(spark, sf_dir):

@@ -143,3 +143,37 @@ def test_steps_meet_over_blocks_of_columns(spark, monkeypatch):
     want = {(x, y, x + dx, y + dy) for x, y in cells for dx, dy in grids.AROUND if (x + dx, y + dy) in cells}
     assert {tuple(r)[1:3] + (r.nx, r.ny) for r in got if r.nx is not None} == want and len(got) == len(want) + sum(not any((x + dx, y + dy) in cells for dx, dy in grids.AROUND) for x, y in cells)
     assert all(r.degree == sum((r.x, r.y) == w[:2] for w in want) for r in got)
+
+
+def ends_of(p, ends):
+    return p[0], p[-1], len(p), ends, sum(x for x, _ in p)
+
+
+def test_paths_in_one_tile_are_neither_written_nor_doubled(spark, monkeypatch):
+    made = {**skeletons(), 1: {(x, 20) for x in range(100)}}
+    del made[3]
+    rows = [(k, x, y) for k, c in made.items() for x, y in c if x < 120 and y < 120]
+    written = []
+    monkeypatch.setattr(grids, "cut", lambda df, scratch=None: written.append(df.count()) or cut(df, scratch))
+    cells = spark.createDataFrame(rows + rows[:60] + [(None, 1, 1), (1, None, 1)], "image int, x long, y long")
+    got = Counter((r.image, (tuple(r.a), tuple(r.b), r.length, tuple(r.ends), r.x_sum)) for r in grids.path_ends(cells, ["image"]).collect())
+    assert got == Counter((k, ends_of(p, ends)) for k, c in made.items() for p, ends in walks({q for q in c if q[0] < 120 and q[1] < 120}))
+    assert sum(written) == 0  # all steps before
+
+
+def test_paths_over_tiles_are_those_of_a_walk(spark, monkeypatch):
+    monkeypatch.setattr(grids, "TILE", 16)
+    monkeypatch.setattr(grids, "LOT", 5)
+    rng = np.random.default_rng(4)
+    made = {**skeletons(), 7: {(int(x), int(y)) for x, y in rng.integers(-20, 20, (420, 2))}, 8: {(3, 3), (4, 4)}}
+    shift = {k: (int(rng.integers(-40, 40)), int(rng.integers(-40, 40))) for k in made}
+    made = {k: {(x + shift[k][0], y + shift[k][1]) for x, y in c} for k, c in made.items()}
+    cells = spark.createDataFrame([(k, f"k{k}", x, y) for k, c in made.items() for x, y in c], "image int, name string, x long, y long")
+    found = {}
+    for r in grids.traced(cells, ["image", "name"]).collect():
+        found.setdefault((r.image, r.path), ([], (r.ends.first, r.ends.last), r.length))[0].append((r.pos, (r.x, r.y)))
+    got = Counter((k, tuple(c for _, c in sorted(cells)), ends) for (k, _), (cells, ends, _) in found.items())
+    assert all(len(c) == n and sorted(p for p, _ in c) == list(range(n)) for c, _, n in found.values())
+    assert got == Counter((k, tuple(p), ends) for k, c in made.items() for p, ends in walks(c))
+    ends = Counter((r.image, (tuple(r.a), tuple(r.b), r.length, tuple(r.ends), r.x_sum)) for r in grids.path_ends(cells, ["image", "name"]).collect())
+    assert ends == Counter((k, ends_of(p, e)) for k, c in made.items() for p, e in walks(c))
